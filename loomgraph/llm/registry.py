@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 from .ngram_join import ngram_jaccard_join
+from .repair import repair_token_files
+
+
+def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return repair_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, base=50257)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +22,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op1_repair_token_files, op5_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
