@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .bpe_codec import bpe_round_trip
 from .ngram_join import ngram_jaccard_join
 from .repair import repair_token_files
+from .token_counts import count_tokens
 
 
 def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +20,21 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, base=50257)
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe_round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(common.table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_files, op5_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_repair_token_files, op4_bpe_round_trip, op5_ngram_jaccard_join, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
