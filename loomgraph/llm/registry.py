@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, quality_rules, toxicity
 from .bpe_codec import bpe_round_trip
 from .ngram_join import ngram_jaccard_join
 from .repair import repair_token_files
@@ -29,12 +29,24 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(common.table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.score(docs, machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    out = quality_rules.apply_rules(docs, quality_rules.fit_rules(docs, labels))
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_files, op4_bpe_round_trip, op5_ngram_jaccard_join, op9_token_counts)}
+    return {f.__name__: f for f in (op1_repair_token_files, op4_bpe_round_trip, op5_ngram_jaccard_join, op7_toxicity, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
