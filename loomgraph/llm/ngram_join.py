@@ -1,13 +1,13 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence.
 
-The plan, for N documents:
+The plan:
 
 1. One pass over the texts makes each document's set size and a 128-bit digest of its set, and counts
-   the shingles that repeat within a run of texts. Documents with equal sets are one class.
-2. A second pass orders each class's shingles (those known to be frequent last, else by hash) and emits
-   the first |set| - ceil(threshold * |set|) + 1 of them: two sets at or above the threshold share one of
-   those, whatever the order. Only shingles of two or more classes tie classes together, each to the
-   smallest class of its shingle, so the ties number no more than the emitted rows.
+   shingles. Documents with equal sets are one class.
+2. A second pass leaves the frequent shingles (passages that many texts share) out of each class's set and
+   cuts the rest into parts by hash range, some more than the shingles in which two linked sets of that
+   size range can differ. Two linked sets must then agree on whole parts, so only classes with an equal
+   part are tied, each to the smallest class that has it: the ties number no more than the parts.
 3. Tied classes fall into candidate components; these are cut by size band (a set can only reach
    sets whose size is at least threshold times its own) and, where large, into hash blocks. Each pair
    of blocks is one task group of bounded size.
@@ -32,17 +32,23 @@ from pyspark.sql import functions as F
 
 from .common import id_text, written
 from .components import connected_components
-from .textkernel import mix, runs, shingle_sets
-
-#: A shingle counts as frequent if so many documents of one run of texts, or more, have it ...
-RUN_REPEATS = 6
-#: ... and if, over all runs, so many documents were counted that way.
-FREQUENT = 50
+from .textkernel import U, mix, runs, shingle_sets
+
+#: Sets whose sizes are within this factor are cut into the same number of parts.
+RANGE = 1.5
+#: Shingles of distinct sets that a task counts at a time ...
+COUNTED = 6_000_000
+#: ... those that so many sets have are reported ...
+REPEATS = 4
+#: ... and are frequent if so many reports add up, over all tasks.
+FREQUENT = 12
 #: The frequent shingles go to every task if there are at most this many (8 bytes each); beyond it the
-#: least of them (by count) are left out, which costs time and no result: any order of shingles is right.
-MAX_FREQUENT = 250_000
+#: rarest are left out, which costs time and no result: the parts may leave out any shingles.
+MAX_FREQUENT = 400_000
 #: Classes of one block; a task group has two blocks of two size bands at most.
 BLOCK = 1500
+#: Candidate classes that are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:
@@ -51,54 +57,90 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(width: int):
-    """(kind 0: doc_id, n, d1, d2) per document and (kind 1: shingle, count) per repeated shingle of a run."""
+    """(kind 0: doc_id, n, d1, d2) per document and (kind 1: shingle, count) per shingle that repeats."""
+
+    def repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        keep = counts >= REPEATS
+        m = int(keep.sum())
+        return pa.record_batch({"kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "d1": pa.array(values[keep].view(np.int64)), "d2": pa.array(np.zeros(m, np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        sets: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            ids = batch.column(0)
             for r in runs(batch.column(1)):
-                at, n, d1, d2, sets = [], [], [], [], []
-                for i, s in shingle_sets(r, width):
-                    at.append(i)
+                n, digests = [], []
+                for _, s in shingle_sets(r, width):
                     n.append(len(s))
-                    a, b = _digest(s)
-                    d1.append(a)
-                    d2.append(b)
-                    sets.append(s)
-                distinct = {(a, b): s for a, b, s in zip(d1, d2, sets)}
-                values, counts = np.unique(np.concatenate([*distinct.values()]), return_counts=True) if distinct else (np.zeros(0, np.uint64),) * 2
-                keep = counts >= RUN_REPEATS
-                k, m = len(at), int(keep.sum())
-                yield pa.record_batch(
-                    {
-                        "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [k, m])),
-                        "doc_id": pa.chunked_array([ids.take(pa.array(at, pa.int64())), pa.nulls(m, pa.int64())]).combine_chunks(),
-                        "n": pa.array(np.concatenate([np.array(n, np.int64), counts[keep].astype(np.int64)])),
-                        "d1": pa.array(np.concatenate([np.array(d1, np.int64), values[keep].view(np.int64)])),
-                        "d2": pa.array(np.array(d2 + [0] * m, np.int64)),
-                    }
-                )
+                    d = _digest(s)
+                    digests.append(d)
+                    if d not in seen:
+                        seen.add(d)
+                        sets.append(s)
+                        held += len(s)
+                    if held >= COUNTED:
+                        yield repeated(sets)
+                        seen, sets, held = set(), [], 0
+                d = np.array(digests, np.int64).reshape(-1, 2)
+                yield pa.record_batch({"kind": pa.array(np.zeros(len(n), np.int32)), "doc_id": batch.column(0).slice(r.first, len(n)), "n": pa.array(n, pa.int64()), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1])})
+        if held:
+            yield repeated(sets)
 
     return run
 
 
-PROFILE = "kind int, doc_id long, n long, d1 long, d2 long"
+def size_range(n: int) -> int:
+    """The range k of a set size: RANGE ** k <= n < RANGE ** (k + 1)."""
+    k = int(math.log(n) / math.log(RANGE))
+    return k + 1 if RANGE ** (k + 1) <= n else k - 1 if RANGE**k > n else k
 
 
-def prefix_size(n: int, num: int, den: int) -> int:
-    """Shingles of a set of n that cannot all be missing from a set within the threshold num/den."""
-    return n - (num * n + den - 1) // den + 1
+def parts_of(s: np.ndarray, rare: np.ndarray, k: int, num: int, den: int) -> np.ndarray:
+    """Keys of the parts of a sorted set s, for pairs whose smaller set is in size range k.
 
-
-def _prefixes(width: int, num: int, den: int, frequent: np.ndarray):
-    """(shingle, class, n) for the first shingles of each set; a set repeated within a task comes once."""
+    Linked sets x and y, |x| <= |y|, have |y| <= |x| / t, so they differ in at most
+    (1 - t) / (1 + t) * (|x| + |y|) <= (1 - t) / t * |x| shingles, and of that many parts and sure more they
+    agree on sure at least. Leaving the same shingles out of all sets (rare: those of s that are not
+    frequent) only makes them differ less. A part on which both are empty tells nothing, so a pair might
+    agree on empty parts alone, but only if each set has sure of them or more: such sets are cut once more
+    with all their shingles, and keep their empty parts if there are still as many.
+    """
+    differ = (den - num) * (math.ceil(RANGE ** (k + 1)) - 1) // num
+    if not differ:
+        return np.zeros(0, np.uint64)  # such sets link only if they are equal
+    sure = 2 + differ // 16
+    n = differ + sure
+    keys, filled = _part_keys(rare, n, U(2 * k))
+    if n - len(filled) < sure:
+        return keys
+    whole, filled = _part_keys(s, n, U(2 * k + 1))
+    keys = np.concatenate([keys, whole])
+    if n - len(filled) >= sure:
+        keys = np.concatenate([keys, mix(np.setdiff1d(np.arange(n, dtype=np.uint64), filled) + (U(n) << U(32)) + (U(k) << U(57)))])
+    return keys
+
+
+def _part_keys(s: np.ndarray, n: int, kind: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and numbers of the parts of s that hold shingles."""
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    part = ((s >> U(32)) * U(n)) >> U(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    content = np.add.reduceat(mix(s + U(0x51ED270B)), first)
+    return mix(content ^ mix(part[first] + (U(n) << U(32)) + (kind << U(56)))), part[first]
+
+
+def _parts(width: int, num: int, den: int, frequent: np.ndarray):
+    """(part, class) for each set; a set repeated within a task comes once."""
     frequent = np.sort(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for r in runs(batch.column(0)):
-                shingles, sizes, classes = [], [], []
+                parts, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for _, s in shingle_sets(r, width):
                     if not len(s):
                         continue
@@ -106,20 +148,31 @@ def _prefixes(width: int, num: int, den: int, frequent: np.ndarray):
                     if d in seen:
                         continue
                     seen.add(d)
-                    p = prefix_size(len(s), num, den)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                        often = frequent[at] == s
-                        s = np.concatenate([s[~often], s[often]])
-                    shingles.append(s[:p])
-                    sizes.append(p)
-                    classes.append(d[0])
-                if shingles:
-                    yield pa.record_batch({"shingle": pa.array(np.concatenate(shingles).view(np.int64)), "class": pa.array(np.repeat(np.array(classes, np.int64), sizes))})
+                    rare = s[frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s] if len(frequent) else s
+                    # as the smaller set of a pair in its own range, as the larger one in those of sets it reaches
+                    for j in range(size_range(max(1, -(-num * len(s) // den))), size_range(len(s)) + 1):
+                        keys = parts_of(s, rare, j, num, den)
+                        parts.append(keys)
+                        classes.append(np.full(len(keys), d[0], np.int64))
+                yield pa.record_batch({"part": pa.array(np.concatenate(parts).view(np.int64)), "class": pa.array(np.concatenate(classes))})
 
     return run
 
 
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (part, class): each class with the first class of its part, if another."""
+    part, leader = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.concatenate([[s[0] != part], s[1:] != s[:-1]])
+        lead = np.concatenate([[leader], c[first]])[np.cumsum(first)]
+        part, leader = s[-1], lead[-1]
+        pairs = np.unique(np.stack([c, lead], 1)[c != lead], axis=0)
+        yield pa.record_batch({"class": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1])})
+
+
 def _sets(width: int):
     """Puts the set in place of the text; rows whose doc_id stands for another text, or again, go."""
 
@@ -223,15 +276,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
     no rows.
     """
     d = id_text(docs, id_col, text_col)
-    profile = written(d.mapInArrow(_profile(width), PROFILE), "ngram-profile")
-    frequent = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "d1").limit(MAX_FREQUENT)
-    frequent = np.array([r[0] for r in frequent.select("d1").collect()], np.int64).view(np.uint64)
+    profile = written(d.mapInArrow(_profile(width), "kind int, doc_id long, n long, d1 long, d2 long"), "ngram-profile")
+    often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "d1").limit(MAX_FREQUENT)
+    frequent = often.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)
     per_doc = profile.where("kind = 0").select("doc_id", "n", "d1", "d2")
     classes = written(per_doc.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "ngram-classes")
 
-    prefixes = written(d.select("text").mapInArrow(_prefixes(width, num, den, frequent), "shingle long, class long"), "ngram-prefixes")
-    leaders = prefixes.groupBy("shingle").agg(F.min("class").alias("leader"), F.max("class").alias("most")).where("leader <> most")
-    ties = prefixes.join(leaders.select("shingle", "leader"), "shingle").where(F.col("class") != F.col("leader")).select("class", "leader").distinct()
+    keys = d.select("text").mapInArrow(_parts(width, num, den, frequent), "part long, class long")
+    ties = keys.repartition("part").sortWithinPartitions("part", "class").mapInArrow(_ties, "class long, leader long").distinct()
     parts = connected_components(ties, "class", "leader", "ngram-candidates")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)))
@@ -243,15 +295,18 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
         .withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
         .select("least", "d1", "copies", "component", "band", "blocks", "block")
     )
-    cand = written(cand, "ngram-cand")
-    texts = d.join(cand.hint("shuffle_hash"), d["doc_id"] == cand["least"])
-    with_sets = texts.select("d1", "copies", "component", "band", "blocks", "block", "text").mapInArrow(
-        _sets(width), "d1 long, copies long, component long, band long, blocks int, block int, shingles binary"
+    bands = cand.groupBy("component").agg(F.collect_set("band").alias("bands"))  # a few dozen at most
+    cand = written(cand.join(bands, "component").withColumn("guest", F.array_contains("bands", F.col("band") - 1)).drop("bands"), "ngram-candidates-dealt")
+    # a broadcast while the candidates are few (about 60 bytes each), else a shuffle of the texts
+    few = cand.count() <= BROADCAST_ROWS
+    texts = d.join(F.broadcast(cand) if few else cand.hint("shuffle_hash"), d["doc_id"] == cand["least"])
+    with_sets = texts.select("d1", "copies", "component", "band", "blocks", "block", "guest", "text").mapInArrow(
+        _sets(width), "d1 long, copies long, component long, band long, blocks int, block int, guest boolean, shingles binary"
     )
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = with_sets.select(F.col("d1").alias("class"), "copies", "component", "band", "block", "shingles", F.explode(pair).alias("p")).select(
-        "class", "copies", "component", "block", "shingles", "p", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("b")
-    )
+    at_home, as_guest = (F.struct((F.col("band") - n).alias("band"), F.lit(not n).alias("home")) for n in (0, 1))
+    roles = F.when(F.col("guest"), F.array(at_home, as_guest)).otherwise(F.array(at_home))
+    dealt = with_sets.withColumn("p", F.explode(pair)).withColumn("b", F.explode(roles)).withColumnRenamed("d1", "class")
     dealt = dealt.select("component", F.col("b.band").alias("band"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("b.home").alias("home"), "block", "class", "copies", "shingles")
     links = written(dealt.groupBy("component", "band", "i", "j").applyInArrow(_group(num, den), "class long, root long, links long, copies_linked long"), "ngram-links")
 

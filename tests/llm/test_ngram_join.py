@@ -57,8 +57,6 @@ def test_blocks_of_a_large_candidate_group(spark, monkeypatch):
     from loomgraph.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
-    monkeypatch.setattr(ngram_join, "RUN_REPEATS", 2)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
     r = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
