@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A table of keys is broadcast up to so many rows (some 30 MB); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,3 +38,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string, never null); whatever else the table holds is pruned from the scan."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that keys (doc_id, key: xxhash64 of the text, a null one as empty) name.
+
+    All columns stay. keys is counted first: only up to BROADCAST_ROWS rows go to every task.
+    """
+    mark, own = "__row_id", "__row_key"
+    k = keys.select(F.col("doc_id").alias(mark), F.col("key").alias(own))
+    k = F.broadcast(k) if keys.count() <= BROADCAST_ROWS else k
+    same = docs[id_col].cast("long").eqNullSafe(k[mark]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == k[own])
+    return docs.join(k, same, "left_anti")

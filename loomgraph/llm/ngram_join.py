@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import BROADCAST_ROWS, id_text, written
 from .components import connected_components
 from .textkernel import U, mix, runs, shingle_sets
 
@@ -47,8 +47,6 @@ FREQUENT = 12
 MAX_FREQUENT = 400_000
 #: Classes of one block; a task group has two blocks of two size bands at most.
 BLOCK = 1500
-#: Candidate classes that are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
 
 
 def _digest(s: np.ndarray) -> tuple[int, int]:

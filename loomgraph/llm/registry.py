@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, quality_rules, toxicity
 from .bpe_codec import bpe_round_trip
+from .decontaminate import find_leaks
 from .ngram_join import ngram_jaccard_join
 from .repair import repair_token_files
 from .secrets import BASE, find_secrets
+from .site_templates import extract_texts
 from .token_counts import count_tokens
 from .url_filter import filter_urls
 
@@ -22,6 +24,14 @@ def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, base=50257)
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op3_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_texts(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -48,7 +58,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents"))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
     return found.select("doc_id", *counts, F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
@@ -63,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_files, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
