@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, id_text, written
+from .common import BROADCAST_ROWS, id_text, without, written
 from .components import connected_components
 from .textkernel import U, mix, runs, shingle_sets
 
@@ -61,7 +61,7 @@ def _profile(width: int):
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
         keep = counts >= REPEATS
         m = int(keep.sum())
-        return pa.record_batch({"kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "d1": pa.array(values[keep].view(np.int64)), "d2": pa.array(np.zeros(m, np.int64))})
+        return pa.record_batch({"kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "key": pa.nulls(m, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "d1": pa.array(values[keep].view(np.int64)), "d2": pa.array(np.zeros(m, np.int64))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -82,7 +82,7 @@ def _profile(width: int):
                         yield repeated(sets)
                         seen, sets, held = set(), [], 0
                 d = np.array(digests, np.int64).reshape(-1, 2)
-                yield pa.record_batch({"kind": pa.array(np.zeros(len(n), np.int32)), "doc_id": batch.column(0).slice(r.first, len(n)), "n": pa.array(n, pa.int64()), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1])})
+                yield pa.record_batch({"kind": pa.array(np.zeros(len(n), np.int32)), "doc_id": batch.column(0).slice(r.first, len(n)), "key": batch.column(2).slice(r.first, len(n)), "n": pa.array(n, pa.int64()), "d1": pa.array(d[:, 0]), "d2": pa.array(d[:, 1])})
         if held:
             yield repeated(sets)
 
@@ -261,43 +261,35 @@ def _group(num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents linked by the Jaccard similarity of their distinct word shingles.
-
-    Words are runs of characters other than 0x20, 0x09-0x0D, A-Z lower-cased; a shingle is width words
-    (all words, where fewer). Two documents link if den * intersection >= num * union.
-
-    Returns one row per input row: doc_id, n_shingles (set size), component_id (the smallest doc_id
-    reachable over links, itself included), n_links (documents it links to). Null or wordless texts have
-    n_shingles 0, link to nothing and are their own component; equal texts link; a row without doc_id
-    counts as a document but never names a component. Extra columns are left out. An empty table gives
-    no rows.
-    """
-    d = id_text(docs, id_col, text_col)
-    profile = written(d.mapInArrow(_profile(width), "kind int, doc_id long, n long, d1 long, d2 long"), "ngram-profile")
+def _linked(d: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, key, n, component (a class), component_id (its least doc_id), n_links of each row of d (doc_id, text, key)."""
+    profile = written(d.select("doc_id", "text", "key").mapInArrow(_profile(width), "kind int, doc_id long, key long, n long, d1 long, d2 long"), "ngram-profile")
     often = profile.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "d1").limit(MAX_FREQUENT)
     frequent = often.select("d1").toPandas()["d1"].to_numpy(np.int64).view(np.uint64)
-    per_doc = profile.where("kind = 0").select("doc_id", "n", "d1", "d2")
-    classes = written(per_doc.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "ngram-classes")
+    per_doc = profile.where("kind = 0").select("doc_id", "key", "n", "d1", "d2")
+    classes = written(per_doc.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("least"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("least_key"), F.count("*").alias("copies")), "ngram-classes")
 
     keys = d.select("text").mapInArrow(_parts(width, num, den, frequent), "part long, class long")
     ties = keys.repartition("part").sortWithinPartitions("part", "class").mapInArrow(_ties, "class long, leader long").distinct()
     parts = connected_components(ties, "class", "leader", "ngram-candidates")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)))
-    sized = parts.join(parts.groupBy("component").agg(F.count("*").alias("members")), "component")
+    # what is joined to the rows of a component is written first: Spark can then split a component of very many rows
+    large = written(parts.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK), "ngram-large")
+    sized = parts.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "component", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     cand = (
         classes.join(sized.withColumnRenamed("node", "d1"), "d1")
         .withColumn("band", band)
         .withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-        .select("least", "d1", "copies", "component", "band", "blocks", "block")
+        .select("least", "least_key", "d1", "copies", "component", "band", "blocks", "block")
     )
-    bands = cand.groupBy("component").agg(F.collect_set("band").alias("bands"))  # a few dozen at most
+    cand = written(cand, "ngram-candidates")
+    bands = written(cand.groupBy("component").agg(F.collect_set("band").alias("bands")), "ngram-bands")  # a few dozen each at most
     cand = written(cand.join(bands, "component").withColumn("guest", F.array_contains("bands", F.col("band") - 1)).drop("bands"), "ngram-candidates-dealt")
     # a broadcast while the candidates are few (about 60 bytes each), else a shuffle of the texts
     few = cand.count() <= BROADCAST_ROWS
-    texts = d.join(F.broadcast(cand) if few else cand.hint("shuffle_hash"), d["doc_id"] == cand["least"])
+    texts = d.join(F.broadcast(cand) if few else cand.hint("shuffle_hash"), d["doc_id"].eqNullSafe(cand["least"]) & (d["key"] == cand["least_key"]))
     with_sets = texts.select("d1", "copies", "component", "band", "blocks", "block", "guest", "text").mapInArrow(
         _sets(width), "d1 long, copies long, component long, band long, blocks int, block int, guest boolean, shingles binary"
     )
@@ -310,9 +302,49 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     linked = connected_components(links.where("class <> root"), "class", "root", "ngram-components")
     named = classes.join(linked.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "ngram-names")
     degree = links.groupBy("class").agg(F.sum("copies_linked").alias("others")).withColumnRenamed("class", "d1")
-    per_class = named.join(names, "component").join(degree, "d1", "left").select("d1", "d2", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return per_doc.join(per_class, ["d1", "d2"], "left").select(
+    per_class = named.join(names, "component").join(degree, "d1", "left").select("d1", "d2", "component", "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return per_doc.join(per_class, ["d1", "d2"], "left").select("doc_id", "key", "n", "component", "component_id", "n_links")
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents linked by the Jaccard similarity of their distinct word shingles.
+
+    Words are runs of characters other than 0x20, 0x09-0x0D, A-Z lower-cased; a shingle is width words
+    (all words, where fewer). Two documents link if den * intersection >= num * union.
+
+    Returns one row per input row: doc_id, n_shingles (set size), component_id (the smallest doc_id
+    reachable over links, itself included), n_links (documents it links to). Null or wordless texts have
+    n_shingles 0, link to nothing and are their own component; equal texts link; a row without doc_id
+    counts as a document but never names a component. Extra columns are left out. An empty table gives
+    no rows.
+    """
+    d = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    return _linked(d, width, num, den).select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents stays, with all its columns: the one of least doc_id.
+
+    Rows without doc_id come after all others. Of equal rows (doc_id and text) one stays, unless the text
+    has no words: those are linked with nothing and all stay. An empty table stays empty.
+    """
+    d = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
+    linked = written(_linked(d, width, num, den), "ngram-members").where("n > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    keepers = written(linked.groupBy("component").agg(F.min(order).alias("o")).select("component", F.col("o.doc_id").alias("k_id"), F.col("o.key").alias("k_key")), "ngram-keeper")
+    mine = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_key"))
+    members = written(linked.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")), "ngram-distinct-members")
+    rows = members.join(keepers, "component").select("doc_id", "key", "n", mine.alias("keeper"))
+    rows = written(rows, "ngram-keepers")
+    kept = without(docs, rows.where(~F.col("keeper")).select("doc_id", "key").distinct(), id_col, text_col)
+    repeated = rows.where(F.col("keeper") & (F.col("n") > 1)).select("doc_id", "key").distinct()
+    if repeated.isEmpty():
+        return kept
+    names = kept.columns
+    again = kept.select(*names, F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"))
+    once = again.join(repeated.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key")), F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__key") == F.col("r_key")), "left_semi").dropDuplicates(["__id", "__key"])
+    return without(docs, rows.where(~F.col("keeper")).select("doc_id", "key").union(repeated).distinct(), id_col, text_col).union(once.select(names))

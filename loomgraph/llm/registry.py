@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,8 +77,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

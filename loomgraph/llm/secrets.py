@@ -204,9 +204,10 @@ def _redacted(rules: tuple[Rule, ...]):
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every secret in its text column replaced by the kind in brackets; texts without any stay
-    as they are, null included, and so do all other columns."""
+    as they are, null included, and so do all other columns (but n_chars, where there is one, follows)."""
     d = docs.withColumn("text", F.col("text").cast("string"))
-    return d.mapInArrow(_redacted(rules), d.schema)
+    out = d.mapInArrow(_redacted(rules), d.schema)
+    return out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType)) if "n_chars" in d.columns else out
 
 
 def span_digest(spans: list[dict]) -> str:

@@ -161,6 +161,23 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return id_text(docs, id_col, text_col).mapInArrow(_scored(machine), "doc_id long, score double")
 
 
+def _kept(m: Machine, at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [m.logits(*terms(r), len(r.borders) - 1) for r in runs(batch.column(at))]
+            if z:
+                p = 1 / (1 + np.exp(-np.clip(np.concatenate(z), -30, 30)))
+                yield batch.filter(pa.array(p < threshold))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score at least threshold; all columns, nulls and repeats of the others stay."""
+    d = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    return d.mapInArrow(_kept(machine, d.columns.index(text_col), threshold), d.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learnt from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
