@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules, toxicity
+from . import common, decontaminate, quality_rules, toxicity
 from .bpe_codec import bpe_round_trip
 from .decontaminate import find_leaks
 from .ngram_join import ngram_jaccard_join
@@ -85,5 +85,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, pipeline)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP5_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::varchar[] END AS g FROM t),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c WHERE 100 * k >= 85 * (na + nb - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, component) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y.b, r.component FROM r JOIN both_ways y ON y.a = r.node)
+SELECT s.doc_id, len(s.g)::bigint AS n_shingles, (SELECT min(component) FROM r WHERE r.node = s.doc_id) AS component_id, (SELECT count(*) FROM both_ways y WHERE y.a = s.doc_id) AS n_links FROM s
+"""
+
+OP6_SQL = rf"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}),
+parts AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS q FROM rules),
+m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, length(h) DESC) AS k FROM p JOIN parts ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, q))
+SELECT p.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
+"""
+
+
+def _marked_sql(text: str) -> str:
+    """decontaminate.marked in SQL without lookaround: inner separators of numbers stand as control characters meanwhile."""
+    all_of = lambda x, pattern, to: f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    t = all_of(all_of(f"coalesce({text}, '')", r"(\p{N})(\p{L})", r"\1 \2"), r"(\p{L})(\p{N})", r"\1 \2")
+    for inner, held in zip(r"\. , : /".split(), "\x01\x02\x03\x04"):
+        for _ in range(2):  # neighbours share a digit
+            t = all_of(t, rf"(\p{{N}}){inner}(\p{{N}})", rf"\1{held}\2")
+    t = all_of(t, "\\p{N}+(?:[\x01-\x04]\\p{N}+)*", r"0\0")
+    for _ in range(2):
+        t = all_of(t, r"([^\s.!?:;][ \t])(\p{Lu})(\p{Ll})", r"\11\2\3")
+    t = f"lower({all_of(t, '[^\\p{L}\\p{N}\\p{M}\x01-\x04]+', ' ')})"
+    t = all_of(t, rf"(\b0[\p{{N}}\x01-\x04]+ )((?:{decontaminate.UNITS})(?: |$))".replace(r"\x01-\x04", "\x01-\x04"), r"\12\2")
+    return f"trim(translate({t}, '\x01\x02\x03\x04', '.,:/'))"
+
+
+def _sequences_sql(table: str, id_col: str) -> str:
+    return rf"SELECT {id_col}, text, string_split(m, ' ') AS words, string_split(regexp_replace(m, '(^| )([012])[^ ]+', '\1\2', 'g'), ' ') AS types FROM (SELECT DISTINCT {id_col}, coalesce(text, '') AS text, {_marked_sql('text')} AS m FROM {table})"
+
+
+OP2_SQL = rf"""
+WITH items AS ({_sequences_sql("benchmark", "item_id")}), docs AS ({_sequences_sql("documents", "doc_id")}),
+sizes AS (SELECT least({decontaminate.WINDOW}, len(types)) AS width FROM items WHERE len(types) >= {decontaminate.LITERALS} GROUP BY 1),
+iw AS (SELECT item_id, width, types[p:p + width - 1] AS t, words[p:p + width - 1] AS w, p FROM (SELECT *, unnest(range(1, len(types) - width + 2)) AS p FROM items JOIN sizes ON width = least({decontaminate.WINDOW}, len(types)) WHERE item_id IS NOT NULL)
+  WHERE len(list_filter(types[p:p + width - 1], lambda x: x NOT IN ('0', '1', '2'))) >= {decontaminate.LITERALS}),
+n AS (SELECT item_id, count(DISTINCT p) AS item_windows FROM iw GROUP BY 1),
+dw AS (SELECT doc_id, text, width, types[p:p + width - 1] AS t, words[p:p + width - 1] AS w, p FROM (SELECT *, unnest(range(1, len(types) - width + 2)) AS p FROM docs, sizes WHERE len(types) >= width)),
+met AS (SELECT DISTINCT d.doc_id, d.text, i.item_id, d.p - i.p AS shift, i.p AS ipos, list_filter(list_zip(i.w, d.w), lambda x: x[1] < ':') AS slots FROM iw i JOIN dw d ON i.width = d.width AND i.t = d.t),
+pairs AS (SELECT DISTINCT doc_id, text, item_id, shift, unnest(slots) AS s FROM met),
+torn AS (SELECT doc_id, text, item_id, shift, s[1] AS v FROM pairs GROUP BY ALL HAVING count(*) > 1),
+torn_lists AS (SELECT doc_id, text, item_id, shift, list(v) AS vs FROM torn GROUP BY ALL),
+differ AS (SELECT DISTINCT doc_id, text, item_id, shift, true AS differs FROM pairs WHERE s[1] <> s[2]),
+good AS (SELECT m.*, coalesce(d.differs, false) AS differs, t.vs IS NULL OR len(list_filter(m.slots, lambda x: list_contains(t.vs, x[1]))) = 0 AS fits FROM met m
+  LEFT JOIN torn_lists t ON m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.text = t.text AND m.item_id = t.item_id AND m.shift = t.shift
+  LEFT JOIN differ d ON m.doc_id IS NOT DISTINCT FROM d.doc_id AND m.text = d.text AND m.item_id = d.item_id AND m.shift = d.shift),
+aligned AS (SELECT doc_id, text, item_id, shift, count(DISTINCT ipos) FILTER (fits) AS k, NOT any_value(differs) AS exact FROM good GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, text, item_id, max(struct_pack(k := k, exact := exact)).exact AS exact FROM aligned GROUP BY 1, 2, 3),
+found AS (SELECT g.doc_id, g.text, g.item_id, count(DISTINCT ipos) FILTER (fits) AS matched FROM good g GROUP BY 1, 2, 3),
+per AS (SELECT f.doc_id, f.item_id, n.item_windows, f.matched, f.matched / n.item_windows AS share, b.exact FROM found f JOIN n ON f.item_id = n.item_id JOIN best b ON f.doc_id IS NOT DISTINCT FROM b.doc_id AND f.text = b.text AND f.item_id = b.item_id)
+SELECT doc_id, item_id, o.item_windows AS item_windows, o.matched AS matched, o.share AS share, o.exact AS exact FROM (SELECT doc_id, item_id, max(struct_pack(matched := matched, exact := exact, item_windows := item_windows, share := share)) AS o FROM per WHERE share >= {decontaminate.SHARE} GROUP BY 1, 2)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express. The others are tested against brute force, round trips or held-out rows."""
+    return {"op2_template_decontamination": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_url_filter": OP6_SQL}
