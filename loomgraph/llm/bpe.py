@@ -1,25 +1,30 @@
 """Tokenizers inside tasks: loaded once a worker, with a bounded memory of segments already encoded.
 
 A segment is white space followed by other characters, up to the next white space (or white space alone
-at the end). For every tokenizer here a pre-token never holds a non-space followed by a space, so a
-segment's ids do not depend on its neighbours, and a text's ids are those of its segments in order. The
-ids themselves always come from the tokenizer's own library.
+at the end); a run of Latin letters and digits at its start is a segment of its own where ASCII
+punctuation follows. For every tokenizer here a pre-token never holds a non-space followed by a space, nor
+a letter or digit followed by punctuation, so a segment's ids do not depend on its neighbours, and a
+text's ids are those of its segments in order. The ids themselves always come from the tokenizer's library.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Unicode White_Space, as \s means in the tokenizers' patterns.
 SPACE = "\t-\r \x85\xa0  -     　"
-SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Letters that stay one letter when lower-cased (a capital I with a dot does not).
+LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+SEGMENT = re.compile(rf"[{SPACE}]*[0-9{LATIN}]++(?=[!-/:-@\[-`{{-~])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Of a byte-level tokenizer, one pre-token for certain.
+WORD = re.compile(rf" ?[{LATIN}]+")
 #: Segments that a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Longer segments are encoded each time: remembering them would cost more than it saves.
 LONGEST_REMEMBERED = 64
 
@@ -41,35 +46,54 @@ def rank_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class Segments:
-    """What encoding gives for segments, the distinct unknown ones of some texts encoded in one call."""
+def byte_alphabet(path: str) -> dict[int, str] | None:
+    """How a byte-level tokenizer writes bytes, as a table for str.translate; None for tokenizers that do more
+    to a word than its model does."""
+    with open(path, "rb") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE"
+    if not plain or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or any(WORD.fullmatch(x["content"]) for x in spec.get("added_tokens", ())):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Segments(dict):
+    """What encoding gives for segments, encoded where they are first met.
+
+    Plain words of a byte-level tokenizer go to the library's model directly, past its splitting.
+    """
 
     def __init__(self, path: str, value):
-        self.encode = library_tokenizer(path).encode_batch_fast
+        super().__init__()
+        self.tokenizer = library_tokenizer(path)
+        self.alphabet = byte_alphabet(path)
+        self.model = self.tokenizer.model
         self.value = value
-        self.known: dict = {}
+
+    def __missing__(self, segment: str):
+        if self.alphabet is not None and WORD.fullmatch(segment):
+            out = self.value([t.id for t in self.model.tokenize(segment.encode().decode("latin-1").translate(self.alphabet))])
+        else:
+            out = self.value(self.tokenizer.encode_batch_fast([segment], add_special_tokens=False)[0].ids)
+        if len(segment) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[segment] = out
+        return out
 
     def per_text(self, texts: list[str], join) -> list:
         """join(values of a text's segments), for each text."""
-        cut = list(map(SEGMENT.findall, texts))
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*cut)
-        if new:
-            new = list(new)
-            self.known.update(zip(new, (self.value(e.ids) for e in self.encode(new, add_special_tokens=False))))
-        out = [join(map(self.known.__getitem__, x)) for x in cut]
-        for x in new:
-            if len(x) > LONGEST_REMEMBERED:
-                del self.known[x]
-        return out
+        value_of, cut = self.__getitem__, SEGMENT.findall
+        return [join(map(value_of, cut(x))) for x in texts]
 
 
 @lru_cache(maxsize=2)
 def segment_ids(path: str) -> Segments:
     """Values: ids as little-endian unsigned 32-bit integers."""
-    return Segments(path, lambda ids: np.array(ids, "<u4").tobytes())
+    return Segments(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 @lru_cache(maxsize=2)

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import groups, segment_ids
-from .common import id_text, shared_dir
+from .common import BROADCAST_ROWS, id_text, shared_dir
 
 #: A shard closes with the first document that brings it to so many ids.
 SHARD_IDS = 1 << 19
@@ -208,6 +208,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inside = sizes.withColumn("inside", F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
     starts = inside.join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("first"))
+    # a row a shard: to every task while there are few
+    if starts.count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     docs = files.mapInArrow(_documents, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
 

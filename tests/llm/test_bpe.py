@@ -47,6 +47,16 @@ def test_segments_give_whole_text_ids():
         assert bpe.Segments(path, len).per_text(texts, sum) == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts], name
 
 
+def test_segments_of_odd_texts():
+    """Letters that change when folded, contractions, special strings, marks, and punctuation in every order."""
+    r = random.Random(1)
+    bits = ["a", "é", "Z", "9", "Σ", "ſ", "\u0301", "_", "'s", "don't", "<|endoftext|>", " ", "  ", "\n", "\xa0", ".", "#", "€", "×", "ǰ", "İ", "K", "中", "😀", "x1", "½", "ᵃ", "ß"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(5000)]
+    for path in (WORDS, P.path("byte_bpe_50k.json")):
+        whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        assert bpe.Segments(path, tuple).per_text(texts, lambda parts: [i for p in parts for i in p]) == [e.ids for e in whole]
+
+
 def test_cache_grows_by_distinct_misses_only(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(50, "a b c"), (51, "A  b\nC "), (None, "a b c"), (52, "fresh " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
