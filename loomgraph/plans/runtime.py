@@ -152,16 +152,18 @@ class Engine:
 
     def table(self, payload: dict[str, Any] | Graph, source: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
         """A row of outputs for each row of the source."""
-        return self.compile(payload, source, options).frame
+        run = self.compile(payload, source, options)
+        self._running.pop(run.id, None)
+        return run.frame
 
     def run(self, payload: dict[str, Any], options: dict[str, Any] | None = None) -> dict[str, Any]:
         """A single-row graph: outputs, trace, stats and plan, as plain values."""
         began = time.time()
+        run = self.compile(payload, None, options)
         try:
-            run = self.compile(payload, None, options)
             events = list(self._events(run))
         finally:
-            self._running.pop(str((options or {}).get("execution_id")), None)
+            self._running.pop(run.id, None)
         run.total_ms = (time.time() - began) * 1000
         trace = [e["trace"] for e in events if "trace" in e]
         return {"outputs": self._outputs(run), "trace": trace, "stats": stats(trace, run.total_ms, run.graph.plan(options)["max_parallelism"]), "plan": run.graph.plan(options), "execution_id": run.id}
@@ -245,7 +247,7 @@ class Engine:
             return False
         held.cancel(node)
         if node is None:
-            self.spark.interruptTag(execution_id) if hasattr(self.spark, "interruptTag") and _is_connect(self.spark) else self.spark.sparkContext.cancelJobsWithTag(execution_id)
+            self.spark.interruptTag(execution_id)
         return True
 
     def trace_table(self, trace: list[dict[str, Any]]) -> DataFrame:
@@ -253,10 +255,6 @@ class Engine:
         return self.spark.createDataFrame(rows, TRACE)
 
 
-def _is_connect(spark: SparkSession) -> bool:
-    return "connect" in type(spark).__module__
-
-
 def stats(trace: list[dict[str, Any]], total_ms: float, parallelism: int = 1) -> dict[str, Any]:
     done = [t for t in trace if t["status"] == "COMPLETED"]
     spent = sum(t["duration_ms"] for t in trace)
