@@ -400,7 +400,7 @@ def catalog_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.palette(parts, "A").select("category", "n")
 
 
-_SCORE = "CASE WHEN lower({0}) = 'bl' THEN 0 WHEN starts_with(lower({0}), 'bl') THEN 1 WHEN regexp_matches(lower({0}), '[\s._-]bl') THEN 2 WHEN contains(lower({0}), 'bl') THEN 3 WHEN regexp_matches(lower({0}), 'b.*l') THEN 4 END"
+_SCORE = r"CASE WHEN lower({0}) = 'bl' THEN 0 WHEN starts_with(lower({0}), 'bl') THEN 1 WHEN regexp_matches(lower({0}), '[\s._-]bl') THEN 2 WHEN contains(lower({0}), 'bl') THEN 3 WHEN regexp_matches(lower({0}), 'b.*l') THEN 4 END"
 
 
 @direct(f"SELECT * FROM (SELECT p_partkey, least({_SCORE.format('p_name')}, {_SCORE.format('p_type')} + 10)::int AS score FROM part) WHERE score IS NOT NULL")
