@@ -9,8 +9,8 @@ The plan:
    size range can differ. Two linked sets must then agree on whole parts, so only classes with an equal
    part are tied, each to the smallest class that has it: the ties number no more than the parts.
 3. Tied classes fall into candidate components; these are cut by size band (a set can only reach
-   sets whose size is at least threshold times its own) and, where large, into hash blocks. Each pair
-   of blocks is one task group of bounded size.
+   sets whose size is at least threshold times its own) and, where a band with the next one is large,
+   into hash blocks. Each pair of blocks is one task group of bounded size.
 4. A group multiplies its incidence matrix with itself, row by row, skips columns of one document,
    drops partners below the size bounds, and keeps exact links: per class its degree and its root.
 5. Roots and classes are joined to components over all groups.
@@ -274,30 +274,25 @@ def _linked(d: DataFrame, width: int, num: int, den: int) -> DataFrame:
     parts = connected_components(ties, "class", "leader", "ngram-candidates")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)))
-    # what is joined to the rows of a component is written first: Spark can then split a component of very many rows
-    large = written(parts.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK), "ngram-large")
-    sized = parts.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "component", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    cand = (
-        classes.join(sized.withColumnRenamed("node", "d1"), "d1")
-        .withColumn("band", band)
-        .withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-        .select("least", "least_key", "d1", "copies", "component", "band", "blocks", "block")
-    )
-    cand = written(cand, "ngram-candidates")
-    bands = written(cand.groupBy("component").agg(F.collect_set("band").alias("bands")), "ngram-bands")  # a few dozen each at most
-    cand = written(cand.join(bands, "component").withColumn("guest", F.array_contains("bands", F.col("band") - 1)).drop("bands"), "ngram-candidates-dealt")
+    cand = written(classes.join(parts.withColumnRenamed("node", "d1"), "d1").withColumn("band", band.cast("int")).select("least", "least_key", "d1", "d2", "copies", "component", "band"), "ngram-candidates")
+    # written before it is joined to the rows of a component: Spark can then split a component of very many rows
+    sizes = cand.groupBy("component", "band").agg(F.count("*").alias("n")).groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("sizes"))  # a few dozen bands at most
+    sizes = written(sizes, "ngram-bands")
+    blocks = lambda at: F.ceil((F.try_element_at("sizes", at) + F.coalesce(F.try_element_at("sizes", at + 1), F.lit(0))) / F.lit(BLOCK)).cast("int")
+    # blocks of the group of a band, for the class at home there and as a guest of the band below, if that has any
+    dealt_out = cand.join(sizes, "component").select("least", "least_key", "d1", "copies", "component", "band", F.xxhash64("d1", "d2").alias("deal"), blocks(F.col("band")).alias("at_home"), blocks(F.col("band") - 1).alias("as_guest"))
+    cand = written(dealt_out, "ngram-candidates-dealt")
     # a broadcast while the candidates are few (about 60 bytes each), else a shuffle of the texts
     few = cand.count() <= BROADCAST_ROWS
     texts = d.join(F.broadcast(cand) if few else cand.hint("shuffle_hash"), d["doc_id"].eqNullSafe(cand["least"]) & (d["key"] == cand["least_key"]))
-    with_sets = texts.select("d1", "copies", "component", "band", "blocks", "block", "guest", "text").mapInArrow(
-        _sets(width), "d1 long, copies long, component long, band long, blocks int, block int, guest boolean, shingles binary"
+    with_sets = texts.select("d1", "copies", "component", "band", "deal", "at_home", "as_guest", "text").mapInArrow(
+        _sets(width), "d1 long, copies long, component long, band int, deal long, at_home int, as_guest int, shingles binary"
     )
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    at_home, as_guest = (F.struct((F.col("band") - n).alias("band"), F.lit(not n).alias("home")) for n in (0, 1))
-    roles = F.when(F.col("guest"), F.array(at_home, as_guest)).otherwise(F.array(at_home))
-    dealt = with_sets.withColumn("p", F.explode(pair)).withColumn("b", F.explode(roles)).withColumnRenamed("d1", "class")
-    dealt = dealt.select("component", F.col("b.band").alias("band"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("b.home").alias("home"), "block", "class", "copies", "shingles")
+    role = lambda below, blocks: F.struct((F.col("band") - below).alias("band"), F.lit(not below).alias("home"), F.col(blocks).alias("blocks"), F.pmod("deal", blocks).cast("int").alias("block"))
+    roles = F.when(F.col("as_guest").isNotNull(), F.array(role(0, "at_home"), role(1, "as_guest"))).otherwise(F.array(role(0, "at_home")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("b.blocks") - 1), lambda k: F.struct(F.least(k, F.col("b.block")).alias("i"), F.greatest(k, F.col("b.block")).alias("j")))
+    dealt = with_sets.withColumn("b", F.explode(roles)).withColumn("p", F.explode(pair)).withColumnRenamed("d1", "class")
+    dealt = dealt.select("component", F.col("b.band").alias("band"), F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("b.home").alias("home"), F.col("b.block").alias("block"), "class", "copies", "shingles")
     links = written(dealt.groupBy("component", "band", "i", "j").applyInArrow(_group(num, den), "class long, root long, links long, copies_linked long"), "ngram-links")
 
     linked = connected_components(links.where("class <> root"), "class", "root", "ngram-components")
