@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,13 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col:
     k = F.broadcast(k) if keys.count() <= BROADCAST_ROWS else k
     same = docs[id_col].cast("long").eqNullSafe(k[mark]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == k[own])
     return docs.join(k, same, "left_anti")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner works off the driver's garbage collections, of which a driver that plans much and holds
+    little may have none for long, while the files stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, id_text, without, written
+from .common import BROADCAST_ROWS, id_text, release, without, written
 from .components import connected_components
 from .textkernel import U, mix, runs, shingle_sets
 
@@ -272,6 +272,8 @@ def _linked(d: DataFrame, width: int, num: int, den: int) -> DataFrame:
     keys = d.select("text").mapInArrow(_parts(width, num, den, frequent), "part long, class long")
     ties = keys.repartition("part").sortWithinPartitions("part", "class").mapInArrow(_ties, "class long, leader long").distinct()
     parts = connected_components(ties, "class", "leader", "ngram-candidates")
+    del keys, ties
+    release(d.sparkSession)  # the shuffled parts, before the sets are dealt out
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num)))
     cand = written(classes.join(parts.withColumnRenamed("node", "d1"), "d1").withColumn("band", band.cast("int")).select("least", "least_key", "d1", "d2", "copies", "component", "band"), "ngram-candidates")
