@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts go to Python workers in batches of about so many bytes, however long single ones are.
+ARROW_BYTES = 1 << 24
 #: A table of keys is broadcast up to so many rows (some 30 MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -38,6 +40,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string, never null); whatever else the table holds is pruned from the scan."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

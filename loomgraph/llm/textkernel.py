@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
 #: A batch is cut into runs of whole texts of about this many bytes.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=2)
