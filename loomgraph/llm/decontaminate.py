@@ -4,13 +4,13 @@ Texts and benchmark items become sequences of lower-case words in which numbers,
 type mark. A window is WINDOW such words, slots reduced to their types, so that a question whose numbers
 or names were exchanged has the windows of the original. Windows of texts meet those of items in a hash
 join on their 64-bit hashes. What the slots held is then compared along each alignment: an item's value
-must stand for one value of the text everywhere, or its windows do not count.
+must stand for one value of the text everywhere, or its windows do not count. Beside them windows of the
+words as they are meet in the same join, since what is a name hangs on case and white space: a window of
+an item counts if it is found either way, so copies in other case or wrapped otherwise are found.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ LITERALS = 4
 #: A text holds an item if it has this share of the item's windows.
 SHARE = 0.5
 
+#: Between the two halves of toks; no word.
+BORDER = "\x01"
 # Marks: no other token of a marked text begins with a digit.
 NUMBER, NAME, UNIT = "0", "1", "2"
 UNITS = (
@@ -43,71 +45,83 @@ def marked(text: Column) -> Column:
 
 
 def _sequences(d: DataFrame, *keep: str) -> DataFrame:
-    """words: marked words; types: the same with slots reduced to their marks."""
+    """words: marked words; toks: the same with slots reduced to their marks, BORDER, and the literal words
+    (marked as numbers only, so that none is a bare mark)."""
     m = d.withColumn("m", marked(F.col("text")))
     slotless = F.regexp_replace("m", r"(^| )([012])[^ ]+", "$1$2")
-    return m.select(*keep, F.split("m", " ").alias("words"), F.split(slotless, " ").alias("types"))
+    literal = F.regexp_replace("m", r"(^| )[12]", "$1")
+    return m.select(*keep, F.split("m", " ").alias("words"), F.split(F.concat(slotless, F.lit(f" {BORDER} "), literal), " ").alias("toks"))
 
 
-def _windows(d: DataFrame, width: int) -> DataFrame:
-    """A row for each window: pos (from 1) and h. The hash stays in compiled code: no lambda per word."""
-    n = F.size("types") - (width - 1)
-    at = d.withColumn("pos", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))))
-    return at.withColumn("h", F.xxhash64(F.lit(width), *(F.get("types", F.col("pos") + (k - 1)) for k in range(width))))
+def _hashed(widths: list[int]) -> Column:
+    """Of the window of width tokens at at. The hash stays in compiled code: no lambda per word."""
+    tok = lambda k: F.get("toks", F.col("at") + (k - 1))
+    return F.xxhash64("width", "literal", *(tok(k) if k < min(widths) else F.when(F.col("width") > k, tok(k)) for k in range(max(widths))))
 
 
-def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """h, width, item_id, ipos, item_windows, i_types, i_words: what a text can meet."""
-    d = id_text(items, item_col, text_col).where("doc_id is not null").distinct()
-    seq = written(_sequences(d.withColumnRenamed("doc_id", "item_id"), "item_id"), "benchmark-sequences")
-    short = seq.where((F.size("types") < WINDOW) & (F.size("types") >= LITERALS)).select(F.size("types").alias("n")).distinct()
-    widths = [WINDOW, *sorted(r[0] for r in short.collect())]  # at most WINDOW - LITERALS more
+def _windows(d: DataFrame, widths: list[int]) -> DataFrame:
+    """A row for each window of each width, typed and literal: at (from 1, in toks), pos (from 1, in words), width, literal and h.
+    Windows across BORDER or the end meet nothing."""
+    d = d.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("toks")))).withColumn("width", F.explode(F.array(*map(F.lit, widths))) if len(widths) > 1 else F.lit(widths[0]))
+    d = d.withColumn("literal", F.col("at") > F.size("words"))
+    return d.withColumn("pos", F.when(F.col("literal"), F.col("at") - F.size("words") - 1).otherwise(F.col("at"))).withColumn("h", _hashed(widths))
 
-    def of(width: int) -> DataFrame:
-        some = seq if width == WINDOW else seq.where(F.size("types") == width)
-        w = _windows(some, width)
-        w = w.select("h", F.lit(width).alias("width"), "item_id", F.col("pos").alias("ipos"), F.slice("types", F.col("pos"), width).alias("i_types"), F.slice("words", F.col("pos"), width).alias("i_words"))
-        return w.where(F.size(F.filter("i_types", lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS)
 
-    w = reduce(DataFrame.union, map(of, widths)).distinct()
-    return written(w.join(w.groupBy("item_id").agg(F.count_distinct("ipos").alias("item_windows")), "item_id"), "benchmark-windows")
+def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
+    """h, width, literal, item_id, ipos, item_windows, i_toks, i_words (of typed windows): what a text can meet; and the widths."""
+    d = id_text(items, item_col, text_col).where("doc_id is not null").distinct()
+    seq = written(_sequences(d.withColumnRenamed("doc_id", "item_id"), "item_id"), "benchmark-sequences")
+    n = F.size("words")
+    seq = seq.where(n >= LITERALS).withColumn("width", F.least(n, F.lit(WINDOW)))
+    widths = sorted(r[0] for r in seq.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1
+    if not widths:
+        widths = [WINDOW]
+    at = seq.withColumn("ipos", F.explode(F.sequence(F.lit(1), n - F.col("width") + 1)))
+    at = at.where(F.size(F.filter(F.slice("toks", F.col("ipos"), F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS)
+    at = at.withColumn("literal", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.when(F.col("literal"), F.col("ipos") + n + 1).otherwise(F.col("ipos")))
+    i_words = F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(F.slice("words", F.col("ipos"), F.col("width")))
+    w = at.select(_hashed(widths).alias("h"), "width", "literal", "item_id", "ipos", F.slice("toks", F.col("at"), F.col("width")).alias("i_toks"), i_words.alias("i_words")).distinct()
+    return written(w.join(w.groupBy("item_id").agg(F.count_distinct("ipos").alias("item_windows")), "item_id"), "benchmark-windows"), widths
 
 
 def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, share: float) -> DataFrame:
-    windows = benchmark_windows(items, item_col)
+    windows, widths = benchmark_windows(items, item_col)
     few = windows.count() <= BROADCAST_ROWS
-    widths = sorted(r[0] for r in windows.select("width").distinct().collect())
     d = id_text(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    seq = _sequences(d, "doc_id", "key")
-    hits = []
-    for width in widths:
-        mine = windows.where(F.col("width") == width)
-        met = _windows(seq, width).join(F.broadcast(mine) if few else mine, "h")
-        # only slices of the few rows that met leave the compiled stage; lambdas wait until after the aggregation
-        d_words, same = F.slice("words", F.col("pos"), F.lit(width)), F.slice("types", F.col("pos"), F.lit(width)) == F.col("i_types")
-        hits.append(met.select("doc_id", "key", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", "i_words", d_words.alias("d_words"), same.alias("same")).alias("w")))
-    if not hits:
-        return docs.sparkSession.createDataFrame([], "doc_id long, key long, item_id long, item_windows long, matched long, share double, exact boolean")
-    # of one alignment there are at most as many windows as the item has
-    met = reduce(DataFrame.union, hits).groupBy("doc_id", "key", "item_id", "item_windows", "shift").agg(F.collect_set("w").alias("w"))
+    met = _windows(_sequences(d, "doc_id", "key"), widths).join(F.broadcast(windows.drop("width", "literal")) if few else windows.drop("width", "literal"), "h")
+    # only slices of the few rows that met leave the compiled stage; lambdas wait until after the aggregation
+    d_words, same = F.slice("words", F.col("pos"), F.size("i_words")), F.slice("toks", F.col("at"), F.col("width")) == F.col("i_toks")
+    met = met.select("doc_id", "key", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", "i_words", d_words.alias("d_words"), same.alias("same"), "literal").alias("w"))
+    # of one alignment there are at most twice as many windows as the item has
+    met = met.groupBy("doc_id", "key", "item_id", "item_windows", "shift").agg(F.collect_set("w").alias("w"))
     # slots: the words that begin with a mark, as pairs of the item's and the text's
     slots = lambda x: F.filter(F.arrays_zip(x["i_words"].alias("i"), x["d_words"].alias("d")), lambda p: p["i"] < ":")
-    met = met.withColumn("w", F.transform(F.filter("w", lambda x: x["same"]), lambda x: F.struct(x["ipos"].alias("ipos"), slots(x).alias("slots"))))
+    met = met.withColumn("w", F.transform(F.filter("w", lambda x: x["same"]), lambda x: F.struct(x["ipos"].alias("ipos"), slots(x).alias("slots"), x["literal"].alias("literal"))))
     met = met.withColumn("pairs", F.array_distinct(F.flatten(F.transform("w", lambda x: x["slots"]))))
     # values of the item that stand for more than one value of the text
     torn = F.array_distinct(F.transform(F.filter("pairs", lambda p: F.size(F.filter("pairs", lambda q: q["i"] == p["i"])) > 1), lambda p: p["i"]))
     met = met.withColumn("torn", F.when(F.size("pairs") > 1, torn).otherwise(F.array().cast("array<string>")))
     good = F.filter("w", lambda x: ~F.exists(x["slots"], lambda p: F.array_contains(F.col("torn"), p["i"])))
-    met = met.select("doc_id", "key", "item_id", "item_windows", F.transform(good, lambda x: x["ipos"]).alias("at"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
-    per = met.groupBy("doc_id", "key", "item_id", "item_windows").agg(F.collect_set("at").alias("at"), F.max(F.struct(F.size("at").alias("n"), "exact"))["exact"].alias("exact"))
-    per = per.withColumn("matched", F.size(F.array_distinct(F.flatten("at"))).cast("long")).withColumn("share", F.col("matched") / F.col("item_windows"))
-    return per.where(F.col("share") >= share).select("doc_id", "key", "item_id", "item_windows", "matched", "share", "exact")
+    typed = F.transform(F.filter(good, lambda x: ~x["literal"]), lambda x: x["ipos"])
+    either = F.array_distinct(F.transform(good, lambda x: x["ipos"]))
+    met = met.select("doc_id", "key", "item_id", "item_windows", typed.alias("typed"), either.alias("either"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
+
+    def found(at: str) -> Column:
+        matched = F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long")
+        return F.struct(matched.alias("matched"), (matched / F.col("item_windows")).alias("share"), F.max(F.struct(F.size(at).alias("n"), "exact"))["exact"].alias("exact"))
+
+    per = met.groupBy("doc_id", "key", "item_id", "item_windows").agg(found("typed").alias("typed"), found("either").alias("either"))
+    # literal windows speak where template windows alone do not suffice
+    o = F.when(F.col("typed.share") >= share, F.col("typed")).otherwise(F.col("either"))
+    per = per.select("doc_id", "key", "item_id", "item_windows", o.alias("o")).select("doc_id", "key", "item_id", "item_windows", "o.*")
+    return per.where(F.col("share") >= share)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, whole or re-parameterised.
 
-    Returns doc_id, item_id, item_windows, matched (windows of the item found, slots consistent), share,
+    Returns doc_id, item_id, item_windows, matched (windows of the item found, slots consistent; where
+    these are too few, those whose words are equal count, too), share,
     exact (the best alignment has the item's own numbers, names and units). A pair comes once, however
     often the row does; rows that share a doc_id but not the text come as their best pair. Clean documents have no row.
     Null and empty texts hold nothing; rows without doc_id are searched and come with a null one; items

@@ -71,3 +71,11 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = D.find_leaks(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_copies_in_other_case_and_wrapping(spark):
+    short = "Alice has four red apples in Rome"
+    texts = [(1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace(" Alice", "\nAlice")), (4, "so he said " + short + " and left"), (5, short.lower()), (6, short.replace("red", "green")), (7, ITEM.lower()[:50])]
+    got = leaks(spark, texts, [(10, ITEM), (11, short)])
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 11), (5, 11)}
+    assert all(r["exact"] and r["share"] == 1.0 for r in got.values())
