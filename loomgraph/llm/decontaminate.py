@@ -6,7 +6,8 @@ or names were exchanged has the windows of the original. Windows of texts meet t
 join on their 64-bit hashes. What the slots held is then compared along each alignment: an item's value
 must stand for one value of the text everywhere, or its windows do not count. Beside them windows of the
 words as they are meet in the same join, since what is a name hangs on case and white space: a window of
-an item counts if it is found either way, so copies in other case or wrapped otherwise are found.
+an item counts if it is found either way, so copies in other case or wrapped otherwise are found. Items
+without template windows are searched by all their literal words: those are matched exactly only.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, id_text, without, written
 
 WINDOW = 8
-#: A window needs so many words that are no slots; items shorter than a window are searched whole from here on.
+#: A template window needs so many words that are no slots; items shorter than a window have their whole as one.
 LITERALS = 4
 #: A text holds an item if it has this share of the item's windows.
 SHARE = 0.5
@@ -68,20 +69,22 @@ def _windows(d: DataFrame, widths: list[int]) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """h, width, literal, item_id, ipos, item_windows, i_toks, i_words (of typed windows): what a text can meet; and the widths."""
+    """h, width, literal, item_id, part (not 0: a text without template windows), ipos, item_windows, i_toks, i_words (of typed windows):
+    what a text can meet; and the widths."""
     d = id_text(items, item_col, text_col).where("doc_id is not null").distinct()
     seq = written(_sequences(d.withColumnRenamed("doc_id", "item_id"), "item_id"), "benchmark-sequences")
     n = F.size("words")
-    seq = seq.where(n >= LITERALS).withColumn("width", F.least(n, F.lit(WINDOW)))
-    widths = sorted(r[0] for r in seq.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1
-    if not widths:
-        widths = [WINDOW]
-    at = seq.withColumn("ipos", F.explode(F.sequence(F.lit(1), n - F.col("width") + 1)))
-    at = at.where(F.size(F.filter(F.slice("toks", F.col("ipos"), F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS)
-    at = at.withColumn("literal", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("at", F.when(F.col("literal"), F.col("ipos") + n + 1).otherwise(F.col("ipos")))
+    seq = seq.where(F.get("words", F.lit(0)) != "").withColumn("width", F.least(n, F.lit(WINDOW)))
+    widths = sorted(r[0] for r in seq.select("width").distinct().collect()) or [WINDOW]  # at most WINDOW
+    starts = F.sequence(F.lit(1), n - F.col("width") + 1)
+    typed = F.filter(starts, lambda p: F.size(F.filter(F.slice("toks", p, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS)
+    at = seq.withColumn("typed", typed).withColumn("part", F.when(F.size("typed") == 0, F.xxhash64("toks")).otherwise(F.lit(0)))
+    whole = F.col("part") != 0
+    at = at.withColumn("ipos", F.explode(F.when(whole, starts).otherwise(F.col("typed"))))
+    at = at.withColumn("literal", F.explode(F.when(whole, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("at", F.when(F.col("literal"), F.col("ipos") + n + 1).otherwise(F.col("ipos")))
     i_words = F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(F.slice("words", F.col("ipos"), F.col("width")))
-    w = at.select(_hashed(widths).alias("h"), "width", "literal", "item_id", "ipos", F.slice("toks", F.col("at"), F.col("width")).alias("i_toks"), i_words.alias("i_words")).distinct()
-    return written(w.join(w.groupBy("item_id").agg(F.count_distinct("ipos").alias("item_windows")), "item_id"), "benchmark-windows"), widths
+    w = at.select(_hashed(widths).alias("h"), "width", "literal", "item_id", "part", "ipos", F.slice("toks", F.col("at"), F.col("width")).alias("i_toks"), i_words.alias("i_words")).distinct()
+    return written(w.join(w.groupBy("item_id", "part").agg(F.count_distinct("ipos").alias("item_windows")), ["item_id", "part"]), "benchmark-windows"), widths
 
 
 def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, share: float) -> DataFrame:
@@ -91,9 +94,9 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     met = _windows(_sequences(d, "doc_id", "key"), widths).join(F.broadcast(windows.drop("width", "literal")) if few else windows.drop("width", "literal"), "h")
     # only slices of the few rows that met leave the compiled stage; lambdas wait until after the aggregation
     d_words, same = F.slice("words", F.col("pos"), F.size("i_words")), F.slice("toks", F.col("at"), F.col("width")) == F.col("i_toks")
-    met = met.select("doc_id", "key", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", "i_words", d_words.alias("d_words"), same.alias("same"), "literal").alias("w"))
+    met = met.select("doc_id", "key", "item_id", "part", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", "i_words", d_words.alias("d_words"), same.alias("same"), "literal").alias("w"))
     # of one alignment there are at most twice as many windows as the item has
-    met = met.groupBy("doc_id", "key", "item_id", "item_windows", "shift").agg(F.collect_set("w").alias("w"))
+    met = met.groupBy("doc_id", "key", "item_id", "part", "item_windows", "shift").agg(F.collect_set("w").alias("w"))
     # slots: the words that begin with a mark, as pairs of the item's and the text's
     slots = lambda x: F.filter(F.arrays_zip(x["i_words"].alias("i"), x["d_words"].alias("d")), lambda p: p["i"] < ":")
     met = met.withColumn("w", F.transform(F.filter("w", lambda x: x["same"]), lambda x: F.struct(x["ipos"].alias("ipos"), slots(x).alias("slots"), x["literal"].alias("literal"))))
@@ -104,17 +107,17 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     good = F.filter("w", lambda x: ~F.exists(x["slots"], lambda p: F.array_contains(F.col("torn"), p["i"])))
     typed = F.transform(F.filter(good, lambda x: ~x["literal"]), lambda x: x["ipos"])
     either = F.array_distinct(F.transform(good, lambda x: x["ipos"]))
-    met = met.select("doc_id", "key", "item_id", "item_windows", typed.alias("typed"), either.alias("either"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
+    met = met.select("doc_id", "key", "item_id", "part", "item_windows", typed.alias("typed"), either.alias("either"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
 
     def found(at: str) -> Column:
         matched = F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long")
         return F.struct(matched.alias("matched"), (matched / F.col("item_windows")).alias("share"), F.max(F.struct(F.size(at).alias("n"), "exact"))["exact"].alias("exact"))
 
-    per = met.groupBy("doc_id", "key", "item_id", "item_windows").agg(found("typed").alias("typed"), found("either").alias("either"))
+    per = met.groupBy("doc_id", "key", "item_id", "part", "item_windows").agg(found("typed").alias("typed"), found("either").alias("either"), F.max(F.size("either")).alias("most"))
     # literal windows speak where template windows alone do not suffice
     o = F.when(F.col("typed.share") >= share, F.col("typed")).otherwise(F.col("either"))
-    per = per.select("doc_id", "key", "item_id", "item_windows", o.alias("o")).select("doc_id", "key", "item_id", "item_windows", "o.*")
-    return per.where(F.col("share") >= share)
+    enough = F.when(F.col("part") != 0, F.col("most") == F.col("item_windows")).otherwise(o["share"] >= share)
+    return per.where(enough).select("doc_id", "key", "item_id", "item_windows", o.alias("o")).select("doc_id", "key", "item_id", "item_windows", "o.*")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -125,7 +128,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col:
     exact (the best alignment has the item's own numbers, names and units). A pair comes once, however
     often the row does; rows that share a doc_id but not the text come as their best pair. Clean documents have no row.
     Null and empty texts hold nothing; rows without doc_id are searched and come with a null one; items
-    without id, with under LITERALS words or with slots alone are not searched for. Extra columns are
+    without id or words are not searched for; those without template windows (under LITERALS words that are
+    no slots in each) are found where a text has all their words, numbers included, in a row, and not
+    re-parameterised: an item of one word is found wherever that word is. Extra columns are
     left out; empty tables give no rows. Items are broadcast only up to BROADCAST_ROWS windows, beyond
     that the join shuffles.
     """

@@ -79,3 +79,11 @@ def test_copies_in_other_case_and_wrapping(spark):
     got = leaks(spark, texts, [(10, ITEM), (11, short)])
     assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 11), (5, 11)}
     assert all(r["exact"] and r["share"] == 1.0 for r in got.values())
+
+
+def test_items_without_template_windows_are_matched_exactly(spark):
+    sums = " ".join(f"{k} plus {k + 1}" for k in range(10, 20))
+    texts = [(1, "Q: what is 37 +\n58? A: 95"), (2, "What is 37 + 59?"), (3, "he said Too Few, then left"), (4, "too many or few"), (5, "x " + sums + " y"), (6, sums.replace("19", "91")), (7, sums[:60] + " and " + sums[40:])]
+    got = leaks(spark, texts, [(10, "What is 37 + 58?"), (11, "Too few"), (12, sums), (13, "?!"), (14, "")])
+    assert set(got) == {(1, 10), (3, 11), (5, 12)}
+    assert all(r["exact"] and r["matched"] == r["item_windows"] for r in got.values())
