@@ -12,7 +12,7 @@ without template windows are searched by all their literal words: those are matc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, id_text, without, written
@@ -22,6 +22,8 @@ WINDOW = 8
 LITERALS = 4
 #: A text holds an item if it has this share of the item's windows.
 SHARE = 0.5
+#: ... or so many of them in a row along one alignment (RUN + WINDOW - 1 words), however long the item is.
+RUN = 25
 
 #: Between the two halves of toks; no word.
 BORDER = "\x01"
@@ -69,8 +71,8 @@ def _windows(d: DataFrame, widths: list[int]) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """h, width, literal, item_id, part (not 0: a text without template windows), ipos, item_windows, i_toks, i_words (of typed windows):
-    what a text can meet; and the widths."""
+    """h, width, literal, item_id, part (not 0: a text without template windows), ipos, rank (of ipos), item_windows, i_toks,
+    i_words (of typed windows): what a text can meet; and the widths."""
     d = id_text(items, item_col, text_col).where("doc_id is not null").distinct()
     seq = written(_sequences(d.withColumnRenamed("doc_id", "item_id"), "item_id"), "benchmark-sequences")
     n = F.size("words")
@@ -84,6 +86,7 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
     at = at.withColumn("literal", F.explode(F.when(whole, F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("at", F.when(F.col("literal"), F.col("ipos") + n + 1).otherwise(F.col("ipos")))
     i_words = F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(F.slice("words", F.col("ipos"), F.col("width")))
     w = at.select(_hashed(widths).alias("h"), "width", "literal", "item_id", "part", "ipos", F.slice("toks", F.col("at"), F.col("width")).alias("i_toks"), i_words.alias("i_words")).distinct()
+    w = w.withColumn("rank", F.dense_rank().over(Window.partitionBy("item_id", "part").orderBy("ipos")).cast("long"))
     return written(w.join(w.groupBy("item_id", "part").agg(F.count_distinct("ipos").alias("item_windows")), ["item_id", "part"]), "benchmark-windows"), widths
 
 
@@ -94,29 +97,32 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     met = _windows(_sequences(d, "doc_id", "key"), widths).join(F.broadcast(windows.drop("width", "literal")) if few else windows.drop("width", "literal"), "h")
     # only slices of the few rows that met leave the compiled stage; lambdas wait until after the aggregation
     d_words, same = F.slice("words", F.col("pos"), F.size("i_words")), F.slice("toks", F.col("at"), F.col("width")) == F.col("i_toks")
-    met = met.select("doc_id", "key", "item_id", "part", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("ipos", "i_words", d_words.alias("d_words"), same.alias("same"), "literal").alias("w"))
+    met = met.select("doc_id", "key", "item_id", "part", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift"), F.struct("rank", "i_words", d_words.alias("d_words"), same.alias("same"), "literal").alias("w"))
     # of one alignment there are at most twice as many windows as the item has
     met = met.groupBy("doc_id", "key", "item_id", "part", "item_windows", "shift").agg(F.collect_set("w").alias("w"))
     # slots: the words that begin with a mark, as pairs of the item's and the text's
     slots = lambda x: F.filter(F.arrays_zip(x["i_words"].alias("i"), x["d_words"].alias("d")), lambda p: p["i"] < ":")
-    met = met.withColumn("w", F.transform(F.filter("w", lambda x: x["same"]), lambda x: F.struct(x["ipos"].alias("ipos"), slots(x).alias("slots"), x["literal"].alias("literal"))))
+    met = met.withColumn("w", F.transform(F.filter("w", lambda x: x["same"]), lambda x: F.struct(x["rank"].alias("rank"), slots(x).alias("slots"), x["literal"].alias("literal"))))
     met = met.withColumn("pairs", F.array_distinct(F.flatten(F.transform("w", lambda x: x["slots"]))))
     # values of the item that stand for more than one value of the text
     torn = F.array_distinct(F.transform(F.filter("pairs", lambda p: F.size(F.filter("pairs", lambda q: q["i"] == p["i"])) > 1), lambda p: p["i"]))
     met = met.withColumn("torn", F.when(F.size("pairs") > 1, torn).otherwise(F.array().cast("array<string>")))
     good = F.filter("w", lambda x: ~F.exists(x["slots"], lambda p: F.array_contains(F.col("torn"), p["i"])))
-    typed = F.transform(F.filter(good, lambda x: ~x["literal"]), lambda x: x["ipos"])
-    either = F.array_distinct(F.transform(good, lambda x: x["ipos"]))
+    typed = F.transform(F.filter(good, lambda x: ~x["literal"]), lambda x: x["rank"])
+    either = F.array_sort(F.array_distinct(F.transform(good, lambda x: x["rank"])))
     met = met.select("doc_id", "key", "item_id", "part", "item_windows", typed.alias("typed"), either.alias("either"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
 
+    starts = F.sequence(F.lit(1), F.size("either") - (RUN - 1))
+    met = met.withColumn("run", F.when(F.size("either") >= RUN, F.exists(starts, lambda k: F.get("either", k + (RUN - 2)) - F.get("either", k - 1) == RUN - 1)).otherwise(False))
+
     def found(at: str) -> Column:
         matched = F.size(F.array_distinct(F.flatten(F.collect_set(at)))).cast("long")
         return F.struct(matched.alias("matched"), (matched / F.col("item_windows")).alias("share"), F.max(F.struct(F.size(at).alias("n"), "exact"))["exact"].alias("exact"))
 
-    per = met.groupBy("doc_id", "key", "item_id", "part", "item_windows").agg(found("typed").alias("typed"), found("either").alias("either"), F.max(F.size("either")).alias("most"))
+    per = met.groupBy("doc_id", "key", "item_id", "part", "item_windows").agg(found("typed").alias("typed"), found("either").alias("either"), F.max(F.size("either")).alias("most"), F.bool_or("run").alias("run"))
     # literal windows speak where template windows alone do not suffice
     o = F.when(F.col("typed.share") >= share, F.col("typed")).otherwise(F.col("either"))
-    enough = F.when(F.col("part") != 0, F.col("most") == F.col("item_windows")).otherwise(o["share"] >= share)
+    enough = F.when(F.col("part") != 0, F.col("most") == F.col("item_windows")).otherwise((o["share"] >= share) | F.col("run"))
     return per.where(enough).select("doc_id", "key", "item_id", "item_windows", o.alias("o")).select("doc_id", "key", "item_id", "item_windows", "o.*")
 
 
@@ -124,7 +130,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col:
     """Pairs of a document and a benchmark item that it holds, whole or re-parameterised.
 
     Returns doc_id, item_id, item_windows, matched (windows of the item found, slots consistent; where
-    these are too few, those whose words are equal count, too), share,
+    these are too few, those whose words are equal count, too), share (under the least one where RUN windows in a row suffice),
     exact (the best alignment has the item's own numbers, names and units). A pair comes once, however
     often the row does; rows that share a doc_id but not the text come as their best pair. Clean documents have no row.
     Null and empty texts hold nothing; rows without doc_id are searched and come with a null one; items

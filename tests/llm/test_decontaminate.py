@@ -87,3 +87,18 @@ def test_items_without_template_windows_are_matched_exactly(spark):
     got = leaks(spark, texts, [(10, "What is 37 + 58?"), (11, "Too few"), (12, sums), (13, "?!"), (14, "")])
     assert set(got) == {(1, 10), (3, 11), (5, 12)}
     assert all(r["exact"] and r["matched"] == r["item_windows"] for r in got.values())
+
+
+def test_long_passages_of_longer_items(spark):
+    r = random.Random(5)
+    words = [f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.choice('klmn')}{r.choice('aeiou')}" for _ in range(140)]
+    words[40], words[60] = "35", "35"
+    other = words[30:90]
+    other[10], other[30] = "48", "48"
+    n = D.RUN + D.WINDOW - 1
+    broken = words[70 : 70 + n]
+    broken[n // 2] = "otherwise"
+    texts = [(1, " ".join(words[30:90])), (2, "x " + " ".join(other)), (3, " ".join(words[70 : 70 + n])), (4, " ".join(words[70 : 69 + n])), (5, " ".join(broken))]
+    got = leaks(spark, texts, [(10, " ".join(words))])
+    assert {k[0] for k in got} == {1, 2, 3}
+    assert got[1, 10]["matched"] == 53 and got[1, 10]["item_windows"] == 133 and got[1, 10]["exact"] and not got[2, 10]["exact"]
