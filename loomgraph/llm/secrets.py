@@ -4,7 +4,8 @@ What every match must contain is, for all rules, one deterministic automaton tha
 texts is cut after bytes that bring every state back to the start, so that no match crosses a cut; the
 pieces then step through the transition array side by side. A piece in which some rule ends is walked
 again by that rule's own anchored automaton, which gives the spans: leftmost, longest, not overlapping
-within a kind, and dropped if the part that has a least length is shorter.
+within a kind, and dropped if the part that has a least length is shorter. Rules of several lines look for their
+beginning and are walked on across cuts, up to the end of the text.
 """
 
 from __future__ import annotations
@@ -31,14 +32,26 @@ class Rule:
     seen: str  # what every match long enough contains: short counts, as they multiply in the joint automaton
     least: int  # least bytes of the match after what prefix matches
     prefix: str | None = None
-
+    lines: bool = False  # matches may go on beyond a cut
+
+
+_MARKER = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+# line ends may be written as escapes, as in JSON
+_NL = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+_HEADER = r"[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*"
+#: What follows a key's marker: headers and base64 with white space, quotes and the like, up to the END marker; where
+#: there is none, the lines of base64 after it.
+_KEY = (
+    rf"(?:(?:(?:{_NL}|[ \t]+){_HEADER})*(?:[A-Za-z0-9+/=\s\\\"',>|])*-----END (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"
+    rf"|(?:{_NL}{_HEADER})*(?:{_NL})+[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_NL}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:{_NL}[A-Za-z0-9+/]{{1,15}}={{0,2}})?)?"
+)
 
 #: Base kinds first, in the order in which equal starts are listed.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", 8, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""),
     Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]", 16),
     Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{20}", 32),
-    Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 27),
+    Rule("private_key", _MARKER + _KEY, _MARKER, 27, lines=True),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ", 30),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]", 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]", 15),
@@ -105,8 +118,8 @@ def hits(scan: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return out
 
 
-def spans_of(raw: bytes, start: int, end: int, r: int, rules: tuple[Rule, ...]) -> Iterator[tuple[int, int]]:
-    """Spans of rule r within bytes start .. end, as byte offsets."""
+def spans_of(raw: bytes, start: int, end: int, r: int, rules: tuple[Rule, ...], last_end: int | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of rule r that begin within bytes start .. end and end by last_end (end if None), as byte offsets."""
     _, _, whole, prefix = _machines(rules)
     machine, rule = whole[r], rules[r]
     first = machine[2]
@@ -115,7 +128,7 @@ def spans_of(raw: bytes, start: int, end: int, r: int, rules: tuple[Rule, ...])
         if not first[raw[at]]:
             at += 1
             continue
-        last = _longest(machine, raw, at, end)
+        last = _longest(machine, raw, at, end if last_end is None else last_end)
         if last < 0:
             at += 1
             continue
@@ -134,17 +147,28 @@ def _found(rules: tuple[Rule, ...]):
                 starts, ends, text = pieces(r, resets)
                 bits = hits(scan, r.raw, starts, ends)
                 spans: list[list[dict]] = [[] for _ in range(n)]
+                whose, beyond, full = -1, [], (-1, b"")
                 for i in np.flatnonzero(bits):
                     t, a, b = int(text[i]), int(starts[i]), int(ends[i])
                     raw = r.raw[a:b].tobytes()
                     head = None
+                    if t != whose:
+                        whose, beyond = t, [0] * len(rules)  # where each rule's last match ends
                     for k in range(len(rules)):
                         if bits[i] >> k & 1:
-                            for x, y in spans_of(raw, 0, b - a, k, rules):
+                            if rules[k].lines:
+                                first = int(r.borders[t])
+                                if full[0] != t:
+                                    full = t, r.raw[first : r.borders[t + 1]].tobytes()
+                                found = [(x + first - a, y + first - a) for x, y in spans_of(full[1], max(a - first, beyond[k]), b - first, k, rules, len(full[1]))]
+                                beyond[k] = max([beyond[k], *(y + a - first for _, y in found)])
+                            else:
+                                found = spans_of(raw, 0, b - a, k, rules)
+                            for x, y in found:
                                 if head is None:
                                     head = _points(r.raw[r.borders[t] : a])
                                 u = head + _points(r.raw[a : a + x])
-                                spans[t].append({"kind": rules[k].kind, "start": u, "end": u + y - x, "rank": k})
+                                spans[t].append({"kind": rules[k].kind, "start": u, "end": u + (_points(r.raw[a + x : a + y]) if rules[k].lines else y - x), "rank": k})
                 for x in spans:
                     x.sort(key=lambda s: (s["start"], s["rank"]))
                 yield pa.record_batch({"doc_id": batch.column(0).slice(r.first, n), "text": batch.column(1).slice(r.first, n), "spans": pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))})
