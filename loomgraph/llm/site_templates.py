@@ -1,7 +1,7 @@
 """Main texts of web pages by site template removal.
 
 Element subtrees are hashed by tag and text and counted per host; those that recur across many of a
-host's different pages are its template and go. What HTML itself names as no article (navigation, footers,
+host's different articles are its template and go. What HTML itself names as no article (navigation, footers,
 asides, forms, scripts, elements classed as adverts, notices, comments and the like) goes as well; within
 a page the article or main element bounds the text, where there is one.
 """
@@ -19,13 +19,14 @@ from .common import BROADCAST_ROWS, written
 from .html_tree import BLOCK, HEADINGS, Page
 from .url_filter import url_parts
 
-#: A subtree is template if so many different pages of its host have it ...
+#: A subtree is template if so many different articles of its host have it ...
 LEAST_PAGES = 3
 #: ... and this share of them; blocks of running text need the larger one: sites repeat passages, too.
 SHARE, TEXT_SHARE = 0.2, 0.5
 
 _NEVER = frozenset("head script style noscript template title textarea select option button input iframe object embed svg canvas audio video map nav aside footer form menu dialog".split())
 _TEXT = HEADINGS | frozenset("p pre blockquote li dt dd td th figcaption".split())
+_RUNNING = _TEXT - {"li", "td", "th"}
 _CONTAINER = BLOCK - _TEXT - frozenset("html body article main hr tr tbody thead tfoot dl figure".split())
 #: Words of class, id or role that name what is no article.
 _FOREIGN = frozenset(
@@ -68,7 +69,7 @@ def _below_never(page: Page, i: int) -> bool:
 class Outline:
     """A page's article, and which of its elements HTML itself rules out."""
 
-    __slots__ = ("page", "inside", "named", "dropped")
+    __slots__ = ("page", "inside", "named", "dropped", "identity")
 
     def __init__(self, page: Page):
         self.page = page
@@ -92,25 +93,42 @@ class Outline:
             self.dropped[i] = tag in _NEVER or (not holds[i] and bool(page.names[i] & _FOREIGN)) or (head and not holds[i] and not (self.inside[i] and self.named and heading[i]))
 
     def subtrees(self) -> Iterator[tuple[int, int, bool]]:
-        """(element, hash, whether it is running text) of what may be template."""
+        """(element, hash, whether it is running text) of what may be template.
+
+        At the end identity is what tells the article from others: its running text if a named article has a
+        heading or most of the text is running, else all of its text. Neither adverts and menus beside the
+        running text nor <time> make another article.
+        """
         page, skip = self.page, -1
         parts: list[list[str]] = []
         texts: list[bool] = []  # per open element: does it hold running text
+        opened: list[tuple[bool, bool]] = []  # is it in the article, and in running text
+        running: list[str] = []
+        whole: list[str] = []
+        heading = False
         for e in page.events:
             if isinstance(e, str):
                 if skip < 0 and parts and (x := " ".join(e.split())):
                     parts[-1].append(x)
+                    if opened[-1][0]:
+                        whole.append(x)
+                        if opened[-1][1]:
+                            running.append(x)
             elif e >= 0:
                 if skip < 0 and self.dropped[e]:
                     skip = e
                 elif skip < 0:
-                    parts.append([page.tags[e]])
+                    tag = page.tags[e]
+                    parts.append([tag])
                     texts.append(False)
+                    opened.append((self.inside[e], tag != "time" and ((tag in _RUNNING and self.inside[e]) or (bool(opened) and opened[-1][1]))))
+                    heading |= self.inside[e] and tag in HEADINGS
             elif skip >= 0:
                 if ~e == skip:
                     skip = -1
             else:
                 i, mine, held = ~e, parts.pop(), texts.pop()
+                opened.pop()
                 tag = page.tags[i]
                 if len(mine) > 1:
                     h = xxhash.xxh64_intdigest("\x00".join(mine).encode("utf-8", "surrogatepass")) >> 1
@@ -122,7 +140,10 @@ class Outline:
                         elif not self.named and tag in _TEXT:
                             yield i, h, True
                 if texts:
-                    texts[-1] |= held or (tag in _TEXT and tag not in ("li", "td", "th"))
+                    texts[-1] |= held or tag in _RUNNING
+        words = " ".join(running)
+        everything = " ".join(whole)
+        self.identity = words if words and ((self.named and heading) or 2 * len(words) >= len(everything)) else everything
 
     def text(self, template: frozenset[int] | None = None) -> str:
         gone = self.dropped
@@ -169,15 +190,16 @@ _COUNTED = pa.schema([("host", pa.string()), ("h", pa.int64()), ("running", pa.b
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page its own digest (h 0) and those of its subtrees."""
+    """Per page its article's digest (h 0) and those of its subtrees."""
     for batch in batches:
         hosts, hashes, running, pages = [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
             source = source.as_py()
             if not source:
                 continue
-            own = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) >> 1
-            found = {(h, r) for _, h, r in Outline(Page(source)).subtrees()}
+            outline = Outline(Page(source))
+            found = {(h, r) for _, h, r in outline.subtrees()}
+            own = xxhash.xxh64_intdigest(outline.identity.encode("utf-8", "surrogatepass")) >> 1
             found.add((0, False))
             for h, r in found:
                 hosts.append(host)
@@ -188,10 +210,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, h): the subtrees that recur across a host's different pages.
+    """(host, h): the subtrees that recur across a host's different articles.
 
-    A host has at most as many as an average page has subtrees, divided by SHARE. Equal pages count once;
-    pages without url are those of the empty host.
+    Pages with the same article count once, whatever stands around or between its running text; of an
+    article that is mostly bare text, lists or tables all text must be equal. Pages without url are those of the empty host.
     """
     seen = pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col)).mapInArrow(_hashes, "host string, h long, running boolean, page long")
     counts = written(seen.groupBy("host", "h", "running").agg(F.count_distinct("page").alias("n")), "subtree-counts")

@@ -85,3 +85,19 @@ def test_events_nest():
                 else:
                     assert open_.pop() == ~e
         assert not open_
+
+
+def test_near_copies_of_an_article_are_one(spark):
+    part = "<ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><div>bare</div>"
+    near = lambda k: f"<html><body><div>menu {k}</div><article><h1>Same</h1><time>May {k}</time><p>shared text</p>{part}<div>Advert {k}</div></article></body></html>"
+    other = lambda k: f"<html><body><article><h1>T{k}</h1><p>own {k}</p><div>boilerplate</div></article></body></html>"
+    rows = [(k, "http://a.example/", near(k) if k < 3 else other(k)) for k in range(10)]
+    # without an article element: three near copies on a host of four pages
+    plain = lambda k: f"<body><ul><li>menu {k}</li></ul><h1>Head</h1><p>a first paragraph that they share</p><p>a second one, shared as well</p><div>Ad {k}</div></body>"
+    rows += [(20 + k, "http://b.example/", plain(k)) for k in range(3)] + [(23, "http://b.example/", "<body><p>another page</p></body>")]
+    got = pages(spark, rows)
+    for k in range(3):
+        assert got[k] == f"Same\nMay {k}\nshared text\none\ntwo\ncell\nbare\nAdvert {k}"
+        assert got[20 + k] == f"menu {k}\nHead\na first paragraph that they share\na second one, shared as well\nAd {k}"
+    # what different articles have in common goes as before
+    assert all(got[k] == f"T{k}\nown {k}" for k in range(3, 10)) and got[23] == "another page"
