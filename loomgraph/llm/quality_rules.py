@@ -21,7 +21,7 @@ from .textkernel import SAME, runs, windows
 
 SYMBOLS = b"#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-COUNTS = [*BASE, "n_upper", "n_letters", "n_digits", "n_marks", "n_lines", "n_line_words_max", "n_adjacent", "n_distinct_words"]
+COUNTS = [*BASE, "n_upper", "n_letters", "n_digits", "n_marks", "n_lines", "n_adjacent", "n_distinct_words"]
 STATS = ", ".join(f"{x} long" for x in COUNTS)
 #: What rules look at: ratios that do not grow with the text, all defined for empty texts.
 FEATURES = {

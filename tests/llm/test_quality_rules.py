@@ -53,3 +53,10 @@ def test_learnt_list_is_one_expression_and_separates(spark):
     assert Q.fit_rules(docs, labels.where("quality = 1")) == []
     assert all(x["kept"] == (not x["base_failed"]) for x in Q.apply_rules(docs, []).collect())
     assert Q.apply_rules(docs.limit(0), rules).count() == 0
+
+
+def test_every_count_is_computed():
+    line = "One two two # 3, four five six seven eight nine!\n"
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array([line * 3])})
+    row = next(Q._stats(iter([batch]))).to_pylist()[0]
+    assert set(row) == {"doc_id", *Q.COUNTS} and all(row[k] > 0 for k in Q.COUNTS)
