@@ -60,7 +60,11 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
         rank = np.full(len(key) + 2, none, np.int64)  # shifted by one, so that every place has neighbours
         rank[1 + at] = rank_of[inverse]
         mine = rank[1:-1]
-        chosen = np.flatnonzero((mine < none) & (mine < rank[:-2]) & (mine <= rank[2:]))
+        # of a run of equal ranks (equal ids) every second place, from its second on if a better pair stands before it
+        place = np.arange(len(mine))
+        first = np.maximum.accumulate(np.where(mine != rank[:-2], place, 0))
+        later = place - first - (rank[first] < mine)
+        chosen = np.flatnonzero((mine < none) & (later >= 0) & (later % 2 == 0) & (mine <= rank[2:]))
         if not len(chosen):
             break
         used, symbol = np.unique(mine[chosen], return_inverse=True)

@@ -43,3 +43,13 @@ def test_random_access_and_empty_table(spark):
     first = spark.read.parquet(out).select("part", "seq").orderBy("part", "seq").first()
     assert (repair.read_id_range(spark, out, first["part"], first["seq"], 5, 60) == docs[0][5:60]).all()
     assert repair.repair_token_files(df.limit(0), PATH, 2, 50257).count() == 0
+
+
+def test_long_runs_are_halved_each_round():
+    r = np.random.default_rng(2)
+    mixed = np.concatenate([x for k in range(40) for x in (r.integers(10, 60, 30), np.full(int(r.integers(2, 90)), k % 3))])
+    for ids, most in ((np.zeros(1 << 12, np.uint32), 16), (np.concatenate([np.zeros(4001), np.arange(1, 60)]), 80), (mixed, len(mixed))):
+        ids = ids.astype(np.uint32)
+        symbols, rules, lengths = repair.compress(ids, 100, 60)
+        g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes())
+        assert (g.ids() == ids).all() and len(symbols) <= most
