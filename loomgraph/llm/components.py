@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m of their a. By the inverted a, since both would keep the aggregate's partitions by a, of which Spark can split none where one node has very many edges."""
+    return edges.withColumn("k", F.bitwise_not("a")).join(least.select((F.bitwise_not("a")).alias("k"), "m"), "k")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str = "components") -> DataFrame:
     """(node long, component long): the smallest node reachable over edges, for each node of an edge.
 
@@ -22,11 +27,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", tag: str
         # large star: neighbours greater than a node move to the node's smallest neighbour
         both = e.union(e.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _joined(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, tag)
         # small star: a node and its smaller neighbours move to the smallest of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = _joined(large, least).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         e = written(small, tag)
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:

@@ -56,7 +56,8 @@ def test_against_brute_force(spark):
 def test_blocks_of_a_large_candidate_group(spark, monkeypatch):
     from loomgraph.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    for name, value in (("BLOCK", 900), ("LEAST", 1), ("SKETCHES", 6), ("ROWS", 10)):
+        monkeypatch.setattr(ngram_join, name, value)
     r = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
