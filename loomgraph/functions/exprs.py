@@ -83,6 +83,44 @@ def _constant(x: Any) -> tuple[Column, T.DataType]:
     raise TypeError(f"no column for a {type(x).__name__}")
 
 
+class Parsed:
+    """What a variant (parsed JSON) holds, told by its kind: each form is null where it is of another kind."""
+
+    def __init__(self, c: Column):
+        self.kind = F.schema_of_variant(c)
+        as_type = lambda t: F.try_variant_get(c, "$", t)
+        self.null = c.isNull() | (self.kind == "VOID")
+        self.number = F.when(self.kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), as_type("double"))
+        self.boolean = F.when(self.kind == "BOOLEAN", as_type("boolean"))
+        self.text = F.when(self.kind == "STRING", as_type("string"))
+        self.items = F.when(F.startswith(self.kind, F.lit("ARRAY")), as_type("array<variant>"))
+        self.entries = F.when(F.startswith(self.kind, F.lit("OBJECT")), as_type("map<string,variant>"))
+        self.counted = F.coalesce(self.number, self.boolean.cast("int").cast("double"))
+        #: containers as JSON, in which object keys are in order
+        self.json = F.when(self.kind.rlike("^(?:ARRAY|OBJECT)"), F.to_json(c))
+        self.size = F.coalesce(F.length(self.text), F.size(self.items), F.size(self.entries))
+
+    def equals(self, v: Value) -> Column:
+        """Python's == with a value of another type: false for unlike kinds."""
+        other = F.lit(False)
+        if is_number(v.type) or is_bool(v.type):
+            other = self.counted == (v.col.cast("int") if is_bool(v.type) else v.col).cast("double")
+        elif is_text(v.type):
+            other = self.text == v.col
+        elif isinstance(v.type, (T.ArrayType, T.MapType, T.StructType)):
+            other = self.json == F.to_json(F.to_variant_object(v.col))
+        return F.coalesce(other, F.lit(False)) | (self.null & v.col.isNull())
+
+
+def is_variant(t: T.DataType) -> bool:
+    return isinstance(t, T.VariantType)
+
+
+def is_missing(v: Value) -> Column:
+    """Python's is None; the null of JSON is one, too."""
+    return F.lit(True) if v.is_null else Parsed(v.col).null if is_variant(v.type) else v.col.isNull()
+
+
 def widest(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type that holds values of both: a null type gives way, unlike numbers are double, else text."""
     if isinstance(a, T.NullType) or a == b:
@@ -160,6 +198,9 @@ def truthy(v: Value) -> Column:
         out = c != ""
     elif isinstance(t, (T.ArrayType, T.MapType)):
         out = F.size(c) > 0
+    elif is_variant(t):
+        p = Parsed(c)
+        out = F.coalesce(p.counted != 0, p.size > 0)
     else:
         out = c.isNotNull()
     return F.coalesce(out, F.lit(False))
@@ -221,9 +262,16 @@ def _text_of(c: Column, t: T.DataType, inner: bool) -> Column:
 
 
 def same(a: Value, b: Value) -> Column:
-    """Python's ==: null equals null alone, numbers and booleans compare by value, unlike kinds differ."""
+    """Python's ==: null equals null alone, numbers and booleans compare by value, unlike kinds differ.
+
+    Parsed JSON compares by what it holds; lists and objects in it by their JSON, in which 1 and 1.0 differ."""
     if a.is_null or b.is_null:
-        return F.lit(True) if a.is_null and b.is_null else (b if a.is_null else a).col.isNull()
+        return is_missing(b if a.is_null else a)
+    if is_variant(a.type) and is_variant(b.type):
+        x, y = Parsed(a.col), Parsed(b.col)
+        return (x.null & y.null) | F.coalesce(x.counted == y.counted, x.text == y.text, x.json == y.json, F.lit(False))
+    if is_variant(a.type) or is_variant(b.type):
+        return Parsed(a.col).equals(b) if is_variant(a.type) else Parsed(b.col).equals(a)
     both = lambda test: test(a.type) and test(b.type)
     counts = lambda t: is_number(t) or is_bool(t)
     if both(counts) and not both(is_bool):

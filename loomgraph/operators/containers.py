@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, bounds, is_bool, is_number, is_text, number, pystr, same, steps, text_to_double, truthy, whole, widest
+from ..functions.exprs import Parsed, Value, bounds, is_bool, is_missing, is_number, is_text, is_variant, number, pystr, same, steps, text_to_double, truthy, whole, widest
 from ..registry import node, port
 from .inputs import Inputs
 from .scalars import _end
@@ -139,8 +139,10 @@ def number_range(v: Inputs) -> Column:
 
 @node("core.container.length", [port("value")], ["length: int"], category="Container")
 def length(v: Inputs) -> Column:
-    """Code points of a text, items of a list or map; 0 of all else."""
+    """Code points of a text, items of a list or map, also in parsed JSON; 0 of all else."""
     x = v["value"]
+    if is_variant(x.type):
+        return F.coalesce(Parsed(x.col).size, F.lit(0)).cast("long")
     n = F.length(x.col) if is_text(x.type) else F.size(x.col) if isinstance(x.type, (T.ArrayType, T.MapType)) else F.lit(len(x.type.fields)) if isinstance(x.type, T.StructType) else F.lit(0)
     n = F.when(x.col.isNotNull(), n) if not x.is_null else F.lit(0)
     return F.coalesce(n, F.lit(0)).cast("long")
@@ -148,7 +150,7 @@ def length(v: Inputs) -> Column:
 
 @node("core.container.get", [port("map"), port("key"), port("default")], ["value"], category="Container")
 def get(v: Inputs) -> Column:
-    """The entry at key, else the default; a variant (parsed JSON) is read at a key that the graph gives."""
+    """The entry at key, else the default. Of parsed JSON, and of objects of unlike kinds at a key from a column, it has the default's type, or is text."""
     m, k, d = v["map"], v["key"], v["default"]
     if isinstance(m.type, T.MapType) and not k.is_null:
         got = Value(m.col[k.col.cast(m.type.keyType)], m.type.valueType)
@@ -160,6 +162,14 @@ def get(v: Inputs) -> Column:
         want = d.type if not d.is_null else T.StringType()
         got = Value(F.try_variant_get(m.col, "$['%s']" % str(k.const).replace("'", "\\'"), want.simpleString()), want)
         has = got.col.isNotNull()
+    elif isinstance(m.type, T.VariantType) and is_text(k.type):
+        want = d.type if not d.is_null else T.StringType()
+        got = Value(F.try_variant_get(Parsed(m.col).entries[k.col], "$", want.simpleString()), want)
+        has = got.col.isNotNull()
+    elif isinstance(m.type, T.StructType) and is_text(k.type):
+        got, has = Value(F.lit(None).cast("string"), T.StringType()), F.coalesce(m.col.isNotNull() & k.col.isin(m.type.fieldNames()), F.lit(False))
+        for f in m.type.fields:
+            got = Value(F.when(k.col == f.name, pystr(Value(m.col[f.name], f.dataType))).otherwise(got.col), got.type)
     else:
         return d.col
     common = widest(got.type, d.type)
@@ -267,7 +277,7 @@ def type_of(v: Inputs) -> Column:
 
 @node("core.util.is_null", [port("value")], ["is_null: boolean"], category="Utility")
 def is_null(v: Inputs) -> Column:
-    return v["value"].col.isNull()
+    return is_missing(v["value"])
 
 
 @node("core.util.coalesce", [port("a"), port("b"), port("c")], ["value"], category="Utility")

@@ -242,16 +242,18 @@ class Graph:
 
     def selection(self, options: dict[str, Any]) -> tuple[list[str], set[str]]:
         """(the nodes of a run in order, those that must not come from the cache) for the options mode,
-        target_nodes, entry_nodes, max_steps, breakpoints and force_no_cache_nodes."""
+        target_nodes, entry_nodes, max_steps, breakpoints and force_no_cache_nodes. Unknown ids are left out; where
+        none are left, the whole graph runs."""
         mode, forced = options.get("mode", "full"), set(options.get("force_no_cache_nodes") or ())
         wanted = set(self.nodes)
         if mode == "selection":
-            wanted = self.ancestors(self._known(options.get("target_nodes")))
+            targets = self._known(options.get("target_nodes"))
+            wanted = self.ancestors(targets) if targets else wanted
         elif mode in ("from_node", "from_nodes", "downstream"):
             entries = self._known(options.get("entry_nodes") or options.get("target_nodes"))
             below = self.descendants(entries)
             forced |= below
-            wanted = self.ancestors(below)
+            wanted = self.ancestors(below) if entries else wanted
         elif mode != "full":
             raise GraphError(f"unknown mode '{mode}'", "unknown_mode")
         order = [n for n in self.order if n in wanted]
@@ -261,11 +263,7 @@ class Graph:
         return order[: min(at, len(order) if steps is None else int(steps))], forced
 
     def _known(self, ids: Iterable[str] | None) -> list[str]:
-        out = list(ids or ())
-        for n in out:
-            if n not in self.nodes:
-                raise GraphError(f"unknown node '{n}'", "unknown_node", n)
-        return out
+        return [n for n in ids or () if n in self.nodes]
 
     def plan(self, options: dict[str, Any] | None = None) -> dict[str, Any]:
         """What a run would do: nodes by level, and how many could run side by side."""

@@ -1,7 +1,8 @@
 """Runs of graphs: whole or in part, cached, cancelled, traced.
 
-A run compiles to one DataFrame; collecting it is one Spark job. `trace` describes the nodes of a run as a
-table, which plans.trace analyses.
+A run compiles to one DataFrame; collecting it is one Spark job, in which nodes are columns of one projection. Spark
+has no time of a single node in there, so a node's duration is null unless it comes from a run that timed it. `trace`
+describes the nodes of a run as a table, which plans.trace analyses.
 """
 
 from __future__ import annotations
@@ -104,6 +105,7 @@ class Run:
     events: list[dict[str, Any]] = field(default_factory=list)
     total_ms: float = 0.0
     cached: set[str] = field(default_factory=set)
+    fail_fast: bool = False
     row: dict[str, Any] | None = None
 
 
@@ -130,7 +132,11 @@ class Engine:
     # --- runs
 
     def compile(self, payload: dict[str, Any] | Graph, source: DataFrame | None = None, options: dict[str, Any] | None = None) -> Run:
-        """The DataFrame of a run's outputs; nothing is computed but what the cache is asked to keep."""
+        """The DataFrame of a run's outputs; nothing is computed but what the cache is asked to keep.
+
+        Until it ends (run, stream and table see to that; else forget it) a run can be cancelled by its id. Option
+        fail_fast: the trace ends with the first node that fails, where else all that do not hang on it go on.
+        """
         options = options or {}
         graph = self.graph(payload)
         order, forced = graph.selection(options)
@@ -148,7 +154,7 @@ class Engine:
             hits = set(marked) if held is not None else set()
             compiled.frame = held if held is not None and set(compiled.frame.columns) <= set(held.columns) else self.cache.put(key, graph, marked[-1], compiled.frame)
         run_id = str(options.get("execution_id") or uuid.uuid4())
-        return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits)
+        return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits, fail_fast=bool(options.get("fail_fast", False)))
 
     def table(self, payload: dict[str, Any] | Graph, source: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
         """A row of outputs for each row of the source."""
@@ -179,15 +185,18 @@ class Engine:
         return self._pool.submit(work)
 
     def stream(self, payload: dict[str, Any], options: dict[str, Any] | None = None) -> Iterator[dict[str, Any]]:
-        """Events of a run as it goes on: start, one for each node, complete, result; error where it fails."""
+        """Events of a run: start, one for each node in order once the job that has them all is done, complete, result; error where it fails."""
         began = time.time()
         yield {"event": "start", "plan": self.plan(payload, options)}
         try:
             run = self.compile(payload, None, options)
             trace = []
-            for e in self._events(run):
-                trace.append(e["trace"])
-                yield e
+            try:
+                for e in self._events(run):
+                    trace.append(e["trace"])
+                    yield e
+            finally:
+                self._running.pop(run.id, None)
         except Exception as e:
             yield {"event": "error", "error": str(e), "code": getattr(e, "code", None) or "execution_error"}
             return
@@ -206,7 +215,6 @@ class Engine:
         if run.cancellation.all:
             raise GraphError("the run was cancelled", "cancelled")
         self.spark.addTag(run.id)
-        began = time.time()
         errors: dict[str, str] = {}
         row: dict[str, Any] = {}
         try:
@@ -227,19 +235,25 @@ class Engine:
                             errors[n] = str(e).split("\n")[0]
         finally:
             self.spark.removeTag(run.id)
-        took = (time.time() - began) * 1000
         run.row = row
         inner = graph.loop_of
+        stopped = False
         for n in c.order:
+            if stopped:
+                return
             node = graph.nodes[n]
             runs = row.get(c.guards[n]) if n in c.guards else True
             status = "ERROR" if n in errors else "CANCELLED" if run.cancellation.is_cancelled(n) else "COMPLETED" if runs or n in inner else "SKIPPED"
             outputs = {p: row.get(x) for (m, p), x in c.columns.items() if m == n and not p.startswith("$")}
             logs = [row[c.logs[n]]] if n in c.logs and row.get(c.logs[n]) is not None and status == "COMPLETED" else []
-            t = {"node_id": n, "type": node.type, "status": status, "duration_ms": took / max(1, len(c.order)), "level": graph.levels[n], "from_cache": n in run.cached, "error": errors.get(n), "logs": logs, "outputs": outputs}
+            t = {"node_id": n, "type": node.type, "status": status, "duration_ms": None, "level": graph.levels[n], "from_cache": n in run.cached, "error": errors.get(n), "logs": logs, "outputs": outputs}
             run.events.append(t)
+            stopped = stopped or (run.fail_fast and status == "ERROR")
             yield {"event": {"COMPLETED": "node_cached" if n in run.cached else "node_completed", "SKIPPED": "node_skipped"}.get(status, "node_error"), "node_id": n, "trace": t}
 
+    def forget(self, run: Run) -> None:
+        self._running.pop(run.id, None)
+
     def cancel(self, execution_id: str, node: str | None = None) -> bool:
         """Whether there was such a run to stop. Jobs of the run are interrupted by their tag."""
         held = self._running.get(execution_id)
@@ -251,13 +265,14 @@ class Engine:
         return True
 
     def trace_table(self, trace: list[dict[str, Any]]) -> DataFrame:
-        rows = [(t["node_id"], t["type"], t["status"], float(t["duration_ms"]), int(t["level"]), bool(t["from_cache"]), t["error"], list(t["logs"]), {k: str(v) for k, v in t["outputs"].items()}) for t in trace]
+        rows = [(t["node_id"], t["type"], t["status"], None if t["duration_ms"] is None else float(t["duration_ms"]), int(t["level"]), bool(t["from_cache"]), t["error"], list(t["logs"]), {k: str(v) for k, v in t["outputs"].items()}) for t in trace]
         return self.spark.createDataFrame(rows, TRACE)
 
 
 def stats(trace: list[dict[str, Any]], total_ms: float, parallelism: int = 1) -> dict[str, Any]:
     done = [t for t in trace if t["status"] == "COMPLETED"]
-    spent = sum(t["duration_ms"] for t in trace)
+    timed = [t["duration_ms"] for t in trace if t["duration_ms"] is not None]
+    spent = sum(timed) if timed else None
     return {
         "total_nodes": len(trace),
         "executed_nodes": sum(not t["from_cache"] for t in done),
@@ -266,7 +281,7 @@ def stats(trace: list[dict[str, Any]], total_ms: float, parallelism: int = 1) ->
         "error_nodes": sum(t["status"] == "ERROR" for t in trace),
         "total_time_ms": total_ms,
         "node_time_ms": spent,
-        "parallel_efficiency": spent / total_ms if total_ms > 0 else 1.0,
+        "parallel_efficiency": None if spent is None else spent / total_ms if total_ms > 0 else 1.0,
         "max_parallelism": parallelism,
         "levels_executed": len({t["level"] for t in trace}),
     }

@@ -63,15 +63,25 @@ def run_stats(trace: DataFrame, *by: str, status: str = "status", duration: str
     return trace.groupBy(*by).agg(*aggs)
 
 
+def is_error_line(text: Column) -> Column:
+    return F.contains(text, F.lit("[ERROR]")) | F.contains(text, F.lit("ERROR:"))
+
+
 def clean_message(text: Column) -> Column:
-    """A log line without leading error words and outer white space."""
-    return F.trim(F.regexp_replace(text, r"^(?:\w*(?:Error|Exception)):\s*", ""))
+    """An error line up to its stack trace, on one line, without rules of 10 or more =, the first [ERROR] and ERROR: and outer
+    white space; other lines as they are."""
+    m = F.substring_index(text, "[STACK TRACE]", 1)
+    m = F.regexp_replace(F.regexp_replace(m, r"[\n\r]+", " "), "={10,}", "")
+    for mark in (r"\[ERROR\]", "ERROR:"):
+        m = F.regexp_replace(m, rf"(?s)^(.*?){mark}", "$1")
+    return F.when(is_error_line(text), F.regexp_replace(m, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def distinct_logs(trace: DataFrame, node: str = "node_id", logs: str = "logs", order: str = "seq") -> DataFrame:
-    """Each message of a node once, empty ones left out, with the place of its first occurrence."""
+    """Each message of a node once, empty ones left out, with the place of its first occurrence and whether that was an error."""
     lines = trace.select(node, order, F.posexplode(logs).alias("at", "line")).withColumn("message", clean_message(F.col("line"))).where("message <> ''")
-    return lines.groupBy(node, "message").agg(F.min(F.struct(order, "at")).alias("first")).select(node, "message", F.col(f"first.{order}").alias("seq"), F.col("first.at").alias("at"))
+    first = F.min(F.struct(order, "at", is_error_line(F.col("line")).alias("is_error"))).alias("first")
+    return lines.groupBy(node, "message").agg(first).select(node, "message", F.col(f"first.{order}").alias("seq"), F.col("first.at").alias("at"), F.col("first.is_error").alias("is_error"))
 
 
 def search(catalogue: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -90,11 +100,11 @@ def palette(catalogue: DataFrame, query: str = "", category: str = "category") -
 
 
 def match_score(field: Column, query: str) -> Column:
-    """0 equal, 1 begins so, 2 a word begins so, 3 holds it, 4 holds its letters in order, null else."""
+    """0 equal, 1 the first word, 2 another word, 3 begins so, 4 a word begins so, 5 holds it, null else. Words are of a-z and 0-9."""
     q, text = query.strip().lower(), F.lower(field)
-    escape = lambda s: "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in s)
-    scattered = ".*".join(escape(c) for c in q)
-    return F.when(text == q, 0).when(F.startswith(text, F.lit(q)), 1).when(text.rlike(rf"[\s._-]{escape(q)}"), 2).when(F.contains(text, F.lit(q)), 3).when(text.rlike(scattered), 4)
+    words = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
+    out = F.when(text == q, 0).when(F.get(words, F.lit(0)) == q, 1).when(F.array_contains(words, q), 2).when(F.startswith(text, F.lit(q)), 3)
+    return out.when(F.exists(words, lambda w: F.startswith(w, F.lit(q))), 4).when(F.contains(text, F.lit(q)), 5)
 
 
 def ranked_search(catalogue: DataFrame, query: str, fields: tuple[str, ...] = ("name", "type", "category", "description")) -> DataFrame:
@@ -122,8 +132,16 @@ def classify_outputs(outputs: DataFrame, name: str = "name", value: str = "value
 
 
 def closure(edges: DataFrame, start: str, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, depth) of all that is reached from start: a recursive query over an edge table."""
-    spark = edges.sparkSession
-    edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).createOrReplaceTempView("__closure_edges")
-    literal = start.replace("'", "''")
-    return spark.sql(f"WITH RECURSIVE r(node, depth) AS (SELECT '{literal}', 0 UNION ALL SELECT d, depth + 1 FROM r JOIN __closure_edges ON s = node) SELECT node, min(depth) AS depth FROM r GROUP BY node")
+    """(node, depth) of all that is reached from start, by the fewest edges; cycles end where they close.
+
+    One join a depth, of the edges with the nodes met at the last one; nodes met before fall out. Only counts come to the driver.
+    """
+    e = edges.select(F.col(src).cast("string").alias("s"), F.col(dst).cast("string").alias("node")).where("s is not null and node is not null").distinct().persist()
+    last = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
+    seen, depth = last, 0
+    while True:
+        depth += 1
+        last = e.join(last.select(F.col("node").alias("s")), "s").select("node").distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        if last.isEmpty():
+            return seen
+        seen = seen.union(last)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .flow import Flow, Ref
 from .plans import trace
 from .plans.runtime import Engine
+from .sources import clients, standins
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +209,30 @@ def maps_and_json(g: Flow) -> dict[str, Ref]:
     return {"code": g.node("core.container.get", map=codes, key=g.col("event_type"), default=0).value, "k": g.node("core.cast.to_int", value=g.node("core.container.get", map=parsed.data, key="k").value).value, "ok": parsed.success}
 
 
+@graph(
+    "events",
+    "CASE WHEN event_type = 'click' THEN props->>'$.k' ELSE '-1' END AS k, length(props->>'$.k')::bigint AS n_text, 1::bigint AS n_keys, (props->>'$.k')::bigint = 7 AS is_seven, (props->>'$.k')::bigint <> 0 AS truth, props->>'$.k' = (props->>'$.k')::bigint::varchar AS alike,"
+    " CASE event_type WHEN 'click' THEN '1' WHEN 'error' THEN 'two' ELSE 'none' END AS unlike",
+)
+def parsed_json(g: Flow) -> dict[str, Ref]:
+    """Parsed JSON as a value: read by a key from a column, its length, truth and equality."""
+    parsed = g.node("core.json.parse", json_string=g.col("props")).data
+    name = g.node("core.string.replace", text=g.col("event_type"), find="click", replace="k").result
+    get = lambda **ports: g.node("core.container.get", **ports).value
+    k = get(map=parsed, key="k")
+    number = g.node("core.json.parse", json_string=k).data
+    same = lambda a, b: g.node("core.logic.compare", a=a, b=b, op="==").result
+    return {
+        "k": get(map=parsed, key=name, default="-1"),
+        "n_text": g.node("core.container.length", value=k).length,
+        "n_keys": g.node("core.container.length", value=parsed).length,
+        "is_seven": same(number, 7),
+        "truth": g.node("core.logic.or", a=number, b=False).result,
+        "alike": same(k, g.node("core.cast.to_string", value=g.node("core.cast.to_int", value=k).value).value),
+        "unlike": get(map={"click": 1, "error": "two"}, key=g.col("event_type"), default="none"),
+    }
+
+
 @graph("events", "CASE WHEN value IS NULL THEN 'NoneType' ELSE 'float' END AS kind, value IS NULL AS missing, coalesce(value, 0)::double AS filled, value AS same, 'Main' AS section, event_type AS shown")
 def nulls_and_display(g: Flow) -> dict[str, Ref]:
     v = g.col("value")
@@ -340,12 +365,116 @@ def random_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).table(g.payload(), table(spark, sf_dir, "part"), {"seed": 7})
 
 
-@direct(None)
+@graph("part", "true AS f_fits, true AS i_fits, true AS at_fits, true AS word_fits, p_size AS later, true AS now_fits")
+def random_ranges(g: Flow) -> dict[str, Ref]:
+    """What is certain of random values, of a choice, of the time and of a delay."""
+    less = lambda a, b: g.node("core.logic.compare", a=a, b=b, op="<=").result
+    within = lambda x, low, high: g.node("core.logic.and", a=less(low, x), b=less(x, high)).result
+    words = g.node("core.string.split", text=g.col("p_type"), delimiter=" ").parts
+    pick = g.node("core.random.choice", array=words)
+    return {
+        "f_fits": within(g.node("core.random.float", min=1, max=2).value, 1.0, 2.0),
+        "i_fits": within(g.node("core.random.int", min=1, max=6).value, 1, 6),
+        "at_fits": within(pick.index, 0, g.node("core.container.length", value=words).length),
+        "word_fits": g.node("core.array.contains", array=words, value=pick.value).result,
+        "later": g.node("core.time.delay", passthrough=g.col("p_size")).passthrough,
+        "now_fits": less(1.7e9, g.node("core.time.now").timestamp),
+    }
+
+
+@graph("part", """'"' || p_name || '"' AS name, '["' || p_brand || '","' || p_type || '"]' AS kinds, p_size::varchar AS size, '{"size":' || p_size || ',"brand":1}' AS record, 'null' AS nothing, true::varchar AS yes, '[' || p_size || ']' AS back""")
+def json_written(g: Flow) -> dict[str, Ref]:
+    """JSON texts of each kind of value, and of parsed JSON."""
+    text = lambda x: g.node("core.json.stringify", data=x).json_string
+    pair = g.node("core.container.make_array", item_1=g.col("p_brand"), item_2=g.col("p_type")).array
+    listed = g.node("core.string.format", template="[{}]", arg1=g.col("p_size")).result
+    return {
+        "name": text(g.col("p_name")),
+        "kinds": text(pair),
+        "size": text(g.col("p_size")),
+        "record": g.node("core.string.replace", text=text({"size": 12345, "brand": 1}), find="12345", replace=g.node("core.cast.to_string", value=g.col("p_size")).value).result,
+        "nothing": text(None),
+        "yes": text(True),
+        "back": text(g.node("core.json.parse", json_string=listed).data),
+    }
+
+
+@graph("part", "p_size * 2::double AS doubled, p_size::double + 1 AS more")
+def control_start(g: Flow) -> dict[str, Ref]:
+    """A run that begins at its start node; the rest hangs on it by control links."""
+    start = g.node("core.control.start")
+    put = g.node("core.var.set", name="v", value=g.node("core.math.multiply", a=g.col("p_size"), b=2).product)
+    got = g.node("core.var.get", name="v")
+    more = g.node("core.math.add", a=g.col("p_size"), b=1.0)
+    start.then(put, got, more)
+    return {"doubled": got.value, "more": more.sum}
+
+
+def _offline(source: str, build: Callable[[Flow], dict[str, Ref]], spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph whose calls go to the stand-ins, over a table."""
+    flow = Flow()
+    flow.keep(*KEYS[source]).out(**build(flow))
+    with clients.using(files=standins.Files, rest=standins.Service, cameras=standins.Cameras):
+        return Engine(spark).table(flow.payload(), table(spark, sf_dir, source))
+
+
+@direct("SELECT p_partkey, 'data:image/png;base64,' || base64(encode(p_name || '.png')) AS image, true AS saved, p_name || '.png' AS path FROM part")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(g: Flow) -> dict[str, Ref]:
+        path = g.node("core.string.concat", a=g.col("p_name"), b=".png").result
+        image = g.node("core.image.load", file_path=path).image
+        saved = g.node("core.image.save", image=image, file_path=path)
+        return {"image": image, "saved": saved.saved, "path": saved.file_path}
+
+    return _offline("part", build, spark, sf_dir)
+
+
+@direct(
+    "SELECT p_partkey, 'http://camera.example/' || c || '.m3u8' AS url, 640::bigint AS width, 'camera-' || c AS stream_id,"
+    " 'camera-' || c || '|http://camera.example/' || c || '.m3u8|' || p_size || '|' || greatest(10, p_size * 2) AS stream, true AS stopped, p_size % 2 = 0 AS has_frame, CASE WHEN p_size % 2 = 0 THEN p_name END AS image, p_size::double AS at FROM (SELECT *, CASE p_partkey WHEN 0 THEN 2130 ELSE p_partkey END AS c FROM part)"
+)
+def camera_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = Flow()
+    key = flow.col("p_partkey")
+    url = flow.node("camera.get_stream_url", camera=key)
+    stream = flow.node("camera.connect", camera=key, fps=flow.col("p_size"), buffer_seconds=2)
+    frame = flow.node("camera.get_frame", stream=flow.col("frame"), require_frame=False)
+    stopped = flow.node("camera.disconnect", stream=stream.stream).stopped
+    flow.keep("p_partkey").out(url=url.url, width=url.width, stream_id=stream.stream_id, stream=stream.stream, stopped=stopped, has_frame=frame.has_frame, image=frame.image, at=frame.timestamp)
+    frames = F.struct(F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("image"), F.col("p_size").cast("double").alias("timestamp"), F.lit(640).alias("width"), F.lit(360).alias("height"))
+    with clients.using(cameras=standins.Cameras):
+        return Engine(spark).table(flow.payload(), table(spark, sf_dir, "part").withColumn("frame", frames))
+
+
+@direct(
+    "SELECT p_partkey, 'session-' || p_brand AS session, 'session-' || p_brand || '-' || p_type AS prompted, length(p_name)::bigint AS frame, length(p_name)::double AS edge, 1 / (1 + length(p_name))::double AS score,"
+    " 'data:image/png;base64,' || base64(encode('session-' || p_brand || '-' || p_type)) AS shown, true AS alive, false AS down, true AS ended FROM part"
+)
+def segmentation_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build(g: Flow) -> dict[str, Ref]:
+        session = g.node("segment.connect", model_type=g.col("p_brand"))
+        prompted = g.node("segment.set_prompt", session_id=session.session_id, prompt=g.col("p_type"))
+        added = g.node("segment.add_image", session_id=prompted.session_id, image=g.col("p_name"))
+        found = g.node("segment.get_output", session_id=added.session_id, frame_idx=added.frame_idx)
+        edge = g.node("core.array.last", array=g.node("core.array.first", array=found.boxes).value).value
+        score = g.node("core.array.sum", array=found.scores).result
+        shown = g.node("segment.visualize", session_id=found.session_id, frame_idx=added.frame_idx)
+        alive = g.node("segment.is_alive", session_id=session.session_id)
+        down = g.node("segment.is_alive", session_id=session.session_id, server_url="http://down.example")
+        ended = g.node("segment.disconnect", session_id=shown.session_id)
+        return {"session": session.session_id, "prompted": prompted.session_id, "frame": added.frame_idx, "edge": edge, "score": score, "shown": shown.image, "alive": alive.alive, "down": down.alive, "ended": ended.disconnected}
+
+    return _offline("part", build, spark, sf_dir)
+
+
+@direct("SELECT p_partkey, '[size] ' || p_size AS log, '[BREAKPOINT] ' || p_size AS stop FROM part")
 def logged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Flow()
     line = g.node("core.debug.log", value=g.col("p_size"), label="size", id="log")
     g.node("core.debug.breakpoint", value=line.value, id="stop")
-    run = Engine(spark).compile(g.payload(), table(spark, sf_dir, "part"))
+    engine = Engine(spark)
+    run = engine.compile(g.payload(), table(spark, sf_dir, "part"))
+    engine.forget(run)
     return run.compiled.frame.select("p_partkey", *(F.col(f"`{c}`").alias(n) for n, c in run.compiled.logs.items()))
 
 
@@ -388,10 +517,12 @@ def trace_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_nationkey", "total_nodes", "executed_nodes", "cached_nodes", "error_nodes", "levels_executed")
 
 
-@direct("SELECT event_type AS node_id, 'k ' || (props->>'$.k') AS message, min(event_id) AS seq FROM events GROUP BY 1, 2")
+@direct("SELECT event_type AS node_id, CASE WHEN event_id % 2 = 0 THEN 'k ' || (props->>'$.k') || ' ERROR: again' ELSE ' note ' || (props->>'$.k') END AS message, min(event_id) AS seq, event_id % 2 = 0 AS is_error FROM events GROUP BY 1, 2, 4")
 def trace_distinct_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select(F.col("event_type").alias("node_id"), F.col("event_id").alias("seq"), F.array(F.concat(F.lit("KeyError: k "), F.get_json_object("props", "$.k")), F.lit("")).alias("logs"))
-    return trace.distinct_logs(lines).select("node_id", "message", "seq")
+    k = F.get_json_object("props", "$.k")
+    line = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("============ [ERROR] ERROR:\n k "), k, F.lit(" ERROR: again \r\n[STACK TRACE] at "), F.col("event_id"))).otherwise(F.concat(F.lit(" note "), k))
+    lines = table(spark, sf_dir, "events").select(F.col("event_type").alias("node_id"), F.col("event_id").alias("seq"), F.array(line, F.lit("")).alias("logs"))
+    return trace.distinct_logs(lines).select("node_id", "message", "seq", "is_error")
 
 
 @direct("SELECT p_brand AS category, count(*) AS n FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') GROUP BY 1")
@@ -400,7 +531,8 @@ def catalog_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.palette(parts, "A").select("category", "n")
 
 
-_SCORE = r"CASE WHEN lower({0}) = 'bl' THEN 0 WHEN starts_with(lower({0}), 'bl') THEN 1 WHEN regexp_matches(lower({0}), '[\s._-]bl') THEN 2 WHEN contains(lower({0}), 'bl') THEN 3 WHEN regexp_matches(lower({0}), 'b.*l') THEN 4 END"
+_WORDS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
+_SCORE = f"CASE WHEN lower({{0}}) = 'bl' THEN 0 WHEN {_WORDS}[1] = 'bl' THEN 1 WHEN list_contains({_WORDS}, 'bl') THEN 2 WHEN starts_with(lower({{0}}), 'bl') THEN 3 WHEN len(list_filter({_WORDS}, lambda w: starts_with(w, 'bl'))) > 0 THEN 4 WHEN contains(lower({{0}}), 'bl') THEN 5 END"
 
 
 @direct(f"SELECT * FROM (SELECT p_partkey, least({_SCORE.format('p_name')}, {_SCORE.format('p_type')} + 10)::int AS score FROM part) WHERE score IS NOT NULL")

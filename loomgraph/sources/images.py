@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .clients import MEDIA
-
 
 def media_type(path: Column) -> Column:
     """By the file name's ending; all else is taken for JPEG."""
     ending = F.lower(F.regexp_extract(path, r"\.[A-Za-z]+$", 0))
-    kinds = F.create_map(*(F.lit(x) for pair in MEDIA.items() for x in pair))
+    known = {k: v for k, v in mimetypes.types_map.items() if v.startswith("image/")}
+    kinds = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     return F.coalesce(kinds[ending], F.lit("image/jpeg"))
 
 

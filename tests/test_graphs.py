@@ -1,8 +1,10 @@
 """Validation, orders, runs in part, control flow, cache, traces."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.flow import Flow
+from loomgraph.plans import trace
 from loomgraph.plans.graph import Graph, GraphError
 from loomgraph.plans.runtime import Cancellation, Engine
 from loomgraph.registry import NodeSpec, Registry
@@ -196,3 +198,50 @@ def test_registry_aliases_and_plugins(engine):
     assert r.load_plugins([Point("good", lambda reg: reg.add(NodeSpec("p.q", (), (), lambda v: None))), Point("bad", lambda reg: 1 / 0)]) == ["good"]
     assert "p.q" in r.specs and "ZeroDivisionError" in r.failures["bad"]
     assert len(engine.definitions()) >= 94 and all(d["input_ports"] is not None for d in engine.definitions())
+
+
+def test_partial_runs_without_known_nodes_are_whole_and_runs_are_forgotten(spark):
+    engine = Engine(spark)
+    g = Graph(diamond().payload())
+    for o in ({"mode": "selection"}, {"mode": "selection", "target_nodes": ["zz"]}, {"mode": "from_node", "entry_nodes": ["zz"]}):
+        assert set(g.selection(o)[0]) == set("abcde")
+    assert set(g.selection({"mode": "selection", "target_nodes": ["zz", "b"]})[0]) == {"a", "b"}
+    list(engine.stream(simple()))
+    engine.run(simple())
+    assert not engine._running
+
+
+def test_durations_are_not_made_up_and_fail_fast_ends_the_trace(engine):
+    out = engine.run(simple())
+    assert [t["duration_ms"] for t in out["trace"]] == [None] * 3 and out["stats"]["node_time_ms"] is None and out["stats"]["total_time_ms"] > 0
+    assert engine.trace_table(out["trace"]).where("duration_ms is null").count() == 3
+    g = Flow()
+    g.node("core.math.sqrt", id="bad", value="abc")
+    g.node("core.math.abs", id="later", value=g.node("core.math.abs", id="free", value=-1).result)
+    ids = lambda **o: [t["node_id"] for t in engine.run(g.payload(), o)["trace"]]
+    assert set(ids()) == {"bad", "free", "later"}
+    assert ids(fail_fast=True)[-1] == "bad" and "later" not in ids(fail_fast=True)
+
+
+def test_closure_ends_on_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("x", "a"), (None, "q")], "src string, dst string")
+    assert set(map(tuple, trace.closure(edges, "a").collect())) == {("a", 0), ("b", 1), ("c", 2)}
+    assert trace.closure(edges, "nowhere").collect() == [("nowhere", 0)]
+
+
+def test_log_lines_and_ranks(spark):
+    lines = [" as it is ", "x [ERROR] ERROR: a ERROR: b\n\n==========\tc [STACK TRACE] at d", "ERROR: x [ERROR]", "[ERROR]", "x  a ERROR: b c", "XError: kept"]
+    df = spark.createDataFrame([("n", k, [x]) for k, x in enumerate(lines)], "node_id string, seq int, logs array<string>")
+    got = {r["message"]: (r["seq"], r["is_error"]) for r in trace.distinct_logs(df).collect()}
+    assert got == {" as it is ": (0, False), "x   a ERROR: b \tc": (1, True), "x": (2, True), "x  a  b c": (4, True), "XError: kept": (5, False)}
+    names = ["add", "Add two", "core.add", "added", "to_addle", "ladder", "other", "a-d-d"]
+    cat = spark.createDataFrame([(n, "t", None, "readd" if n == "other" else "") for n in names], "name string, type string, category string, description string")
+    assert [(r["name"], r["score"]) for r in trace.ranked_search(cat, " ADD ").collect()] == [("add", 0), ("Add two", 1), ("core.add", 2), ("added", 3), ("to_addle", 4), ("ladder", 5), ("other", 35)]
+
+
+def test_time_saved_and_compatible_nodes(spark):
+    df = spark.createDataFrame([(30.0, 20.0), (0.0, 5.0)], "n double, t double")
+    assert list(map(tuple, df.select(*trace.time_saved(F.col("n"), F.col("t"))).collect())) == [(10.0, 10 / 30 * 100), (-5.0, 0.0)]
+    ports = spark.createDataFrame([("A", "input", "float", None), ("B", "input", "list", "int"), ("C", "output", "int", None), ("D", "input", "any", None), ("E", "input", "list", "string")], "type string, direction string, kind string, item string")
+    names = lambda *a: {r[0] for r in trace.compatible_nodes(ports, *a).collect()}
+    assert names("int") == {"A", "D"} and names("list", "int") == {"B", "D"}

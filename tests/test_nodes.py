@@ -164,3 +164,37 @@ def test_truth_and_numbers_in_text(spark):
 
     want = [(bool(x), as_float(x) if x != "٣" else None) for x in texts]
     assert [(a, str(b)) for a, b in got] == [(a, str(b)) for a, b in want]
+
+
+def test_parsed_json_is_a_value(spark):
+    rows = ['{"a": 1, "b": [1, 2], "c": {"d": "x"}, "e": null, "f": ""}', "[]", "{}", "0", "1.0", "true", '"1"', '""', "null", "bad"]
+    df = spark.createDataFrame([(k, x, n) for k, (x, n) in enumerate(zip(rows, "abcefgaaaa"))], "i int, t string, name string")
+    g = Flow()
+    j = g.node("core.json.parse", json_string=g.col("t")).data
+    same = lambda b: g.node("core.logic.compare", a=j, b=b, op="==").result
+    g.keep("i")
+    g.out(
+        n=g.node("core.container.length", value=j).length,
+        truth=g.node("core.logic.or", a=j, b=False).result,
+        flag=g.node("core.cast.to_boolean", value=j).value,
+        one=same(1),
+        text=same("1"),
+        yes=same(True),
+        none=same(None),
+        empty=same([]),
+        itself=same(j),
+        got=g.node("core.container.get", map=j, key=g.col("name"), default="?").value,
+        missing=g.node("core.util.is_null", value=j).is_null,
+        unlike=g.node("core.container.get", map={"a": 1, "b": "x", "c": [2]}, key=g.col("name"), default="?").value,
+    )
+    got = {r["i"]: r.asDict() for r in Engine(spark).table(g.payload(), df).collect()}
+    col = lambda c: [got[k][c] for k in range(len(rows))]
+    assert col("n") == [5, 0, 0, 0, 0, 0, 1, 0, 0, 0]
+    assert col("truth") == col("flag") == [True, False, False, False, True, True, True, False, False, False]
+    assert col("one") == [False] * 4 + [True, True] + [False] * 4  # True == 1, as in Python
+    assert col("text") == [False] * 6 + [True] + [False] * 3
+    assert col("yes") == [False] * 4 + [True, True] + [False] * 4
+    assert col("none") == col("missing") == [False] * 8 + [True, True]
+    assert col("empty") == [k == 1 for k in range(10)] and all(col("itself"))
+    assert col("got") == ["1", *["?"] * 9]
+    assert col("unlike") == ["1", "x", "[2]", "?", "?", "?", "1", "1", "1", "1"]
