@@ -1,9 +1,10 @@
 """Main texts of web pages by site template removal.
 
-Element subtrees are hashed by tag and text and counted per host; those that recur across many of a
-host's different articles are its template and go. What HTML itself names as no article (navigation, footers,
-asides, forms, scripts, elements classed as adverts, notices, comments and the like) goes as well; within
-a page the article or main element bounds the text, where there is one.
+Element subtrees of whole pages are hashed by tag and text and counted per host; those that recur across many
+of a host's different articles are its template and go, whatever they are called and wherever they stand. What
+is left of a page, as sites have few pages or change their adverts, goes by what HTML itself names as no
+article (navigation, footers, asides, forms, scripts, elements classed as adverts, notices, comments and the
+like); the article or main element bounds the text, where there is one.
 """
 
 from __future__ import annotations
@@ -15,25 +16,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, tidy, written
 from .html_tree import BLOCK, HEADINGS, Page
 from .url_filter import url_parts
 
 #: A subtree is template if so many different articles of its host have it ...
 LEAST_PAGES = 3
-#: ... and this share of them; blocks of running text need the larger one: sites repeat passages, too.
-SHARE, TEXT_SHARE = 0.2, 0.5
+#: ... and this share of them, where it stands beside the article: sites have several menus and footers by turns.
+BESIDE_SHARE = 0.01
+#: In the article, or where HTML does not say what the article is, lists, tables and the like need this share ...
+SHARE = 0.2
+#: ... and running text and what holds it this one, as sites repeat passages, too ...
+TEXT_SHARE = 0.5
+#: ... and so many articles, where HTML says what the article is.
+TEXT_PAGES = 100
+#: What a subtree's last two bits say.
+BESIDE, IN_ARTICLE, TEXT, NAMED_TEXT = range(4)
 
 _NEVER = frozenset("head script style noscript template title textarea select option button input iframe object embed svg canvas audio video map nav aside footer form menu dialog".split())
 _TEXT = HEADINGS | frozenset("p pre blockquote li dt dd td th figcaption".split())
 _RUNNING = _TEXT - {"li", "td", "th"}
-_CONTAINER = BLOCK - _TEXT - frozenset("html body article main hr tr tbody thead tfoot dl figure".split())
 #: Words of class, id or role that name what is no article.
 _FOREIGN = frozenset(
     "ad ads advert adverts advertisement adsense adslot adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies responses share sharing social related recommended recommendations "
     "widget toolbar skip login signup signin search searchbox pagination pager copyright complementary contentinfo paywall alert".split()
 )
+#: What a task remembers having passed on; beyond it rows come again, which the count of distinct pages bears.
+REMEMBERED = 200_000
 _MAIN_NAMES = frozenset("content main article story entry articlebody post".split())
 
 
@@ -69,7 +79,7 @@ def _below_never(page: Page, i: int) -> bool:
 class Outline:
     """A page's article, and which of its elements HTML itself rules out."""
 
-    __slots__ = ("page", "inside", "named", "dropped", "identity")
+    __slots__ = ("page", "inside", "named", "dropped", "leads", "identity")
 
     def __init__(self, page: Page):
         self.page = page
@@ -82,6 +92,8 @@ class Outline:
             if p >= 0:
                 heading[p] |= heading[i]
                 holds[p] |= holds[i]
+        #: roots of the article and what holds them
+        self.leads = holds
         self.inside, self.dropped = [False] * n, [False] * n
         for i, tag in enumerate(page.tags):
             p = page.parents[i]
@@ -92,65 +104,67 @@ class Outline:
             # an article's own header keeps its heading; around the article, only what leads to it stays
             self.dropped[i] = tag in _NEVER or (not holds[i] and bool(page.names[i] & _FOREIGN)) or (head and not holds[i] and not (self.inside[i] and self.named and heading[i]))
 
-    def subtrees(self) -> Iterator[tuple[int, int, bool]]:
-        """(element, hash, whether it is running text) of what may be template.
+    def subtrees(self) -> Iterator[tuple[int, int, int]]:
+        """(element, hash, kind) of every block element with text but those that hold the article's root.
 
+        kind: BESIDE the article, IN_ARTICLE without running text, with such TEXT, with it in an article that HTML names.
         At the end identity is what tells the article from others: its running text if a named article has a
         heading or most of the text is running, else all of its text. Neither adverts and menus beside the
         running text nor <time> make another article.
         """
-        page, skip = self.page, -1
+        page, inside, dropped, tags = self.page, self.inside, self.dropped, self.page.tags
+        running_kind = NAMED_TEXT if self.named else TEXT
         parts: list[list[str]] = []
         texts: list[bool] = []  # per open element: does it hold running text
         opened: list[tuple[bool, bool]] = []  # is it in the article, and in running text
         running: list[str] = []
         whole: list[str] = []
-        heading = False
+        heading, skip = False, -1
         for e in page.events:
             if isinstance(e, str):
-                if skip < 0 and parts and (x := " ".join(e.split())):
+                if parts and (x := " ".join(e.split())):
                     parts[-1].append(x)
-                    if opened[-1][0]:
+                    if skip < 0 and opened[-1][0]:
                         whole.append(x)
                         if opened[-1][1]:
                             running.append(x)
             elif e >= 0:
-                if skip < 0 and self.dropped[e]:
+                if skip < 0 and dropped[e]:
                     skip = e
-                elif skip < 0:
-                    tag = page.tags[e]
-                    parts.append([tag])
-                    texts.append(False)
-                    opened.append((self.inside[e], tag != "time" and ((tag in _RUNNING and self.inside[e]) or (bool(opened) and opened[-1][1]))))
-                    heading |= self.inside[e] and tag in HEADINGS
-            elif skip >= 0:
-                if ~e == skip:
-                    skip = -1
+                tag = tags[e]
+                mine = inside[e] and skip < 0
+                parts.append([tag])
+                texts.append(False)
+                opened.append((mine, tag != "time" and mine and (tag in _RUNNING or (bool(opened) and opened[-1][1]))))
+                heading |= mine and tag in HEADINGS
             else:
-                i, mine, held = ~e, parts.pop(), texts.pop()
-                opened.pop()
-                tag = page.tags[i]
-                if len(mine) > 1:
-                    h = xxhash.xxh64_intdigest("\x00".join(mine).encode("utf-8", "surrogatepass")) >> 1
+                i, held, own, in_text = ~e, parts.pop(), texts.pop(), opened.pop()
+                if len(held) > 1:
+                    tag = tags[i]
+                    if tag in BLOCK:
+                        h = (xxhash.xxh64_intdigest("\x00".join(held).encode("utf-8", "surrogatepass")) >> 3) << 2  # room for the kind
                     if parts:
-                        parts[-1].append(f"\x01{h}")
-                    if self.inside[i]:
-                        if tag in _CONTAINER and not held:
-                            yield i, h, False
-                        elif not self.named and tag in _TEXT:
-                            yield i, h, True
+                        parts[-1] += [f"\x01{h}"] if tag in BLOCK else held
+                    if tag in BLOCK and not self.leads[i]:
+                        yield i, h, running_kind if own or in_text[1] or (inside[i] and tag in _TEXT) else IN_ARTICLE if inside[i] else BESIDE
                 if texts:
-                    texts[-1] |= held or tag in _RUNNING
+                    texts[-1] |= own or in_text[1]
+                if skip == i:
+                    skip = -1
         words = " ".join(running)
         everything = " ".join(whole)
         self.identity = words if words and ((self.named and heading) or 2 * len(words) >= len(everything)) else everything
 
+    def template_of(self, known: frozenset[int]) -> list[int]:
+        """The elements whose subtrees are known as template."""
+        return [i for i, h, kind in self.subtrees() if h + kind in known]
+
     def text(self, template: frozenset[int] | None = None) -> str:
         gone = self.dropped
         if template:
             gone = list(gone)
-            for i, h, _ in self.subtrees():
-                gone[i] |= h in template
+            for i in self.template_of(template):
+                gone[i] = True
         page, inside, tags = self.page, self.inside, self.page.tags
         skip, depth = -1, 0
         blocks: list[str] = []
@@ -186,27 +200,22 @@ class Outline:
         return "\n".join(blocks)
 
 
-_COUNTED = pa.schema([("host", pa.string()), ("h", pa.int64()), ("running", pa.bool_()), ("page", pa.int64())])
-
-
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page its article's digest (h 0) and those of its subtrees."""
+    """Per page its article's digest (h 0) and those of its subtrees; a task passes each on once a host and article."""
+    seen: set[tuple[str, int, int]] = set()
     for batch in batches:
-        hosts, hashes, running, pages = [], [], [], []
+        out: list[tuple[str, int, int]] = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
             source = source.as_py()
             if not source:
                 continue
             outline = Outline(Page(source))
-            found = {(h, r) for _, h, r in outline.subtrees()}
+            found = {h + kind for _, h, kind in outline.subtrees()}
             own = xxhash.xxh64_intdigest(outline.identity.encode("utf-8", "surrogatepass")) >> 1
-            found.add((0, False))
-            for h, r in found:
-                hosts.append(host)
-                hashes.append(h)
-                running.append(r)
-                pages.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(running, pa.bool_()), pa.array(pages, pa.int64())], schema=_COUNTED)
+            out += [(host, h, own) for h in (0, *found) if (host, h, own) not in seen]
+            if len(seen) < REMEMBERED:
+                seen.update((host, h, own) for h in found)
+        yield pa.record_batch({"host": pa.array([x[0] for x in out], pa.string()), "h": pa.array([x[1] for x in out], pa.int64()), "page": pa.array([x[2] for x in out], pa.int64())})
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -215,11 +224,13 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     Pages with the same article count once, whatever stands around or between its running text; of an
     article that is mostly bare text, lists or tables all text must be equal. Pages without url are those of the empty host.
     """
-    seen = pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col)).mapInArrow(_hashes, "host string, h long, running boolean, page long")
-    counts = written(seen.groupBy("host", "h", "running").agg(F.count_distinct("page").alias("n")), "subtree-counts")
+    seen = pages.select(url_parts(F.col(url_col))[0].alias("host"), F.col(html_col)).mapInArrow(tidy(_hashes), "host string, h long, page long")
+    counts = written(seen.groupBy("host", "h").agg(F.count_distinct("page").alias("n")).where((F.col("h") == 0) | (F.col("n") >= LEAST_PAGES)), "subtree-counts")
     total = counts.where("h = 0").select("host", F.col("n").alias("total"))
-    often = counts.where((F.col("h") != 0) & (F.col("n") >= LEAST_PAGES)).join(total, "host")
-    return often.where(F.col("n") >= F.when(F.col("running"), TEXT_SHARE).otherwise(SHARE) * F.col("total")).select("host", "h").distinct()
+    kind = F.col("h").bitwiseAND(3)
+    share = F.when(kind == BESIDE, BESIDE_SHARE).when(kind == IN_ARTICLE, SHARE).otherwise(TEXT_SHARE)
+    often = counts.where((F.col("h") != 0) & (F.col("n") >= F.when(kind == NAMED_TEXT, TEXT_PAGES).otherwise(LEAST_PAGES))).join(total, "host")
+    return often.where(F.col("n") >= share * F.col("total")).select("host", "h").distinct()
 
 
 def _texts(known: dict[str, frozenset[int]] | None):
@@ -252,6 +263,6 @@ def extract_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         known: dict[str, set[int]] = {}
         for host, h in templates.toLocalIterator():
             known.setdefault(host, set()).add(h)
-        return d.mapInArrow(_texts({k: frozenset(v) for k, v in known.items()}), schema)
+        return d.mapInArrow(tidy(_texts({k: frozenset(v) for k, v in known.items()})), schema)
     per_host = templates.groupBy("host").agg(F.collect_set("h").alias("template"))
-    return d.join(per_host.hint("merge"), "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(_texts(None), schema)
+    return d.join(per_host.hint("merge"), "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(tidy(_texts(None)), schema)

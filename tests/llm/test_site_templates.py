@@ -101,3 +101,50 @@ def test_near_copies_of_an_article_are_one(spark):
         assert got[20 + k] == f"menu {k}\nHead\na first paragraph that they share\na second one, shared as well\nAd {k}"
     # what different articles have in common goes as before
     assert all(got[k] == f"T{k}\nown {k}" for k in range(3, 10)) and got[23] == "another page"
+
+
+def telling_nothing(k, r, site="a"):
+    """A page whose tags and names do not tell what is template: divs and tables all over."""
+    words = lambda n: " ".join(f"{r.choice(['oak', 'elm', 'fir', 'ash'])}{r.randrange(10**6)}" for _ in range(n))
+    body = [words(9), words(25), words(14)]
+    page = f"<body><table><tr><td>{site} Home</td><td>{site} Contact</td></tr></table><div><div>{site} says hello to readers</div><div>{body[0]}</div><div>{body[1]}<br>{body[2]}</div><div>{site} - all rights reserved</div></div></body>"
+    return page, f"{body[0]}\n{body[1]} {body[2]}"
+
+
+def test_recurrence_alone_tells(spark):
+    r = random.Random(4)
+    rows, want = [], {}
+    for k in range(60):
+        page, want[k] = telling_nothing(k, r, "ab"[k % 2])
+        rows.append((k, f"http://{'ab'[k % 2]}.example/{k}", page))
+    assert pages(spark, rows) == want
+
+
+def test_boilerplate_inside_an_article_goes_by_its_share(spark):
+    notes = "<p>All of our articles are free to read for everybody.</p><p>Please tell a friend about this site.</p>"
+    rows = [(k, "http://h.example/", f"<article><h1>T{k}</h1><p>own text {k}</p>{notes if k % 8 else ''}</article>") for k in range(150)]
+    # the same on a host with fewer articles than TEXT_PAGES stays
+    rows += [(200 + k, "http://i.example/", f"<article><h1>T{k}</h1><p>own text {k}</p>{notes}</article>") for k in range(10)]
+    got = pages(spark, rows)
+    assert all(got[k] == f"T{k}\nown text {k}" for k in range(150))
+    assert all(got[200 + k].count("\n") == 3 for k in range(10))
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(8)
+    blocks = [f"<div><ul><li>item {x}</li></ul></div>" for x in range(6)] + [f"<p>passage {x}</p>" for x in range(4)]
+    rows = []
+    for k in range(80):
+        mine = [b for x, b in enumerate(blocks) if r.random() < 0.08 * (x + 1)]
+        rows.append((k, f"http://h{r.randrange(2)}.example/", f"<body><h1>T{k // 2}</h1><p>own {k // 2}</p>{''.join(mine)}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(x["host"], x["h"]) for x in S.site_templates(df).collect()}
+    articles, having = {}, {}
+    for _, url, source in rows:
+        o, host = S.Outline(S.Page(source)), url.split("/")[2]
+        found = {h + kind for _, h, kind in o.subtrees()}
+        articles.setdefault(host, set()).add(o.identity)
+        for h in found:
+            having.setdefault((host, h), set()).add(o.identity)
+    want = {(host, h) for (host, h), ids in having.items() if len(ids) >= (S.TEXT_PAGES if h & 3 == S.NAMED_TEXT else S.LEAST_PAGES) and len(ids) >= (S.BESIDE_SHARE, S.SHARE, S.TEXT_SHARE, S.TEXT_SHARE)[h & 3] * len(articles[host])}
+    assert got == want and 4 < len(want) < len(having)
