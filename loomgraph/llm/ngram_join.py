@@ -54,8 +54,8 @@ MAX_FREQUENT = 400_000
 BLOCK = 400_000
 #: A smaller set counts as so many there: no block has more than BLOCK / LEAST rows.
 LEAST = 200
-#: Sketches of one block of a leader's group.
-SKETCHES = 1000
+#: Sketches of one block of a leader's classes; a group has two blocks.
+SKETCHES = 500
 #: Rows of a sorted table that one sparse product takes at a time, if the group at their end is no longer.
 ROWS = 20_000
 
@@ -394,6 +394,33 @@ def _group(num: int, den: int, degrees: bool):
     return run
 
 
+def _bounded(df: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined to keys (a row a k and leader), which go to every task while they are few."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["k", "leader"], how)
+
+
+def _hot(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of leaders with more than SKETCHES classes (met: k, leader, blocks, class, mark, sketch): ties to the leader, and groups.
+
+    Classes that are tied to the leader itself are in one component. Only the rest, few where the classes are
+    near copies, is compared with all: each block of classes meets each block of the rest in a group.
+    """
+    met = written(met, "ngram-hot-sketches")  # so that Spark can split the rows of one leader in the join
+    lead = met.where(F.col("class") == F.col("leader")).select("k", "leader", F.col("sketch").alias("l_sketch"), F.col("mark").alias("l_mark"))
+    bound, home = (lambda m: F.col(m).bitwiseAND(65535)), (lambda m: F.col(m).bitwiseAND(65536) > 0)
+    # parts that became equal when they were cut count once here: a class may join the rest for that, none is lost
+    tied = (F.size(F.array_intersect("sketch", "l_sketch")) >= F.least(bound("mark"), bound("l_mark"))) & (home("mark") | home("l_mark"))
+    met = written(met.join(lead, ["k", "leader"], "left").withColumn("tied", F.coalesce(tied, F.lit(False))).drop("l_sketch", "l_mark"), "ngram-hot-ties")
+    rest = met.groupBy("k", "leader").agg(F.ceil(F.count_if(~F.col("tied")) / SKETCHES).cast("int").alias("rests"), F.bool_or(home("mark")).alias("any_home"))
+    rest = written(rest.where("rests > 0 and any_home").drop("any_home"), "ngram-hot-rests")  # of a pair one must be at home
+    among = _bounded(met, rest)
+    deal, numbers = F.xxhash64("class"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_of = among.withColumn("i", F.pmod(deal, F.col("blocks")).cast("int")).withColumn("j", numbers("rests"))
+    the_rest = among.where(~F.col("tied")).withColumn("j", F.pmod(deal, F.col("rests")).cast("int")).withColumn("i", numbers("blocks"))
+    group = F.xxhash64("k", "leader", "i", "j").alias("group"), "class", "mark", "sketch"
+    return met.where("tied and class <> leader").select("class", F.col("leader").alias("root")), all_of.select(*group).union(the_rest.select(*group))
+
+
 def _candidates(keys: DataFrame) -> DataFrame:
     """node, component: classes that may be linked, from the keys of their parts."""
     spark = keys.sparkSession
@@ -402,16 +429,17 @@ def _candidates(keys: DataFrame) -> DataFrame:
     release(spark)  # the shuffled parts
     units = shared.groupBy("class", "mark").agg(F.collect_list("part").alias("sketch"), F.collect_set("leader").alias("leaders"))  # a part of a set each
     units = written(units.where(F.size("sketch") >= F.col("mark").bitwiseAND(65535)), "ngram-sketches")
-    size_class = F.shiftright("mark", 17)
-    met = units.select("class", "mark", "sketch", size_class.alias("k"), F.explode("leaders").alias("leader"))
-    # few leaders have more than a block of sketches: units / SKETCHES for each leader of a unit
-    hot = written(units.select(size_class.alias("k"), F.explode("leaders").alias("leader")).groupBy("k", "leader").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")).where("blocks > 1"), "ngram-hot-leaders")
-    met = met.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, ["k", "leader"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j")))
-    met = met.withColumn("p", F.explode(pair)).select(F.xxhash64("k", "leader", "p.i", "p.j").alias("group"), "class", "mark", "sketch")
-    ties = met.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_sketch_links), "class long, root long")
-    return connected_components(ties, "class", "root", "ngram-candidates")
+    size_class = F.shiftright("mark", 17).alias("k")
+    # few leaders have more than a block of sketches: those of all classes together are as many as the shared parts at most
+    hot = written(units.select(size_class, F.explode("leaders").alias("leader")).groupBy("k", "leader").agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias("blocks")).where("blocks > 1"), "ngram-hot-leaders")
+    met = units.select("class", "mark", "sketch", size_class, F.explode("leaders").alias("leader"))
+    groups = _bounded(met, hot, "left_anti").select(F.xxhash64("k", "leader").alias("group"), "class", "mark", "sketch")
+    ties = None
+    if not hot.isEmpty():
+        ties, more = _hot(_bounded(met, hot))
+        groups = groups.union(more)
+    found = groups.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_sketch_links), "class long, root long")
+    return connected_components(found if ties is None else found.union(ties), "class", "root", "ngram-candidates")
 
 
 def _linked(d: DataFrame, width: int, num: int, den: int, degrees: bool = True) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.ngram_join import ngram_jaccard_join
 
@@ -82,3 +84,37 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_very_long_texts_among_many_short_ones(spark):
+    r = random.Random(9)
+    words = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    near = list(words)
+    for _ in range(700):
+        near[r.randrange(len(near))] = "other"
+    far = list(words)
+    for _ in range(9000):
+        far[r.randrange(len(far))] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 3_000_000), (5, "short one here it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_jaccard_join(df, 4, 85, 100).collect())) == brute(rows, 4, 85, 100)
+
+
+def test_candidates_hold_every_linked_pair():
+    """Of two linked sets at least the bound of the smaller one's keys are shared, whatever is frequent."""
+    from loomgraph.llm import ngram_join as J
+
+    r = np.random.default_rng(3)
+    for _ in range(400):
+        n, num, den = int(r.integers(4, 400)), *((80, 100), (85, 100), (50, 100))[r.integers(3)]
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        gone, new = int(r.integers(0, n // 3 + 1)), int(r.integers(0, n // 3 + 1))
+        y = np.unique(np.concatenate([r.permutation(x)[gone:], r.integers(0, 2**63, new).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if not common or den * common < num * (len(x) + len(y) - common) or (len(x) == len(y) == common):
+            continue
+        frequent = r.permutation(np.union1d(x, y))[: int(r.integers(0, len(x) + len(y) - common + 1))]
+        k = J.size_range(min(len(x), len(y)))
+        (a, at_least), (b, other) = (J.parts_of(s, np.setdiff1d(s, frequent), k, num, den) for s in (x, y))
+        shared = len(np.intersect1d(a, b))
+        assert shared >= min(at_least, other) >= 1
