@@ -5,7 +5,7 @@ type mark. A window is WINDOW such words, slots reduced to their types, so that
 or names were exchanged has the windows of the original. Windows of texts meet those of items in a hash
 join on their 64-bit hashes. What the slots held is then compared along each alignment: an item's value
 must stand for one value of the text everywhere, or its windows do not count. Beside them windows of the
-words as they are meet in the same join, since what is a name hangs on case and white space: a window of
+words as they are meet in the same join, since what is a name hangs on case: a window of
 an item counts if it is found either way, so copies in other case or wrapped otherwise are found. Items
 without template windows are searched by all their literal words: those are matched exactly only.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, id_text, without, written
 
 WINDOW = 8
-#: A template window needs so many words that are no slots; items shorter than a window have their whole as one.
-LITERALS = 4
+#: A template window needs so many words that are no slots; items shorter than a window have their whole as one, and need fewer.
+LITERALS, SHORT_LITERALS = 4, 3
 #: A text holds an item if it has this share of the item's windows.
 SHARE = 0.5
 #: ... or so many of them in a row along one alignment (RUN + WINDOW - 1 words), however long the item is.
@@ -37,11 +37,11 @@ UNITS = (
 
 
 def marked(text: Column) -> Column:
-    """The words of a text between single spaces: 0 before a number, 1 before a capitalised word within a
-    sentence (words in capitals alone are no names), 2 before a unit that follows a number; other words as they are, lower-cased. Punctuation goes."""
+    """The words of a text between single spaces: 0 before a number, 1 before a capitalised word, also at the
+    beginning of a sentence (words in capitals alone are no names), 2 before a unit that follows a number; other words as they are, lower-cased. Punctuation goes."""
     # digits and letters are words of their own
     t = F.when(text.rlike(r"\p{N}"), F.regexp_replace(F.regexp_replace(text, r"(?<=\p{N})(?=\p{L})|(?<=\p{L})(?=\p{N})", " "), r"\p{N}+(?:[.,:/]\p{N}+)*", f"{NUMBER}$0")).otherwise(text)
-    t = F.regexp_replace(t, r"\p{Lu}(?=\p{Ll})(?<=[^\s.!?:;][ \t].)", f"{NAME}$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}\p{N}].)", f"{NAME}$0")
     t = F.lower(F.regexp_replace(t, r"(?:[^\p{L}\p{N}\p{M}.,:/]|[.,:/](?!\p{N})|(?<!\p{N})[.,:/])+", " "))
     t = F.when(F.contains(t, F.lit(NUMBER)), F.regexp_replace(t, rf"(\b{NUMBER}[\p{{N}}.,:/]+ )(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")).otherwise(t)
     return F.trim(t)
@@ -79,7 +79,7 @@ def benchmark_windows(items: DataFrame, item_col: str = "item_id", text_col: str
     seq = seq.where(F.get("words", F.lit(0)) != "").withColumn("width", F.least(n, F.lit(WINDOW)))
     widths = sorted(r[0] for r in seq.select("width").distinct().collect()) or [WINDOW]  # at most WINDOW
     starts = F.sequence(F.lit(1), n - F.col("width") + 1)
-    typed = F.filter(starts, lambda p: F.size(F.filter(F.slice("toks", p, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= LITERALS)
+    typed = F.filter(starts, lambda p: F.size(F.filter(F.slice("toks", p, F.col("width")), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= F.when(F.col("width") < WINDOW, SHORT_LITERALS).otherwise(LITERALS))
     at = seq.withColumn("typed", typed).withColumn("part", F.when(F.size("typed") == 0, F.xxhash64("toks")).otherwise(F.lit(0)))
     whole = F.col("part") != 0
     at = at.withColumn("ipos", F.explode(F.when(whole, starts).otherwise(F.col("typed"))))
@@ -134,7 +134,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, id_col:
     exact (the best alignment has the item's own numbers, names and units). A pair comes once, however
     often the row does; rows that share a doc_id but not the text come as their best pair. Clean documents have no row.
     Null and empty texts hold nothing; rows without doc_id are searched and come with a null one; items
-    without id or words are not searched for; those without template windows (under LITERALS words that are
+    without id or words are not searched for; those without template windows (under LITERALS, or SHORT_LITERALS, words that are
     no slots in each) are found where a text has all their words, numbers included, in a row, and not
     re-parameterised: an item of one word is found wherever that word is. Extra columns are
     left out; empty tables give no rows. Items are broadcast only up to BROADCAST_ROWS windows, beyond

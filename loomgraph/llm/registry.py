@@ -81,8 +81,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(common.bound_batches(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, pipeline)}
+    return {f.__name__: _bounded(f) for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,8 +120,7 @@ def _marked_sql(text: str) -> str:
         for _ in range(2):  # neighbours share a digit
             t = all_of(t, rf"(\p{{N}}){inner}(\p{{N}})", rf"\1{held}\2")
     t = all_of(t, "\\p{N}+(?:[\x01-\x04]\\p{N}+)*", r"0\0")
-    for _ in range(2):
-        t = all_of(t, r"([^\s.!?:;][ \t])(\p{Lu})(\p{Ll})", r"\11\2\3")
+    t = all_of(t, r"(^|[^\p{L}\p{M}\p{N}])(\p{Lu})(\p{Ll})", r"\11\2\3")
     t = f"lower({all_of(t, '[^\\p{L}\\p{N}\\p{M}\x01-\x04]+', ' ')})"
     t = all_of(t, rf"(\b0[\p{{N}}\x01-\x04]+ )((?:{decontaminate.UNITS})(?: |$))".replace(r"\x01-\x04", "\x01-\x04"), r"\12\2")
     return f"trim(translate({t}, '\x01\x02\x03\x04', '.,:/'))"
@@ -129,9 +132,9 @@ def _sequences_sql(table: str, id_col: str) -> str:
 
 OP2_SQL = rf"""
 WITH items AS ({_sequences_sql("benchmark", "item_id")}), docs AS ({_sequences_sql("documents", "doc_id")}),
-sizes AS (SELECT least({decontaminate.WINDOW}, len(types)) AS width FROM items WHERE len(types) >= {decontaminate.LITERALS} GROUP BY 1),
+sizes AS (SELECT least({decontaminate.WINDOW}, len(types)) AS width FROM items WHERE len(types) >= {decontaminate.SHORT_LITERALS} GROUP BY 1),
 iw AS (SELECT item_id, width, types[p:p + width - 1] AS t, words[p:p + width - 1] AS w, p FROM (SELECT *, unnest(range(1, len(types) - width + 2)) AS p FROM items JOIN sizes ON width = least({decontaminate.WINDOW}, len(types)) WHERE item_id IS NOT NULL)
-  WHERE len(list_filter(types[p:p + width - 1], lambda x: x NOT IN ('0', '1', '2'))) >= {decontaminate.LITERALS}),
+  WHERE len(list_filter(types[p:p + width - 1], lambda x: x NOT IN ('0', '1', '2'))) >= CASE WHEN width < {decontaminate.WINDOW} THEN {decontaminate.SHORT_LITERALS} ELSE {decontaminate.LITERALS} END),
 n AS (SELECT item_id, count(DISTINCT p) AS item_windows FROM iw GROUP BY 1),
 dw AS (SELECT doc_id, text, width, types[p:p + width - 1] AS t, words[p:p + width - 1] AS w, p FROM (SELECT *, unnest(range(1, len(types) - width + 2)) AS p FROM docs, sizes WHERE len(types) >= width)),
 met AS (SELECT DISTINCT d.doc_id, d.text, i.item_id, d.p - i.p AS shift, i.p AS ipos, list_filter(list_zip(i.w, d.w), lambda x: x[1] < ':') AS slots FROM iw i JOIN dw d ON i.width = d.width AND i.t = d.t),

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def leaks(spark, texts, items, **kw):
 def test_words_and_marks(spark):
     text = "In May Alice paid 35 dollars.\nThe trip took 5km, or 3.5 hours, at 7:30; x2y ALL CAPS €4"
     got = spark.createDataFrame([(text,)], "t string").select(D.marked(F.col("t"))).first()[0]
-    assert got == "in 1may 1alice paid 035 2dollars the trip took 05 2km or 03.5 2hours at 07:30 x 02 y all caps 04"
+    assert got == "1in 1may 1alice paid 035 2dollars 1the trip took 05 2km or 03.5 2hours at 07:30 x 02 y all caps 04"
 
 
 def test_copies_and_reparameterised_questions(spark):
@@ -57,9 +59,96 @@ def test_against_brute_force(spark):
     assert {k: v["matched"] for k, v in leaks(spark, texts, items).items()} == want
 
 
+def tokens(text):
+    """(kind, word) of each word: number, name, unit or None."""
+    out = []
+    for x in re.findall(r"[0-9]+(?:[.,:/][0-9]+)*|[A-Za-z]+", text):
+        number = x[0].isdigit()
+        unit = bool(out) and out[-1][0] == "number" and x.lower() in D.UNITS.split("|")
+        name = not number and len(x) > 1 and x[0].isupper() and x[1].islower()
+        out.append(("number" if number else "name" if name else "unit" if unit else None, x.lower()))
+    return out
+
+
+def slow_leaks(text, item):
+    """(matched, exact) of a text that holds an item with template windows, by loops over alignments."""
+    d, i = tokens(text), tokens(item)
+    n = min(D.WINDOW, len(i))
+    typed = lambda w: [(k, None if k else x) for k, x in w]
+    starts = [p for p in range(len(i) - n + 1) if sum(k is None for k, _ in i[p : p + n]) >= (D.LITERALS if n == D.WINDOW else D.SHORT_LITERALS)]
+    ranks = {p: r for r, p in enumerate(starts)}
+    best_typed, best_either, run = [], [], False
+    for shift in range(-len(i), len(d)):
+        at = [p for p in starts if p + shift >= 0 and p + shift + n <= len(d)]
+        alike = [p for p in at if typed(d[p + shift : p + shift + n]) == typed(i[p : p + n])]
+        values = defaultdict(set)
+        for p in alike:
+            for (k, x), (_, y) in zip(i[p : p + n], d[p + shift : p + shift + n]):
+                if k:
+                    values[k, x].add(y)
+        good = {ranks[p] for p in alike if all(len(values[k, x]) == 1 for k, x in i[p : p + n] if k)}
+        same = {ranks[p] for p in at if [x for _, x in d[p + shift : p + shift + n]] == [x for _, x in i[p : p + n]]}
+        exact = all(v == {x} for (_, x), v in values.items())
+        best_typed.append((good, exact))
+        best_either.append((good | same, exact))
+        run |= any(all(r + k in good | same for k in range(D.RUN)) for r in good | same)
+    for found in (best_typed, best_either):
+        matched = set().union(*(x for x, _ in found))
+        share = len(matched) / len(starts)
+        if share >= D.SHARE or (run and found is best_either):
+            return len(matched), max((len(x), exact) for x, exact in found)[1]
+    return None
+
+
+def test_slots_against_brute_force(spark):
+    r = random.Random(11)
+    vocab, names, units = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in "nr"], ["Alice", "Bob", "Cecile", "Dora", "Emil"], ["km", "euros", "kg", "hours"]
+
+    def sentence(n):
+        out = []
+        while len(out) < n:
+            x = r.random()
+            out += [str(r.randrange(40)), r.choice(units)] if x < 0.1 else [str(r.randrange(9))] if x < 0.2 else [r.choice(names)] if x < 0.35 else [r.choice(vocab)]
+        return [out[0].capitalize() if out[0].isalpha() else out[0], *out[1:]]
+
+    def other(words):
+        swap = dict(zip(names, r.sample(names, len(names))))
+        numbers = {}
+        out = [swap.get(w, numbers.setdefault(w, str(r.randrange(90))) if w.isdigit() else r.choice(units) if w in units and r.random() < 0.2 else w) for w in words]
+        if r.random() < 0.3:
+            out[r.randrange(len(out))] = r.choice(names + vocab + ["7"])
+        return out
+
+    items = [(k, " ".join(sentence(r.choice([7, 9, 14, 30, 60])))) for k in range(14)]
+    items = [(k, t) for k, t in items if any(sum(x is None for x, _ in tokens(t)[p : p + D.WINDOW]) >= D.LITERALS for p in range(max(1, len(tokens(t)) - D.WINDOW + 1)))]
+    texts = []
+    for k in range(90):
+        w = sentence(r.choice([1, 8, 40]))
+        if k % 4:
+            part = r.choice(items)[1].split()
+            part = part[: max(1, int(len(part) * r.choice([0.4, 0.7, 1])))]
+            part = [x.lower() for x in part] if k % 4 == 1 else other(part) if k % 4 == 2 else part
+            at = r.randrange(len(w) + 1)
+            w[at:at] = part
+        texts.append((k, r.choice([" ", " ", "\n"]).join(w) + "."))
+    want = {(i, j): x for i, t in texts for j, u in items if (x := slow_leaks(t, u))}
+    assert len(want) > 30 and not all(x[1] for x in want.values())
+    assert {k: (v["matched"], v["exact"]) for k, v in leaks(spark, texts, items).items()} == want
+
+
+def test_names_at_the_beginning_of_a_sentence(spark):
+    texts = [(1, "solve this, then Alice bought 12 pens for 3 euros"), (2, "Bob bought 15 pens for 9 euros"), (3, "now: what is 2 + 2? or"), (4, "So name the capital."), (5, "Bob sold 15 pens for 9 euros"), (6, "then Eve bought 15 pens for 9 dollars. Well.")]
+    got = leaks(spark, texts, [(10, "Alice bought 12 pens for 3 euros"), (11, "What is 2 + 2?"), (12, "Name the capital")])
+    assert set(got) == {(1, 10), (2, 10), (3, 11), (4, 12), (6, 10)} and got[1, 10]["exact"] and not got[2, 10]["exact"]
+
+
+def test_very_long_texts(spark):
+    filler = "so it goes on and on " * 60_000
+    assert set(leaks(spark, [(1, filler + ITEM), (2, filler), (3, "x" * 2_000_000)], [(10, ITEM)])) == {(1, 10)}
+
+
 def test_rows_that_leak_go_and_all_else_stays(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (1, "clean", "b"), (2, None, None), (None, ITEM, "c"), (3, "clean", "d"), (3, "clean", "d")], "doc_id long, text string, __row_id string")
-    docs = docs.withColumnRenamed("__row_id", "source")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     got = sorted(map(tuple, D.drop_leaks(docs, bench).collect()), key=str)
     assert got == sorted([(1, "clean", "b"), (2, None, None), (3, "clean", "d"), (3, "clean", "d")], key=str)
