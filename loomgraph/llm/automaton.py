@@ -93,7 +93,7 @@ def _build(nfa: _Nfa, tree, start: int, fold: bool) -> int:
     return at
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Automaton:
     """step[state * classes + class_of[byte]] is the next state; state 0 is the start."""
 

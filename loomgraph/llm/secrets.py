@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_rules
-from .common import id_text
+from .common import id_text, tidy
 from .textkernel import Run, runs
 
 
@@ -59,6 +59,8 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: A piece goes on to the first cut after so many bytes.
 PIECE = 768
+#: Fewer pieces than this are quicker to walk byte by byte than to step together.
+FEW = 64
 SPAN = "array<struct<kind string, start int, end int>>"
 
 
@@ -101,8 +103,14 @@ def pieces(run: Run, resets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return starts, ends, np.searchsorted(run.borders, starts, "right") - 1
 
 
+@lru_cache(maxsize=4)
+def _rows_of(scan: Automaton) -> tuple[list[list[int]], list[int]]:
+    """Per state its next state by byte, and the rules that end there."""
+    return scan.step.reshape(-1, scan.classes)[:, scan.class_of].tolist(), scan.accepts.tolist()
+
+
 def hits(scan: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Bits of the rules that end somewhere in each piece, all pieces stepping together."""
+    """Bits of the rules that end somewhere in each piece, all pieces stepping together; the last FEW that still run go on one by one."""
     order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still running lead
     begin, length = starts[order], (ends - starts)[order]
     state = np.zeros(len(order), np.int32)
@@ -110,6 +118,17 @@ def hits(scan: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     klass, step, width, accepts = scan.class_of[raw], scan.step, np.int32(scan.classes), scan.accepts
     running = len(order) - np.searchsorted(length[::-1], np.arange(int(length[0]) if len(order) else 0), "right")
     for j, k in enumerate(running.tolist()):
+        if k < FEW:
+            rows, bits = _rows_of(scan)
+            for x in range(k):
+                at = int(begin[x]) + j
+                s, seen = int(state[x]), int(found[x])
+                for b in raw[at : at + int(length[x]) - j].tobytes():
+                    s = rows[s][b]
+                    if bits[s]:
+                        seen |= bits[s]
+                found[x] = seen
+            break
         s = step[state[:k] * width + klass[begin[:k] + j]]
         state[:k] = s
         found[:k] |= accepts[s]
@@ -194,7 +213,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """doc_id and spans (kind, start, end in code points, end exclusive) of every row, by start, then kind
     in rule order. Null and empty texts have no spans; repeated rows come repeated; null doc_ids stay
     null; extra columns are left out; an empty table gives no rows."""
-    return id_text(docs, id_col, text_col).mapInArrow(_reported(rules), f"doc_id long, spans {SPAN}")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(_reported(rules)), f"doc_id long, spans {SPAN}")
 
 
 def redact(text: str, spans: list[dict], mark: str = "[{}]") -> str:
@@ -230,7 +249,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     """docs with every secret in its text column replaced by the kind in brackets; texts without any stay
     as they are, null included, and so do all other columns (but n_chars, where there is one, follows)."""
     d = docs.withColumn("text", F.col("text").cast("string"))
-    out = d.mapInArrow(_redacted(rules), d.schema)
+    out = d.mapInArrow(tidy(_redacted(rules)), d.schema)
     return out.withColumn("n_chars", F.length("text").cast(d.schema["n_chars"].dataType)) if "n_chars" in d.columns else out
 
 

@@ -67,3 +67,26 @@ def test_whole_keys_go(spark):
     got = {x["doc_id"]: x["text"] for x in S.redact_secrets(df).collect()}
     want = ["é [private_key]\n-- é, and more."] * len(made) + ["[private_key]\n[private_key].", "The line [private_key] starts a key.\nIt goes on."]
     assert [got[k] for k in range(len(texts))] == want
+
+
+ADDED = {"web_token": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30), "host_token": (r"gh[pousr]_[A-Za-z0-9]+", 40), "chat_token": (r"xox[abprs]-[A-Za-z0-9-]+", 15), "private_key": (r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----", 27)}
+
+
+def test_added_kinds_match_brute_force():
+    r = random.Random(6)
+    bits = ["eyJ", "abc", "A1_b-", ".", "gh", "ghp_", "ghs_", "xoxb-", "xoxp", "-12", "Zz9" * 9, " ", "\n", "é", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "secret=", "0f" * 17]
+    texts = ["".join(r.choice(bits) for _ in range(r.choice([4, 25, 80, 1200]))) for _ in range(300)]
+    batch = pa.record_batch({"d": pa.array(range(len(texts)), pa.int64()), "t": pa.array(texts, pa.string())})
+    got = [x for b in S._reported(S.RULES)(iter([batch])) for x in b.to_pylist()]
+    for text, row in zip(texts, got):
+        for kind, (pattern, least) in ADDED.items():
+            want = [m.span() for m in re.finditer(pattern, text, re.A) if m.end() - m.start() >= least]
+            found = [(s["start"], s["end"]) for s in row["spans"] if s["kind"] == kind]
+            assert (found == want) if kind != "private_key" else ([a for a, _ in found] == [a for a, _ in want] and all(x[1] >= y[1] for x, y in zip(found, want))), kind
+
+
+def test_long_texts_without_line_breaks():
+    r = random.Random(7)
+    for alphabet in (["alpha ", "beta ", "secret ", "x12 "], list("ABCDEFGHabcdefghijkeyJ0123456789+/"), ["eyJ"], ["ghp_"]):
+        text = "".join(r.choice(alphabet) for _ in range(300_000))[:400_000] + " token=abcdefgh1"
+        assert base_spans([text, "hex " + "0a" * 20])[0] == brute(text)
