@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, tidy
 from .textkernel import LOWER, Run, U, mix, runs
 
 BUCKETS = 1 << 18
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000, id_col: str
     """
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "toxic").limit(most_rows)
     some = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    got = some.mapInArrow(_training_terms, "terms binary, toxic int").toPandas().drop_duplicates().sort_values(["terms", "toxic"])
+    got = some.mapInArrow(tidy(_training_terms), "terms binary, toxic int").toPandas().drop_duplicates().sort_values(["terms", "toxic"])
     return train([np.frombuffer(x, "<u4").astype(np.int64) for x in got["terms"]], got["toxic"].to_numpy() == 1)
 
 
@@ -158,7 +158,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     Null and empty texts score by the machine's bias. Repeated rows score alike; null doc_ids stay null;
     extra columns are left out; an empty table gives no rows. The machine has a fixed size (2 MB).
     """
-    return id_text(docs, id_col, text_col).mapInArrow(_scored(machine), "doc_id long, score double")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(_scored(machine)), "doc_id long, score double")
 
 
 def _kept(m: Machine, at: int, threshold: float):
@@ -175,9 +175,9 @@ def _kept(m: Machine, at: int, threshold: float):
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs without the rows that score at least threshold; all columns, nulls and repeats of the others stay."""
     d = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return d.mapInArrow(_kept(machine, d.columns.index(text_col), threshold), d.schema)
+    return d.mapInArrow(tidy(_kept(machine, d.columns.index(text_col), threshold)), d.schema)
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that are never learnt from: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+    """Rows that are never learnt from: crc32 of the id as text, modulo 5, is 0; and those without id, which labels cannot name."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
