@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, tidy
 from .textkernel import SAME, runs, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -108,7 +108,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of characters other than 0x20, 0x09-0x0D. Repeated rows come repeated; null doc_ids
     stay null; extra columns are left out; an empty table gives no rows.
     """
-    return id_text(docs, id_col, text_col).mapInArrow(_stats, f"doc_id long, {STATS}")
+    return id_text(docs, id_col, text_col).mapInArrow(tidy(_stats), f"doc_id long, {STATS}")
 
 
 @dataclass(frozen=True)
@@ -206,9 +206,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_co
     """Rules for label_col <> good, from at most most_rows labelled rows (the bound on what is collected).
 
     The rows are those with the least hash of their id, so that runs agree. Labels that are null or of
-    ids without a text say nothing; without labels of both kinds there are no rules.
+    ids without a text say nothing, and one given again says nothing new; without labels of both kinds there are no rules.
     """
-    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) != good).alias("bad")).where("doc_id is not null and bad is not null").orderBy(F.xxhash64("doc_id"), "bad").limit(most_rows)
+    chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) != good).alias("bad")).where("doc_id is not null and bad is not null").distinct().orderBy(F.xxhash64("doc_id"), "bad").limit(most_rows)
     some = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     stats = text_statistics(some).join(F.broadcast(chosen), "doc_id").select(*(F.expr(sql).cast("double").alias(k) for k, sql in FEATURES.items()), "bad").toPandas()
     bad = stats["bad"].to_numpy(dtype=bool)

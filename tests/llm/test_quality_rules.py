@@ -60,3 +60,18 @@ def test_every_count_is_computed():
     batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array([line * 3])})
     row = next(Q._stats(iter([batch]))).to_pylist()[0]
     assert set(row) == {"doc_id", *Q.COUNTS} and all(row[k] > 0 for k in Q.COUNTS)
+
+
+def test_verdicts_match_brute_force_and_repeated_labels_change_nothing(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{r.integers(400)}{'#' if r.random() < 0.4 * (i % 2) else ''}" for _ in range(r.integers(5, 80))) for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, rule string, n_words int")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(240)], "doc_id long, quality int")
+    rules = Q.fit_rules(docs, labels)
+    assert rules and Q.fit_rules(docs, labels.union(labels).union(labels)) == rules
+    out = {x["doc_id"]: x for x in Q.apply_rules(docs, rules).collect()}
+    stats = Q.text_statistics(docs).selectExpr("doc_id", *(f"cast({sql} as double) as {k}" for k, sql in Q.FEATURES.items())).toPandas()
+    for i, row in stats.set_index("doc_id").iterrows():
+        fires = [k for k, rule in enumerate(rules, 1) if all((row[name] >= cut) if up else (row[name] < cut) for name, up, cut in rule.conditions)]
+        assert out[i]["rule"] == (fires[0] if fires else None)
+        assert out[i]["kept"] == (not out[i]["base_failed"] and not fires)
