@@ -50,9 +50,10 @@ class Cancellation:
 
 
 class ResultCache:
-    """Persisted frames of graph prefixes that end in nodes marked cache_enabled, by what they compute."""
+    """Persisted frames of graph prefixes that end in nodes marked cache_enabled, by what they compute: the last most used."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = 32) -> None:
+        self.most = most
         self._frames: dict[str, tuple[str, str, DataFrame]] = {}
         self._lock = threading.Lock()
 
@@ -66,13 +67,18 @@ class ResultCache:
 
     def get(self, key: str) -> DataFrame | None:
         with self._lock:
-            held = self._frames.get(key)
-            return held[2] if held else None
+            held = self._frames.pop(key, None)
+            if held is None:
+                return None
+            self._frames[key] = held  # now the last used
+            return held[2]
 
     def put(self, key: str, graph: Graph, node: str, frame: DataFrame) -> DataFrame:
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         with self._lock:
             self._frames[key] = (graph.nodes[node].type, node, frame)
+            while len(self._frames) > self.most:
+                self._frames.pop(next(iter(self._frames)))[2].unpersist()
         return frame
 
     def clear(self, type: str | None = None, nodes: set[str] | None = None) -> int:

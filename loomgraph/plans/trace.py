@@ -17,9 +17,8 @@ def node_summary(trace: DataFrame, order: str = "seq", node: str = "node_id", du
     aggs += [F.coalesce(F.bool_or(F.col(error).isNotNull()), F.lit(False)).alias("failed")] if error else []
     aggs += [F.max_by(level, order).alias("level")] if level else []
     per = trace.groupBy(node).agg(*aggs)
-    # one row on the right: the greatest last duration
-    most = per.agg(F.greatest(F.coalesce(F.max("last_ms"), F.lit(0.0)), F.lit(1.0)).alias("__most"))
-    return per.join(F.broadcast(most)).withColumn("width", F.greatest(F.lit(0.1), F.col("last_ms") / F.col("__most"))).drop("__most")
+    most = per.agg(F.greatest(F.coalesce(F.max("last_ms"), F.lit(0.0)), F.lit(1.0))).scalar()
+    return per.withColumn("width", F.greatest(F.lit(0.1), F.col("last_ms") / most))
 
 
 def slowest(trace: DataFrame, n: int = 5, duration: str = "duration_ms", ties: tuple[str, ...] = ("node_id",)) -> DataFrame:

@@ -245,3 +245,15 @@ def test_time_saved_and_compatible_nodes(spark):
     ports = spark.createDataFrame([("A", "input", "float", None), ("B", "input", "list", "int"), ("C", "output", "int", None), ("D", "input", "any", None), ("E", "input", "list", "string")], "type string, direction string, kind string, item string")
     names = lambda *a: {r[0] for r in trace.compatible_nodes(ports, *a).collect()}
     assert names("int") == {"A", "D"} and names("list", "int") == {"B", "D"}
+
+
+def test_the_cache_holds_the_last_used(spark):
+    from loomgraph.plans.runtime import ResultCache
+
+    cache, g, frame = ResultCache(most=2), Graph(diamond().payload()), spark.range(1)
+    for k in "xy":
+        cache.put(k, g, "a", frame.selectExpr(f"'{k}' AS c"))
+    assert cache.get("x") is not None
+    cache.put("z", g, "b", frame.selectExpr("'z' AS c"))
+    assert cache.get("y") is None and cache.get("x") is not None and cache.size == 2
+    assert cache.clear() == 2
