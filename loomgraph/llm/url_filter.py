@@ -13,16 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .textkernel import U, mix
 
 #: Bits a key in a filter, and the positions each key sets.
 BITS, PROBES = 10, 4
-#: Levels after which the build gives up: two keys with one 64-bit hash cannot be told apart.
+#: Levels after which the build gives up; each lets about 1 % of the keys through.
 MOST_LEVELS = 60
+#: Bytes of a cascade that go to every task at most, some 400 million listed keys.
+MOST_BYTES = 1 << 30
 
 
 def _positions(h: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -76,8 +79,10 @@ def _words(level: int, bits: int):
 def _bloom(keys: DataFrame, n: int, level: int) -> Bloom:
     bits = max(64, n * BITS)
     words = np.zeros(-(-bits // 64), np.uint64)
-    for w, v in keys.mapInArrow(_words(level, bits), "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toLocalIterator():
-        words[w] = np.int64(v).view(np.uint64)
+    if words.nbytes > MOST_BYTES:
+        raise ValueError(f"{n} listed keys need a filter of {words.nbytes} bytes, more than MOST_BYTES")
+    found = keys.mapInArrow(tidy(_words(level, bits)), "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()  # no more than the filter has words
+    words[found.column("word").to_numpy()] = found.column("set").to_numpy().view(np.uint64)
     return Bloom(level, bits, words)
 
 
@@ -90,17 +95,25 @@ def _passing(f: Bloom):
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """listed and universe: key hashes in a column h. universe may hold listed keys too, and repeats."""
-    inside = written(listed.select("h").where("h is not null").distinct(), "cascade-listed")
-    outside = written(universe.select("h").where("h is not null").distinct().join(inside, "h", "left_anti"), "cascade-universe")
+    """listed and universe: 64-bit hashes of keys in a column h, and other hashes of the same keys in a column g.
+
+    universe may hold listed keys too, and repeats. A key that is not listed but has the h of one that is
+    shows by its g: the filters could not tell the two apart, so the build raises ValueError.
+    """
+    keys = lambda df: df.select("h", "g").where("h is not null").distinct()
+    named = written(keys(listed), "cascade-listed")
+    others = written(keys(universe).join(named, ["h", "g"], "left_anti"), "cascade-universe")
+    if not others.join(named.select("h"), "h", "left_semi").isEmpty():
+        raise ValueError("listed and unlisted keys share a hash")
+    inside, outside = named.select("h"), others.select("h")
     levels: list[Bloom] = []
     n = inside.count()
     while n:
         if len(levels) >= MOST_LEVELS:
-            raise ValueError("listed and unlisted keys share a hash")
+            raise ValueError(f"{n} keys still pass after {MOST_LEVELS} filters")
         level = _bloom(inside, n, len(levels))
         levels.append(level)
-        inside, outside = written(outside.mapInArrow(_passing(level), "h long"), "cascade-level"), inside
+        inside, outside = written(outside.mapInArrow(tidy(_passing(level)), "h long"), "cascade-level"), inside
         n = inside.count()
     return Cascade(levels)
 
@@ -125,8 +138,9 @@ def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.transform(F.array_sort(keys), lambda k: k["key"])
 
 
-def _judged(listed: Cascade, blocked: Cascade):
+def _judged(cascades: Broadcast[tuple[Cascade, Cascade]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, blocked = cascades.value
         for batch in batches:
             hashes = batch.column("hashes")
             sizes = hashes.value_lengths().to_numpy(zero_copy_only=False)
@@ -158,11 +172,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     lengths = sorted(r[0] for r in rules.select(F.when(F.instr("key", "/") > 0, F.length("key") - F.instr("key", "/") + 1).otherwise(0)).distinct().collect())
     host, path = url_parts(F.col(url_col))
     d = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("keys", url_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>"))
-    universe = d.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h"))
-    hashed = rules.select(F.xxhash64("key").alias("h"), "verdict")
+    hashes = F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g")
+    universe = d.select(F.explode("keys").alias("key")).select(*hashes)
+    hashed = rules.select(*hashes, "verdict")
     listed = build_cascade(hashed, universe)
     blocked = build_cascade(hashed.where("verdict = 'block'"), hashed)
     d = d.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    out = d.mapInArrow(_judged(listed, blocked), f"id {dict(d.dtypes)['id']}, host string, path string, keys array<string>, which int, blocked boolean")
+    both = pages.sparkSession.sparkContext.broadcast((listed, blocked))  # within MOST_BYTES each
+    out = d.mapInArrow(tidy(_judged(both)), f"id {dict(d.dtypes)['id']}, host string, path string, keys array<string>, which int, blocked boolean")
     fits = F.col("which") > 0
     return out.select(F.col("id").alias(id_col), "host", "path", F.when(fits, F.get("keys", F.col("which") - 1)).alias("rule"), F.when(fits, F.when(F.col("blocked"), "block").otherwise("allow")).otherwise(default).alias("verdict"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomgraph.llm import url_filter as L
 
@@ -35,7 +36,27 @@ def test_matches_brute_force(spark):
 def test_cascade_is_exact_over_its_universe(spark):
     r = np.random.default_rng(2)
     keys = r.integers(-(2**63), 2**63, 4000)
-    as_df = lambda x: spark.createDataFrame([(int(k),) for k in x], "h long")
+    as_df = lambda x: spark.createDataFrame([(int(k), int(k) ^ 5) for k in x], "h long, g long")
     cascade = L.build_cascade(as_df(keys[:300]), as_df(keys))
     assert len(cascade.levels) > 1
     assert (cascade.has(keys.view(np.uint64)) == (np.arange(4000) < 300)).all()
+
+
+def test_a_shared_hash_is_seen(spark):
+    listed, universe = spark.createDataFrame([(1, 1)], "h long, g long"), spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "h long, g long")
+    with pytest.raises(ValueError, match="share a hash"):
+        L.build_cascade(listed, universe)
+
+
+def test_a_filter_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_BYTES", 8)
+    keys = spark.createDataFrame([(k, k) for k in range(90)], "h long, g long")
+    with pytest.raises(ValueError, match="MOST_BYTES"):
+        L.build_cascade(keys, keys)
+
+
+def test_very_long_urls(spark):
+    urls = ["http://example.org/es/" + "a" * 300_000, "http://" + "a." * 400 + "com/de/x", "x" * 300_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: tuple(r)[1:] for r in L.filter_urls(df, spark.createDataFrame(list(RULES.items()), "rule string, verdict string")).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
