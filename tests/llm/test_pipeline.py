@@ -44,3 +44,27 @@ def test_toxic_rows_go_by_the_score(spark):
 
 def test_every_number_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries() if k != "pipeline") == list(range(1, 11))
+
+
+def test_stages_on_nulls_repeats_clashing_columns_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    schema = docs.schema.add("key", "string").add("component", "long").add("score", "double").add("spans", "string").add("ids", "integer")
+    text = "The same words again and again, twice in this table and no more than that, all told."
+    rows = [(None, None, None, None, None), (None, text, "en", None, 3), (901, "", "en", "s", 0), (901, "", "en", "s", 0), (902, text, None, "s", None), (902, text, None, "s", None), (903, "my password=abcdefgh12345 is it", "en", "s", 31), (904, "long " * 50_000, "en", "s", 1)]
+    odd = spark.createDataFrame([(*r, "k", 1, 0.5, "sp", 2) for r in rows], schema)
+    for name, stage in P.STAGES:
+        got = stage(spark, odd, SF)
+        empty = stage(spark, odd.limit(0), SF)
+        assert empty.count() == 0 and empty.columns == got.columns, name
+        if name == "byte_bpe":
+            assert got.count() == len(rows) and got.columns == ["doc_id", "n_tokens", "ids", "n_bytes"]
+            continue
+        assert got.columns == odd.columns, name
+        kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect()))
+        want = sorted((r[0] or 0, r[1] or "") for r in rows)
+        if name == "near_duplicates":  # of the three rows with one text the first id stays, once
+            want = [x for x in want if x != (0, text)]
+            want.remove((902, text))
+        if name == "secrets":
+            want = sorted((d, "my [assign] is it" if d == 903 else t) for d, t in want)
+        assert kept == want, name
