@@ -6,6 +6,9 @@ All of it is built-in Column work; the static type of a value decides which form
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _UNSET = object()
+#: Where errors of rows are put while a node is built that collects them; None: they are raised.
+_errors: ContextVar[list[Column] | None] = ContextVar("errors", default=None)
 #: Characters that Python strips, without those beyond the Basic Latin white space that Java's class has, too.
 SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _FLOAT = r"(?i)^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?|inf(?:inity)?|nan)$"
@@ -135,6 +140,27 @@ def widest(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.StringType()
 
 
+@contextmanager
+def collecting() -> Iterator[list[Column]]:
+    """Messages of the rows that fail in what is built meanwhile, null for the others; nothing raises."""
+    found: list[Column] = []
+    token = _errors.set(found)
+    try:
+        yield found
+    finally:
+        _errors.reset(token)
+
+
+def failing(test: Column, message: Column | str, value: Column) -> Column:
+    """value, but an error where test holds: raised, or noted with null in its place."""
+    message = F.lit(message) if isinstance(message, str) else message
+    found = _errors.get()
+    if found is None:
+        return F.when(test, F.raise_error(message)).otherwise(value)
+    found.append(F.when(test, message))
+    return F.when(~test | test.isNull(), value)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, SPACE, "")
 
@@ -163,9 +189,10 @@ def number(v: Value, default: float) -> Column:
         return F.lit(float(default))
     c = v.col
     if is_text(v.type):
-        c = F.when(c == "", F.lit(None)).otherwise(F.coalesce(text_to_double(c), F.raise_error(F.concat(F.lit("could not convert string to float: "), c)).cast("double")))
+        read = F.when(c != "", text_to_double(c))
+        c = failing(F.coalesce((c != "") & read.isNull(), F.lit(False)), F.concat(F.lit("could not convert string to float: "), c), read)
     elif not (is_number(v.type) or is_bool(v.type)):
-        c = F.raise_error(F.lit(f"not a number: {v.type.simpleString()}"))
+        c = failing(c.isNotNull(), f"not a number: {v.type.simpleString()}", F.lit(None).cast("double"))
     c = c.cast("double")
     return F.coalesce(F.when(c != 0, c), F.lit(float(default)))
 

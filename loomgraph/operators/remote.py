@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import Value, is_text, number, pystr, truthy, whole
+from ..functions.exprs import Value, failing, is_text, number, pystr, truthy, whole
 from ..registry import node, port
 from ..sources.clients import factory
 from .inputs import Inputs
@@ -92,9 +92,8 @@ def get_frame(v: Inputs) -> dict[str, Column]:
     if "image" not in getattr(s.type, "fieldNames", lambda: [])():
         raise TypeError("port 'stream' takes a frame of a streaming source")
     image = s.col["image"]
-    missing = F.raise_error(F.lit("no frame available")).cast("string")
     return {
-        "image": F.when(image.isNull() & truthy(v["require_frame"]), missing).otherwise(image),
+        "image": failing(image.isNull() & truthy(v["require_frame"]), "no frame available", image),
         "has_frame": image.isNotNull(),
         "timestamp": F.coalesce(s.col["timestamp"].cast("double"), F.unix_micros(F.current_timestamp()) / 1e6),
         "width": s.col["width"].cast("long"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, bounds, coerce, falsy_or, is_bool, is_number, is_text, number, pymod, pystr, same, strip, text_or_empty, text_to_double, truthy, whole
+from ..functions.exprs import Value, bounds, coerce, failing, falsy_or, is_bool, is_number, is_text, number, pymod, pystr, same, strip, text_or_empty, text_to_double, truthy, whole
 from ..registry import node, port
 from .inputs import Inputs
 
@@ -110,13 +110,13 @@ def rounded(v: Inputs) -> Column:
 @node("core.math.floor", [port("value: float", 0)], ["result: int"], category="Math")
 def floor(v: Inputs) -> Column:
     x = number(v["value"], 0)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("cannot convert to integer")).cast("long")).otherwise(F.floor(x))
+    return failing(F.isnan(x) | (F.abs(x) == float("inf")), "cannot convert to integer", F.floor(x))
 
 
 @node("core.math.ceil", [port("value: float", 0)], ["result: int"], category="Math")
 def ceil(v: Inputs) -> Column:
     x = number(v["value"], 0)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.raise_error(F.lit("cannot convert to integer")).cast("long")).otherwise(F.ceil(x))
+    return failing(F.isnan(x) | (F.abs(x) == float("inf")), "cannot convert to integer", F.ceil(x))
 
 
 @node("core.math.mod", [port("a: float", 0), port("b: float", 1)], ["result: float"], category="Math")
@@ -161,13 +161,13 @@ def compare(v: Inputs) -> Column:
     counts = lambda t: is_number(t) or is_bool(t)
     if (counts(a.type) and counts(b.type)) or (is_text(a.type) and is_text(b.type)) or (type(a.type) is type(b.type) and isinstance(a.type, (T.ArrayType, T.TimestampType, T.DateType))):
         x, y = (w.col.cast("int") if is_bool(w.type) else w.col for w in (a, b))
-        bad = F.raise_error(F.lit("cannot order null")).cast("boolean")
-        ordered = lambda test: F.when(x.isNull() | y.isNull(), bad).otherwise(test)
-        tests = {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}
+        tests, bad, message = {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}, x.isNull() | y.isNull(), "cannot order null"
     else:
-        bad = F.raise_error(F.lit(f"cannot order {a.type.simpleString()} and {b.type.simpleString()}")).cast("boolean")
-        ordered, tests = (lambda test: test), dict.fromkeys((">", ">=", "<", "<="), bad)
-    options = {"==": same(a, b), "!=": ~same(a, b)} | {k: ordered(t) for k, t in tests.items()}
+        tests, bad, message = dict.fromkeys((">", ">=", "<", "<="), F.lit(None).cast("boolean")), F.lit(True), f"cannot order {a.type.simpleString()} and {b.type.simpleString()}"
+    op = v["op"]
+    asked = lambda k: F.lit(op.const == k) if op.is_const else F.coalesce(op.col == k, F.lit(False))
+    wanted = [op.const] if op.is_const else list(tests)
+    options = {"==": same(a, b), "!=": ~same(a, b)} | {k: failing(bad & asked(k), message, t) for k, t in tests.items() if k in wanted}
     if v["op"].is_const:
         return options.get(v["op"].const, F.lit(False))
     out = F.lit(False)

@@ -16,11 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, constant, steps, truthy, whole, widest
+from ..functions.exprs import Value, collecting, constant, steps, truthy, whole, widest
 from ..operators.inputs import Inputs
 from .graph import Graph, GraphError, Node, is_control
 
 
+#: The column of a table's run that says which nodes failed for a row and why, with option on_error collect.
+ERRORS = "_errors"
+
+
 class Scope:
     """Where values live while a part of a graph is compiled.
 
@@ -51,13 +55,18 @@ class Compiled:
     guards: dict[str, str]
     order: list[str]
     logs: dict[str, str] = field(default_factory=dict)
+    errors: dict[str, str] | None = None
 
     def select(self, graph: Graph) -> DataFrame:
-        """The named outputs, or every port where none of them was computed."""
+        """The named outputs, or every port where none of them was computed; with errors collected also ERRORS, by node."""
         named = [(o.alias, self.columns[o.node, o.port]) for o in graph.outputs if (o.node, o.port) in self.columns]
         if not named:
             named = [(f"{n}.{p}", c) for (n, p), c in self.columns.items()]
-        return self.frame.select(*(F.col(_q(c)).alias(a) for a, c in named))
+        chosen = [F.col(_q(c)).alias(a) for a, c in named]
+        if self.errors is not None:
+            entries = F.array(*(F.struct(F.lit(n).alias("k"), F.col(_q(c)).alias("v")) for n, c in self.errors.items())) if self.errors else F.array().cast("array<struct<k:string,v:string>>")
+            chosen.append(F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias(ERRORS))
+        return self.frame.select(*chosen)
 
 
 def _q(name: str) -> str:
@@ -65,7 +74,7 @@ def _q(name: str) -> str:
 
 
 class Compiler:
-    def __init__(self, graph: Graph, source: DataFrame | None, spark: SparkSession, order: list[str] | None = None, seed: int = 0, keep: bool = True):
+    def __init__(self, graph: Graph, source: DataFrame | None, spark: SparkSession, order: list[str] | None = None, seed: int = 0, keep: bool = True, collect: bool = False):
         self.graph, self.spark, self.seed = graph, spark, seed
         self.order = graph.order if order is None else order
         self.frame = spark.range(1).select() if source is None else source
@@ -74,6 +83,8 @@ class Compiler:
         self.columns: dict[tuple[str, str], str] = {}
         self.guards: dict[str, str] = {}
         self.logs: dict[str, str] = {}
+        #: Columns of error messages, if they are collected.
+        self.errors: dict[str, str] | None = {} if collect else None
         #: Types of ports within loops, as the last build over shadows found them.
         self.inner_types: dict[tuple[str, str], T.DataType] = {}
 
@@ -111,7 +122,7 @@ class Compiler:
                     if isinstance(v, _Pending):
                         v = self.scope.values[v.key]
                         self.scope.variables[name] = (v, v)
-        return Compiled(self.frame, self.columns, self.guards, self.order, self.logs)
+        return Compiled(self.frame, self.columns, self.guards, self.order, self.logs, self.errors)
 
     def _depth(self, n: str, wanted: set[str]) -> int:
         """Level of a node; variables are read after all that set them before in the graph's order."""
@@ -171,8 +182,20 @@ class Compiler:
             self.scope.probe = self.frame
             out = {}
         else:
-            built = self._build(node, self.scope, False)
             out = {}
+            if self.errors is None:
+                built = self._build(node, self.scope, False)
+            else:
+                with collecting() as found:
+                    built = self._build(node, self.scope, False)
+                above = [F.when(F.col(_q(self.errors[x])).isNotNull(), F.lit("dependency_failed")) for x in sorted({link.source for (t, _), link in self.graph.data_in.items() if t == n}) if x in self.errors]
+                if found or above:
+                    error = F.coalesce(*above, *found)
+                    error = error if guard is None else F.when(guard, error)
+                    built = {port: F.when(error.isNull(), column) for port, column in built.items()}
+                    # within a level no node hangs on another, so the column is there for those that do
+                    out[n, "$error"] = error
+                    self.errors[n] = f"{n}.$error"
             for port, column in built.items():
                 if guard is not None:
                     column = F.when(guard, column)

@@ -152,7 +152,8 @@ class Engine:
         if drop:
             self.cache.clear(nodes=drop)
         marked = [n for n in order if graph.nodes[n].cached and graph.nodes[n].spec.cache_policy != "disabled" and graph.nodes[n].spec.style != "control" and n not in graph.loop_of] if use_cache else []
-        compiled = Compiler(graph, source, self.spark, order, seed).compile()
+        collect = options.get("on_error") == "collect"
+        compiled = Compiler(graph, source, self.spark, order, seed, collect=collect).compile()
         hits: set[str] = set()
         if marked and not (set(marked) & forced):
             key = self.cache.key(graph, marked[-1], source, seed)
@@ -163,7 +164,11 @@ class Engine:
         return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits, fail_fast=bool(options.get("fail_fast", False)))
 
     def table(self, payload: dict[str, Any] | Graph, source: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
-        """A row of outputs for each row of the source."""
+        """A row of outputs for each row of the source.
+
+        A row that a node rejects fails the job; with option on_error collect its outputs from there on are null and
+        `_errors` has the node's message (dependency_failed for those that hang on it). Loop bodies and calls raise always.
+        """
         run = self.compile(payload, source, options)
         self._running.pop(run.id, None)
         return run.frame

@@ -257,3 +257,21 @@ def test_the_cache_holds_the_last_used(spark):
     cache.put("z", g, "b", frame.selectExpr("'z' AS c"))
     assert cache.get("y") is None and cache.get("x") is not None and cache.size == 2
     assert cache.clear() == 2
+
+
+def test_errors_of_rows_are_collected(spark):
+    df = spark.createDataFrame([(1, "2.5", 1.0), (2, "abc", 1.0), (3, None, None), (4, "7", float("nan")), (5, "", 3.0)], "i int, t string, v double")
+    g = Flow()
+    low = g.node("core.math.min", id="low", a=g.col("t"), b=5)
+    after = g.node("core.math.add", id="after", a=low.result, b=1)
+    down = g.node("core.math.floor", id="down", value=g.col("v"))
+    less = g.node("core.logic.compare", id="less", a=g.col("v"), b=2.0, op="<")
+    g.keep("i").out(low=low.result, after=after.sum, down=down.result, less=less.result)
+    got = {r["i"]: (r["low"], r["after"], r["down"], r["less"], r["_errors"]) for r in Engine(spark).table(g.payload(), df, {"on_error": "collect"}).collect()}
+    assert got[1] == (2.5, 3.5, 1, True, {})
+    assert got[2] == (None, None, 1, True, {"low": "could not convert string to float: abc", "after": "dependency_failed"})
+    assert got[3] == (0.0, 1.0, 0, None, {"less": "cannot order null"})
+    assert got[4][2:] == (None, False, {"down": "cannot convert to integer"}) and got[5][4] == {}
+    with pytest.raises(Exception, match="could not convert"):
+        Engine(spark).table(g.payload(), df.where("i = 2")).collect()
+    assert "_errors" not in Engine(spark).table(g.payload(), df).columns
