@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import groups, segment_counts
-from .common import shared_dir
+from .common import shared_dir, tidy
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -34,9 +34,10 @@ def tokenizer_version(path: str) -> tuple[str, bool]:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """What the cache holds; nothing where there is none yet."""
+    """A row a digest, however often runs at the same time or retried ones appended it; nothing where there is no cache yet."""
     try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path)
+        found = spark.read.schema(CACHE_SCHEMA).parquet(path)
+        return found.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -82,6 +83,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     norm = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")) if folds else text
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(F.concat(F.lit(version + "\n"), norm), 256)).alias("digest"), norm.alias("norm"))
     cache = read_cache(spark, cache_path)
-    missing = keyed.select("digest", "norm").mapInArrow(_once, "digest binary, norm string").join(cache, "digest", "left_anti")
-    missing.repartition("digest").mapInArrow(_counted(tokenizer_path), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    missing = keyed.select("digest", "norm").mapInArrow(tidy(_once), "digest binary, norm string").join(cache, "digest", "left_anti")
+    missing.repartition("digest").mapInArrow(tidy(_counted(tokenizer_path)), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     return keyed.join(read_cache(spark, cache_path), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
