@@ -15,11 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rank_encoding
-from .common import id_text
+from .common import id_text, tidy
 
 CHUNK = 1 << 15
 OVERLAP = 256
@@ -76,14 +77,20 @@ def _rows(docs: list, ids: list[np.ndarray], decoded: list[bytes]) -> pa.RecordB
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """copy tells equal rows apart: their number within the task, so that it is the same in whatever order a task reads."""
+    task = TaskContext.get().partitionId() << 32
+    met: dict[tuple[int | None, str], int] = {}
     for batch in batches:
         for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2)):
             text = text.as_py()
             n = -(-len(text) // CHUNK)
+            row = doc.as_py(), key.as_py()
+            met[row] = met.get(row, -1) + 1
             yield pa.record_batch(
                 {
                     "doc_id": pa.array([doc.as_py()] * n, pa.int64()),
                     "key": pa.array([key.as_py()] * n, pa.string()),
+                    "copy": pa.array([task + met[row]] * n, pa.int64()),
                     "k": pa.array(range(n), pa.int64()),
                     "chunk": pa.array([text[i * CHUNK : (i + 1) * CHUNK + OVERLAP] for i in range(n)], pa.string()),
                 }
@@ -124,15 +131,14 @@ def _stitched(path: str, pattern: str):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         codec = rank_encoding(path, pattern)
         k = t.column("k").to_numpy()
-        copies = int((k == 0).sum())  # equal rows come to one group
-        order = np.unique(k, return_index=True)[1]
+        order = np.argsort(k)
         take = lambda c: [t.column(c)[int(i)].as_py() for i in order]
         ids, decoded = [], []
         for piece in stitch(take("chunk"), take("head"), take("tail")):
             x = codec.encode_ordinary(piece)
             ids.append(np.array(x, np.int32))
             decoded.append(codec.decode_bytes(x))
-        row = _rows([key[0].as_py()] * copies, [np.concatenate(ids)] * copies, [b"".join(decoded)] * copies)
+        row = _rows([key[0].as_py()], [np.concatenate(ids)], [b"".join(decoded)])
         return pa.Table.from_batches([row])
 
     return run
@@ -144,11 +150,12 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Returns one row per input row: doc_id, n_tokens, ids, decoded (the bytes of the ids' tokens in order).
     Null and empty texts have no ids and no bytes. Repeated rows come repeated, rows with a null doc_id
     with a null one. Extra columns are left out; an empty table gives no rows. Only texts longer than
-    CHUNK characters are shuffled; their chunks are the unit of pre-tokenising, the text that of encoding.
+    CHUNK characters are shuffled; their chunks are the unit of pre-tokenising, the text that of encoding: no
+    task group holds more than one row, however often it is repeated.
     """
     d = id_text(docs, id_col, text_col)
-    short = d.where(F.length("text") <= CHUNK).mapInArrow(_encode(ranks_path, pattern), OUT)
+    short = d.where(F.length("text") <= CHUNK).mapInArrow(tidy(_encode(ranks_path, pattern)), OUT)
     long = d.where(F.length("text") > CHUNK).select("doc_id", F.sha2("text", 256).alias("key"), "text")
-    chunks = long.mapInArrow(_chunks, "doc_id long, key string, k long, chunk string").repartition(F.col("key"), F.col("k"))
-    cut = chunks.mapInArrow(_pretokenised(pattern), "doc_id long, key string, k long, chunk string, head array<long>, tail array<long>")
-    return short.union(cut.groupBy("doc_id", "key").applyInArrow(_stitched(ranks_path, pattern), OUT))
+    chunks = long.mapInArrow(tidy(_chunks), "doc_id long, key string, copy long, k long, chunk string").repartition("key", "copy", "k")
+    cut = chunks.mapInArrow(tidy(_pretokenised(pattern)), "doc_id long, key string, copy long, k long, chunk string, head array<long>, tail array<long>")
+    return short.union(cut.groupBy("doc_id", "key", "copy").applyInArrow(_stitched(ranks_path, pattern), OUT))

@@ -70,3 +70,21 @@ def test_cache_grows_by_distinct_misses_only(spark):
     again = token_counts.count_tokens(df.union(spark.createDataFrame([(99, "new one")], df.schema)), WORDS, path)
     assert again.count() == len(rows) + 1 and spark.read.parquet(path).count() == n + 1
     assert token_counts.count_tokens(df.limit(0), WORDS, path).count() == 0
+
+
+def test_a_cache_that_has_digests_twice_gives_each_row_once(spark):
+    df = spark.createDataFrame([(1, "a b c", 7), (2, "d e", 8), (3, None, 9)], "doc_id long, text string, n_tokens long")
+    path = token_counts.shared_dir(spark, "cache")
+    want = sorted(map(tuple, token_counts.count_tokens(df, WORDS, path).collect()))
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(map(tuple, token_counts.count_tokens(df, WORDS, path).collect())) == want and len(want) == 3
+    assert spark.read.parquet(path).count() == 6  # nothing was missing
+
+
+def test_copies_of_long_texts(spark):
+    long = "word and wörd " * 4000
+    df = spark.createDataFrame([(None, long)] * 3 + [(7, long)] * 2 + [(8, long + "x")], "doc_id long, text string").repartition(2)
+    ranks, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    got = sorted(((r["doc_id"] or 0, bytes(r["decoded"]).decode(), tuple(r["ids"])) for r in bpe_codec.bpe_round_trip(df, ranks, pattern).collect()))
+    ids = tuple(bpe.rank_encoding(ranks, pattern).encode_ordinary(long))
+    assert [(d, t == long, i == ids) for d, t, i in got] == [(0, True, True)] * 3 + [(7, True, True)] * 2 + [(8, False, False)]
