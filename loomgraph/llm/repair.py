@@ -1,7 +1,7 @@
 """Token ids in binary files compressed by Re-Pair grammars, one grammar a shard.
 
 Within a shard the most frequent pairs of adjacent ids are replaced by new symbols (nonterminals), again
-and again. Each round ranks all pairs that occur often enough and replaces every occurrence whose rank
+and again, until no pair is worth its rule or the numbers of the file's width run out. Each round ranks all pairs that occur often enough and replaces every occurrence whose rank
 beats those it overlaps with, so a round stands for many single Re-Pair steps. A shard's row holds its
 rules, the number of ids each nonterminal expands to, and what is left of the sequence; with these any
 id range is decoded without touching the rest.
@@ -19,16 +19,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import groups, segment_ids
-from .common import BROADCAST_ROWS, id_text, shared_dir
+from .common import BROADCAST_ROWS, id_text, shared_dir, tidy
 
 #: A shard closes with the first document that brings it to so many ids.
 SHARD_IDS = 1 << 19
-#: A pair becomes a rule if it occurs so often in the shard.
-MIN_COUNT = 12
-#: Rounds of replacement at most; a rule refers to rules of earlier rounds only.
-ROUNDS = 10
+#: A pair becomes a rule if it occurs so often in the shard: a rule takes 6 or 8 bytes and saves 2 an occurrence.
+MIN_COUNT = 6
+#: Rounds go on while one leaves less than this share of the sequence; a rule refers to rules of earlier rounds only.
+GAIN = 0.998
 #: Bits of the first, inexact count of pairs.
-BUCKET_BITS = 17
+BUCKET_BITS = 20
 
 FILE_SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, n_ids long, base int, width int, rules binary, lengths binary, symbols binary"
 
@@ -39,7 +39,7 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
     n_rules = 0
-    for _ in range(ROUNDS):
+    while True:
         room = max_rules - n_rules
         if room <= 0 or len(seq) < 2 * MIN_COUNT:
             break
@@ -82,7 +82,7 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
         n_before = len(seq)
         seq = seq[keep]
         n_rules += len(used)
-        if len(seq) > 0.99 * n_before:
+        if len(seq) > GAIN * n_before:
             break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), lengths
 
@@ -93,8 +93,11 @@ class Grammar:
     def __init__(self, base: int, width: int, rules: bytes, lengths: bytes, symbols: bytes):
         self.base = base
         self.rules = np.frombuffer(rules, f"<u{width}").reshape(-1, 2)
-        self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
+        self.lengths = np.frombuffer(lengths, f"<u{len(lengths) // max(1, len(self.rules))}" if lengths else "<u4").astype(np.int64)
         self.symbols = np.frombuffer(symbols, f"<u{width}").astype(np.int64)
+        #: what every symbol stands for, one after the other, and where each begins
+        self.table = np.concatenate([np.arange(base), self.expand(np.arange(base, base + len(self.rules)))]).astype(np.uint32)
+        self.starts = np.concatenate([np.arange(base), base + np.cumsum(self.lengths) - self.lengths])
 
     def _length(self, s: np.ndarray) -> np.ndarray:
         out = np.ones(len(s), np.int64)
@@ -122,7 +125,10 @@ class Grammar:
             return np.zeros(0, np.uint32)
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
         before = int(ends[first - 1]) if first else 0
-        return self.expand(self.symbols[first : last + 1])[start - before : stop - before].astype(np.uint32)
+        some = self.symbols[first : last + 1]
+        size = self._length(some)
+        at = np.repeat(self.starts[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.table[at[start - before : stop - before]]
 
 
 def _shards(path: str, end_id: int, base: int):
@@ -149,7 +155,7 @@ def _shards(path: str, end_id: int, base: int):
                     "base": pa.array([base], pa.int32()),
                     "width": pa.array([width], pa.int32()),
                     "rules": pa.array([rules.astype(f"<u{width}").tobytes()], pa.binary()),
-                    "lengths": pa.array([lengths.astype("<u4").tobytes()], pa.binary()),
+                    "lengths": pa.array([lengths.astype("<u2" if not len(lengths) or lengths.max() < 1 << 16 else "<u4").tobytes()], pa.binary()),
                     "symbols": pa.array([symbols.astype(f"<u{width}").tobytes()], pa.binary()),
                 }
             )
@@ -180,8 +186,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
     doc_id range, so a task has a bounded share however long single texts are; a text is never cut.
     """
     d = id_text(docs, id_col, text_col)
-    ranged = d.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_shards(tokenizer_path, end_id, base), FILE_SCHEMA).write.parquet(out)
+    # within an id, as of rows without one there may be very many, by how the text begins, which is in the order of the texts
+    ranged = d.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32))
+    ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(tidy(_shards(tokenizer_path, end_id, base)), FILE_SCHEMA).write.parquet(out)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +222,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # a row a shard: to every task while there are few
     if starts.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    docs = files.mapInArrow(_documents, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
+    docs = files.mapInArrow(tidy(_documents), "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
     return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
