@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, quality_rules, toxicity
+from . import ball_trees, common, compression, decontaminate, quality_rules, toxicity
 from .bpe_codec import bpe_round_trip
 from .decontaminate import find_leaks
 from .ngram_join import ngram_jaccard_join
+from .periodic_runs import periodic_runs
 from .repair import repair_token_files
 from .secrets import BASE, find_secrets
 from .site_templates import extract_texts
@@ -77,6 +78,43 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where, by the id's crc32, some texts go on from a place with a few words again and again; they are word lists joined by spaces."""
+    h = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    texts = common.id_text(docs).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    at = texts.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    at = at.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("long"))
+    tail = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return at.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(common.table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", *(r[f].cast("string") for f in ("start", "length", "period")))
+    # the greatest length, then the least start, then the least period: the array is in the order of the last two
+    best = F.reduce("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), lambda a, r: F.when(a.isNull() | (r["length"] > a["length"]), r).otherwise(a))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *(F.col(f"best.{f}").alias(f) for f in ("start", "length", "period")),
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ball_trees.cluster(common.table(spark, sf_dir, "embeddings"), k=40, rounds=5, tag="2")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = compression.fit(docs, labels.where(~toxicity.held_out()))
+    out = compression.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "differences")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -86,7 +124,7 @@ def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _bounded(f) for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, pipeline)}
+    return {f.__name__: _bounded(f) for f in (op1_repair_token_files, op2_template_decontamination, op3_site_templates, op4_bpe_round_trip, op5_ngram_jaccard_join, op6_url_filter, op7_toxicity, op8_secrets, op9_token_counts, op10_quality_rules, op11_periodic_runs, op12_ball_tree_clusters, op13_compression_quality, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,6 +191,41 @@ SELECT doc_id, item_id, o.item_windows AS item_windows, o.matched AS matched, o.
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda s, x: list_reduce(range(8), lambda v, b: xor(v >> 1, (v & 1) * 3988292384), xor(s, x)), 4294967295::bigint), 4294967295::bigint) AS h FROM documents),
+b AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+v AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM b),
+x AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM v),
+e AS (SELECT y.doc_id, y.i, z.i - y.i AS p FROM x y JOIN x z ON y.doc_id = z.doc_id AND y.word = z.word WHERE z.i > y.i AND greatest(6, 4 * (z.i - y.i)) <= y.n),
+s AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM e) GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+r AS (SELECT doc_id, start, length, min(p) AS period FROM s GROUP BY 1, 2, 3),
+d AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(length := length, a := -start, b := -period)) AS m, string_agg(start::varchar || ',' || length::varchar || ',' || period::varchar || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.i WHERE g.i IS NULL GROUP BY 1)
+SELECT v.doc_id AS doc_id, coalesce(d.n_runs, 0) AS n_runs, -m.a AS start, m.length AS length, -m.b AS period, 1000 * m.length // -m.b AS exponent_milli, sha256(coalesce(d.lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256, v.n AS n_words
+FROM v LEFT JOIN d ON v.doc_id = d.doc_id LEFT JOIN kept ON v.doc_id = kept.doc_id
+"""
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round's centroids and nearest centroids as tables of their own."""
+    steps = [
+        "v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('2:' || vec_id::varchar) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT r, min(struct_pack(d := d, c := c)) AS near FROM (SELECT v.r, c.c, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint AS d FROM v, c{i} c) GROUP BY r)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT c, list(floor(s / n)::bigint ORDER BY j) AS q FROM (SELECT a.near.c AS c, j, sum(x)::double AS s, count(*) AS n FROM (SELECT r, unnest(q) AS x, unnest(range(64)) AS j FROM v) u JOIN a{i} a ON u.r = a.r GROUP BY 1, 2) GROUP BY c)")
+            steps.append(f"c{i + 1} AS (SELECT c{i}.c AS c, coalesce(m.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} m ON c{i}.c = m.c)")
+    last = "SELECT v.vec_id AS vec_id, a.near.c::integer AS cluster, a.near.d AS distance, (sum(a.near.d) OVER (PARTITION BY a.near.c))::bigint AS cluster_inertia, (sum(a.near.d) OVER ())::bigint AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256"
+    return f"WITH {', '.join(steps)} {last} FROM v JOIN a{rounds} a ON v.r = a.r JOIN c{rounds} c ON a.near.c = c.c"
+
+
+OP12_SQL = _op12_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """Of the queries that SQL can express. The others are tested against brute force, round trips or held-out rows."""
-    return {"op2_template_decontamination": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_url_filter": OP6_SQL}
+    return {"op2_template_decontamination": OP2_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_url_filter": OP6_SQL, "op11_periodic_runs": OP11_SQL, "op12_ball_tree_clusters": OP12_SQL}
