@@ -9,9 +9,12 @@ from __future__ import annotations
 import html
 import re
 
-_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# a quote opens a value only right after =, anywhere else it is a character like others; a value that is not closed ends with the tag
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+#: Attributes whose value says what an element is.
+_NAMING = frozenset("class id role itemprop".split())
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their own end tag.
@@ -38,20 +41,24 @@ _SIBLINGS = {
 _P_SCOPE = frozenset({"table", "td", "th", "caption", "button", "object", "template"})
 
 
-def _words(attributes: str) -> frozenset[str]:
-    """Words of the names an element has; with-sidebar and the like say what stands beside it."""
-    out: set[str] = set()
-    for x in _NAMES.findall(attributes):
-        for name in (x[0] or x[1] or x[2]).split():
-            words = {w.lower() for w in _WORD.findall(name)}
-            if not words & {"with", "without", "has", "no", "not"}:
-                out |= words
-    return frozenset(out)
+def _names(attributes: str) -> tuple[frozenset[str], ...]:
+    """The words of each name an element has, once per attribute; with-sidebar and the like say what stands beside it."""
+    out: list[frozenset[str]] = []
+    seen: set[str] = set()
+    for key, double, single, bare in _ATTRIBUTE.findall(attributes):
+        key = key.lower()
+        if key in _NAMING and key not in seen:  # of an attribute given twice the first holds
+            seen.add(key)
+            for name in (double or single or bare).split():
+                words = frozenset(w.lower() for w in _WORD.findall(name))
+                if words and not words & {"with", "without", "has", "no", "not"}:
+                    out.append(words)
+    return tuple(out)
 
 
 class Page:
     """events: text (str, references decoded), i for the start and ~i for the end of element i, in page order.
-    tags, parents (-1 at the top), and names (words of class, id, role and itemprop) of the elements."""
+    tags, parents (-1 at the top), and names (the words of each name in class, id, role and itemprop) of the elements."""
 
     __slots__ = ("events", "tags", "parents", "names")
 
@@ -59,14 +66,13 @@ class Page:
         self.events: list = []
         self.tags: list[str] = []
         self.parents: list[int] = []
-        self.names: list[frozenset[str]] = []
+        self.names: list[tuple[frozenset[str], ...]] = []
         self._read(source)
 
     def _read(self, s: str) -> None:
         events, tags, parents, names = self.events, self.tags, self.parents, self.names
         stack: list[int] = []
         opened: dict[str, int] = {}
-        none: frozenset[str] = frozenset()
 
         def pop_to(depth: int) -> None:
             while len(stack) > depth:
@@ -93,7 +99,7 @@ class Page:
             if not m:
                 break
             at = m.end()
-            slash, tag, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
+            slash, tag, rest = m.groups()
             if tag is None:
                 continue
             tag = tag.lower()
@@ -118,7 +124,7 @@ class Page:
             i = len(tags)
             tags.append(tag)
             parents.append(stack[-1] if stack else -1)
-            names.append(_words(rest) if rest and "=" in rest else none)
+            names.append(_names(rest) if rest and "=" in rest else ())
             events.append(i)
             if tag in VOID:
                 events.append(~i)

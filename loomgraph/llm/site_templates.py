@@ -36,15 +36,31 @@ BESIDE, IN_ARTICLE, TEXT, NAMED_TEXT = range(4)
 _NEVER = frozenset("head script style noscript template title textarea select option button input iframe object embed svg canvas audio video map nav aside footer form menu dialog".split())
 _TEXT = HEADINGS | frozenset("p pre blockquote li dt dd td th figcaption".split())
 _RUNNING = _TEXT - {"li", "td", "th"}
-#: Words of class, id or role that name what is no article.
+#: Words that name what is no article, in a class, id or role all of whose words are of this list or the next.
 _FOREIGN = frozenset(
     "ad ads advert adverts advertisement adsense adslot adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus replies responses share sharing social related recommended recommendations "
     "widget toolbar skip login signup signin search searchbox pagination pager copyright complementary contentinfo paywall alert".split()
 )
+#: Words that only say what sort of a thing it is: an ad-slot is an advert, related-work may be a chapter.
+_PLAIN = frozenset(
+    "area articles bar block body bottom box button buttons container content div entry footer form group header holder inner inline item items js l large left link links list main middle mobile "
+    "more navigation outer page pages panel post posts r rail reader readers user users region right row section side site slot small sticky stories story tool tools top unit wrap wrapper zone".split()
+)
 #: What a task remembers having passed on; beyond it rows come again, which the count of distinct pages bears.
 REMEMBERED = 200_000
 _MAIN_NAMES = frozenset("content main article story entry articlebody post".split())
+#: Articles within these are not the page's own.
+_AROUND = frozenset("comments comment related sidebar".split())
+_HEADER = frozenset({"header"})
+
+
+def _is_foreign(names: tuple[frozenset[str], ...]) -> bool:
+    return any(words & _FOREIGN and words - {w for w in words if w.isdigit()} <= _FOREIGN | _PLAIN for words in names)
+
+
+def _has(names: tuple[frozenset[str], ...], wanted: frozenset[str]) -> bool:
+    return any(words & wanted for words in names)
 
 
 def _roots(page: Page) -> tuple[list[bool], bool]:
@@ -54,12 +70,12 @@ def _roots(page: Page) -> tuple[list[bool], bool]:
     foreign = [False] * n
     for i in range(n):
         p = parents[i]
-        foreign[i] = (p >= 0 and foreign[p]) or tags[i] in _NEVER or (tags[i] not in ("html", "body", "main") and bool(names[i] & _FOREIGN))
+        foreign[i] = (p >= 0 and foreign[p]) or tags[i] in _NEVER or (tags[i] not in ("html", "body", "main") and _is_foreign(names[i]))
     for wanted in ("article", "main"):
-        found = [tags[i] == wanted and not (bool(names[i] & _FOREIGN) if wanted == "article" else False) and not _below_never(page, i) for i in range(n)]
+        found = [tags[i] == wanted and not (wanted == "article" and _is_foreign(names[i])) and not _below_never(page, i) for i in range(n)]
         if any(found):
             return found, True
-    found = [tags[i] in ("div", "section", "td") and bool(names[i] & _MAIN_NAMES) and not foreign[i] for i in range(n)]
+    found = [tags[i] in ("div", "section", "td") and _has(names[i], _MAIN_NAMES) and not foreign[i] for i in range(n)]
     if any(found):
         return found, True
     body = [tags[i] == "body" for i in range(n)]
@@ -70,7 +86,7 @@ def _below_never(page: Page, i: int) -> bool:
     """Inside an element that is no article by its tag, or in comments."""
     p = page.parents[i]
     while p >= 0:
-        if page.tags[p] in ("nav", "aside", "footer", "form", "head", "template", "noscript") or page.names[p] & {"comments", "comment", "related", "sidebar"}:
+        if page.tags[p] in ("nav", "aside", "footer", "form", "head", "template", "noscript") or _is_foreign(page.names[p]) and _has(page.names[p], _AROUND):
             return True
         p = page.parents[p]
     return False
@@ -100,9 +116,9 @@ class Outline:
             self.inside[i] = roots[i] or (p >= 0 and self.inside[p])
             if roots[i] or tag in ("html", "body"):
                 continue
-            head = tag == "header" or ("header" in page.names[i] and not page.names[i] & _MAIN_NAMES)
+            head = tag == "header" or (_has(page.names[i], _HEADER) and not _has(page.names[i], _MAIN_NAMES))
             # an article's own header keeps its heading; around the article, only what leads to it stays
-            self.dropped[i] = tag in _NEVER or (not holds[i] and bool(page.names[i] & _FOREIGN)) or (head and not holds[i] and not (self.inside[i] and self.named and heading[i]))
+            self.dropped[i] = tag in _NEVER or (not holds[i] and _is_foreign(page.names[i])) or (head and not holds[i] and not (self.inside[i] and self.named and heading[i]))
 
     def subtrees(self) -> Iterator[tuple[int, int, int]]:
         """(element, hash, kind) of every block element with text but those that hold the article's root.

@@ -148,3 +148,19 @@ def test_templates_against_brute_force(spark):
             having.setdefault((host, h), set()).add(o.identity)
     want = {(host, h) for (host, h), ids in having.items() if len(ids) >= (S.TEXT_PAGES if h & 3 == S.NAMED_TEXT else S.LEAST_PAGES) and len(ids) >= (S.BESIDE_SHARE, S.SHARE, S.TEXT_SHARE, S.TEXT_SHARE)[h & 3] * len(articles[host])}
     assert got == want and 4 < len(want) < len(having)
+
+
+def test_quotes_open_values_only_behind_an_equals_sign():
+    text = lambda body: S.Outline(Page(f"<html><body><article>{body}</article></body></html>")).text()
+    assert text('<p title=5">Text one is here.</p><p title=6">Text two.</p>') == "Text one is here.\nText two."
+    assert text("<p>one</p><img alt=it's><p>two</p><p>three it's</p>") == "one\ntwo\nthree it's"
+    assert text("""<p title="a > b" class='x>y'>one</p><p "a' b>two</p><p a = "q>r" b= 'x' c=d>three</p><p x=>four</p>""") == "one\ntwo\nthree\nfour"
+    assert text('<p class="a" "b">one</p><p title="open>two</p>') == "one\ntwo"
+    assert text("<a href=/x?a=b&c='d'>link</a> <a href=x/>more</a>") == "link more"
+
+
+def test_only_whole_known_names_remove_from_an_article():
+    text = lambda body: S.Outline(Page(f"<html><body><article>{body}</article></body></html>")).text()
+    assert text('<section class="related-work"><p>kept</p></section><div class="comments-on-design"><p>kept too</p></div><p title="x class=ad">three</p>') == "kept\nkept too\nthree"
+    gone = ["ad", "ad-slot", "related-articles", "share-buttons", "commentList", "sidebar left", "cookie-banner2"]
+    assert text("".join(f'<div class="{c}"><p>gone</p></div>' for c in gone) + "<p>kept</p>") == "kept"
