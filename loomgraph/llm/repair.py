@@ -30,7 +30,9 @@ GAIN = 0.998
 #: Bits of the first, inexact count of pairs.
 BUCKET_BITS = 20
 
-FILE_SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, n_ids long, base int, width int, rules binary, lengths binary, symbols binary"
+FILE_SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, n_ids long, base int, width int, rules binary, lengths binary, symbols binary, offsets binary"
+#: The files keep where every so manyth symbol of a shard begins.
+EVERY = 1 << 10
 
 
 def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,22 +92,22 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
 class Grammar:
     """A shard's sequence, decoded whole or by range."""
 
-    def __init__(self, base: int, width: int, rules: bytes, lengths: bytes, symbols: bytes):
+    def __init__(self, base: int, width: int, rules: bytes, lengths: bytes, symbols: bytes, offsets: bytes):
         self.base = base
         self.rules = np.frombuffer(rules, f"<u{width}").reshape(-1, 2)
-        self.lengths = np.frombuffer(lengths, f"<u{len(lengths) // max(1, len(self.rules))}" if lengths else "<u4").astype(np.int64)
-        self.symbols = np.frombuffer(symbols, f"<u{width}").astype(np.int64)
-        #: what every symbol stands for, one after the other, and where each begins
-        self.table = np.concatenate([np.arange(base), self.expand(np.arange(base, base + len(self.rules)))]).astype(np.uint32)
-        self.starts = np.concatenate([np.arange(base), base + np.cumsum(self.lengths) - self.lengths])
+        self.lengths = np.frombuffer(lengths, f"<u{len(lengths) // max(1, len(self.rules))}" if lengths else "<u4")
+        self.symbols = np.frombuffer(symbols, f"<u{width}")
+        #: where every EVERYth symbol begins, and the shard ends
+        self.offsets = np.frombuffer(offsets, "<i8")
 
     def _length(self, s: np.ndarray) -> np.ndarray:
         out = np.ones(len(s), np.int64)
         deep = s >= self.base
-        out[deep] = self.lengths[s[deep] - self.base]
+        out[deep] = self.lengths[s[deep].astype(np.int64) - self.base]
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        symbols = symbols.astype(np.int64)
         while len(deep := np.flatnonzero(symbols >= self.base)):
             size = np.ones(len(symbols), np.int64)
             size[deep] = 2
@@ -114,21 +116,42 @@ class Grammar:
             pair = self.rules[symbols[deep] - self.base]
             out[at - 1], out[at] = pair[:, 0], pair[:, 1]
             symbols = out
-        return symbols
+        return symbols.astype(np.uint32)
+
+    def all_ids(self) -> np.ndarray:
+        """The whole shard: every rule is expanded once, and what the symbols stand for is gathered from there."""
+        n = len(self.rules)
+        table = np.concatenate([np.arange(self.base, dtype=np.uint32), self.expand(np.arange(self.base, self.base + n))])
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        starts = np.concatenate([np.arange(self.base), self.base + ends - self.lengths])
+        size = self._length(self.symbols)
+        at = np.repeat(starts[self.symbols] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return table[at]
 
     def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """ids start .. stop of the shard; only symbols that reach into the range are expanded."""
-        ends = np.cumsum(self._length(self.symbols))
-        total = int(ends[-1]) if len(ends) else 0
+        """ids start .. stop of the shard; of a range only the symbols that reach into it are expanded, and at most EVERY beside them are measured."""
+        total = int(self.offsets[-1])
         stop = total if stop is None else min(stop, total)
         if start >= stop:
             return np.zeros(0, np.uint32)
+        if start <= 0 and stop == total:
+            return self.all_ids()
+        block = int(np.searchsorted(self.offsets, start, "right")) - 1
+        last_block = int(np.searchsorted(self.offsets, stop, "left"))
+        near = self.symbols[block * EVERY : last_block * EVERY]
+        ends = int(self.offsets[block]) + np.cumsum(self._length(near))
         first, last = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left"))
-        before = int(ends[first - 1]) if first else 0
-        some = self.symbols[first : last + 1]
-        size = self._length(some)
-        at = np.repeat(self.starts[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.table[at[start - before : stop - before]]
+        begin = int(ends[first - 1]) if first else int(self.offsets[block])
+        return self.expand(near[first : last + 1])[start - begin : stop - begin]
+
+
+def sampled_offsets(symbols: np.ndarray, base: int, lengths: np.ndarray) -> np.ndarray:
+    """Where symbols 0, EVERY, 2 * EVERY, ... begin, and where the last one ends."""
+    size = np.ones(len(symbols), np.int64)
+    deep = symbols >= base
+    size[deep] = lengths[symbols[deep].astype(np.int64) - base]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return np.concatenate([ends[:-1][::EVERY], ends[-1:]])
 
 
 def _shards(path: str, end_id: int, base: int):
@@ -157,6 +180,7 @@ def _shards(path: str, end_id: int, base: int):
                     "rules": pa.array([rules.astype(f"<u{width}").tobytes()], pa.binary()),
                     "lengths": pa.array([lengths.astype("<u2" if not len(lengths) or lengths.max() < 1 << 16 else "<u4").tobytes()], pa.binary()),
                     "symbols": pa.array([symbols.astype(f"<u{width}").tobytes()], pa.binary()),
+                    "offsets": pa.array([sampled_offsets(symbols, base, lengths).astype("<i8").tobytes()], pa.binary()),
                 }
             )
 
@@ -194,7 +218,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = Grammar(row["base"], row["width"], row["rules"], row["lengths"], row["symbols"]).ids().astype("<u4")
+            ids = Grammar(row["base"], row["width"], row["rules"], row["lengths"], row["symbols"], row["offsets"]).ids().astype("<u4")
             ends = np.cumsum(np.array(row["n_tokens"], np.int64))
             starts = ends - np.array(row["n_tokens"], np.int64)
             n = len(ends)
@@ -228,7 +252,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_id_range(spark: SparkSession, path: str, part: int, seq: int, start: int, stop: int) -> np.ndarray:
     """ids start .. stop of one shard, by its expansion lengths."""
-    row = spark.read.schema(FILE_SCHEMA).parquet(path).where((F.col("part") == part) & (F.col("seq") == seq)).select("base", "width", "rules", "lengths", "symbols").first()
+    row = spark.read.schema(FILE_SCHEMA).parquet(path).where((F.col("part") == part) & (F.col("seq") == seq)).select("base", "width", "rules", "lengths", "symbols", "offsets").first()
     return np.zeros(0, np.uint32) if row is None else Grammar(*row).ids(start, stop)
 
 

@@ -27,7 +27,7 @@ def test_grammar_ranges_and_runs():
     r = np.random.default_rng(1)
     for ids in (np.zeros(1000, np.uint32), r.integers(0, 9, 5000).astype(np.uint32), np.tile(np.arange(37, dtype=np.uint32), 90), np.zeros(0, np.uint32), np.array([5], np.uint32)):
         symbols, rules, lengths = repair.compress(ids, 100, 60)
-        g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes())
+        g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), repair.sampled_offsets(symbols, 100, lengths).astype("<i8").tobytes())
         assert (g.ids() == ids).all() and len(rules) <= 60
         for a, b in ((0, 3), (10, 700), (len(ids) - 2, len(ids) + 9)):
             assert (g.ids(max(0, a), b) == ids[max(0, a) : b]).all()
@@ -51,5 +51,21 @@ def test_long_runs_are_halved_each_round():
     for ids, most in ((np.zeros(1 << 12, np.uint32), 16), (np.concatenate([np.zeros(4001), np.arange(1, 60)]), 80), (mixed, len(mixed))):
         ids = ids.astype(np.uint32)
         symbols, rules, lengths = repair.compress(ids, 100, 60)
-        g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes())
+        g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), repair.sampled_offsets(symbols, 100, lengths).astype("<i8").tobytes())
         assert (g.ids() == ids).all() and len(symbols) <= most
+
+
+def test_a_range_expands_only_what_reaches_into_it(monkeypatch):
+    r = np.random.default_rng(4)
+    monkeypatch.setattr(repair, "EVERY", 64)
+    ids = np.concatenate([np.tile(r.integers(0, 50, 40), 30), r.integers(0, 50, 3000)]).astype(np.uint32)
+    symbols, rules, lengths = repair.compress(ids, 100, 400)
+    g = repair.Grammar(100, 2, rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes(), repair.sampled_offsets(symbols, 100, lengths).astype("<i8").tobytes())
+    expanded, measured = [], []
+    expand, length = repair.Grammar.expand, repair.Grammar._length
+    monkeypatch.setattr(repair.Grammar, "expand", lambda self, s: (expanded.append(len(s)), expand(self, s))[1])
+    monkeypatch.setattr(repair.Grammar, "_length", lambda self, s: (measured.append(len(s)), length(self, s))[1])
+    for a in (0, 1, 700, 1199, 2500, len(ids) - 1):
+        assert (g.ids(a, a + 1) == ids[a : a + 1]).all()
+        assert (g.ids(a, a + 150) == ids[a : a + 150]).all()
+    assert max(expanded[::2]) == 1 and max(measured) <= 64 * 4
