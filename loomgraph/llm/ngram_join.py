@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -517,11 +518,13 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
     members = written(linked.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")), "ngram-distinct-members")
     rows = members.join(keepers, "component").select("doc_id", "key", "n", mine.alias("keeper"))
     rows = written(rows, "ngram-keepers")
-    kept = without(docs, rows.where(~F.col("keeper")).select("doc_id", "key").distinct(), id_col, text_col)
     repeated = rows.where(F.col("keeper") & (F.col("n") > 1)).select("doc_id", "key").distinct()
     if repeated.isEmpty():
-        return kept
-    names = kept.columns
-    again = kept.select(*names, F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__key"))
-    once = again.join(repeated.select(F.col("doc_id").alias("r_id"), F.col("key").alias("r_key")), F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__key") == F.col("r_key")), "left_semi").dropDuplicates(["__id", "__key"])
-    return without(docs, rows.where(~F.col("keeper")).select("doc_id", "key").union(repeated).distinct(), id_col, text_col).union(once.select(names))
+        return without(docs, rows.where(~F.col("keeper")).select("doc_id", "key").distinct(), id_col, text_col)
+    # names that no table has
+    own_id, own_key, its_id, its_key = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "key", "id", "key"))
+    again = docs.withColumns({own_id: docs[id_col].cast("long"), own_key: F.xxhash64(F.coalesce(docs[text_col], F.lit("")))})
+    marked = repeated.select(F.col("doc_id").alias(its_id), F.col("key").alias(its_key))
+    once = again.join(marked, F.col(own_id).eqNullSafe(F.col(its_id)) & (F.col(own_key) == F.col(its_key)), "left_semi").dropDuplicates([own_id, own_key])
+    gone = rows.where(~F.col("keeper")).select("doc_id", "key").union(repeated).distinct()
+    return without(docs, gone, id_col, text_col).union(once.drop(own_id, own_key))

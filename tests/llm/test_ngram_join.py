@@ -118,3 +118,14 @@ def test_candidates_hold_every_linked_pair():
         (a, at_least), (b, other) = (J.parts_of(s, np.setdiff1d(s, frequent), k, num, den) for s in (x, y))
         shared = len(np.intersect1d(a, b))
         assert shared >= min(at_least, other) >= 1
+
+
+def test_keep_one_with_any_column_names(spark):
+    from loomgraph.llm.ngram_join import keep_one
+
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, words, "x", 1), (1, words, "y", 2), (2, words + " tail", "z", 3), (3, "other words stand here alone", "v", 4), (None, None, "n", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__id` string, `a.b` int").selectExpr("*", "7 AS __key")
+    got = keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, [(1, words), (3, rows[3][1]), (None, None)]))
