@@ -75,7 +75,7 @@ def _constant(x: Any) -> tuple[Column, T.DataType]:
         parts = [_constant(y) for y in x]
         common = reduce(widest, (t for _, t in parts), T.NullType())
         item = T.StringType() if isinstance(common, T.NullType) else common
-        return F.array(*(c.cast(item) for c, _ in parts)).cast(T.ArrayType(item)), T.ArrayType(item)
+        return F.array(*(as_type(Value(c, t), item) for c, t in parts)).cast(T.ArrayType(item)), T.ArrayType(item)
     if isinstance(x, dict):
         parts = {k: _constant(v) for k, v in x.items()}
         kinds = {t.simpleString() for _, t in parts.values()}
@@ -92,10 +92,14 @@ class Parsed:
     """What a variant (parsed JSON) holds, told by its kind: each form is null where it is of another kind."""
 
     def __init__(self, c: Column):
-        self.kind = F.schema_of_variant(c)
+        self.col, self.kind = c, F.schema_of_variant(c)
         as_type = lambda t: F.try_variant_get(c, "$", t)
         self.null = c.isNull() | (self.kind == "VOID")
-        self.number = F.when(self.kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)"), as_type("double"))
+        numeric = self.kind.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL)")
+        self.number = F.when(numeric, as_type("double"))
+        #: JSON's 1 is whole, its 1.0 (a decimal of few digits) is not; whole numbers beyond 64 bits are long decimals
+        self.is_whole = self.kind.rlike(r"^(?:BIGINT|DECIMAL\((?:19|[23]\d),0\))$")
+        self.digits = F.when(numeric, as_type("string"))
         self.boolean = F.when(self.kind == "BOOLEAN", as_type("boolean"))
         self.text = F.when(self.kind == "STRING", as_type("string"))
         self.items = F.when(F.startswith(self.kind, F.lit("ARRAY")), as_type("array<variant>"))
@@ -104,6 +108,8 @@ class Parsed:
         #: containers as JSON, in which object keys are in order
         self.json = F.when(self.kind.rlike("^(?:ARRAY|OBJECT)"), F.to_json(c))
         self.size = F.coalesce(F.length(self.text), F.size(self.items), F.size(self.entries))
+        #: of what float() takes: numbers, booleans, and text that reads as a number
+        self.readable = F.coalesce(self.counted, text_to_double(self.text))
 
     def equals(self, v: Value) -> Column:
         """Python's == with a value of another type: false for unlike kinds."""
@@ -113,7 +119,7 @@ class Parsed:
         elif is_text(v.type):
             other = self.text == v.col
         elif isinstance(v.type, (T.ArrayType, T.MapType, T.StructType)):
-            other = self.json == F.to_json(F.to_variant_object(v.col))
+            other = self.json == F.to_json(as_variant(v))
         return F.coalesce(other, F.lit(False)) | (self.null & v.col.isNull())
 
 
@@ -127,7 +133,7 @@ def is_missing(v: Value) -> Column:
 
 
 def widest(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The type that holds values of both: a null type gives way, unlike numbers are double, else text."""
+    """The type that holds values of both: a null type gives way, unlike numbers are double, all else is a variant, which keeps each value's kind."""
     if isinstance(a, T.NullType) or a == b:
         return b
     if isinstance(b, T.NullType):
@@ -135,9 +141,36 @@ def widest(a: T.DataType, b: T.DataType) -> T.DataType:
     if is_number(a) and is_number(b):
         whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
         return T.LongType() if isinstance(a, whole) and isinstance(b, whole) else T.DoubleType()
+    if is_text(a) and is_text(b):
+        return T.StringType()
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return T.ArrayType(widest(a.elementType, b.elementType))
-    return T.StringType()
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType) and a.keyType == b.keyType:
+        return T.MapType(a.keyType, widest(a.valueType, b.valueType))
+    return T.VariantType()
+
+
+def as_variant(v: Value) -> Column:
+    """The value as a variant, null as null; lists and objects with all that is in them."""
+    t = v.type
+    if is_variant(t):
+        return v.col
+    if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+        return F.when(v.col.isNotNull(), F.to_variant_object(v.col))
+    return v.col.cast("variant")
+
+
+def as_type(v: Value, t: T.DataType) -> Column:
+    """The value in a type that widest gave for it and others."""
+    if v.type == t:
+        return v.col
+    if is_variant(t):
+        return as_variant(v)
+    if isinstance(t, T.ArrayType) and isinstance(v.type, T.ArrayType):
+        return F.transform(v.col, lambda x: as_type(Value(x, v.type.elementType), t.elementType))
+    if isinstance(t, T.MapType) and isinstance(v.type, T.MapType):
+        return F.transform_values(v.col, lambda _, x: as_type(Value(x, v.type.valueType), t.valueType))
+    return v.col.cast(t)
 
 
 @contextmanager
@@ -180,6 +213,8 @@ def coerce(v: Value) -> Column:
         return F.coalesce(text_to_double(v.col), F.lit(0.0))
     if is_number(v.type) or is_bool(v.type):
         return F.coalesce(v.col.cast("double"), F.lit(0.0))
+    if is_variant(v.type):
+        return F.coalesce(Parsed(v.col).readable, F.lit(0.0))
     return F.lit(0.0)
 
 
@@ -191,6 +226,9 @@ def number(v: Value, default: float) -> Column:
     if is_text(v.type):
         read = F.when(c != "", text_to_double(c))
         c = failing(F.coalesce((c != "") & read.isNull(), F.lit(False)), F.concat(F.lit("could not convert string to float: "), c), read)
+    elif is_variant(v.type):
+        p = Parsed(c)
+        c = failing(p.readable.isNull() & truthy(v), F.concat(F.lit("could not convert to float: "), F.to_json(c)), p.readable)
     elif not (is_number(v.type) or is_bool(v.type)):
         c = failing(c.isNotNull(), f"not a number: {v.type.simpleString()}", F.lit(None).cast("double"))
     c = c.cast("double")
@@ -202,6 +240,9 @@ def whole(v: Value, default: int = 0) -> Column:
     if v.is_null:
         return F.lit(default).cast("long")
     c = v.col.cast("double") if is_text(v.type) else v.col
+    if is_variant(v.type):
+        p = Parsed(c)
+        c = failing(p.readable.isNull() & truthy(v), F.concat(F.lit("not a whole number: "), F.to_json(c)), p.readable)
     c = c.cast("long")
     return F.coalesce(F.when(c != 0, c), F.lit(default).cast("long"))
 
@@ -285,13 +326,46 @@ def _text_of(c: Column, t: T.DataType, inner: bool) -> Column:
     if isinstance(t, T.StructType):
         fields = [F.concat(F.lit(f"'{f.name}': "), item(c[f.name], f.dataType)) for f in t.fields]
         return F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    if is_variant(t):
+        return _parsed_text(c, inner, 1)
     return c.cast("string")
 
 
+#: Strings, punctuation and all else of a JSON text without white space.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^\[\]{},:"]+'
+
+
+def tokens(json: Column) -> Column:
+    return F.regexp_extract_all(json, F.lit(_TOKENS), F.lit(0))
+
+
+def unquoted(token: Column) -> Column:
+    """The text that a JSON string stands for."""
+    return F.try_variant_get(F.try_parse_json(token), "$", "string")
+
+
+def _parsed_text(c: Column, inner: bool, depth: int) -> Column:
+    """Parsed JSON as Python prints it; in lists and objects within others 1.0 is printed as 1."""
+    p = Parsed(c)
+    text = _text_of(p.text, T.StringType(), inner)
+    scalar = F.coalesce(text, _text_of(p.boolean, T.BooleanType(), inner), F.when(p.is_whole, p.digits), _double_text(p.number))
+    if depth:
+        item = lambda x: F.coalesce(_parsed_text(x, True, depth - 1), F.lit("None"))
+        listed = F.concat(F.lit("["), F.array_join(F.transform(p.items, item), ", "), F.lit("]"))
+        pairs = F.transform(F.map_entries(p.entries), lambda e: F.concat(_text_of(e["key"], T.StringType(), True), F.lit(": "), item(e["value"])))
+        return F.coalesce(scalar, listed, F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+
+    def printed(x: Column) -> Column:
+        known = F.when(x == ",", ", ").when(x == ":", ": ").when(x == "true", "True").when(x == "false", "False").when(x == "null", "None")
+        return known.when(F.startswith(x, F.lit('"')), _text_of(unquoted(x), T.StringType(), True)).when(x.rlike("[.eE]"), _double_text(x.try_cast("double"))).otherwise(x)
+
+    return F.coalesce(scalar, F.array_join(F.transform(tokens(p.json), printed), ""))
+
+
 def same(a: Value, b: Value) -> Column:
     """Python's ==: null equals null alone, numbers and booleans compare by value, unlike kinds differ.
 
-    Parsed JSON compares by what it holds; lists and objects in it by their JSON, in which 1 and 1.0 differ."""
+    Parsed JSON compares by what it holds; lists and objects in it by their JSON."""
     if a.is_null or b.is_null:
         return is_missing(b if a.is_null else a)
     if is_variant(a.type) and is_variant(b.type):

@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Parsed, Value, bounds, is_bool, is_missing, is_number, is_text, is_variant, number, pystr, same, steps, text_to_double, truthy, whole, widest
+from ..functions.exprs import Parsed, Value, as_type, as_variant, bounds, constant, is_bool, is_missing, is_number, is_text, is_variant, number, pystr, same, steps, text_to_double, truthy, whole, widest
+from ..functions.jsontext import json_text
 from ..registry import node, port
 from .inputs import Inputs
 from .scalars import _end
@@ -40,12 +41,29 @@ def reverse(v: Inputs) -> Column:
     return F.reverse(v.array("array")[0])
 
 
+def _ordered(arr: Column, down: Column) -> Column:
+    """A list of variants in order if all are numbers (or booleans) or all texts, equal ones as they stood; else as it is."""
+    # ascending by (key, place) or, reversed at the end, by (key, -place)
+    place = lambda i: F.when(down, -i).otherwise(i)
+
+    def by(key) -> Column:
+        keyed = F.array_sort(F.transform(arr, lambda x, i: F.struct(key(Parsed(x)).alias("k"), place(i).alias("i"))))
+        turned = F.when(down, F.reverse(keyed)).otherwise(keyed)
+        return F.transform(turned, lambda e: F.get(arr, F.abs(e["i"])))
+
+    every = lambda key: F.forall(arr, lambda x: key(Parsed(x)).isNotNull())
+    counted, text = lambda p: p.counted, lambda p: p.text
+    return F.when(every(counted), by(counted)).when(every(text), by(text)).otherwise(arr)
+
+
 @node("core.array.sort", [port("array: list<any>"), port("descending: boolean", False)], ["result: list<any>"], category="Array")
 def sort(v: Inputs) -> Column:
-    """In order; a list with a null among two or more items stays as it is."""
-    arr, _ = v.array("array")
-    up, down = F.sort_array(arr, True), F.sort_array(arr, False)
+    """In order; a list with a null, or with unlike kinds, among two or more items stays as it is."""
+    arr, t = v.array("array")
     d = v["descending"]
+    if is_variant(t.elementType):
+        return _ordered(arr, truthy(d))
+    up, down = F.sort_array(arr, True), F.sort_array(arr, False)
     ordered = (down if d.const else up) if d.is_const else F.when(truthy(d), down).otherwise(up)
     return F.when(F.exists(arr, lambda x: x.isNull()), arr).otherwise(ordered)
 
@@ -76,6 +94,8 @@ def _doubles(v: Inputs) -> Column:
         out = F.transform(arr, text_to_double)
     elif is_number(t.elementType) or is_bool(t.elementType):
         out = F.transform(arr, lambda x: x.cast("double"))
+    elif is_variant(t.elementType):
+        out = F.transform(arr, lambda x: Parsed(x).readable)
     else:
         return F.array().cast("array<double>")
     return F.filter(out, lambda x: x.isNotNull())
@@ -100,7 +120,7 @@ def array_average(v: Inputs) -> Column:
 
 @node("core.container.make_array", [], ["array: list<any>"], category="Container", dynamic=True)
 def make_array(v: Inputs) -> Column:
-    """The ports item_0, item_1, ... that the node names, in the order of their numbers; unlike kinds become text."""
+    """The ports item_0, item_1, ... that the node names, in the order of their numbers; unlike kinds make a list of variants."""
     ports = sorted((p for p in v.values if re.fullmatch(r"item_\d+", p)), key=lambda p: int(p[5:]))
     values = [v[p] for p in ports]
     if not values:
@@ -108,21 +128,18 @@ def make_array(v: Inputs) -> Column:
     common: T.DataType = T.NullType()
     for x in values:
         common = widest(common, x.type)
-    text = is_text(common)
-    return F.array(*(F.when(x.col.isNotNull(), pystr(x)) if text and not is_text(x.type) and not x.is_null else x.col.cast(common) for x in values))
+    return F.array(*(as_type(x, common) for x in values))
 
 
 @node("core.container.append", [port("array: list<any>"), port("value")], ["array: list<any>"], category="Container")
 def append(v: Inputs) -> Column:
+    """The list with the value behind it; unlike kinds make a list of variants."""
     arr, t = v.array("array")
     x = v["value"]
     if v["array"].is_null and not x.is_null:
         return F.array(x.col)
     common = widest(t.elementType, x.type)
-    if is_text(common) and not is_text(t.elementType):
-        arr = F.transform(arr, lambda y: F.when(y.isNotNull(), pystr(Value(y, t.elementType))))
-    item = F.when(x.col.isNotNull(), pystr(x)) if is_text(common) and not is_text(x.type) and not x.is_null else x.col.cast(common)
-    return F.array_append(arr.cast(T.ArrayType(common)), item)
+    return F.array_append(as_type(Value(arr, t), T.ArrayType(common)), as_type(x, common))
 
 
 @node("core.container.get_index", [port("array: list<any>"), port("index: int", 0)], ["value"], category="Container")
@@ -150,30 +167,31 @@ def length(v: Inputs) -> Column:
 
 @node("core.container.get", [port("map"), port("key"), port("default")], ["value"], category="Container")
 def get(v: Inputs) -> Column:
-    """The entry at key, else the default. Of parsed JSON, and of objects of unlike kinds at a key from a column, it has the default's type, or is text."""
+    """The entry at key, else the default. Parsed JSON gives variants, which every node takes as what they hold; so do
+    objects of unlike kinds at a key from a column, and entries of another kind than the default's."""
     m, k, d = v["map"], v["key"], v["default"]
+    text = k.col if is_text(k.type) else Parsed(k.col).text if is_variant(k.type) else None
     if isinstance(m.type, T.MapType) and not k.is_null:
-        got = Value(m.col[k.col.cast(m.type.keyType)], m.type.valueType)
-        has = F.coalesce(F.map_contains_key(m.col, k.col.cast(m.type.keyType)), F.lit(False))
+        key = text if text is not None and is_text(m.type.keyType) else k.col.cast(m.type.keyType)
+        got = Value(m.col[key], m.type.valueType)
+        has = F.coalesce(F.map_contains_key(m.col, key), F.lit(False))
+        if is_text(m.type.keyType) and text is None:  # 5 is no key of {"5": 1}
+            return d.col
     elif isinstance(m.type, T.StructType) and k.is_const and k.const in m.type.fieldNames():
         got = Value(m.col[k.const], m.type[k.const].dataType)
         has = m.col.isNotNull()
-    elif isinstance(m.type, T.VariantType) and k.is_const:
-        want = d.type if not d.is_null else T.StringType()
-        got = Value(F.try_variant_get(m.col, "$['%s']" % str(k.const).replace("'", "\\'"), want.simpleString()), want)
-        has = got.col.isNotNull()
-    elif isinstance(m.type, T.VariantType) and is_text(k.type):
-        want = d.type if not d.is_null else T.StringType()
-        got = Value(F.try_variant_get(Parsed(m.col).entries[k.col], "$", want.simpleString()), want)
-        has = got.col.isNotNull()
-    elif isinstance(m.type, T.StructType) and is_text(k.type):
-        got, has = Value(F.lit(None).cast("string"), T.StringType()), F.coalesce(m.col.isNotNull() & k.col.isin(m.type.fieldNames()), F.lit(False))
+    elif is_variant(m.type) and text is not None:
+        entries = Parsed(m.col).entries
+        got = Value(entries[text], m.type)
+        has = F.coalesce(F.map_contains_key(entries, text), F.lit(False))
+    elif isinstance(m.type, T.StructType) and text is not None:
+        got, has = constant(None), F.coalesce(m.col.isNotNull() & text.isin(m.type.fieldNames()), F.lit(False))
         for f in m.type.fields:
-            got = Value(F.when(k.col == f.name, pystr(Value(m.col[f.name], f.dataType))).otherwise(got.col), got.type)
+            got = Value(F.when(text == f.name, as_variant(Value(m.col[f.name], f.dataType))).otherwise(got.col), T.VariantType())
     else:
         return d.col
     common = widest(got.type, d.type)
-    return F.when(has, got.col.cast(common)).otherwise(d.col.cast(common))
+    return F.when(has, as_type(got, common)).otherwise(as_type(d, common))
 
 
 # --- JSON
@@ -190,24 +208,11 @@ def json_parse(v: Inputs) -> dict[str, Column]:
 
 @node("core.json.stringify", [port("data"), port("pretty: boolean", False)], ["json_string: string"], category="JSON")
 def json_stringify(v: Inputs) -> Column:
-    """JSON text: compact unless pretty, and not ASCII-escaped, as Spark writes it."""
-    x = v["data"]
-    if x.is_null:
-        return F.lit("null")
-    if isinstance(x.type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-        keep = {"ignoreNullFields": "false"}
-        p = v["pretty"]
-        plain, pretty = F.to_json(x.col, keep), F.to_json(x.col, keep | {"pretty": "true"})
-        out = (pretty if p.const else plain) if p.is_const else F.when(truthy(p), pretty).otherwise(plain)
-    elif is_number(x.type):
-        out = pystr(x)
-        if isinstance(x.type, (T.DoubleType, T.FloatType)):
-            out = F.when(F.isnan(x.col), "NaN").when(x.col == float("inf"), "Infinity").when(x.col == float("-inf"), "-Infinity").otherwise(out)
-    elif is_bool(x.type):
-        out = x.col.cast("string")
-    else:
-        out = F.regexp_extract(F.to_json(F.struct(x.col.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    return F.when(x.col.isNull(), "null").otherwise(out)
+    """JSON text as Python writes it: ', ' and ': ' between, ASCII alone, two spaces a level if pretty; what JSON does not
+    know (times, decimals) as text. Keys of parsed JSON are in order."""
+    x, p = v["data"], v["pretty"]
+    plain, pretty = json_text(x), json_text(x, pretty=True)
+    return (pretty if p.const else plain) if p.is_const else F.when(truthy(p), pretty).otherwise(plain)
 
 
 # --- time and random values
@@ -267,11 +272,11 @@ def type_of(v: Inputs) -> Column:
     if x.is_null:
         return F.lit("NoneType")
     t = x.type
+    if is_variant(t):
+        p = Parsed(x.col)
+        named = F.when(p.null, "NoneType").when(p.is_whole, "int").when(p.boolean.isNotNull(), "bool").when(p.text.isNotNull(), "str")
+        return named.when(p.items.isNotNull(), "list").when(p.entries.isNotNull(), "dict").otherwise("float")
     name = "bool" if is_bool(t) else "float" if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)) else "int" if is_number(t) else "str" if is_text(t) else "list" if isinstance(t, T.ArrayType) else "dict" if isinstance(t, (T.MapType, T.StructType)) else t.typeName()
-    if isinstance(t, T.VariantType):
-        kind = F.schema_of_variant(x.col)
-        named = F.when(kind == "BIGINT", "int").when(kind == "BOOLEAN", "bool").when(kind == "STRING", "str").when(F.startswith(kind, F.lit("ARRAY")), "list").when(F.startswith(kind, F.lit("OBJECT")), "dict").when(kind == "VOID", "NoneType").otherwise("float")
-        return F.when(x.col.isNull(), "NoneType").otherwise(named)
     return F.when(x.col.isNull(), "NoneType").otherwise(name)
 
 
@@ -282,12 +287,12 @@ def is_null(v: Inputs) -> Column:
 
 @node("core.util.coalesce", [port("a"), port("b"), port("c")], ["value"], category="Utility")
 def coalesce(v: Inputs) -> Column:
-    """The first of a, b, c that is not null; unlike kinds as text."""
+    """The first of a, b, c that is not null (nor JSON's null); unlike kinds as variants."""
     given = [v[p] for p in "abc" if not v[p].is_null]
     common: T.DataType = T.NullType()
     for x in given:
         common = widest(common, x.type)
-    parts = [F.when(x.col.isNotNull(), pystr(x)) if is_text(common) and not is_text(x.type) else x.col.cast(common) for x in given]
+    parts = [F.when(~is_missing(x), as_type(x, common)) if is_variant(x.type) else as_type(x, common) for x in given]
     return F.coalesce(*parts) if parts else F.lit(None)
 
 

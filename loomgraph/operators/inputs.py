@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, constant
+from ..functions.exprs import Parsed, Value, constant, failing, is_variant, truthy
 
 
 class Inputs:
@@ -34,11 +34,15 @@ class Inputs:
         return not self[port].is_const
 
     def array(self, port: str) -> tuple[Column, T.ArrayType]:
-        """The port as an array; null counts as empty, an unlinked port as an empty one of text."""
+        """The port as an array; null and falsy parsed JSON count as empty, an unlinked port as an empty one of text; parsed lists are arrays of variants."""
         v = self[port]
         if v.is_null:
             t = T.ArrayType(T.StringType())
             return F.array().cast(t), t
+        if is_variant(v.type):
+            t, p = T.ArrayType(T.VariantType()), Parsed(v.col)
+            items = failing(p.items.isNull() & truthy(v), F.concat(F.lit(f"port '{port}' takes a list, not "), F.to_json(v.col)), p.items)
+            return F.coalesce(items, F.array().cast(t)), t
         if not isinstance(v.type, T.ArrayType):
             raise TypeError(f"port '{port}' takes a list, not {v.type.simpleString()}")
         return F.coalesce(v.col, F.array().cast(v.type)), v.type

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import string
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, bounds, coerce, failing, falsy_or, is_bool, is_number, is_text, number, pymod, pystr, same, strip, text_or_empty, text_to_double, truthy, whole
+from ..functions.exprs import Parsed, Value, bounds, coerce, failing, falsy_or, is_bool, is_number, is_text, is_variant, number, pymod, pystr, same, strip, text_or_empty, text_to_double, truthy, whole
 from ..registry import node, port
 from .inputs import Inputs
 
@@ -36,7 +37,11 @@ def add(v: Inputs) -> Column:
     a, b = v["a"], v["b"]
     if is_text(a.type) or is_text(b.type):
         return F.concat(pystr(a, ""), pystr(b, ""))
-    return coerce(a) + coerce(b)
+    total = coerce(a) + coerce(b)
+    texts = [Parsed(x.col).text.isNotNull() for x in (a, b) if is_variant(x.type)]
+    if texts:  # which of the two it is, is known a row at a time
+        return F.when(reduce(lambda x, y: x | y, texts), F.concat(pystr(a, ""), pystr(b, "")).cast("variant")).otherwise(total.cast("variant"))
+    return total
 
 
 @node("core.math.multiply", [port("a"), port("b")], ["product: float"], category="Math")
@@ -154,6 +159,16 @@ def radians(v: Inputs) -> Column:
 # --- logic
 
 
+def _ordered_forms(v: Value) -> tuple[Column, Column]:
+    """(as a number, as a text), null where it is neither."""
+    if is_variant(v.type):
+        return Parsed(v.col).counted, Parsed(v.col).text
+    number_, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    if is_bool(v.type) or is_number(v.type):
+        number_ = (v.col.cast("int") if is_bool(v.type) else v.col).cast("double")
+    return number_, v.col if is_text(v.type) else text
+
+
 @node("core.logic.compare", [port("a"), port("b"), port("op: string", "==")], ["result: boolean"], category="Logic")
 def compare(v: Inputs) -> Column:
     """== != > >= < <=; any other op is false. Ordering null or unlike kinds is an error."""
@@ -162,6 +177,10 @@ def compare(v: Inputs) -> Column:
     if (counts(a.type) and counts(b.type)) or (is_text(a.type) and is_text(b.type)) or (type(a.type) is type(b.type) and isinstance(a.type, (T.ArrayType, T.TimestampType, T.DateType))):
         x, y = (w.col.cast("int") if is_bool(w.type) else w.col for w in (a, b))
         tests, bad, message = {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}, x.isNull() | y.isNull(), "cannot order null"
+    elif is_variant(a.type) or is_variant(b.type):
+        (m, s), (n, t) = _ordered_forms(a), _ordered_forms(b)
+        tests = {">": F.coalesce(m > n, s > t), ">=": F.coalesce(m >= n, s >= t), "<": F.coalesce(m < n, s < t), "<=": F.coalesce(m <= n, s <= t)}
+        bad, message = (m.isNull() | n.isNull()) & (s.isNull() | t.isNull()), "cannot order null or unlike kinds"
     else:
         tests, bad, message = dict.fromkeys((">", ">=", "<", "<="), F.lit(None).cast("boolean")), F.lit(True), f"cannot order {a.type.simpleString()} and {b.type.simpleString()}"
     op = v["op"]
@@ -326,16 +345,24 @@ def _formatted(a: Value, spec: str) -> Column:
 # --- casts
 
 
+def _text_to_int(c: Column) -> Column:
+    s = strip(c)
+    return F.when(s.rlike(r"^[+-]?\d+(?:_\d+)*$"), F.regexp_replace(s, "_", "")).try_cast("long")
+
+
 @node("core.cast.to_int", [port("value")], ["value: int"], category="Cast")
 def to_int(v: Inputs) -> Column:
     """Cut towards 0; null, '' and text that is no whole number (3.7 too) are 0."""
     a = v["value"]
     if is_text(a.type):
-        s = strip(a.col)
-        return F.coalesce(F.when(s.rlike(r"^[+-]?\d+(?:_\d+)*$"), F.regexp_replace(s, "_", "")).try_cast("long"), F.lit(0).cast("long"))
+        return F.coalesce(_text_to_int(a.col), F.lit(0).cast("long"))
     if is_bool(a.type) or is_number(a.type):
         c = F.when(~F.isnan(a.col.cast("double")), a.col).cast("long") if isinstance(a.type, (T.DoubleType, T.FloatType)) else a.col.cast("long")
         return F.coalesce(c, F.lit(0).cast("long"))
+    if is_variant(a.type):
+        p = Parsed(a.col)
+        exact = F.when(p.is_whole, p.digits.try_cast("long"))  # a double would lose the last digits
+        return F.coalesce(_text_to_int(p.text), exact, p.counted.try_cast("long"), F.lit(0).cast("long"))
     return F.lit(0).cast("long")
 
 

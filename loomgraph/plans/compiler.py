@@ -8,6 +8,7 @@ folds over the sequence of their indices, variables the fields of the fold's acc
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, collecting, constant, steps, truthy, whole, widest
+from ..functions.exprs import Value, as_type, collecting, constant, steps, truthy, whole, widest
 from ..operators.inputs import Inputs
 from .graph import Graph, GraphError, Node, is_control
 
@@ -90,11 +91,21 @@ class Compiler:
 
     # --- the whole graph
 
-    def compile(self) -> Compiled:
+    def compile(self, parts: list[list[str]] | None = None, kept: Callable[[int, DataFrame], DataFrame] | None = None) -> Compiled:
+        """parts: the order in pieces that are compiled one after the other; kept may put another frame with the same
+        columns in the place of what a piece but the last ends with."""
+        parts = [self.order] if parts is None else parts
+        for k, part in enumerate(parts):
+            self._compile_part(part)
+            if kept is not None and k + 1 < len(parts):
+                self.frame = self.scope.probe = kept(k, self.frame)
+        return Compiled(self.frame, self.columns, self.guards, self.order, self.logs, self.errors)
+
+    def _compile_part(self, part: list[str]) -> None:
         wanted = set(self.order)
         inside = set(self.graph.loop_of)
         by_level: dict[int, list[str]] = defaultdict(list)
-        for n in self.order:
+        for n in part:
             if n not in inside:
                 by_level[self._depth(n, wanted)].append(n)
         for depth in sorted(by_level):
@@ -122,7 +133,6 @@ class Compiler:
                     if isinstance(v, _Pending):
                         v = self.scope.values[v.key]
                         self.scope.variables[name] = (v, v)
-        return Compiled(self.frame, self.columns, self.guards, self.order, self.logs, self.errors)
 
     def _depth(self, n: str, wanted: set[str]) -> int:
         """Level of a node; variables are read after all that set them before in the graph's order."""
@@ -219,7 +229,7 @@ class Compiler:
             return
         t = self._type(F.when(guard, column), scope)
         common = widest(before[0].type, t)
-        merged = Value(F.when(guard, column.cast(common)).otherwise(before[0].col.cast(common)), common)
+        merged = Value(F.when(guard, as_type(Value(column, t), common)).otherwise(as_type(before[0], common)), common)
         scope.variables[name] = (merged, merged)
 
     # --- single nodes

@@ -165,6 +165,28 @@ class Graph:
         """The nodes and all that they depend on."""
         return self._closure(nodes, self.parents)
 
+    def prefix(self, nodes: Iterable[str]) -> set[str]:
+        """The nodes and all that must have run before or with them: what they depend on, loops with their bodies, and whatever
+        touches the same variables before."""
+        out, before = self.ancestors(nodes), set()
+        at = {n: k for k, n in enumerate(self.order)}
+        names = {n: str(self.nodes[n].values.get("name") or "var") for n in self.order if self.nodes[n].spec.style == "variable"}
+        while out != before:
+            before = set(out)
+            last: dict[str, int] = {}
+            for n in out & names.keys():
+                last[names[n]] = max(at[n], last.get(names[n], -1))
+            out |= {n for n, name in names.items() if at[n] < last.get(name, -1)}
+            for n in list(out):
+                loop = self.loop_of.get(n)
+                while loop is not None:
+                    out |= {loop}
+                    loop = self.loop_of.get(loop)
+                if self.nodes[n].is_loop:
+                    out |= self._loop_members(n)
+            out = self.ancestors(out)
+        return out
+
     def descendants(self, nodes: Iterable[str], stop: Iterable[str] = ()) -> set[str]:
         """The nodes and all that depend on them, not going past stop."""
         return self._closure(nodes, self.children, stop)

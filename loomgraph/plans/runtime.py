@@ -57,13 +57,12 @@ class ResultCache:
         self._frames: dict[str, tuple[str, str, DataFrame]] = {}
         self._lock = threading.Lock()
 
-    def key(self, graph: Graph, node: str, source: DataFrame | None, seed: int) -> str:
-        """Digest of a node with all that it depends on and of the source's plan."""
-        up = graph.ancestors([node])
-        nodes = [[n, graph.nodes[n].type, graph.nodes[n].values, graph.nodes[n].inputs, graph.nodes[n].outputs] for n in graph.order if n in up]
-        links = sorted([x.source, x.out, x.target, x.into, x.control] for x in graph.links if x.target in up)
-        text = json.dumps([node, nodes, links, None if source is None else source.semanticHash(), seed], sort_keys=True, default=str)
-        return hashlib.sha256(text.encode()).hexdigest()[:16]
+    def key(self, graph: Graph, nodes: set[str], source: DataFrame | None, *settings: Any) -> str:
+        """Digest of all that a frame holds: the nodes with their values and links, the source's plan, the settings of the run."""
+        own = [[n, graph.nodes[n].type, graph.nodes[n].values, graph.nodes[n].inputs, graph.nodes[n].outputs] for n in graph.order if n in nodes]
+        links = sorted([x.source, x.out, x.target, x.into, x.control] for x in graph.links if x.target in nodes)
+        text = json.dumps([own, links, None if source is None else source.semanticHash(), settings], sort_keys=True, default=str)
+        return hashlib.sha256(text.encode()).hexdigest()
 
     def get(self, key: str) -> DataFrame | None:
         with self._lock:
@@ -73,6 +72,9 @@ class ResultCache:
             self._frames[key] = held  # now the last used
             return held[2]
 
+    def __contains__(self, key: str) -> bool:
+        return key in self._frames
+
     def put(self, key: str, graph: Graph, node: str, frame: DataFrame) -> DataFrame:
         frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
         with self._lock:
@@ -147,22 +149,41 @@ class Engine:
         graph = self.graph(payload)
         order, forced = graph.selection(options)
         seed = int(options.get("seed") or 0)
-        use_cache = options.get("use_cache", True)
         drop = set(options.get("invalidate_cache_nodes") or ())
         if drop:
             self.cache.clear(nodes=drop)
-        marked = [n for n in order if graph.nodes[n].cached and graph.nodes[n].spec.cache_policy != "disabled" and graph.nodes[n].spec.style != "control" and n not in graph.loop_of] if use_cache else []
         collect = options.get("on_error") == "collect"
-        compiled = Compiler(graph, source, self.spark, order, seed, collect=collect).compile()
-        hits: set[str] = set()
-        if marked and not (set(marked) & forced):
-            key = self.cache.key(graph, marked[-1], source, seed)
-            held = self.cache.get(key)
-            hits = set(marked) if held is not None else set()
-            compiled.frame = held if held is not None and set(compiled.frame.columns) <= set(held.columns) else self.cache.put(key, graph, marked[-1], compiled.frame)
+        marks = self._prefixes(graph, order, forced) if options.get("use_cache", True) else []
+        keys = [self.cache.key(graph, nodes, source, seed, collect) for _, nodes in marks]
+        hits = {n for (n, _), key in zip(marks, keys) if key in self.cache}
+
+        def kept(k: int, frame: DataFrame) -> DataFrame:
+            held = self.cache.get(keys[k])
+            return held if held is not None else self.cache.put(keys[k], graph, marks[k][0], frame)
+
+        parts, done = [], set()
+        for _, nodes in [*marks, ("", set(order))]:
+            parts.append([n for n in order if n in nodes - done])
+            done |= nodes
+        compiled = Compiler(graph, source, self.spark, order, seed, collect=collect).compile(parts, kept)
         run_id = str(options.get("execution_id") or uuid.uuid4())
         return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits, fail_fast=bool(options.get("fail_fast", False)))
 
+    def _prefixes(self, graph: Graph, order: list[str], forced: set[str]) -> list[tuple[str, set[str]]]:
+        """Each node marked cache_enabled with all that must run before it; each of them holds those before.
+
+        A prefix with a node that must be computed anew (forced, or of a type that is never cached) is left out.
+        """
+        out: list[tuple[str, set[str]]] = []
+        run, held = set(order), set()
+        for n in order:
+            if graph.nodes[n].cached and graph.nodes[n].spec.style != "control" and n not in graph.loop_of:
+                nodes = (graph.prefix([n]) | held) & run
+                if not nodes & forced and all(graph.nodes[m].spec.cache_policy != "disabled" for m in nodes):
+                    out.append((n, nodes))
+                    held = nodes
+        return out
+
     def table(self, payload: dict[str, Any] | Graph, source: DataFrame | None = None, options: dict[str, Any] | None = None) -> DataFrame:
         """A row of outputs for each row of the source.
 

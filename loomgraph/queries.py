@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .flow import Flow, Ref
+from .functions.jsontext import json_rows
 from .plans import trace
 from .plans.runtime import Engine
 from .sources import clients, standins
@@ -219,17 +220,56 @@ def parsed_json(g: Flow) -> dict[str, Ref]:
     parsed = g.node("core.json.parse", json_string=g.col("props")).data
     name = g.node("core.string.replace", text=g.col("event_type"), find="click", replace="k").result
     get = lambda **ports: g.node("core.container.get", **ports).value
-    k = get(map=parsed, key="k")
-    number = g.node("core.json.parse", json_string=k).data
+    text = lambda x: g.node("core.cast.to_string", value=x).value
     same = lambda a, b: g.node("core.logic.compare", a=a, b=b, op="==").result
+    k = get(map=parsed, key="k")
     return {
-        "k": get(map=parsed, key=name, default="-1"),
-        "n_text": g.node("core.container.length", value=k).length,
+        "k": text(get(map=parsed, key=name, default="-1")),
+        "n_text": g.node("core.container.length", value=text(k)).length,
         "n_keys": g.node("core.container.length", value=parsed).length,
-        "is_seven": same(number, 7),
-        "truth": g.node("core.logic.or", a=number, b=False).result,
-        "alike": same(k, g.node("core.cast.to_string", value=g.node("core.cast.to_int", value=k).value).value),
-        "unlike": get(map={"click": 1, "error": "two"}, key=g.col("event_type"), default="none"),
+        "is_seven": same(k, 7),
+        "truth": g.node("core.logic.or", a=k, b=False).result,
+        "alike": same(text(k), text(g.node("core.cast.to_int", value=k).value)),
+        "unlike": text(get(map={"click": 1, "error": "two"}, key=g.col("event_type"), default="none")),
+    }
+
+
+_K = "(props->>'$.k')::bigint"
+
+
+@graph(
+    "events",
+    f"{_K} * 2::double AS twice, {_K} * 0.5::double AS half, {_K} > 50 AS large, greatest({_K}, 50)::double AS most, 'int' AS kind, (event_id + {_K} + 2.5)::double AS total, 4::bigint AS n,"
+    f" CASE WHEN event_id < {_K} THEN '[' || event_id || ', 2.5, ' || {_K} || ']' ELSE '[' || {_K} || ', 2.5, ' || event_id || ']' END AS pair, CASE WHEN {_K} % 2 = 0 THEN 'even' ELSE {_K}::varchar END AS either, '{{\"k\": ' || {_K} || '}}' AS back",
+)
+def parsed_json_arithmetic(g: Flow) -> dict[str, Ref]:
+    """Objects in objects and lists of parsed JSON, parsed once and used as the values they hold."""
+    n = lambda kind, port, **ports: g.node(kind, **ports)[port]
+    text = n("core.string.format", "result", template='{{"p": {}, "l": [{}, 2.5, "x"]}}', arg1=g.col("props"), arg2=g.col("event_id"))
+    get = lambda m, key: n("core.container.get", "value", map=m, key=key)
+    parsed = g.node("core.json.parse", json_string=text).data
+    inner = get(parsed, "p")
+    k, items = get(inner, "k"), get(parsed, "l")
+    more = n("core.container.append", "array", array=items, value=k)
+    # the two numbers around 2.5, in order: the greater of them at the end
+    low, high = n("core.math.min", "result", a=k, b=g.col("event_id")), n("core.math.max", "result", a=k, b=g.col("event_id"))
+    whole = lambda x: n("core.cast.to_int", "value", value=x)
+    even = n("core.logic.compare", "result", a=n("core.math.mod", "result", a=k, b=2), b=0)
+    branch = g.node("core.control.ifelse", condition=even)
+    yes, no = g.node("core.util.passthrough", value="even"), g.node("core.util.passthrough", value=k)
+    branch.then(yes, port="true")
+    branch.then(no, port="false")
+    return {
+        "twice": n("core.cast.to_float", "value", value=n("core.math.add", "sum", a=k, b=k)),
+        "half": n("core.math.multiply", "product", a=k, b=0.5),
+        "large": n("core.logic.compare", "result", a=k, b=50, op=">"),
+        "most": n("core.math.max", "result", a=k, b=50),
+        "kind": n("core.util.typeof", "type_name", value=k),
+        "total": n("core.array.sum", "result", array=more),
+        "n": n("core.container.length", "length", value=more),
+        "pair": n("core.cast.to_string", "value", value=n("core.container.make_array", "array", item_0=whole(low), item_1=n("core.container.get_index", "value", array=items, index=1), item_2=whole(high))),
+        "either": n("core.cast.to_string", "value", value=n("core.util.coalesce", "value", a=yes.value, b=no.value)),
+        "back": n("core.json.stringify", "json_string", data=inner),
     }
 
 
@@ -382,7 +422,7 @@ def random_ranges(g: Flow) -> dict[str, Ref]:
     }
 
 
-@graph("part", """'"' || p_name || '"' AS name, '["' || p_brand || '","' || p_type || '"]' AS kinds, p_size::varchar AS size, '{"size":' || p_size || ',"brand":1}' AS record, 'null' AS nothing, true::varchar AS yes, '[' || p_size || ']' AS back""")
+@graph("part", """'"' || p_name || '"' AS name, '["' || p_brand || '", "' || p_type || '"]' AS kinds, p_size::varchar AS size, '{"size": ' || p_size || ', "brand": 1}' AS record, 'null' AS nothing, true::varchar AS yes, '[' || p_size || ']' AS back""")
 def json_written(g: Flow) -> dict[str, Ref]:
     """JSON texts of each kind of value, and of parsed JSON."""
     text = lambda x: g.node("core.json.stringify", data=x).json_string
@@ -399,6 +439,33 @@ def json_written(g: Flow) -> dict[str, Ref]:
     }
 
 
+@direct(
+    """SELECT '{"o_orderkey": ' || o_orderkey || ', "o_totalprice": ' || o_totalprice || ', "o_orderdate": "' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '", "status": ["' || o_orderstatus || '", null, true], "who": {"priority": "' || o_orderpriority || '", "caf\\u00e9": NaN}}' AS json FROM orders"""
+)
+def outputs_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a graph puts out, each row as the JSON object that clients are sent."""
+    g = Flow()
+    listed = g.node("core.container.make_array", item_0=g.col("o_orderstatus"), item_1=None, item_2=True).array
+    g.keep("o_orderkey", "o_totalprice", "o_orderdate").out(status=listed, who=g.col("who"))
+    who = F.struct(F.col("o_orderpriority").alias("priority"), F.lit(float("nan")).alias("café"))
+    return json_rows(Engine(spark).table(g.payload(), table(spark, sf_dir, "orders").withColumn("who", who)))
+
+
+@direct("SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice, l_quantity * 2 * 5 AS further FROM lineitem")
+def cached_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node whose result is kept: a later run with another graph behind it reads what the first one kept, and computes the rest anew."""
+    engine, source = Engine(spark), table(spark, sf_dir, "lineitem")
+
+    def run(factor: int) -> DataFrame:
+        g = Flow()
+        twice = g.node("core.math.multiply", id="twice", cached=True, a=g.col("l_quantity"), b=2)
+        g.keep("l_orderkey", "l_linenumber").out(twice=twice.product, further=g.node("core.math.multiply", a=twice.product, b=factor).product)
+        return engine.table(g.payload(), source)
+
+    run(3).write.format("noop").mode("overwrite").save()
+    return run(5)
+
+
 @graph("part", "p_size * 2::double AS doubled, p_size::double + 1 AS more")
 def control_start(g: Flow) -> dict[str, Ref]:
     """A run that begins at its start node; the rest hangs on it by control links."""

@@ -140,6 +140,31 @@ def test_cache(spark):
     assert engine.cache.clear(type="no.such") == 0 and engine.cache.clear(nodes={"m"}) == 1 and engine.cache.size == 0
 
 
+def test_a_changed_graph_never_meets_an_old_frame(spark):
+    engine, source = Engine(spark), spark.range(3)
+
+    def run(factor, mark=2, extra=False, **options):
+        g = Flow()
+        start = g.node("core.var.declare", id="d", name="v", value=mark)
+        a = g.node("core.math.add", id="a", cached=True, a=g.node("core.var.get", id="got", name="v").value, b=g.col("id"))
+        b = g.node("core.math.multiply", id="b", a=a.sum, b=factor)
+        start.then(a)
+        g.out(b=b.product)
+        if extra:
+            g.out(c=g.node("core.math.add", id="c", cached=True, a=b.product, b=0.5).sum)
+        run = engine.compile(g.payload(), source, options)
+        engine.forget(run)
+        return [tuple(r) for r in run.frame.collect()], run.cached
+
+    assert run(2) == ([(4.0,), (6.0,), (8.0,)], set()) and run(2) == ([(4.0,), (6.0,), (8.0,)], {"a"})
+    assert run(5) == ([(10.0,), (15.0,), (20.0,)], {"a"})  # the kept prefix, the rest anew
+    assert run(5, mark=1) == ([(5.0,), (10.0,), (15.0,)], set())  # a value before the mark
+    assert run(5, extra=True) == ([(10.0, 10.5), (15.0, 15.5), (20.0, 20.5)], {"a"})
+    assert run(5, extra=True)[1] == {"a", "c"} and run(6, extra=True) == ([(12.0, 12.5), (18.0, 18.5), (24.0, 24.5)], {"a"})
+    assert run(5, on_error="collect")[1] == set() and run(5, force_no_cache_nodes=["d"])[1] == set()
+    assert run(5, invalidate_cache_nodes=["a"])[1] == set()
+
+
 def test_cancellation(engine):
     c = Cancellation()
     assert not c.is_cancelled("n")

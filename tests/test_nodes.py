@@ -80,7 +80,7 @@ CASES = [
     ("core.cast.to_float", "value", dict(value="-inf"), -math.inf),
     ("core.cast.to_string", "value", dict(value=None), ""),
     ("core.cast.to_string", "value", dict(value=False), "False"),
-    ("core.cast.to_string", "value", dict(value=[1, "a'b", None]), '[\'1\', "a\'b", None]'),
+    ("core.cast.to_string", "value", dict(value=[1, "a'b", None]), '[1, "a\'b", None]'),
     ("core.cast.to_boolean", "value", dict(value="false"), True),
     ("core.array.first", "value", dict(array=[]), None),
     ("core.array.last", "value", dict(array=[1, 2]), 2),
@@ -103,7 +103,7 @@ CASES = [
     ("core.container.length", "length", dict(value=5), 0),
     ("core.container.get", "value", dict(map={"a": 1}, key="b", default=7), 7),
     ("core.container.get", "value", dict(map={"a": 1, "b": "x"}, key="b", default=""), "x"),
-    ("core.json.stringify", "json_string", dict(data={"a": 1}), '{"a":1}'),
+    ("core.json.stringify", "json_string", dict(data={"a": 1}), '{"a": 1}'),
     ("core.json.stringify", "json_string", dict(data='say "x"'), '"say \\"x\\""'),
     ("core.json.parse", "success", dict(json_string="{bad"), False),
     ("core.json.parse", "success", dict(json_string="null"), True),
@@ -187,7 +187,11 @@ def test_parsed_json_is_a_value(spark):
         missing=g.node("core.util.is_null", value=j).is_null,
         unlike=g.node("core.container.get", map={"a": 1, "b": "x", "c": [2]}, key=g.col("name"), default="?").value,
     )
-    got = {r["i"]: r.asDict() for r in Engine(spark).table(g.payload(), df).collect()}
+    frame = Engine(spark).table(g.payload(), df)
+    kinds = dict(frame.dtypes)
+    assert kinds["got"] == kinds["unlike"] == "variant"
+    frame = frame.withColumns({c: X.pystr(X.Value(F.col(c), T.VariantType())) for c in ("got", "unlike")})
+    got = {r["i"]: r.asDict() for r in frame.collect()}
     col = lambda c: [got[k][c] for k in range(len(rows))]
     assert col("n") == [5, 0, 0, 0, 0, 0, 1, 0, 0, 0]
     assert col("truth") == col("flag") == [True, False, False, False, True, True, True, False, False, False]
@@ -198,3 +202,132 @@ def test_parsed_json_is_a_value(spark):
     assert col("empty") == [k == 1 for k in range(10)] and all(col("itself"))
     assert col("got") == ["1", *["?"] * 9]
     assert col("unlike") == ["1", "x", "[2]", "?", "?", "?", "1", "1", "1", "1"]
+
+
+def of_parsed(spark, texts, build):
+    """The outputs of a graph over parsed JSON, a list of texts a column."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    g = Flow()
+    named = build(g, g.node("core.json.parse", json_string=g.col("t")).data)
+    g.keep("i").out(**{k: g.node("core.cast.to_string", value=x).value for k, x in named.items()})
+    rows = sorted(Engine(spark).table(g.payload(), df, {"on_error": "collect"}).collect(), key=lambda r: r["i"])
+    return {k: [r[k] for r in rows] for k in named}
+
+
+def test_arithmetic_order_and_lists_of_parsed_json(spark):
+    def build(g, j):
+        n = lambda kind, port, **inputs: g.node(kind, **inputs)[port]
+        get = lambda m, key, **d: n("core.container.get", "value", map=m, key=key, **d)
+        a, items = get(j, "a"), get(j, "l")
+        return {
+            "equal": n("core.logic.compare", "result", a=a, b=1),
+            "kind": n("core.util.typeof", "type_name", value=a),
+            "twice": n("core.math.add", "sum", a=a, b=a),
+            "nested": get(get(j, "b"), "c", default=0),
+            "length": n("core.container.length", "length", value=items),
+            "total": n("core.array.sum", "result", array=items),
+            "mean": n("core.array.average", "result", array=items),
+            "last": n("core.array.last", "value", array=items),
+            "second": n("core.container.get_index", "value", array=items, index=1),
+            "ordered": n("core.array.sort", "result", array=items, descending=True),
+            "back": n("core.array.reverse", "result", array=items),
+            "piece": n("core.array.slice", "result", array=items, start=1),
+            "more": n("core.container.append", "array", array=items, value=a),
+            "has": n("core.array.contains", "result", array=items, value=4),
+            "at": n("core.array.index_of", "index", array=items, value="x"),
+            "joined": n("core.string.join", "result", array=items, delimiter="+"),
+            "times": n("core.math.multiply", "product", a=a, b=2),
+            "most": n("core.math.max", "result", a=a, b=1.5),
+            "low": n("core.math.floor", "result", value=a),
+            "whole": n("core.cast.to_int", "value", value=a),
+            "real": n("core.cast.to_float", "value", value=a),
+            "large": n("core.logic.compare", "result", a=a, b=2, op=">"),
+            "alike": n("core.logic.compare", "result", a=a, b=get(j, "z", default=True)),
+            "first": n("core.util.coalesce", "value", a=get(j, "z"), b=a, c="none"),
+            "listed": n("core.container.make_array", "array", item_0=a, item_1="t", item_2=items),
+        }
+
+    got = of_parsed(spark, ['{"a": 1, "b": {"c": 5}, "l": [3, 4]}', '{"a": 2.5, "b": [], "l": ["x", "10", true, null, [1.0]]}', '{"a": "7", "l": [], "z": null}', '{"a": [0], "l": {"k": 1}}'], build)
+    want = {
+        "equal": ["True", "False", "False", "False"],
+        "kind": ["int", "float", "str", "list"],
+        "twice": ["2.0", "5.0", "77", "0.0"],
+        "nested": ["5", "0", "0", "0"],
+        "length": ["2", "5", "0", "1"],
+        "total": ["7.0", "11.0", "0.0", None],
+        "mean": ["3.5", "5.5", "0.0", None],
+        "last": ["4", "[1.0]", "", None],
+        "second": ["4", "10", "", None],
+        "ordered": ["[4, 3]", "['x', '10', True, None, [1.0]]", "[]", None],
+        "back": ["[4, 3]", "[[1.0], None, True, '10', 'x']", "[]", None],
+        "piece": ["[4]", "['10', True, None, [1.0]]", "[]", None],
+        "more": ["[3, 4, 1]", "['x', '10', True, None, [1.0], 2.5]", "['7']", None],
+        "has": ["True", "False", "False", None],
+        "at": ["-1", "0", "-1", None],
+        "joined": ["3+4", "x+10+True+None+[1.0]", "", None],
+        "times": ["2.0", "5.0", "14.0", "0.0"],
+        "most": ["1.5", "2.5", "7.0", None],
+        "low": ["1", "2", "7", None],
+        "whole": ["1", "2", "7", "0"],
+        "real": ["1.0", "2.5", "7.0", "0.0"],
+        "large": ["False", "True", None, None],
+        "alike": ["True", "False", "False", "False"],
+        "first": ["1", "2.5", "7", "[0]"],
+        "listed": ["[1, 't', [3, 4]]", "[2.5, 't', ['x', '10', True, None, [1]]]",  # the 1.0 of a list in a list in a list
+                   "['7', 't', []]", "[[0], 't', {'k': 1}]"],
+    }
+    assert got == want
+
+
+def test_parsed_scalars(spark):
+    def build(g, j):
+        n = lambda kind, port, **inputs: g.node(kind, **inputs)[port]
+        return {
+            "twice": n("core.math.multiply", "product", a=j, b=2),
+            "whole": n("core.cast.to_int", "value", value=j),
+            "large": n("core.logic.compare", "result", a=j, b=2, op=">"),
+            "most": n("core.math.max", "result", a=j, b=1),
+            "kind": n("core.util.typeof", "type_name", value=j),
+            "text": n("core.string.upper", "result", text=j),
+            "five": n("core.container.get", "value", map={"5": 1, "b": "x"}, key=j, default=0),
+        }
+
+    got = of_parsed(spark, ["5", "5.0", "true", '"ab"', '"5"', "12345678901234567", "null", "bad"], build)
+    assert got["twice"] == ["10.0", "10.0", "2.0", "0.0", "10.0", str(2 * float(12345678901234567)), "0.0", "0.0"]
+    assert got["whole"] == ["5", "5", "1", "0", "5", "12345678901234567", "0", "0"]
+    assert got["large"] == ["True", "True", "False", None, None, "True", None, None]
+    assert got["most"] == ["5.0", "5.0", "1.0", None, "5.0", "1.2345678901234568e+16", "1.0", "1.0"]
+    assert got["kind"] == ["int", "float", "bool", "str", "str", "int", "NoneType", "NoneType"]
+    assert got["text"] == ["5", "5.0", "TRUE", "AB", "5", "12345678901234567", "", ""]
+    assert got["five"] == ["0", "0", "0", "0", "1", "0", "0", "0"]
+
+
+def test_json_texts_equal_json_dumps(spark):
+    import datetime
+    import decimal
+    import json
+
+    from loomgraph.functions.jsontext import json_rows
+
+    schema = "s string, i long, d double, b boolean, l array<double>, m map<string,array<string>>, n map<int,string>, r struct<x:int,`a b`:string>, t timestamp, y date, c decimal(6,2)"
+    at = datetime.datetime
+    rows = [
+        ('é\n\x01\x1f/"\\ 😀\x7f\\u00AB', 2**60, 1e16, True, [1.0, None, 1e-7, math.nan], {"ü k": ["a", None, ""]}, {3: "x"}, (1, None), at(2020, 1, 2, 3, 4, 5), datetime.date(2020, 1, 2), decimal.Decimal("1.50")),
+        (None, None, math.inf, None, [], {}, {}, None, at(2020, 1, 2, 3, 4, 5, 600), None, None),
+        ("", 0, -0.0, False, None, None, None, (None, "ü"), None, None, None),
+    ]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k int, {schema}")
+    names = df.columns
+    plain = [dict(zip(names, (k, *r[:7], None if r[7] is None else dict(zip(("x", "a b"), r[7])), *r[8:]))) for k, r in enumerate(rows)]
+    for pretty in (False, True):
+        got = [r[0] for r in json_rows(df.coalesce(1).sortWithinPartitions("k"), pretty).collect()]
+        assert got == [json.dumps(p, default=str, indent=2 if pretty else None) for p in plain]
+    texts = ['{"b": [1, 2.5, {"x": null, "é": "\\u00e9\\"q"}], "a": {}, "c": [], "d": [[]]}', "1.0", "1e3", '"\\n/é"', "true", "null", "[1e-7, 12345678901234567890]"]
+    g = Flow()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    j = g.node("core.json.parse", json_string=g.col("t")).data
+    g.keep("i").out(a=g.node("core.json.stringify", data=j).json_string, b=g.node("core.json.stringify", data=j, pretty=True).json_string)
+    for r in Engine(spark).table(g.payload(), df).collect():
+        assert r["a"] == json.dumps(json.loads(texts[r["i"]]), sort_keys=True)
+        assert r["b"] == json.dumps(json.loads(texts[r["i"]]), sort_keys=True, indent=2)
+    assert json_rows(df.limit(0)).count() == 0
