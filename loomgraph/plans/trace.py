@@ -128,19 +128,3 @@ def classify_outputs(outputs: DataFrame, name: str = "name", value: str = "value
     """Adds class: image (a data URL of one), stream (a stream's id), else value."""
     kind = F.when(F.startswith(F.col(value), F.lit("data:image")), "image").when(F.contains(F.col(name), F.lit("stream_id")), "stream").otherwise("value")
     return outputs.withColumn("class", kind)
-
-
-def closure(edges: DataFrame, start: str, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, depth) of all that is reached from start, by the fewest edges; cycles end where they close.
-
-    One join a depth, of the edges with the nodes met at the last one; nodes met before fall out. Only counts come to the driver.
-    """
-    e = edges.select(F.col(src).cast("string").alias("s"), F.col(dst).cast("string").alias("node")).where("s is not null and node is not null").distinct().persist()
-    last = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
-    seen, depth = last, 0
-    while True:
-        depth += 1
-        last = e.join(last.select(F.col("node").alias("s")), "s").select("node").distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if last.isEmpty():
-            return seen
-        seen = seen.union(last)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .flow import Flow, Ref
 from .functions.jsontext import json_rows
-from .plans import trace
+from .plans import edges, trace
 from .plans.runtime import Engine
 from .sources import clients, standins
 from .sources.tables import table
@@ -615,8 +615,44 @@ def outputs_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @direct("WITH RECURSIVE r(node, depth) AS (SELECT 1::bigint, 0 UNION ALL SELECT e.d, r.depth + 1 FROM r JOIN (SELECT DISTINCT l_linenumber::bigint AS s, l_linenumber::bigint + 2 AS d FROM lineitem) e ON e.s = r.node) SELECT node::varchar AS node, min(depth)::int AS depth FROM r GROUP BY node")
 def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber").cast("long")
-    edges = table(spark, sf_dir, "lineitem").select(n.cast("string").alias("src"), (n + 2).cast("string").alias("dst")).distinct()
-    return trace.closure(edges, "1")
+    lines = table(spark, sf_dir, "lineitem").select(n.cast("string").alias("src"), (n + 2).cast("string").alias("dst")).distinct()
+    return edges.closure(lines, "1")
+
+
+_NEXT = "SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber AND a.l_partkey < b.l_partkey"
+
+
+def _next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from each part to the one on an order's next line, where that has the higher number: no cycles, and long ways."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    following = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    return lines.join(following, ["l_orderkey", "l_linenumber"]).where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
+
+
+@direct(
+    f"WITH RECURSIVE e AS ({_NEXT}), l(node, level) AS (SELECT DISTINCT p_partkey, 0::bigint FROM part WHERE p_partkey NOT IN (SELECT d FROM e) UNION SELECT e.d, l.level + 1 FROM l JOIN e ON e.s = l.node)"
+    " SELECT node::varchar AS node, max(level) AS level FROM l GROUP BY node"
+)
+def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of a graph of all parts; the order of (level, node) is topological."""
+    return edges.levels(_next_parts(spark, sf_dir), table(spark, sf_dir, "part"), node="p_partkey")
+
+
+@direct("WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS s, (p_partkey * p_partkey + 1) % 1009 AS d FROM part), r(a, b) AS (SELECT s, d FROM e UNION SELECT r.a, e.d FROM r JOIN e ON e.s = r.b) SELECT a::varchar AS node FROM r WHERE a = b")
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes on cycles, where each part leads to one number."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * F.col("p_partkey") + 1) % 1009).alias("dst"))
+    return edges.cyclic(parts)
+
+
+@direct(
+    "WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey * k AS d FROM part, (VALUES (2), (3)) AS t(k) WHERE p_partkey > 0), p(path, last) AS (SELECT [1::bigint], 1::bigint UNION ALL SELECT list_append(p.path, e.d), e.d FROM p JOIN e ON e.s = p.last WHERE e.d <= 144 AND NOT list_contains(p.path, e.d))"
+    " SELECT list_transform(path, lambda x: x::varchar) AS path FROM p WHERE last = 144"
+)
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every way from 1 to 144 where each part leads to its double and its treble."""
+    parts = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("src"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 3)).alias("dst"))
+    return edges.paths(parts, "1", "144")
 
 
 @direct("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.flow import Flow
-from loomgraph.plans import trace
+from loomgraph.plans import edges, trace
 from loomgraph.plans.graph import Graph, GraphError
 from loomgraph.plans.runtime import Cancellation, Engine
 from loomgraph.registry import NodeSpec, Registry
@@ -248,10 +248,54 @@ def test_durations_are_not_made_up_and_fail_fast_ends_the_trace(engine):
     assert ids(fail_fast=True)[-1] == "bad" and "later" not in ids(fail_fast=True)
 
 
-def test_closure_ends_on_cycles(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("x", "a"), (None, "q")], "src string, dst string")
-    assert set(map(tuple, trace.closure(edges, "a").collect())) == {("a", 0), ("b", 1), ("c", 2)}
-    assert trace.closure(edges, "nowhere").collect() == [("nowhere", 0)]
+@pytest.fixture(params=["one task", "rounds"])
+def walked(request, monkeypatch):
+    """Both ways to walk a table of edges."""
+    monkeypatch.setattr(edges, "LOCAL_EDGES", 200_000 if request.param == "one task" else -1)
+
+
+def table_of(spark, pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def test_closure_ends_on_cycles(spark, walked):
+    e = table_of(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("x", "a"), (None, "q"), ("a", "b")])
+    assert set(map(tuple, edges.closure(e, "a").collect())) == {("a", 0), ("b", 1), ("c", 2)}
+    assert edges.closure(e, "nowhere").collect() == [("nowhere", 0)] and edges.closure(e.limit(0), "a").collect() == [("a", 0)]
+
+
+def test_levels_and_what_is_left_in_cycles(spark, walked):
+    e = table_of(spark, [("a", "b"), ("b", "d"), ("a", "d"), ("d", "e"), ("a", "b"), (None, "q"), ("r", None)])
+    alone = spark.createDataFrame([("z",), ("a",), (None,)], "node string")
+    assert dict(map(tuple, edges.levels(e, alone).collect())) == {"a": 0, "b": 1, "d": 2, "e": 3, "z": 0}
+    assert not edges.has_cycle(e) and edges.cyclic(e).count() == 0 and edges.levels(e.limit(0)).count() == 0
+    c = table_of(spark, [("in", "x"), ("x", "y"), ("y", "x"), ("y", "way"), ("way", "p"), ("p", "p"), ("p", "out"), ("in", "free")])
+    assert dict(map(tuple, edges.levels(c).collect())) == {"in": 0, "free": 1} | dict.fromkeys(["x", "y", "way", "p", "out"])
+    assert edges.has_cycle(c) and {r[0] for r in edges.cyclic(c).collect()} == {"x", "y", "way", "p"}
+
+
+def test_chains_of_ten_thousand_edges(spark):
+    chain = spark.range(10_000).selectExpr("string(id) AS src", "string(id + 1) AS dst").repartition(7)
+    got = edges.closure(chain, "0").agg(F.count("*"), F.max("depth"), F.sum(F.abs(F.col("node").cast("int") - F.col("depth")))).first()
+    assert tuple(got) == (10_001, 10_000, 0)
+    assert edges.levels(chain).where("node <> level").count() == 0 and not edges.has_cycle(chain)
+    ring = chain.union(table_of(spark, [("10000", "0")]))
+    assert edges.has_cycle(ring) and edges.cyclic(ring).count() == 10_001
+
+
+def test_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
+    monkeypatch.setattr(edges, "LOCAL_EDGES", -1)
+    plan = lambda n: len(edges.levels(table_of(spark, [(str(k), str(k + 1)) for k in range(n)]))._jdf.queryExecution().toString())
+    assert plan(9) < 1.2 * plan(3)
+
+
+def test_all_paths(spark, walked):
+    ways = lambda pairs, a, b, **o: sorted(r[0] for r in edges.paths(table_of(spark, pairs), a, b, **o).collect())
+    diamond = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("x", "d"), ("a", "b")]
+    assert ways(diamond, "a", "e") == [["a", "b", "d", "e"], ["a", "c", "d", "e"]] and ways(diamond, "e", "a") == []
+    assert ways(diamond, "a", "a") == [["a"]] and ways(diamond, "a", "nowhere") == []
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("b", "d"), ("d", "d"), ("d", "a")]
+    assert ways(ring, "a", "d") == [["a", "b", "c", "d"], ["a", "b", "d"]] and ways(ring, "a", "d", most=1) == [["a", "b", "d"]]
 
 
 def test_log_lines_and_ranks(spark):
