@@ -6,7 +6,7 @@ All of it is built-in Column work; the static type of a value decides which form
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -184,6 +184,15 @@ def collecting() -> Iterator[list[Column]]:
         _errors.reset(token)
 
 
+def is_collecting() -> bool:
+    return _errors.get() is not None
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value in the plan once, however often f uses it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))  # the lambda has one parameter, whatever f has
+
+
 def failing(test: Column, message: Column | str, value: Column) -> Column:
     """value, but an error where test holds: raised, or noted with null in its place."""
     message = F.lit(message) if isinstance(message, str) else message

@@ -1,6 +1,6 @@
 """Images, cameras and a segmentation service: nodes whose work is outside of Spark.
 
-Each is one Arrow-batched call; a row whose guard is false is not called. They cannot stand in loops.
+Each is one Arrow-batched call; a row whose guard is false is not called. In a loop they are called once a round.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.exprs import Value, failing, is_text, number, pystr, truthy, whole
+from ..functions.exprs import Value, failing, is_collecting, is_text, number, pystr, truthy, whole
 from ..registry import node, port
 from ..sources.clients import factory
 from .inputs import Inputs
@@ -21,14 +21,27 @@ SERVER = "http://localhost:8765"
 
 
 def calling(f: Callable[..., dict[str, Any]], schema: str, *args: Column) -> Callable[[Column], Column]:
-    """For a guard, the Column of structs that f gives for each row's arguments; null where the guard is false."""
+    """For a guard, the Column of structs that f gives for each row's arguments; null where the guard is false.
+
+    Where errors are collected the struct has one field more, error: what f raised for the row.
+    """
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
+    collects = is_collecting()
+    none = dict.fromkeys(names)
+
+    def one(*row: Any) -> dict[str, Any]:
+        if not collects:
+            return f(*row)
+        try:
+            return f(*row)
+        except Exception as e:
+            return none | {"error": str(e) or type(e).__name__}
 
     def batch(run: pd.Series, *columns: pd.Series) -> pd.DataFrame:
-        rows = [f(*(None if x is pd.NA else x for x in row)) if go else dict.fromkeys(names) for go, *row in zip(run, *columns)]
-        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+        rows = [one(*(None if x is pd.NA else x for x in row)) if go else none for go, *row in zip(run, *columns)]
+        return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in (*names, *["error"] * collects)})
 
-    call = F.pandas_udf(batch, schema).asNondeterministic()  # type: ignore[call-overload]
+    call = F.pandas_udf(batch, schema + ", error string" * collects).asNondeterministic()  # type: ignore[call-overload]
     return lambda guard: call(guard, *args)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -17,13 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import Value, as_type, collecting, constant, steps, truthy, whole, widest
+from ..functions.exprs import Value, as_type, collecting, constant, let, steps, truthy, whole, widest
 from ..operators.inputs import Inputs
+from ..sources.shared import written
 from .graph import Graph, GraphError, Node, is_control
 
 
 #: The column of a table's run that says which nodes failed for a row and why, with option on_error collect.
 ERRORS = "_errors"
+#: Nodes that write lines to the run's log.
+LOGGING = frozenset({"core.debug.log", "core.debug.breakpoint"})
+#: Rounds of a loop with calls in it after which the rows are written down, so that no call is made again.
+CUT = 4
 
 
 class Scope:
@@ -88,6 +94,8 @@ class Compiler:
         self.errors: dict[str, str] | None = {} if collect else None
         #: Types of ports within loops, as the last build over shadows found them.
         self.inner_types: dict[tuple[str, str], T.DataType] = {}
+        #: While rounds over the table are compiled, the column of each variable that they set.
+        self.held_in: dict[str, str] = {}
 
     # --- the whole graph
 
@@ -138,33 +146,41 @@ class Compiler:
         """Level of a node; variables are read after all that set them before in the graph's order."""
         if not hasattr(self, "_depths"):
             depths: dict[str, int] = {}
-            last_set: dict[str, int] = {}
-            for m in self.order:
-                d = 1 + max((depths.get(p, -1) for p in self.graph.parents[m]), default=-1)
-                touched = [m, *(self.graph._loop_members(m) if self.graph.nodes[m].is_loop else ())]
-                for x in touched:
-                    for p in self.graph.parents[x]:
-                        d = max(d, depths.get(p, -1) + 1) if p not in touched else d
-                    node = self.graph.nodes[x]
-                    if node.spec.style == "variable":
-                        name = str(node.values.get("name") or "var")
-                        d = max(d, last_set.get(name, -1) + 1)
-                for cond, _ in self.graph.branches.get(m, ()):
-                    d = max(d, depths.get(cond, -1) + 1)
-                depths[m] = d
-                for x in touched:
-                    node = self.graph.nodes[x]
-                    if node.type in ("core.var.set", "core.var.declare"):
-                        last_set[str(node.values.get("name") or "var")] = max(last_set.get(str(node.values.get("name") or "var"), -1), d)
+            # what a body takes from outside may come later in the order than its loop: again, until nothing moves
+            while (found := self._depths_after(depths)) != depths:
+                depths = found
             self._depths = depths
         return self._depths[n]
 
+    def _depths_after(self, known: dict[str, int]) -> dict[str, int]:
+        depths, last_set = dict(known), {}
+        for m in self.order:
+            d = 1 + max((depths.get(p, -1) for p in self.graph.parents[m]), default=-1)
+            touched = [m, *(self.graph._loop_members(m) if self.graph.nodes[m].is_loop else ())]
+            for x in touched:
+                for p in self.graph.parents[x]:
+                    d = max(d, depths.get(p, -1) + 1) if p not in touched else d
+                node = self.graph.nodes[x]
+                if node.spec.style == "variable":
+                    d = max(d, last_set.get(str(node.values.get("name") or "var"), -1) + 1)
+            for cond, _ in self.graph.branches.get(m, ()):
+                d = max(d, depths.get(cond, -1) + 1)
+            depths[m] = d
+            for x in touched:
+                node = self.graph.nodes[x]
+                if node.type in ("core.var.set", "core.var.declare"):
+                    name = str(node.values.get("name") or "var")
+                    last_set[name] = max(last_set.get(name, -1), d)
+        return depths
+
     def _outputs(self, n: str) -> dict[tuple[str, str], Column]:
         node = self.graph.nodes[n]
         guard = self._guard(n, self.scope)
         if guard is not None:
             self.guards[n] = f"{n}.$runs"
-        if node.is_loop:
+        if node.is_loop and self._has_calls(node):
+            out = self._rounds(node, guard)
+        elif node.is_loop:
             out = self._loop(node, self.scope, guard)
         elif node.type == "core.control.ifelse":
             values = self._inputs(node, self.scope, False)
@@ -173,11 +189,9 @@ class Compiler:
         elif node.spec.style == "control":
             out = {}
         elif node.spec.style == "call":
-            # one call a row, its struct in a column of its own, whatever many ports are read of it
-            held = f"{n}.$call"
-            self.frame = self.frame.withColumn(held, node.spec.build(self._inputs(node, self.scope, False))(F.lit(True) if guard is None else guard))
-            self.scope.probe = self.frame
-            out = {(n, p): F.col(_q(held))[p] for p in node.outputs if not ((q := node.port(p, True)) and is_control(q))}
+            out = self._call(node, F.lit(True) if guard is None else guard)
+            if self.errors is not None:
+                self.errors[n] = f"{n}.$error"
         elif node.spec.style == "table":
             if guard is not None:
                 raise GraphError(f"'{n}' changes the table and cannot stand behind an if/else", "table_in_branch", n)
@@ -198,7 +212,7 @@ class Compiler:
             else:
                 with collecting() as found:
                     built = self._build(node, self.scope, False)
-                above = [F.when(F.col(_q(self.errors[x])).isNotNull(), F.lit("dependency_failed")) for x in sorted({link.source for (t, _), link in self.graph.data_in.items() if t == n}) if x in self.errors]
+                above = [F.when(F.col(_q(self.errors[x])).isNotNull(), F.lit("dependency_failed")) for x in sorted({link.source for (t, _), link in self.graph.data_in.items() if t == n}) if x in self.errors and x not in self.graph.loop_of]
                 if found or above:
                     error = F.coalesce(*above, *found)
                     error = error if guard is None else F.when(guard, error)
@@ -218,6 +232,18 @@ class Compiler:
             out[n, "$runs"] = guard
         return out
 
+    def _call(self, node: Node, guard: Column) -> dict[tuple[str, str], Column]:
+        """One call a row, its struct in a column of its own, whatever many ports are read of it; with its error where errors are collected."""
+        held = f"{node.id}.$call"
+        if self.errors is None:
+            call = node.spec.build(self._inputs(node, self.scope, False))(guard)
+        else:
+            with collecting():
+                call = node.spec.build(self._inputs(node, self.scope, False))(guard)
+        self.frame = self.scope.probe = self.frame.withColumn(held, call)
+        out = {(node.id, p): F.col(_q(held))[p] for p in node.outputs if not ((q := node.port(p, True)) and is_control(q))}
+        return out | ({} if self.errors is None else {(node.id, "$error"): F.col(_q(held))["error"]})
+
     def _assign(self, node: Node, scope: Scope, column: Column, guard: Column | None) -> None:
         name = self._name_of(node, scope)
         if guard is None:
@@ -308,22 +334,72 @@ class Compiler:
 
     # --- loops
 
+    def _has_calls(self, loop: Node) -> bool:
+        return any(self.graph.nodes[n].spec.style == "call" for n in self.graph._loop_members(loop.id))
+
+    def _is_stepwise(self, loop: Node) -> bool:
+        """Whether a body's branches, logs and errors are kept from node to node."""
+        return self.errors is not None or any(self.graph.nodes[n].type in LOGGING or self.graph.nodes[n].spec.style == "call" for n in self.graph._loop_members(loop.id))
+
+    def _own(self, loop: Node) -> list[str]:
+        """The nodes of a loop's body that are part of the run, in order."""
+        body, run = self.graph.loop_bodies[loop.id], set(self.order)
+        return [n for n in self.graph.order if n in body and n in run]
+
+    def _writes(self, loop: Node, scope: Scope) -> list[str]:
+        """The variables that a loop sets."""
+        return sorted({self._name_of(self.graph.nodes[m], scope) for m in self.graph._loop_members(loop.id) if m in set(self.order) and self.graph.nodes[m].type in ("core.var.set", "core.var.declare")})
+
     def _loop(self, loop: Node, scope: Scope, guard: Column | None) -> dict[tuple[str, str], Column]:
         """Last values of the body's ports and the last index; variables carry on in the scope."""
-        body = [n for n in self.graph.order if n in self.graph.loop_bodies[loop.id]]
-        own = [n for n in body if n in set(self.order)]
-        indices = self._indices(loop, scope, False)
-        cone = self._condition_cone(loop)
-        writes = sorted({self._name_of(self.graph.nodes[m], scope) for n in own for m in [n, *(self.graph._loop_members(n) if self.graph.nodes[n].is_loop else ())] if self.graph.nodes[m].type in ("core.var.set", "core.var.declare")})
+        result, fields = self._fold(loop, scope, guard)
+        # the fold stands in the plan once: its fields are read from a column of its own
+        if scope is self.scope:
+            held = f"{loop.id}.$loop"
+            self.frame = scope.probe = self.frame.withColumn(held, result)
+            result = F.col(_q(held))
+        return self._fold_outputs(loop, scope, guard, result, fields)
+
+    def _fold_outputs(self, loop: Node, scope: Scope, guard: Column | None, result: Column, fields: dict[tuple[str, str], T.DataType]) -> dict[tuple[str, str], Column]:
+        out: dict[tuple[str, str], Column] = {}
+        for i, k in enumerate(fields):
+            if k[0] == "$var":
+                v = Value(result[f"f{i}"], fields[k])
+                scope.variables[k[1]] = (v, v if scope is self.scope else _blank(fields[k]))
+            elif k[1] in ("$log", "$error"):
+                if scope is not self.scope:
+                    out[k] = result[f"f{i}"]
+                elif k[1] == "$log":
+                    self.logs[k[0]] = f"{k[0]}.$log"
+                    out[k] = result[f"f{i}"]
+                else:
+                    assert self.errors is not None
+                    self.errors[k[0]] = f"{k[0]}.$error"
+                    out[k] = result[f"f{i}"]
+            elif not k[1].startswith("$") or scope is not self.scope:
+                out[k] = result[f"f{i}"]
+        out[loop.id, "index"] = F.when(guard, result["index"]) if guard is not None else result["index"]
+        return out
+
+    def _fold(self, loop: Node, scope: Scope, guard: Column | None) -> tuple[Column, dict[tuple[str, str], T.DataType]]:
+        """The loop as one aggregate over its indices: a struct of the fields f0, f1, ... (whose keys and types come with it), index and go.
+
+        A body whose errors are collected or that logs is a chain of steps over the struct, a step a node: a node that
+        fails ends the round, and what follows it keeps what it had. Other bodies are one expression.
+        """
+        own, cone = self._own(loop), self._condition_cone(loop)
+        indices, writes = self._indices(loop, scope, False), self._writes(loop, scope)
         fields = self._field_types(loop, own, scope, writes, cone)
         t = T.StructType([T.StructField(f"f{i}", fields[k]) for i, k in enumerate(fields)] + [T.StructField("index", T.LongType()), T.StructField("go", T.BooleanType())])
         start = []
         for i, k in enumerate(fields):
             held = scope.variables.get(k[1]) if k[0] == "$var" else None
-            start.append((held[0].col.cast(fields[k]) if held else F.lit(None).cast(fields[k])).alias(f"f{i}"))
+            empty = F.array().cast(fields[k]) if k[1] == "$log" else F.lit(None).cast(fields[k])
+            start.append((as_type(held[0], fields[k]) if held else empty).cast(fields[k]).alias(f"f{i}"))
         initial = F.struct(*start, F.lit(0).cast("long").alias("index"), F.lit(True).alias("go"))
+        stepwise = self._is_stepwise(loop)
 
-        def step(acc: Column, index: Column) -> Column:
+        def within(acc: Column, index: Column) -> Scope:
             inner = scope.child()
             inner.logs = []
             inner.values[loop.id, "index"] = Value(index, T.LongType())
@@ -331,25 +407,29 @@ class Compiler:
             for i, k in enumerate(fields):
                 if k[0] == "$var":
                     inner.variables[k[1]] = (Value(acc[f"f{i}"], fields[k]), _blank(fields[k]))
+            return inner
+
+        def step(acc: Column, index: Column) -> Column:
+            inner = within(acc, index)
             test = F.lit(True)
             if cone:
-                for n in cone:
-                    self._run_inside(self.graph.nodes[n], inner, fields, False)
+                # a condition that fails is false where errors are collected
+                with collecting() if self.errors is not None else nullcontext():
+                    for n in cone:
+                        self._run_inside(self.graph.nodes[n], inner, fields, False)
                 test = truthy(self._inputs(loop, inner, False)["condition"])
-            for n in own:
-                self._run_inside(self.graph.nodes[n], inner, fields, False)
-            new = []
-            for i, k in enumerate(fields):
-                if k[0] == "$var":
-                    new.append(inner.variables[k[1]][0].col.cast(fields[k]).alias(f"f{i}"))
-                else:
-                    new.append(inner.values[k].col.cast(fields[k]).alias(f"f{i}"))
             go = acc["go"] & test
             done = F.struct(*(acc[f"f{i}"].alias(f"f{i}") for i in range(len(fields))), acc["index"].alias("index"), F.lit(False).alias("go"))
-            moved = F.struct(*new, index.alias("index"), F.lit(True).alias("go"))
+            if stepwise:
+                moved = self._steps(loop, own, within, acc, index, fields)
+            else:
+                for n in own:
+                    self._run_inside(self.graph.nodes[n], inner, fields, False)
+                new = [as_type(inner.variables[k[1]][0] if k[0] == "$var" else inner.values[k], fields[k]).cast(fields[k]).alias(f"f{i}") for i, k in enumerate(fields)]
+                moved = F.struct(*new, index.alias("index"), F.lit(True).alias("go"))
             return F.when(go, moved).otherwise(done).cast(t) if cone else moved.cast(t)
 
-        if not writes and not cone and not any(self.graph.nodes[n].is_loop for n in own):
+        if not writes and not cone and not stepwise and not any(self.graph.nodes[n].is_loop for n in own):
             # nothing carries over: only the last round can be seen, so it alone is computed
             last = F.try_element_at(indices, F.lit(-1))
             result = F.when(last.isNotNull(), step(initial.cast(t), last)).otherwise(initial.cast(t))
@@ -357,21 +437,195 @@ class Compiler:
             result = F.aggregate(indices, initial.cast(t), step)
         if guard is not None:
             result = F.when(guard, result).otherwise(initial.cast(t))
-        # the fold stands in the plan once: its fields are read from a column of its own
-        if scope is self.scope:
-            held = f"{loop.id}.$loop"
-            self.frame = self.frame.withColumn(held, result)
-            result = F.col(_q(held))
-            scope.probe = self.frame
-        out: dict[tuple[str, str], Column] = {}
-        for i, k in enumerate(fields):
+        return result, fields
+
+    def _steps(self, loop: Node, own: list[str], within: Callable[[Column, Column], Scope], acc: Column, index: Column, fields: dict[tuple[str, str], T.DataType]) -> Column:
+        """A round as a chain of structs: after each node its ports, variable, log and error are fields that the next one reads."""
+        place = {k: f"f{i}" for i, k in enumerate(fields)}
+
+        def scope_of(s: Column) -> Scope:
+            inner = within(s, index)
+            for k, f in place.items():
+                if k[0] != "$var":
+                    inner.values[k], inner.shadows[k] = Value(s[f], fields[k]), _blank(fields[k])
+            return inner
+
+        def after(node: Node, s: Column) -> Column:
+            inner = scope_of(s)
+            guard = self._guard(node.id, inner)
+            runs = s["alive"] if guard is None else s["alive"] & guard
+            new: dict[tuple[str, str], Column] = {}
+            error = None
+            if node.type == "core.control.ifelse":
+                new[node.id, "$taken"] = F.when(runs, node.spec.build(self._inputs(node, inner, False)))
+            elif node.is_loop:
+                result, parts = self._fold(node, inner, runs)
+
+                def nested(r: Column) -> Column:
+                    got = {k: as_type(Value(r[f"f{i}"], parts[k]), fields[k]) for i, k in enumerate(parts) if k in fields}
+                    kept = {k: F.concat(s[place[k]], c) if k[1] == "$log" else F.coalesce(s[place[k]], c) if k[1] == "$error" else c for k, c in got.items()}
+                    return put(s, {k: F.when(runs, c).otherwise(s[place[k]]) if k[0] == "$var" or k[1] in ("$log", "$error") else c for k, c in kept.items()} | {(node.id, "index"): F.when(runs, r["index"])}, s["alive"])
+
+                return let(result, nested)
+            elif node.spec.style != "control":
+                with collecting() if self.errors is not None else nullcontext([]) as found:
+                    built = self._build(node, inner, False)
+                error = F.when(runs, F.coalesce(*found)) if found else None
+                for port, column in built.items():
+                    want = fields[node.id, port]
+                    got = F.when(runs, as_type(Value(column, self.inner_types[node.id, port]), want))
+                    new[node.id, port] = got if error is None else F.when(error.isNull(), got).otherwise(s[place[node.id, port]])
+                    if node.type in ("core.var.set", "core.var.declare"):
+                        name = ("$var", self._name_of(node, inner))
+                        value = F.when(runs, as_type(Value(column, self.inner_types[node.id, port]), fields[name])).otherwise(s[place[name]])
+                        new[name] = value if error is None else F.when(error.isNull(), value).otherwise(s[place[name]])
+                for n, line in inner.logs:
+                    key = (n, "$log")
+                    new[key] = F.when(runs & line.isNotNull(), F.array_append(s[place[key]], line)).otherwise(s[place[key]])
+            if error is None:
+                return put(s, new, s["alive"])
+            new[node.id, "$error"] = F.coalesce(s[place[node.id, "$error"]], error)
+            return put(s, new, s["alive"] & error.isNull())
+
+        def put(s: Column, new: dict[tuple[str, str], Column], alive: Column) -> Column:
+            """A round that has ended keeps what it had; a node that a branch leaves out has null."""
+            held = lambda k, c: c if k[0] == "$var" or k[1] in ("$log", "$error") else F.when(s["alive"], c).otherwise(s[place[k]])
+            return F.struct(*((held(k, new[k]) if k in new else s[f]).cast(fields[k]).alias(f) for k, f in place.items()), alive.alias("alive"))
+
+        state = F.struct(*(acc[f].alias(f) for f in place.values()), F.lit(True).alias("alive"))
+        for n in own:
+            state = let(state, lambda s, node=self.graph.nodes[n]: after(node, s))
+        return let(state, lambda s: F.struct(*(s[f].alias(f) for f in place.values()), index.alias("index"), F.lit(True).alias("go")))
+
+    def _rounds(self, loop: Node, guard: Column | None) -> dict[tuple[str, str], Column]:
+        """A loop with calls in its body: round after round over the table, the body's ports and variables as columns.
+
+        As many rounds as the row with most of them has (counted first, unless the graph says it); rows that are done
+        keep their values and are not called. Every CUT rounds the rows are written down. A node that fails ends the round for its row.
+        """
+        own, cone, scope = self._own(loop), self._condition_cone(loop), self.scope
+        writes = self._writes(loop, scope)
+        fields = self._field_types(loop, own, scope, writes, cone)
+        indices = self._indices(loop, scope, False)
+        held = {k: f"{loop.id}.$var.{k[1]}" if k[0] == "$var" else f"{k[0]}.{k[1]}" for k in fields}
+        todo, go, alive, at = (f"{loop.id}.{x}" for x in ("$indices", "$go", "$alive", "index"))
+        start: dict[str, Column] = {todo: indices if guard is None else F.when(guard, indices).otherwise(F.array().cast("array<long>")), go: F.lit(True), at: F.lit(0).cast("long")}
+        for k, name in held.items():
+            before = scope.variables.get(k[1]) if k[0] == "$var" else None
+            first = as_type(before[0], fields[k]).cast(fields[k]) if before else F.array().cast(fields[k]) if k[1] == "$log" else F.lit(None).cast(fields[k])
+            if name in self.frame.columns and k[0] != "$var":  # in a loop around this one: lines and errors go on, rows that do not come here keep all
+                first = F.col(_q(name)) if k[1] in ("$log", "$error") or guard is None else F.when(guard, first).otherwise(F.col(_q(name)))
+            start[name] = first
+        self._add(start)
+        outer = dict(self.held_in)
+        for k, name in held.items():
+            v = Value(F.col(_q(name)), fields[k])
             if k[0] == "$var":
-                v = Value(result[f"f{i}"], fields[k])
-                scope.variables[k[1]] = (v, v if scope is self.scope else _blank(fields[k]))
+                scope.variables[k[1]] = (v, v)
+                self.held_in[k[1]] = name
             else:
-                out[k] = result[f"f{i}"]
-        out[loop.id, "index"] = F.when(guard, result["index"]) if guard is not None else result["index"]
-        return out
+                scope.values[k] = scope.shadows[k] = v
+        scope.values[loop.id, "index"] = scope.shadows[loop.id, "index"] = Value(F.col(_q(at)), T.LongType())
+        col = lambda name: F.col(_q(name))
+        for r in range(self._round_count(loop, col(todo))):
+            if r and r % CUT == 0 and not self.frame.isStreaming:
+                self._cut()
+                if cone and self.frame.where(col(go) & (F.size(col(todo)) > r)).isEmpty():
+                    break
+            self._add({alive: (F.size(col(todo)) > r) & col(go)})
+            if cone:
+                seen = scope.values[loop.id, "index"]
+                scope.values[loop.id, "index"] = Value(F.get(col(todo), F.lit(r)), T.LongType())
+                with collecting() if self.errors is not None else nullcontext():
+                    for n in cone:
+                        for port, column in self._build(self.graph.nodes[n], scope, False).items():
+                            self._add({f"{n}.{port}": column})
+                            scope.values[n, port] = scope.shadows[n, port] = Value(col(f"{n}.{port}"), self._type(col(f"{n}.{port}"), scope))
+                self._add({go: col(go) & (~col(alive) | truthy(self._inputs(loop, scope, False)["condition"]))})
+                self._add({alive: col(alive) & col(go)})
+                scope.values[loop.id, "index"] = seen
+            self._add({at: F.when(col(alive), F.get(col(todo), F.lit(r))).otherwise(col(at))})
+            for n in own:
+                self._round_node(self.graph.nodes[n], col(alive), fields, alive)
+        self.held_in = outer
+        out = {k: col(name) for k, name in held.items() if k[0] != "$var" and not k[1].startswith("$")}
+        for k, name in held.items():
+            if k[1] == "$log":
+                self.logs[k[0]] = name
+            elif k[1] == "$error" and self.errors is not None:
+                self.errors[k[0]] = name
+        return out | {(loop.id, "index"): F.when(guard, col(at)) if guard is not None else col(at)}
+
+    def _add(self, columns: dict[str, Column]) -> None:
+        self.frame = self.scope.probe = self.frame.withColumns(columns)
+
+    def _cut(self) -> None:
+        """The rows so far from files; columns of no type are added anew."""
+        void = [f.name for f in self.frame.schema.fields if isinstance(f.dataType, T.NullType)]
+        frame = written(self.frame.drop(*void), "rounds")
+        self.frame = self.scope.probe = frame.withColumns({n: F.lit(None) for n in void}) if void else frame
+
+    def _round_count(self, loop: Node, indices: Column) -> int:
+        v = self._inputs(loop, self.scope, False)
+        ports = {"core.control.for": ("first_index", "last_index"), "core.control.repeat": ("count",)}.get(loop.type, ("max_iterations",))
+        if all(v[p].is_const for p in ports):
+            numbers = [int(v[p].const or 0) for p in ports]
+            return abs(numbers[1] - numbers[0]) + 1 if len(numbers) == 2 else max(0, numbers[0] or (100 if loop.type == "core.control.while" else 0))
+        if self.frame.isStreaming:
+            raise GraphError(f"'{loop.id}': over a stream the rounds of a loop with calls must be given by the graph", "unbounded_rounds", loop.id)
+        return int(self.frame.agg(F.max(F.size(indices))).first()[0] or 0)
+
+    def _round_node(self, node: Node, alive_now: Column, fields: dict[tuple[str, str], T.DataType], alive: str) -> None:
+        """A node of a body in one round of the table."""
+        scope = self.scope
+        guard = self._guard(node.id, scope)
+        runs = alive_now if guard is None else alive_now & guard
+        held = lambda port: F.col(_q(f"{node.id}.{port}"))
+        if node.type == "core.control.ifelse":
+            self._add({f"{node.id}.$taken": F.when(runs, node.spec.build(self._inputs(node, scope, False))).otherwise(held("$taken"))})
+            return
+        if node.is_loop:
+            writes = self._writes(node, scope)
+            got = self._rounds(node, runs) if self._has_calls(node) else self._loop(node, scope, runs)
+            if not self._has_calls(node):  # what one fold gives beside what the rounds before gave
+                kept = lambda n, p, c: F.concat(F.col(_q(f"{n}.{p}")), c) if p == "$log" else F.coalesce(F.col(_q(f"{n}.{p}")), c) if p == "$error" else F.when(alive_now, c).otherwise(F.col(_q(f"{n}.{p}")))
+                got = {(n, p): kept(n, p, c) for (n, p), c in got.items()}
+            self._add({f"{n}.{p}": c for (n, p), c in got.items()})
+            for k in got:
+                scope.values[k] = scope.shadows[k] = Value(F.col(_q(f"{k[0]}.{k[1]}")), T.LongType() if k == (node.id, "index") else self.inner_types[k])
+            for name in writes:  # the loop around keeps the variable in its own column
+                own, t = self.held_in[name], fields["$var", name]
+                self._add({own: F.when(runs, as_type(scope.variables[name][0], t)).otherwise(F.col(_q(own)))})
+                scope.variables[name] = (Value(F.col(_q(own)), t),) * 2
+            return
+        if node.spec.style == "control":
+            return
+        error = None
+        if node.spec.style == "call":
+            built = self._call(node, runs)
+            error = built.pop((node.id, "$error"), None)
+            built = {p: c for (_, p), c in built.items()}
+        else:
+            with collecting() if self.errors is not None else nullcontext([]) as found:
+                built = self._build(node, scope, False)
+            error = F.when(runs, F.coalesce(*found)) if found else None
+        # a round that has ended, or ends here, keeps what it had; a node that a branch leaves out has null
+        ended = ~alive_now if error is None else ~alive_now | error.isNotNull()
+        new = {f"{node.id}.{p}": F.when(ended, held(p)).when(runs, c.cast(fields[node.id, p])) for p, c in built.items()}
+        for n, line in scope.logs:
+            new[f"{n}.$log"] = F.when(runs & line.isNotNull(), F.array_append(F.col(_q(f"{n}.$log")), line)).otherwise(F.col(_q(f"{n}.$log")))
+        scope.logs.clear()
+        ok = runs
+        if error is not None:
+            new[f"{node.id}.$failed"] = error
+            ok = runs & held("$failed").isNull()
+        self._add(new)
+        if node.type in ("core.var.set", "core.var.declare"):
+            own = self.held_in[self._name_of(node, scope)]
+            t = fields["$var", self._name_of(node, scope)]
+            self._add({own: F.when(ok, as_type(Value(held("value"), fields[node.id, "value"]), t)).otherwise(F.col(_q(own)))})
+        if error is not None:
+            self._add({f"{node.id}.$error": F.coalesce(held("$error"), held("$failed")), alive: F.col(_q(alive)) & held("$failed").isNull()})
 
     def _indices(self, loop: Node, scope: Scope, shadow: bool) -> Column:
         v = self._inputs(loop, scope, shadow)
@@ -455,6 +709,15 @@ class Compiler:
             if wider == types:
                 break
             types = wider
+        if self._is_stepwise(loop):
+            for n in body:
+                node = self.graph.nodes[n]
+                if node.type == "core.control.ifelse":
+                    ports[n, "$taken"] = T.BooleanType()
+                elif node.spec.style != "control" and self.errors is not None:
+                    ports[n, "$error"] = T.StringType()
+                if node.type in LOGGING:
+                    ports[n, "$log"] = T.ArrayType(T.StringType())
         out = {("$var", name): T.StringType() if isinstance(t, T.NullType) else t for name, t in types.items()}
         return out | {k: T.StringType() if isinstance(t, T.NullType) else t for k, t in ports.items()}
 
@@ -478,8 +741,14 @@ class Compiler:
             v = Value(F.lit(0).cast("long"), T.LongType())
             scope.shadows[node.id, "index"] = scope.values[node.id, "index"] = v
             ports[node.id, "index"] = T.LongType()
-        elif node.spec.style in ("table", "call"):
-            raise GraphError(f"'{node.id}' ({node.type}) cannot stand in a loop", f"{node.spec.style}_in_loop", node.id)
+        elif node.spec.style == "table":
+            raise GraphError(f"'{node.id}' ({node.type}) cannot stand in a loop", "table_in_loop", node.id)
+        elif node.spec.style == "call":
+            call = self._type(node.spec.build(self._inputs(node, scope, True))(F.lit(True)), scope)
+            for f in call.fields:
+                if f.name in node.outputs:
+                    self.inner_types[node.id, f.name] = ports[node.id, f.name] = f.dataType
+                    scope.shadows[node.id, f.name] = scope.values[node.id, f.name] = _blank(f.dataType)
         elif node.spec.style != "control":
             for port, column in self._build(node, scope, True).items():
                 t = self._type(column, scope)

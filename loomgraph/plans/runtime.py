@@ -114,6 +114,7 @@ class Run:
     total_ms: float = 0.0
     cached: set[str] = field(default_factory=set)
     fail_fast: bool = False
+    seed: int = 0
     row: dict[str, Any] | None = None
 
 
@@ -167,7 +168,7 @@ class Engine:
             done |= nodes
         compiled = Compiler(graph, source, self.spark, order, seed, collect=collect).compile(parts, kept)
         run_id = str(options.get("execution_id") or uuid.uuid4())
-        return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits, fail_fast=bool(options.get("fail_fast", False)))
+        return Run(run_id, graph, compiled, compiled.select(graph), self._running.setdefault(run_id, Cancellation()), cached=hits, fail_fast=bool(options.get("fail_fast", False)), seed=seed)
 
     def _prefixes(self, graph: Graph, order: list[str], forced: set[str]) -> list[tuple[str, set[str]]]:
         """Each node marked cache_enabled with all that must run before it; each of them holds those before.
@@ -188,7 +189,8 @@ class Engine:
         """A row of outputs for each row of the source.
 
         A row that a node rejects fails the job; with option on_error collect its outputs from there on are null and
-        `_errors` has the node's message (dependency_failed for those that hang on it). Loop bodies and calls raise always.
+        `_errors` has the node's message (dependency_failed for those that hang on it). In a loop a node that fails ends the round
+        for its row, the first message stays; what follows the loop goes on from the last round that got there.
         """
         run = self.compile(payload, source, options)
         self._running.pop(run.id, None)
@@ -254,17 +256,8 @@ class Engine:
             try:
                 got = c.frame.select(*(F.col(f"`{x}`") for x in shown)).first() if shown else None
                 row = dict(zip(shown, got)) if got is not None else {}
-            except Exception:
-                for n in c.order:
-                    own = [x for (m, _), x in c.columns.items() if m == n]
-                    if any(p in errors for p in graph.parents[n]):
-                        errors[n] = "dependency_failed"
-                    elif own:
-                        try:
-                            got = c.frame.select(*(F.col(f"`{x}`") for x in own)).first()
-                            row |= dict(zip(own, got)) if got is not None else {}
-                        except Exception as e:
-                            errors[n] = str(e).split("\n")[0]
+            except Exception as e:
+                errors, row = self._blamed(run, e)
         finally:
             self.spark.removeTag(run.id)
         run.row = row
@@ -277,12 +270,43 @@ class Engine:
             runs = row.get(c.guards[n]) if n in c.guards else True
             status = "ERROR" if n in errors else "CANCELLED" if run.cancellation.is_cancelled(n) else "COMPLETED" if runs or n in inner else "SKIPPED"
             outputs = {p: row.get(x) for (m, p), x in c.columns.items() if m == n and not p.startswith("$")}
-            logs = [row[c.logs[n]]] if n in c.logs and row.get(c.logs[n]) is not None and status == "COMPLETED" else []
+            line = row.get(c.logs[n]) if n in c.logs and (status == "COMPLETED" or n in inner) else None
+            logs = [] if line is None else line if isinstance(line, list) else [line]
             t = {"node_id": n, "type": node.type, "status": status, "duration_ms": None, "level": graph.levels[n], "from_cache": n in run.cached, "error": errors.get(n), "logs": logs, "outputs": outputs}
             run.events.append(t)
             stopped = stopped or (run.fail_fast and status == "ERROR")
             yield {"event": {"COMPLETED": "node_cached" if n in run.cached else "node_completed", "SKIPPED": "node_skipped"}.get(status, "node_error"), "node_id": n, "trace": t}
 
+    def _blamed(self, run: Run, error: Exception) -> tuple[dict[str, str], dict[str, Any]]:
+        """(message of each node that fails or hangs on one that does, the row without them): the run again with errors collected,
+        or where what fails cannot be collected, each node's own columns."""
+        c, graph = run.compiled, run.graph
+        errors: dict[str, str] = {}
+        try:
+            again = Compiler(graph, None, self.spark, c.order, run.seed, collect=True).compile()
+            names = [*again.columns.values(), *again.logs.values(), *(again.errors or {}).values()]
+            got = again.frame.select(*(F.col(f"`{x}`").alias(str(k)) for k, x in enumerate(names))).first()
+            row = dict(zip(names, got)) if got is not None else {}
+            errors = {n: row[x] for n, x in (again.errors or {}).items() if row.get(x) is not None}
+            if errors:
+                return errors, row
+        except Exception:  # told apart below
+            errors = {}
+        row = {}
+        for n in c.order:
+            own = [x for (m, _), x in c.columns.items() if m == n]
+            if any(p in errors for p in graph.parents[n]):
+                errors[n] = "dependency_failed"
+            elif own:
+                try:
+                    got = c.frame.select(*(F.col(f"`{x}`") for x in own)).first()
+                    row |= dict(zip(own, got)) if got is not None else {}
+                except Exception as e:
+                    errors[n] = str(e).split("\n")[0]
+        if not errors:
+            raise error
+        return errors, row
+
     def forget(self, run: Run) -> None:
         self._running.pop(run.id, None)
 

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flow import Flow, Ref
+from .flow import Flow, Ref, Step
 from .functions.jsontext import json_rows
 from .plans import edges, trace
+from .plans.compiler import ERRORS
 from .plans.runtime import Engine
 from .sources import clients, standins
 from .sources.tables import table
@@ -534,6 +535,68 @@ def segmentation_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offline("part", build, spark, sf_dir)
 
 
+_SIZES = "(SELECT p_partkey, p_brand, i, (p_size * i) % 7 AS x FROM part, unnest(generate_series(1, 4)) AS t(i))"
+
+
+@direct(f"SELECT p_partkey, sum(x) FILTER (x <> 3)::double AS total, last(x ORDER BY i) FILTER (x <> 3)::double AS value, 4::bigint AS last, CASE WHEN count(*) FILTER (x = 3) > 0 THEN 'could not convert string to float: x' END AS error FROM {_SIZES} GROUP BY p_partkey")
+def loop_row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loop in which a node fails for some rows in some rounds: these rounds end there, the others and all other rows go on."""
+    g = Flow()
+    start = g.node("core.var.declare", name="total", value=0)
+    loop = g.node("core.control.for", first_index=1, last_index=4)
+    times = g.node("core.math.multiply", a=g.col("p_size"), b=loop.index)
+    left = g.node("core.cast.to_int", value=g.node("core.math.mod", id="mod", a=times.product, b=7).result)
+    text = g.node("core.string.replace", text=g.node("core.cast.to_string", id="text", value=left.value).value, find="3", replace="x")
+    kept = g.node("core.util.passthrough", value=text.result)
+    value = g.node("core.math.max", id="value", a=kept.value, b=-1)
+    held = g.node("core.var.get", name="total")
+    more = g.node("core.math.add", a=held.value, b=value.result)
+    put = g.node("core.var.set", name="total", value=more.sum)
+    after = g.node("core.var.get", name="total")
+    step = lambda id: Step(g, id)
+    start.then(loop)
+    loop.then(times, step("mod"), left, step("text"), text, kept, value, held, more, put, port="loop_body")
+    loop.then(after, port="completed")
+    g.keep("p_partkey").out(total=after.value, value=value.result, last=loop.index)
+    out = Engine(spark).table(g.payload(), table(spark, sf_dir, "part"), {"on_error": "collect"})
+    return out.select("p_partkey", "total", "value", "last", F.col(ERRORS)["value"].alias("error"))
+
+
+@direct("SELECT p_partkey, list_transform(range(p_size % 4), lambda i: '[' || p_brand || '] ' || i) AS lines, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size % 4 - 1 END::bigint AS last FROM part")
+def loop_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a node in a loop logs, one a round."""
+    g = Flow()
+    loop = g.node("core.control.repeat", count=g.node("core.cast.to_int", value=g.node("core.math.mod", a=g.col("p_size"), b=4).result).value)
+    loop.then(g.node("core.debug.log", id="line", value=loop.index, label=g.col("p_brand")), port="loop_body")
+    g.keep("p_partkey").out(last=loop.index)
+    engine = Engine(spark)
+    run = engine.compile(g.payload(), table(spark, sf_dir, "part"))
+    engine.forget(run)
+    return run.compiled.frame.select("p_partkey", F.col(f"`{run.compiled.logs['line']}`").alias("lines"), F.col(f"`{run.compiled.columns[loop.id, 'index']}`").alias("last"))
+
+
+@direct("SELECT p_partkey, string_agg(p_brand || '-' || i, ';' ORDER BY i) || ';' AS prompted, max(i)::bigint AS last FROM (SELECT p_partkey, p_brand, unnest(generate_series(1, 1 + p_size % 3)) AS i FROM part) GROUP BY p_partkey")
+def loop_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service called in each round of a loop, as often as each row has it; what it answers is carried on in a variable."""
+
+    def build(g: Flow) -> dict[str, Ref]:
+        start = g.node("core.var.declare", name="said", value="")
+        count = g.node("core.math.add", a=g.node("core.math.mod", a=g.col("p_size"), b=3).result, b=1)
+        loop = g.node("core.control.for", first_index=1, last_index=g.node("core.cast.to_int", value=count.sum).value)
+        prompt = g.node("core.cast.to_string", value=loop.index)
+        session = g.node("segment.set_prompt", session_id=g.col("p_brand"), prompt=prompt.value)
+        held = g.node("core.var.get", name="said")
+        more = g.node("core.string.format", template="{}{};", arg1=held.value, arg2=session.session_id)
+        put = g.node("core.var.set", name="said", value=more.result)
+        after = g.node("core.var.get", name="said")
+        start.then(loop)
+        loop.then(prompt, session, held, more, put, port="loop_body")
+        loop.then(after, port="completed")
+        return {"prompted": after.value, "last": loop.index}
+
+    return _offline("part", build, spark, sf_dir)
+
+
 @direct("SELECT p_partkey, '[size] ' || p_size AS log, '[BREAKPOINT] ' || p_size AS stop FROM part")
 def logged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Flow()

@@ -344,3 +344,159 @@ def test_errors_of_rows_are_collected(spark):
     with pytest.raises(Exception, match="could not convert"):
         Engine(spark).table(g.payload(), df.where("i = 2")).collect()
     assert "_errors" not in Engine(spark).table(g.payload(), df).columns
+
+
+def summed(g, texts_of, mark=False, call=False):
+    """A loop that adds up the numbers which texts_of(index) gives, where one that is no number ends the round."""
+    n = lambda kind, port, **inputs: g.node(kind, **inputs)[port]
+    start = g.node("core.var.declare", name="total", value=0)
+    loop = g.node("core.control.for", id="loop", first_index=1, last_index=g.col("n"))
+    text = g.node("core.util.passthrough", id="text", value=texts_of(loop.index))
+    value = g.node("core.math.max", id="value", a=text.value, b=-1000)
+    held = g.node("core.var.get", name="total")
+    more = g.node("core.math.add", id="more", a=held.value, b=value.result)
+    put = g.node("core.var.set", name="total", value=more.sum)
+    body = [text, value, held, more, put]
+    if mark:
+        body.insert(2, g.node("core.debug.log", id="log", value=value.result, label="v"))
+    if call:
+        body.insert(0, g.node("segment.set_prompt", id="call", session_id="s", prompt="p"))
+    after = g.node("core.var.get", name="total")
+    start.then(loop)
+    loop.then(*body, port="loop_body")
+    loop.then(after, port="completed")
+    g.keep("n").out(total=after.value, value=value.result, last=loop.index)
+    return g
+
+
+@pytest.mark.parametrize("call", [False, True])
+def test_a_failing_node_ends_the_round_of_its_row(spark, call):
+    from loomgraph.sources import clients, standins
+
+    df = spark.createDataFrame([(3, "123"), (4, "1a34"), (1, "a"), (2, "1z20"), (5, "1x2x3")], "n int, t string")
+
+    def expected(n, t):
+        total, value, error = 0.0, None, None
+        for i in range(1, n + 1):
+            try:
+                value = max(float(t[:n][i : i + 1] or 0), -1000.0)
+                total += value
+            except ValueError as e:
+                error = error or str(e).replace("'", "")
+        return total, value, n, error
+
+    def texts(g):
+        # characters one by one, none at the last index
+        pieces = g.node("core.string.split", text=g.node("core.string.join", array=g.col("chars"), delimiter="|").result, delimiter="|").parts
+        return lambda index: g.node("core.container.get_index", id="at", array=pieces, index=index).value
+
+    chars = df.withColumn("chars", F.expr("transform(sequence(1, n), i -> substring(t, int(i), 1))"))
+    g = Flow()
+    summed(g, texts(g), call=call)
+    # the item is read in the body
+    g.links = [x for x in g.links if not (x["from_node"] == "loop" and x.get("kind") == "control" and x["from_port"] == "loop_body")]
+    first = "call" if call else "text"
+    g.links += [{"from_node": "loop", "from_port": "loop_body", "to_node": "at", "to_port": "control_in", "kind": "control"}, {"from_node": "at", "from_port": "control_out", "to_node": first, "to_port": "control_in", "kind": "control"}]
+    with clients.using(rest=standins.Service):
+        rows = Engine(spark).table(g.payload(), chars, {"on_error": "collect"}).collect()
+    got = {r["n"]: (r["total"], r["value"], r["last"], r["_errors"].get("value")) for r in rows}
+    assert got == {n: expected(n, t) for n, t in df.collect()}
+    assert all(set(r["_errors"]) <= {"value"} for r in rows)
+
+
+def test_lines_logged_in_loops_and_which_node_of_a_body_fails(engine):
+    g = Flow()
+    loop = g.node("core.control.repeat", id="loop", count=g.node("core.literal.int", id="count", value=3).value)
+    loop.then(g.node("core.debug.log", id="inside", value=loop.index, label="at"), port="loop_body")
+    out = engine.run(g.payload())
+    trace_of = {t["node_id"]: t for t in out["trace"]}
+    assert trace_of["inside"]["logs"] == ["[at] 0", "[at] 1", "[at] 2"] and trace_of["loop"]["outputs"]["index"] == 2
+    g = Flow()
+    loop = g.node("core.control.repeat", id="loop", count=2)
+    fine, bad, late = g.node("core.debug.log", id="fine", value="x"), g.node("core.math.sqrt", id="bad", value="abc"), g.node("core.debug.log", id="late", value="y")
+    loop.then(fine, bad, late, port="loop_body")
+    g.node("core.math.abs", id="free", value=loop.index)
+    trace_of = {t["node_id"]: t for t in engine.run(g.payload())["trace"]}
+    assert trace_of["bad"]["status"] == "ERROR" and "abc" in trace_of["bad"]["error"] and trace_of["fine"]["logs"] == ["x", "x"]
+    assert trace_of["late"]["logs"] == [] and trace_of["free"]["status"] == "COMPLETED" and trace_of["free"]["outputs"]["result"] == 1.0
+
+
+@pytest.mark.parametrize("call", [False, True])
+def test_branches_and_loops_in_bodies_that_log_or_call(spark, call):
+    from loomgraph.sources import clients, standins
+
+    g = Flow()
+    n = lambda kind, **inputs: g.node(kind, **inputs)
+    start = n("core.var.declare", name="v", value="")
+    outer = n("core.control.for", id="outer", first_index=1, last_index=g.col("n"))
+    odd = n("core.math.mod", a=outer.index, b=2)
+    truth = n("core.cast.to_boolean", value=odd.result)
+    branch = n("core.control.ifelse", id="if", condition=truth.value)
+    inner = n("core.control.repeat", id="inner", count=outer.index)
+    name = n("core.string.format", template="{}{}", arg1=outer.index, arg2=inner.index)
+    said = n("segment.set_prompt", id="said", session_id="s", prompt=name.result) if call else n("core.string.concat", id="said", a="s-", b=name.result)
+    text = said.session_id if call else said.result
+    held = n("core.var.get", name="v")
+    more = n("core.string.concat", a=held.value, b=text)
+    put = n("core.var.set", name="v", value=more.result)
+    line = n("core.debug.log", id="line", value=put.value)
+    even = n("core.debug.log", id="even", value=outer.index, label="even")
+    after = n("core.var.get", name="v")
+    start.then(outer)
+    outer.then(odd, truth, branch, port="loop_body")
+    branch.then(inner, port="true")
+    branch.then(even, port="false")
+    inner.then(name, said, held, more, put, line, port="loop_body")
+    outer.then(after, port="completed")
+    g.keep("n").out(v=after.value, last=outer.index)
+    engine = Engine(spark)
+    with clients.using(rest=standins.Service):
+        for options in ({}, {"on_error": "collect"}):
+            run = engine.compile(g.payload(), spark.range(0, 4).selectExpr("int(id) AS n"), options)
+            engine.forget(run)
+            rows = run.compiled.frame.select("n", *(F.col(f"`{run.compiled.columns[o.node, o.port]}`").alias(o.alias) for o in run.graph.outputs if o.alias != "n"), *(F.col(f"`{c}`").alias(f"log_{k}") for k, c in run.compiled.logs.items())).collect()
+            for r in rows:
+                v, lines, evens = "", [], []
+                # a for runs at least once, towards its last index
+                for i in range(1, r["n"] + 1) if r["n"] >= 1 else (1, 0):
+                    if i % 2:
+                        for j in range(i):
+                            v += f"s-{i}{j}"
+                            lines.append(v)
+                    else:
+                        evens.append(f"[even] {i}")
+                assert (r["v"], r["log_line"], r["log_even"]) == (v, lines, evens)
+
+
+def test_calls_in_loops_end_with_their_condition_and_report_errors(spark):
+    from loomgraph.sources import clients
+
+    class Service:
+        def __init__(self, server, timeout):
+            pass
+
+        def call(self, method, path, body=None):
+            if "2" in str(body):
+                raise OSError("refused")
+            return {"session_id": "ok"}
+
+    g = Flow()
+    start = g.node("core.var.declare", name="k", value=g.col("id"))
+    seen = g.node("core.var.get", id="seen", name="k")
+    loop = g.node("core.control.while", id="loop", condition=g.node("core.logic.compare", id="less", a=seen.value, b=3, op="<").result, max_iterations=20)
+    held = g.node("core.var.get", id="held", name="k")
+    more = g.node("core.math.add", id="more", a=held.value, b=1)
+    put = g.node("core.var.set", id="put", name="k", value=more.sum)
+    said = g.node("segment.set_prompt", id="said", session_id="s", prompt=g.node("core.string.concat", id="text", a="at ", b=loop.index).result)
+    after = g.node("core.var.get", id="after", name="k")
+    start.then(seen)
+    loop.then(held, more, put, port="loop_body")
+    g.links += [{"from_node": "put", "from_port": "control_out", "to_node": "text", "to_port": "control_in", "kind": "control"}, {"from_node": "text", "from_port": "control_out", "to_node": "said", "to_port": "control_in", "kind": "control"}]
+    loop.then(after, port="completed")
+    g.out(id=g.col("id"), k=after.value, last=loop.index, s=said.session_id)
+    with clients.using(rest=Service):
+        rows = Engine(spark).table(g.payload(), spark.range(0, 5), {"on_error": "collect"}).collect()
+        with pytest.raises(Exception):
+            Engine(spark).table(g.payload(), spark.range(0, 5)).collect()
+    got = {r["id"]: (r["k"], r["last"], r["s"], r["_errors"]) for r in rows}
+    assert got == {0: (3.0, 2, "ok", {"said": "refused"}), 1: (3.0, 1, "ok", {}), 2: (3.0, 0, "ok", {}), 3: (3.0, 0, None, {}), 4: (4.0, 0, None, {})}
