@@ -26,4 +26,4 @@ def where(frame: DataFrame, v: Inputs) -> DataFrame:
 @node("core.table.explode", [port("array: list<any>")], ["item", "index: int"], style="table", category="Table")
 def explode(frame: DataFrame, v: Inputs) -> DataFrame:
     """A row for each item of a list, with its index."""
-    return frame.select("*", F.posexplode(v["array"].col).alias("index", "item"))
+    return frame.select("*", F.posexplode(v.array("array")[0]).alias("index", "item"))

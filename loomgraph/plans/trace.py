@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..types import PortType
+
 
 def node_summary(trace: DataFrame, order: str = "seq", node: str = "node_id", duration: str = "duration_ms", keep: tuple[str, ...] = ("outputs", "logs"), error: str | None = "error", level: str | None = "level") -> DataFrame:
     """Per node: runs, last, total and mean duration, its last outputs and logs, whether it ever failed, its level, and
@@ -115,13 +120,77 @@ def ranked_search(catalogue: DataFrame, query: str, fields: tuple[str, ...] = ("
     return out.where(F.col("score").isNotNull()).orderBy("score", fields[0])
 
 
-def compatible_nodes(ports: DataFrame, kind: str, item: str | None = None, direction: str = "input") -> DataFrame:
-    """Node types with a port that a value of this kind can feed (ports: type, direction, kind, item)."""
-    fits = F.col("kind").isin("any", "unknown", kind) | (F.lit(kind).isin("any", "unknown"))
-    fits = fits | ((F.lit(kind) == "int") & (F.col("kind") == "float"))
-    if item is not None:
-        fits = fits & ((F.col("kind") != kind) | F.col("item").isNull() | F.col("item").isin("any", item))
-    return ports.where((F.col("direction") == direction) & fits).select("type").distinct()
+#: A type as rows, one for each place in it that can be told apart: path, kind, whether null, a tensor's dtype and shape, whether it names fields.
+TYPE_ROWS = "array<struct<path:string,kind:string,nullable:boolean,dtype:string,shape:string,named:boolean>>"
+
+
+def type_rows(raw: Any) -> list[tuple[str, str, bool, str | None, str | None, bool]]:
+    """A type descriptor as TYPE_ROWS; below an open kind nothing is told apart."""
+    out: list[tuple[str, str, bool, str | None, str | None, bool]] = []
+
+    def add(t: PortType, path: str) -> None:
+        told = {k: str(v) for k, v in t.metadata if v} if t.kind == "tensor" else {}
+        out.append((path, t.kind, t.nullable, told.get("dtype"), told.get("shape"), t.kind == "record" and bool(t.fields)))
+        parts = [("item", t.item)] if t.kind in ("list", "option") else [("value", t.value)] if t.kind == "map" else [(f"field {k}", v) for k, v in t.fields or ()] if t.kind == "record" else []
+        for name, part in parts:
+            if part is not None:
+                add(part, f"{path}/{name}")
+
+    add(PortType.of(raw), "")
+    return out
+
+
+def port_table(spark: SparkSession, definitions: list[dict[str, Any]]) -> DataFrame:
+    """(type, direction, port, rows) of every data port in a catalogue, as Engine.definitions gives it."""
+    rows = [(d["type"], way, p["name"], type_rows(p["type"])) for d in definitions for way in ("input", "output") for p in d[f"{way}s"] if PortType.of(p["type"]).kind != "control"]
+    return spark.createDataFrame(rows, f"type string, direction string, port string, rows {TYPE_ROWS}")
+
+
+def with_type_rows(ports: DataFrame, descriptor: str, name: str = "rows") -> DataFrame:
+    """Adds the rows of a type that a column has as JSON; what is no JSON is any."""
+
+    def rows(texts: pd.Series) -> pd.Series:
+        def of(text: str | None) -> list[tuple]:
+            try:
+                return type_rows(json.loads(text or "null"))
+            except ValueError:
+                return type_rows(None)
+
+        return pd.Series([[dict(zip(("path", "kind", "nullable", "dtype", "shape", "named"), r)) for r in of(t)] for t in texts])
+
+    return ports.withColumn(name, F.pandas_udf(rows, TYPE_ROWS)(F.col(descriptor)))  # type: ignore[call-overload]
+
+
+def accepts(target: Column, source: Column) -> Column:
+    """Whether a port with the type rows target may be fed by one with source's: the rule of PortType.accepts, place by place."""
+    is_open = lambda k: k.isin("any", "unknown")
+    both = lambda a, b: a.isNotNull() & b.isNotNull() & (a != b)
+
+    def fits(t: Column) -> Column:
+        same = F.filter(source, lambda s: s["path"] == t["path"])
+        s = F.get(same, F.lit(0))
+        free = is_open(t["kind"]) | is_open(s["kind"]) | ((s["kind"] == "int") & (t["kind"] == "float"))
+        wrong = (s["nullable"] & ~t["nullable"]) | (s["kind"] != t["kind"]) | both(s["dtype"], t["dtype"]) | both(s["shape"], t["shape"])
+        # a field that the source does not have is missing only where the source names its fields
+        above = F.regexp_replace(t["path"], "/field [^/]*$", "")
+        missing = (above != t["path"]) & F.exists(source, lambda x: (x["path"] == above) & x["named"])
+        return F.when(F.size(same) == 0, ~missing).otherwise(free | ~wrong)
+
+    return F.forall(target, fits)
+
+
+def compatible_ports(targets: DataFrame, sources: DataFrame, rows: str = "rows") -> DataFrame:
+    """The targets that at least one of the sources can feed. sources is broadcast, and so has to be small: the ports of one node."""
+    s = F.broadcast(sources.select(F.col(rows).alias("source_rows")).distinct())
+    return targets.join(s, accepts(F.col(rows), F.col("source_rows")), "left_semi")
+
+
+def compatible_nodes(ports: DataFrame, source: Any, direction: str = "input") -> DataFrame:
+    """Node types with a port that a value of this type can feed, or, for outputs, that can feed a port of it (ports as port_table gives them)."""
+    given = F.lit(json.dumps([dict(zip(("path", "kind", "nullable", "dtype", "shape", "named"), r)) for r in type_rows(source)]))
+    given = F.from_json(given, TYPE_ROWS)
+    test = accepts(F.col("rows"), given) if direction == "input" else accepts(given, F.col("rows"))
+    return ports.where((F.col("direction") == direction) & test).select("type").distinct()
 
 
 def classify_outputs(outputs: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

@@ -311,9 +311,35 @@ def test_log_lines_and_ranks(spark):
 def test_time_saved_and_compatible_nodes(spark):
     df = spark.createDataFrame([(30.0, 20.0), (0.0, 5.0)], "n double, t double")
     assert list(map(tuple, df.select(*trace.time_saved(F.col("n"), F.col("t"))).collect())) == [(10.0, 10 / 30 * 100), (-5.0, 0.0)]
-    ports = spark.createDataFrame([("A", "input", "float", None), ("B", "input", "list", "int"), ("C", "output", "int", None), ("D", "input", "any", None), ("E", "input", "list", "string")], "type string, direction string, kind string, item string")
+    rows = lambda t: trace.type_rows(t)
+    listed = lambda t: {"kind": "list", "item": t}
+    ports = spark.createDataFrame([(n, d, "p", rows(t)) for n, d, t in (("A", "input", "float"), ("B", "input", listed("int")), ("C", "output", "int"), ("D", "input", "any"), ("E", "input", listed("string")))], f"type string, direction string, port string, rows {trace.TYPE_ROWS}")
     names = lambda *a: {r[0] for r in trace.compatible_nodes(ports, *a).collect()}
-    assert names("int") == {"A", "D"} and names("list", "int") == {"B", "D"}
+    assert names("int") == {"A", "D"} and names(listed("int")) == {"B", "D"} and names("float", "output") == {"C"} and names("string", "output") == set()
+    catalogue = trace.port_table(spark, Engine(spark).definitions())
+    assert catalogue.where("type = 'core.math.add'").count() == 3
+    found = {r[0] for r in trace.compatible_nodes(catalogue, listed("int")).collect()}
+    assert {"core.array.sum", "core.container.append", "core.math.add"} <= found and "core.math.sin" not in found
+
+
+def test_types_fit_place_by_place_as_they_do_whole(spark):
+    import json
+
+    record = lambda **f: {"kind": "record", "fields": f}
+    listed = lambda t: {"kind": "list", "item": t}
+    tensor = lambda **m: {"kind": "tensor", "metadata": m}
+    raw = [
+        None, "int", "float", "number", "string", "boolean", "any", "unknown", "list", "map", "record", "tensor", "option", listed("int"), listed("float"), listed("string"), listed("any"), listed(listed("int")), listed(listed("string")),
+        listed({"kind": "int", "nullable": True}), {"kind": "list", "nullable": True, "item": "int"}, {"kind": "map", "value": "int"}, {"kind": "map", "value": listed("float")}, {"kind": "map", "value": listed("int")}, {"kind": "option", "item": "int"}, {"kind": "option", "item": "float"},
+        {"kind": "string", "nullable": True}, record(name="string", age="int"), record(name="string"), record(name="string", email="string"), record(), record(name="any", age="float"), listed(record(a=listed("int"))), listed(record(a=listed("float"), b="int")), listed(record(a="any")),
+        record(a=record(b=record(c="int"))), record(a=record(b=record(c="float"))), record(a=record(b="any")), record(a="record"), tensor(dtype="float32"), tensor(dtype="float64"), tensor(dtype="float32", shape=[2, 3]), tensor(shape=[3, 2]), {"kind": "any", "item": "int"}, {"kind": "tuple", "fields": {"0": "int"}},
+    ]
+    table = trace.with_type_rows(spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(raw)], "k int, t string"), "t")
+    pairs = table.select(F.col("k").alias("target"), F.col("rows").alias("a")).crossJoin(table.select(F.col("k").alias("source"), F.col("rows").alias("b")))
+    for r in pairs.select("target", "source", trace.accepts(F.col("a"), F.col("b")).alias("fits")).collect():
+        assert r["fits"] == PortType.of(raw[r["target"]]).accepts(raw[r["source"]]), (raw[r["target"]], raw[r["source"]])
+    fed = {r["k"] for r in trace.compatible_ports(table, table.where("k in (1, 13)")).collect()}
+    assert fed == {k for k, x in enumerate(raw) if PortType.of(x).accepts(raw[1]) or PortType.of(x).accepts(raw[13])}
 
 
 def test_the_cache_holds_the_last_used(spark):

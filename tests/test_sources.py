@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from loomgraph.flow import Flow
 from loomgraph.plans.runtime import Engine
 from loomgraph.sources import clients, images
-from loomgraph.sources.tables import GraphStore
+from loomgraph.sources import tables
+from loomgraph.sources.tables import Conflict, GraphStore
 from loomgraph.streaming import frames
 
 PIXEL = base64.b64encode(b"\x89PNG").decode()
@@ -126,3 +127,84 @@ def test_graph_store(spark, tmp_path):
     assert store.get(a, "ann")["name"] == "Renamed" and [r["id"] for r in store.graphs().collect()] == [a, b]
     assert store.search("ann", "RENAM").count() == 1 and store.search("ann", "zzz").count() == 0
     assert store.delete(a, "ann") and not store.delete(a, "ann") and store.graphs("ann").count() == 0
+
+
+def test_of_two_racing_updates_one_is_refused(spark, tmp_path, monkeypatch):
+    store, other = (GraphStore(spark, str(tmp_path / "graphs")) for _ in range(2))
+    a = store.create("ann", "First", {"nodes": []})
+    assert store.update(a, "ann", version=1, name="Second") and store.get(a, "ann")["version"] == 2
+    with pytest.raises(Conflict):
+        other.update(a, "ann", version=1, name="From an old one")
+    # both read version 2 before either writes
+    seen = other.get(a, "ann")
+    monkeypatch.setattr(other, "get", lambda *_: dict(seen))
+    assert store.update(a, "ann", name="Mine")
+    with pytest.raises(Conflict):
+        other.update(a, "ann", name="Yours")
+    assert store.get(a, "ann")["name"] == "Mine" and store.get(a, "ann")["version"] == 3
+    # a claim that its writer never made good is free after a while
+    assert store.claims.take(f"{a}.4.0")
+    with pytest.raises(Conflict):
+        store.delete(a, "ann")
+    monkeypatch.setattr(tables, "GRACE", 0.0)
+    assert store.delete(a, "ann") and store.graphs().count() == 0
+
+
+def test_compaction_loses_no_change(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graphs"))
+    a, b = store.create("ann", "A", {"k": 1}), store.create("ann", "B", {})
+    for k in range(3):
+        store.update(a, "ann", name=f"A{k}")
+    store.delete(b, "ann")
+    assert store.compact() == 1 and [r["name"] for r in store.graphs().collect()] == ["A2"]
+    assert store._rows().count() == 2  # the last rows alone, one of them of what is gone
+    # a writer that began in the old generation finds the new one and writes there, too
+    late = GraphStore(spark, str(tmp_path / "graphs"))
+    numbers, calls = late._numbers, []
+    late._numbers = lambda prefix: 0 if prefix == "begun-" and not calls and not calls.append(1) else numbers(prefix)
+    late._append((a, "ann", "late", "", "{}", None, None, 6, 0))
+    assert store.get(a, "ann")["name"] == "late" and store.update(a, "ann", name="A3") and store.compact() == 2
+    assert store.get(a, "ann")["name"] == "A3" and not store.update(b, "ann", name="x")
+    store.claims.take("begun-3")
+    with pytest.raises(Conflict):
+        store.compact()
+
+
+def test_sides_of_a_branch_go_to_sinks_of_their_own(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "if(id % 5 = 0, null, id % 2 = 0) AS yes", "id * 2 AS twice", "id + 1 AS more")
+    tables.write_sides(df, F.col("yes"), str(tmp_path / "out"), ("id", "twice"), ("id", "more"))
+    true, false = tables.side(spark, str(tmp_path / "out"), True, ("id", "twice")), tables.side(spark, str(tmp_path / "out"), False, ("id", "more"))
+    want = {k for k in range(40) if k % 5 and k % 2 == 0}
+    assert {tuple(r) for r in true.collect()} == {(k, 2 * k) for k in want}
+    assert {tuple(r) for r in false.collect()} == {(k, k + 1) for k in set(range(40)) - want}
+    assert tables.side(spark, str(tmp_path / "out"), True).where("more is not null").count() == 0
+
+
+KILLED = """
+import os, sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession, functions as F
+from loomgraph.sources import tables
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[1] + "/w").getOrCreate()
+
+def rows(parts):
+    for part in parts:
+        yield part
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() == 1:
+        os._exit(1)  # the worker dies after its rows have gone out
+
+df = spark.range(0, 20000, 1, 4).mapInPandas(rows, "id long")
+tables.write_sides(df, F.col("id") % 3 == 0, sys.argv[1] + "/out")
+for taken in (True, False):
+    x = tables.side(spark, sys.argv[1] + "/out", taken)
+    print("SIDE", taken, x.count(), x.distinct().count(), x.where((F.col("id") % 3 == 0) != taken).count())
+"""
+
+
+def test_both_sides_are_whole_after_a_killed_task(tmp_path):
+    import subprocess
+    import sys
+
+    (tmp_path / "job.py").write_text(KILLED)
+    got = subprocess.run([sys.executable, str(tmp_path / "job.py"), str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert [x for x in got.stdout.splitlines() if x.startswith("SIDE")] == ["SIDE True 6667 6667 0", "SIDE False 13333 13333 0"], got.stderr[-2000:]
