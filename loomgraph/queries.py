@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,12 @@ from .flow import Flow, Ref, Step
 from .functions.jsontext import json_rows
 from .plans import edges, trace
 from .plans.compiler import ERRORS
+from .operators import udfs
 from .plans.runtime import Engine
+from .registry import REGISTRY, Registry
 from .sources import clients, standins
-from .sources.tables import table
+from .sources.shared import shared_dir
+from .sources.tables import side, table, write_sides
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -478,6 +483,74 @@ def control_start(g: Flow) -> dict[str, Ref]:
     return {"doubled": got.value, "more": more.sum}
 
 
+def _plugins() -> Registry:
+    """The node types with some of a plugin's: a function of batches, one that makes rows, an aggregate."""
+    r = Registry(dict(REGISTRY.specs))
+
+    @udfs.batch_node("plugin.initials", ["text: string"], ["first: string", "n: int"], registry=r)
+    def initials(text: pa.Array) -> dict[str, pa.Array]:
+        return {"first": pc.utf8_slice_codeunits(text, 0, 1), "n": pc.utf8_length(text)}
+
+    @udfs.rows_node("plugin.words", ["text: string"], ["word: string", "at: int"], registry=r)
+    def words(text: str | None) -> Iterator[tuple[str, int]]:
+        yield from ((w, k) for k, w in enumerate((text or "").split(" ")))
+
+    @udfs.aggregate_node("plugin.total", "value: float", "total: float", registry=r)
+    def total(values: pd.Series) -> float:
+        return float(values.sum())
+
+    return r
+
+
+@direct("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name[1] END AS first, CASE WHEN p_size > 25 THEN length(p_name)::bigint END AS n, word, k::bigint AS at FROM (SELECT *, unnest(string_split(p_brand || ' ' || p_type, ' ')) AS word, unnest(range(len(string_split(p_brand || ' ' || p_type, ' ')))) AS k FROM part)")
+def plugin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugin's function over batches, which rows that an if/else leaves out do not reach, and one that makes rows of each row."""
+    g = Flow()
+    branch = g.node("core.control.ifelse", condition=g.node("core.logic.compare", a=g.col("p_size"), b=25, op=">").result)
+    start = g.node("plugin.initials", text=g.col("p_name"))
+    branch.then(start, port="true")
+    word = g.node("plugin.words", text=g.node("core.string.format", template="{} {}", arg1=g.col("p_brand"), arg2=g.col("p_type")).result)
+    g.keep("p_partkey").out(first=start.first, n=start.n, word=word.word, at=word.at)
+    return Engine(spark, _plugins()).table(g.payload(), table(spark, sf_dir, "part"))
+
+
+@direct("SELECT l_returnflag AS flag, sum(l_quantity) AS total FROM lineitem GROUP BY 1")
+def plugin_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plugin's aggregate of groups, partition by partition first."""
+    g = Flow()
+    total = g.node("plugin.total", key=g.col("l_returnflag"), value=g.col("l_quantity"))
+    g.out(flag=total.key, total=total.total)
+    return Engine(spark, _plugins()).table(g.payload(), table(spark, sf_dir, "lineitem"))
+
+
+@direct("SELECT o_orderkey, o_totalprice > 100000 AS large, CASE WHEN o_totalprice > 100000 THEN o_totalprice * 2 END AS doubled, CASE WHEN o_totalprice > 100000 THEN NULL ELSE o_totalprice / 2 END AS halved FROM orders")
+def branch_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of an if/else written to sinks of their own in one pass, and read back."""
+    g = Flow()
+    large = g.node("core.logic.compare", a=g.col("o_totalprice"), b=100000, op=">").result
+    branch = g.node("core.control.ifelse", condition=large)
+    yes, no = g.node("core.math.multiply", a=g.col("o_totalprice"), b=2), g.node("core.math.divide", a=g.col("o_totalprice"), b=2)
+    branch.then(yes, port="true")
+    branch.then(no, port="false")
+    g.keep("o_orderkey").out(large=large, doubled=yes.product, halved=no.quotient)
+    path = shared_dir(spark, "sides")
+    write_sides(Engine(spark).table(g.payload(), table(spark, sf_dir, "orders")), F.col("large"), path, ("o_orderkey", "large", "doubled"), ("o_orderkey", "large", "halved"))
+    true, false = side(spark, path, True, ("o_orderkey", "large", "doubled")), side(spark, path, False, ("o_orderkey", "large", "halved"))
+    return true.unionByName(false, allowMissingColumns=True)
+
+
+@direct("SELECT p_partkey, p_size % 5 <> 2 AND (p_size % 4 <> 1 OR p_size % 5 < 2) AS fits FROM part")
+def catalog_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many nested types a list of records with an int in it fits: the types as rows of their places."""
+    inner = F.element_at(F.array(*(F.lit(x) for x in ('"int"', '"float"', '"string"', '{"kind": "any"}', '"unknown"'))), F.col("p_size") % 5 + 1)
+    extra = F.when((F.col("p_size") % 4 == 1) & (F.col("p_size") % 5 >= 2), ', "b": "string"').otherwise("")
+    target = F.concat(F.lit('{"kind": "list", "item": {"kind": "record", "fields": {"a": '), inner, extra, F.lit("}}}"))
+    ports = trace.with_type_rows(table(spark, sf_dir, "part").select("p_partkey", target.alias("t")), "t")
+    source = trace.type_rows({"kind": "list", "item": {"kind": "record", "fields": {"a": "int"}}})
+    given = spark.createDataFrame([(source,)], f"source {trace.TYPE_ROWS}")
+    return ports.join(F.broadcast(given)).select("p_partkey", trace.accepts(F.col("rows"), F.col("source")).alias("fits"))
+
+
 def _offline(source: str, build: Callable[[Flow], dict[str, Ref]], spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph whose calls go to the stand-ins, over a table."""
     flow = Flow()

@@ -526,3 +526,79 @@ def test_calls_in_loops_end_with_their_condition_and_report_errors(spark):
             Engine(spark).table(g.payload(), spark.range(0, 5)).collect()
     got = {r["id"]: (r["k"], r["last"], r["s"], r["_errors"]) for r in rows}
     assert got == {0: (3.0, 2, "ok", {"said": "refused"}), 1: (3.0, 1, "ok", {}), 2: (3.0, 0, "ok", {}), 3: (3.0, 0, None, {}), 4: (4.0, 0, None, {})}
+
+
+def test_nodes_from_functions(spark):
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from loomgraph.operators import udfs
+    from loomgraph.registry import REGISTRY
+
+    r = Registry(dict(REGISTRY.specs))
+
+    @udfs.batch_node("t.half", ["x: int"], ["half: float", "seen: int"], registry=r)
+    def half(x):
+        """Half of a number."""
+        assert 13 not in x.to_pylist(), "thirteen"
+        return {"half": pc.divide(x.cast(pa.float64()), 2.0), "seen": pa.array([len(x)] * len(x))}
+
+    @udfs.batch_node("t.next", ["x: float"], ["y: float"], pandas=True, registry=r)
+    def following(x):
+        return x + 1
+
+    @udfs.rows_node("t.times", ["word: string", "n: int"], ["copy: string", "k: int"], registry=r)
+    def times(word, n):
+        yield from ((word, k) for k in range(n or 0))
+
+    @udfs.aggregate_node("t.spread", "value: list<float>", "spread: float", registry=r, final=lambda s: float(s.max()))
+    def spread(values: pd.Series) -> float:
+        return float(max((max(v) - min(v) for v in values if v is not None and len(v)), default=0.0))
+
+    engine = Engine(spark, r)
+    assert r.get("t.half").description == "Half of a number." and [p.name for p in r.get("t.half").outputs] == ["half", "seen", "control_out"]
+    df = spark.createDataFrame([(1, 4, "a"), (2, None, "b"), (3, 13, "c"), (4, 6, None)], "id int, x int, w string").repartition(1)
+    g = Flow()
+    branch = g.node("core.control.ifelse", condition=g.node("core.logic.compare", a=g.col("id"), b=3, op="!=").result)
+    h = g.node("t.half", id="h", x=g.col("x"))
+    branch.then(h, port="true")
+    g.keep("id").out(half=h.half, seen=h.seen, y=g.node("t.next", x=h.half).y)
+    assert sorted(map(tuple, engine.table(g.payload(), df).collect())) == [(1, 2.0, 3, 3.0), (2, None, 3, None), (3, None, None, None), (4, 3.0, 3, 4.0)]
+    g = Flow()
+    h = g.node("t.half", id="h", x=g.col("x"))
+    g.keep("id").out(half=h.half)
+    rows = engine.table(g.payload(), df.repartition(4, "id"), {"on_error": "collect"}).collect()
+    assert {x["id"]: x["half"] for x in rows}[3] is None and all("thirteen" in x["_errors"]["h"] for x in rows if x["id"] == 3)
+    with pytest.raises(Exception, match="thirteen"):
+        engine.table(g.payload(), df).collect()
+    g = Flow()
+    t = g.node("t.times", word=g.col("w"), n=g.col("id"))
+    g.keep("id").out(copy=t.copy, k=t.k)
+    want = [(i, w, k) for i, w in ((1, "a"), (2, "b"), (3, "c"), (4, None)) for k in range(i)]
+    assert sorted(map(tuple, engine.table(g.payload(), df).collect()), key=repr) == sorted(want, key=repr)
+    g = Flow()
+    s = g.node("t.spread", key=g.col("id"), value=g.node("core.container.make_array", item_0=g.col("x"), item_1=1.5).array)
+    g.out(id=s.key, spread=s.spread)
+    got = dict(map(tuple, engine.table(g.payload(), df.where("x is not null").selectExpr("id % 2 AS id", "x").repartition(3)).collect()))
+    assert got == {1: 11.5, 0: 4.5}
+
+
+def test_a_function_node_in_a_loop(spark):
+    from loomgraph.operators import udfs
+    from loomgraph.registry import REGISTRY
+
+    r = Registry(dict(REGISTRY.specs))
+    udfs.batch_node("t.double", ["x: float"], ["y: float"], pandas=True, registry=r)(lambda x: x * 2)
+    g = Flow()
+    start = g.node("core.var.declare", name="v", value=g.col("id"))
+    loop = g.node("core.control.repeat", count=g.col("id"))
+    held = g.node("core.var.get", name="v")
+    twice = g.node("t.double", x=held.value)
+    put = g.node("core.var.set", name="v", value=twice.y)
+    after = g.node("core.var.get", name="v")
+    start.then(loop)
+    loop.then(held, twice, put, port="loop_body")
+    loop.then(after, port="completed")
+    g.out(id=g.col("id"), v=after.value)
+    assert sorted(map(tuple, Engine(spark, r).table(g.payload(), spark.range(7)).collect())) == [(k, k * 2.0**k) for k in range(7)]
