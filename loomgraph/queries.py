@@ -20,6 +20,7 @@ from .registry import REGISTRY, Registry
 from .sources import clients, standins
 from .sources.shared import shared_dir
 from .sources.tables import side, table, write_sides
+from .streaming.metrics import NODE_METRICS, Watched
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -791,6 +792,26 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.paths(parts, "1", "144")
 
 
+@direct(
+    "SELECT 'bulk' AS node_id, count(*) AS rows, 0::bigint AS skipped, 0::bigint AS nulls, 0::bigint AS errors FROM lineitem"
+    " UNION ALL SELECT 'share', count(*) FILTER (l_quantity > 24), count(*) FILTER (NOT l_quantity > 24), 0, 0 FROM lineitem"
+    " UNION ALL SELECT 'least', count(*), 0, count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_returnflag = 'R') FROM lineitem"
+)
+def node_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nodes of a graph did, counted in the job that computed its outputs: rows, rows left out by a branch, nulls, errors."""
+    g = Flow()
+    bulk = g.node("core.logic.compare", id="bulk", a=g.col("l_quantity"), b=24, op=">")
+    branch = g.node("core.control.ifelse", condition=bulk.result)
+    share = g.node("core.math.multiply", id="share", a=g.col("l_tax"), b=2)
+    branch.then(share, port="true")
+    text = g.node("core.string.replace", text=g.node("core.string.replace", text=g.col("l_returnflag"), find="A", replace="1").result, find="N", replace="2").result
+    least = g.node("core.math.min", id="least", a=g.node("core.util.passthrough", value=text).value, b=1)
+    g.out(bulk=bulk.result, share=share.product, least=least.result)
+    watched = Watched(Engine(spark), g.payload(), table(spark, sf_dir, "lineitem"), {"on_error": "collect"})
+    watched.frame.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(watched.rows(), NODE_METRICS).where(F.col("node_id").isin("bulk", "share", "least")).select("node_id", "rows", "skipped", "nulls", "errors")
+
+
 @direct("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed aggregation that streams use, over the events as one batch."""

@@ -208,3 +208,85 @@ def test_both_sides_are_whole_after_a_killed_task(tmp_path):
     (tmp_path / "job.py").write_text(KILLED)
     got = subprocess.run([sys.executable, str(tmp_path / "job.py"), str(tmp_path)], capture_output=True, text=True, timeout=300)
     assert [x for x in got.stdout.splitlines() if x.startswith("SIDE")] == ["SIDE True 6667 6667 0", "SIDE False 13333 13333 0"], got.stderr[-2000:]
+
+
+def jpeg(k):
+    return b"\xff\xd8" + f"frame {k}".encode() + bytes([k % 200] * (1 + 37 * k % 50)) + b"\xff\xd9"
+
+
+def ran(stream, out, checkpoint):
+    q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(checkpoint)).trigger(processingTime="100 milliseconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+def test_a_recording_gives_each_frame_once_over_restarts(spark, tmp_path):
+    from loomgraph.streaming.recording import read_recording
+
+    path = tmp_path / "cam.mjpeg"
+    stream = lambda: read_recording(spark, str(path), stream_id="cam", fps=5, buffer_seconds=3, width=64, height=48, began=100)
+    path.write_bytes(b"".join(map(jpeg, range(40))) + jpeg(40)[:9])  # the last one is still being written
+    ran(stream(), tmp_path / "out", tmp_path / "ck")
+    seen = lambda: sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    want = lambda n: [("cam", k, 100 + k / 5, 64, 48, "data:image/jpeg;base64," + base64.b64encode(jpeg(k)).decode()) for k in range(n)]
+    assert seen() == want(40)
+    with path.open("ab") as f:
+        f.write(jpeg(40)[9:] + b"".join(map(jpeg, range(41, 60))))
+    ran(stream(), tmp_path / "out", tmp_path / "ck")
+    assert seen() == want(60)
+    ran(stream(), tmp_path / "out", tmp_path / "ck")
+    assert seen() == want(60)
+
+
+def test_a_full_buffer_drops_what_arrives(spark, tmp_path):
+    from loomgraph.streaming.recording import RecordingReader, read_recording
+
+    path = tmp_path / "cam.mjpeg"
+    path.write_bytes(b"".join(map(jpeg, range(40))))
+    options = dict(stream_id="cam", fps=5, buffer_seconds=1, drop=True)  # a buffer of 10
+    ran(read_recording(spark, str(path), **options), tmp_path / "out", tmp_path / "ck")
+    frames_of = lambda: sorted(r["frame"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert frames_of() == list(range(10))
+    with path.open("ab") as f:
+        f.write(b"".join(map(jpeg, range(40, 45))))
+    ran(read_recording(spark, str(path), **options), tmp_path / "out", tmp_path / "ck")
+    assert frames_of() == [*range(10), *range(40, 45)]
+    reader = RecordingReader({"path": str(path), "fps": "5", "buffer_seconds": "8"})
+    end = reader.latestOffset()
+    assert end == {"byte": sum(len(jpeg(k)) for k in range(40)), "frame": 40} and [p.count for p in reader.partitions(reader.initialOffset(), end)] == [16, 16, 8]
+    assert RecordingReader({"path": str(tmp_path / "none")}).latestOffset() == {"byte": 0, "frame": 0}
+
+
+def test_counts_of_nodes_while_a_stream_runs(spark, tmp_path):
+    import time
+
+    from loomgraph.streaming.metrics import watch_stream
+
+    (tmp_path / "in").mkdir()
+    write = lambda k, rows: spark.createDataFrame(rows, "x int, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    g = Flow()
+    branch = g.node("core.control.ifelse", id="if", condition=g.node("core.logic.compare", id="test", a=g.col("x"), b=1, op=">").result)
+    yes = g.node("core.math.multiply", id="yes", a=g.col("x"), b=2)
+    branch.then(yes, port="true")
+    bad = g.node("core.math.min", id="bad", a=g.node("core.util.passthrough", value=g.col("t")).value, b=5)
+    g.out(yes=yes.product, bad=bad.result)
+    write(0, [(1, "1"), (2, "x"), (3, None)])
+    stream = frames.read_folder(spark, str(tmp_path / "in"), "x int, t string")
+    out, listener = watch_stream(Engine(spark), g.payload(), stream, "counted", {"on_error": "collect"})
+    spark.streams.addListener(listener)
+    q = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="200 milliseconds").start()
+    try:
+        q.processAllAvailable()
+        write(1, [(0, "y"), (5, "7")])
+        q.processAllAvailable()
+        until = time.time() + 60
+        while time.time() < until and len({r[0] for r in listener.rows() if r[3]}) < 2:
+            time.sleep(0.2)
+        assert q.isActive
+    finally:
+        q.stop()
+        spark.streams.removeListener(listener)
+    got = {(r["batch"], r["node_id"]): (r["rows"], r["skipped"], r["nulls"], r["errors"]) for r in listener.table(spark).collect()}
+    assert got[0, "yes"] == (2, 1, 0, 0) and got[0, "bad"] == (3, 0, 1, 1) and got[1, "yes"] == (1, 1, 0, 0) and got[1, "bad"] == (2, 0, 1, 1)
