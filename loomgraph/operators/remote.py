@@ -6,6 +6,7 @@ Each is one Arrow-batched call; a row whose guard is false is not called. In a l
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -20,10 +21,14 @@ from .inputs import Inputs
 SERVER = "http://localhost:8765"
 
 
-def calling(f: Callable[..., dict[str, Any]], schema: str, *args: Column) -> Callable[[Column], Column]:
+#: Calls of a batch that are under way at once, where rows have nothing to do with each other.
+AT_ONCE = 8
+
+
+def calling(f: Callable[..., dict[str, Any]], schema: str, *args: Column, at_once: int = 1) -> Callable[[Column], Column]:
     """For a guard, the Column of structs that f gives for each row's arguments; null where the guard is false.
 
-    Where errors are collected the struct has one field more, error: what f raised for the row.
+    at_once: so many calls wait for their answers side by side; with 1 they are made in the rows' order. Where errors are collected the struct has one field more, error: what f raised for the row.
     """
     names = [x.strip().split(" ")[0] for x in schema.split(", ")]
     collects = is_collecting()
@@ -38,7 +43,13 @@ def calling(f: Callable[..., dict[str, Any]], schema: str, *args: Column) -> Cal
             return none | {"error": str(e) or type(e).__name__}
 
     def batch(run: pd.Series, *columns: pd.Series) -> pd.DataFrame:
-        rows = [one(*(None if x is pd.NA else x for x in row)) if go else none for go, *row in zip(run, *columns)]
+        asked = [tuple(None if x is pd.NA else x for x in row) if go else None for go, *row in zip(run, *columns)]
+        answer = lambda row: none if row is None else one(*row)
+        if at_once > 1 and sum(x is not None for x in asked) > 1:
+            with ThreadPoolExecutor(at_once) as pool:
+                rows = list(pool.map(answer, asked))
+        else:
+            rows = [answer(x) for x in asked]
         return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in (*names, *["error"] * collects)})
 
     call = F.pandas_udf(batch, schema + ", error string" * collects).asNondeterministic()  # type: ignore[call-overload]
@@ -53,7 +64,7 @@ def _text(v: Value) -> Column:
 def load(v: Inputs):
     """A data URL of the file or http(s) address; an empty path is an error."""
     make = factory("files")
-    return calling(lambda path: {"image": make().load(path)}, "image string", _text(v["file_path"]))
+    return calling(lambda path: {"image": make().load(path)}, "image string", _text(v["file_path"]), at_once=AT_ONCE)
 
 
 @node("core.image.save", [port("image: string?", None, True), port("file_path: string", "", True)], ["saved: boolean", "file_path: string"], style="call", category="Image", cache_policy="disabled")
@@ -75,7 +86,7 @@ def stream_url(v: Inputs):
         got = make().resolve(int(camera))
         return {"camera": int(camera), "url": got["url"], "width": got.get("width") or 704, "height": got.get("height") or 480}
 
-    return calling(find, "camera long, url string, width long, height long", whole(v["camera"], 2130))
+    return calling(find, "camera long, url string, width long, height long", whole(v["camera"], 2130), at_once=AT_ONCE)
 
 
 @node("camera.connect", [port("camera: int", 2130), port("url: string"), port("fps: int", 15), port("buffer_seconds: int", 4)], ["stream: stream", "stream_id: string", "url: string", "width: int", "height: int"], style="call", category="Camera", cache_policy="disabled")

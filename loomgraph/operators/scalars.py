@@ -292,15 +292,11 @@ def format_text(v: Inputs) -> Column:
     """template.format(arg1, arg2, arg3) for {}, {0} and number formats such as {1:.2f}, {:d}, {:,}; a template
     with anything else, or one that names an argument that is not there, comes out as it is.
 
-    The template is read when the plan is made; from a column, only its bare {}, {0}, {1}, {2} are filled.
+    A template of the graph is read when the plan is made, one from a column row by row.
     """
     args = [v["arg1"], v["arg2"], v["arg3"]]
     if not v["template"].is_const:
-        t = text_or_empty(v["template"])
-        for k, a in enumerate(args):
-            t = F.replace(t, F.lit("{%d}" % k), pystr(a))
-            t = F.when(F.instr(t, "{}") > 0, F.concat(F.substring_index(t, "{}", 1), pystr(a), F.substring(t, F.instr(t, "{}") + 2, F.length(t)))).otherwise(t)
-        return t
+        return _formatted_rows(text_or_empty(v["template"]), args)
     template = str(v["template"].const or "")
     try:
         parts, auto = [], 0
@@ -319,6 +315,54 @@ def format_text(v: Inputs) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+#: Parts of a template: doubled braces, a field, text between them, a brace that stands alone.
+_PARTS = r"\{\{|\}\}|\{\d*(?::[^{}]*)?\}|[^{}]+|[{}]"
+_FIELD = r"^\{(\d*)(?::([^{}]*))?\}$"
+_SPEC = r"^(0?\d*)(,?)(?:\.(\d+))?([dfs]?)$"
+
+
+def _formatted_rows(template: Column, args: list[Value]) -> Column:
+    """The template of each row, filled; as it is where a part of it cannot be."""
+    parts = F.regexp_extract_all(template, F.lit(_PARTS), F.lit(0))
+    is_field = lambda x: x.rlike(_FIELD)
+    unnumbered = lambda x: x.rlike(r"^\{(?::[^{}]*)?\}$")
+
+    def filled(part: Column, i: Column) -> Column:
+        own = F.regexp_extract(part, _FIELD, 1)
+        # a field without a number takes the next argument
+        before = F.size(F.filter(F.slice(parts, F.lit(1), i), unnumbered))
+        at = F.when(own == "", before).otherwise(own.try_cast("int"))
+        spec = F.regexp_extract(part, _FIELD, 2)
+        out = F.lit(None).cast("string")
+        for k, a in enumerate(args):
+            out = F.when(at == k, F.when(spec == "", pystr(a)).otherwise(_formatted_by(a, spec))).otherwise(out)
+        return F.when(part == "{{", "{").when(part == "}}", "}").when(is_field(part), out).when(~part.isin("{", "}"), part)
+
+    known = F.transform(parts, filled)
+    mixed = F.exists(parts, unnumbered) & F.exists(parts, lambda x: is_field(x) & ~unnumbered(x))
+    return F.when(mixed | F.exists(known, lambda x: x.isNull()), template).otherwise(F.array_join(known, ""))
+
+
+def _formatted_by(a: Value, spec: Column) -> Column:
+    """A value by a spec of the row; null where the spec does not suit it."""
+    width, comma, digits, kind = (F.regexp_extract(spec, _SPEC, k) for k in range(1, 5))
+    known = spec.rlike(_SPEC)
+    if is_text(a.type):
+        suits = known & kind.isin("", "s") & (comma == "") & (digits == "") & ~F.startswith(width, F.lit("0"))
+        return F.when(suits, F.rpad(a.col, F.greatest(F.length(a.col), F.coalesce(width.try_cast("int"), F.lit(0))), F.lit(" ")))
+    if not is_number(a.type):
+        return F.lit(None).cast("string")
+    is_whole = not isinstance(a.type, (T.DoubleType, T.FloatType, T.DecimalType))
+    as_whole = known & ((kind == "d") | (kind == "")) & (digits == "") if is_whole else F.lit(False)
+    shown = F.call_function("format_string", F.concat(F.lit("%"), comma, width, F.lit("d")), a.col.cast("long")) if is_whole else F.lit(None).cast("string")
+    places = F.when(digits == "", 6).otherwise(digits.try_cast("int"))
+    rounded_ = F.lit(None).cast("double")
+    for k in range(13):  # half to even on the shown digits, as bround has them for a number that the plan knows
+        rounded_ = F.when(places == k, F.bround(a.col.cast("double"), k)).otherwise(rounded_)
+    real = F.call_function("format_string", F.concat(F.lit("%"), comma, width, F.lit("."), places.cast("string"), F.lit("f")), F.coalesce(rounded_, a.col.cast("double")))
+    return F.when(a.col.isNull(), None).when(as_whole, shown).when(known & (kind == "f"), real)
+
+
 def _formatted(a: Value, spec: str) -> Column:
     if not spec:
         return pystr(a)

@@ -68,7 +68,7 @@ class Compiled:
         """The named outputs, or every port where none of them was computed; with errors collected also ERRORS, by node."""
         named = [(o.alias, self.columns[o.node, o.port]) for o in graph.outputs if (o.node, o.port) in self.columns]
         if not named:
-            named = [(f"{n}.{p}", c) for (n, p), c in self.columns.items()]
+            named = [(f"{n}.{p}", c) for (n, p), c in self.columns.items() if not p.startswith("$")]
         chosen = [F.col(_q(c)).alias(a) for a, c in named]
         if self.errors is not None:
             entries = F.array(*(F.struct(F.lit(n).alias("k"), F.col(_q(c)).alias("v")) for n, c in self.errors.items())) if self.errors else F.array().cast("array<struct<k:string,v:string>>")

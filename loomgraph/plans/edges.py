@@ -88,11 +88,14 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"node": w.names, "level": pa.array(level, mask=level < 0)})
 
 
-def closure(edges: DataFrame, start: str, src: str = "src", dst: str = "dst") -> DataFrame:
+def closure(edges: DataFrame, start: str, src: str = "src", dst: str = "dst", stop: DataFrame | None = None) -> DataFrame:
     """(node, depth) of all that is reached from start, itself included, by the fewest edges. Cycles end where they close; loops,
-    repeated edges and edges without an end change nothing; a start without edges reaches itself."""
+    repeated edges and edges without an end change nothing; a start without edges reaches itself. stop (its first column):
+    nodes that are not gone into. With src and dst exchanged it is what start depends on."""
     spark = edges.sparkSession
     left = _edges(edges, src, dst)
+    if stop is not None:
+        left = left.join(stop.select(F.col(stop.columns[0]).cast("string").alias("d")), "d", "left_anti")
     seen = last = written(spark.createDataFrame([(start, 0)], "node string, depth int"), "reached")
     while not last.isEmpty():
         # edges into what is reached already lead nowhere new

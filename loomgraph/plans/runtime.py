@@ -58,10 +58,12 @@ class ResultCache:
         self._lock = threading.Lock()
 
     def key(self, graph: Graph, nodes: set[str], source: DataFrame | None, *settings: Any) -> str:
-        """Digest of all that a frame holds: the nodes with their values and links, the source's plan, the settings of the run."""
+        """Digest of all that a frame holds: the nodes with their values and links, the source's plan and the files that it reads (a table
+        that is written anew has others), the settings of the run."""
         own = [[n, graph.nodes[n].type, graph.nodes[n].values, graph.nodes[n].inputs, graph.nodes[n].outputs] for n in graph.order if n in nodes]
         links = sorted([x.source, x.out, x.target, x.into, x.control] for x in graph.links if x.target in nodes)
-        text = json.dumps([own, links, None if source is None else source.semanticHash(), settings], sort_keys=True, default=str)
+        data = None if source is None else [source.semanticHash(), sorted(source.inputFiles())]
+        text = json.dumps([own, links, data, settings], sort_keys=True, default=str)
         return hashlib.sha256(text.encode()).hexdigest()
 
     def get(self, key: str) -> DataFrame | None:
@@ -154,7 +156,8 @@ class Engine:
         if drop:
             self.cache.clear(nodes=drop)
         collect = options.get("on_error") == "collect"
-        marks = self._prefixes(graph, order, forced) if options.get("use_cache", True) else []
+        kept_at_all = options.get("use_cache", True) and not (source is not None and source.isStreaming)
+        marks = self._prefixes(graph, order, forced) if kept_at_all else []
         keys = [self.cache.key(graph, nodes, source, seed, collect) for _, nodes in marks]
         hits = {n for (n, _), key in zip(marks, keys) if key in self.cache}
 

@@ -173,6 +173,15 @@ def string_format(g: Flow) -> dict[str, Ref]:
     return {"line": line.result, "kept": g.node("core.string.format", template="{broken", arg1=g.col("o_orderkey")).result}
 
 
+@graph("part", "CASE p_size % 4 WHEN 0 THEN p_name || ' has ' || printf('%.1f', round_even(p_retailprice, 1)) WHEN 1 THEN p_size || '/' || p_name || '/' || p_size WHEN 2 THEN '{' || p_name || '} {broken' ELSE '{} {0}' END AS line")
+def string_templates(g: Flow) -> dict[str, Ref]:
+    """Templates from a column, each filled as Python would."""
+    n = lambda kind, **ports: g.node(kind, **ports)
+    left = n("core.cast.to_int", value=n("core.math.mod", a=g.col("p_size"), b=4).result).value
+    template = n("core.container.get_index", array=["{0} has {2:.1f}", "{1}/{0}/{1}", "{{{0}}} {{broken", "{} {0}"], index=left).value
+    return {"line": n("core.string.format", template=template, arg1=g.col("p_name"), arg2=g.col("p_size"), arg3=g.col("p_retailprice")).result}
+
+
 @graph("part", "coalesce(try_cast(p_name AS bigint), 0)::bigint AS from_text, trunc(p_retailprice)::bigint AS from_double, p_size::double AS from_int, p_size::varchar AS text, p_name IS NOT NULL AND p_name <> '' AS named, p_size <> 0 AS sized")
 def casts(g: Flow) -> dict[str, Ref]:
     c = lambda kind, x: g.node(f"core.cast.to_{kind}", value=x).value
@@ -402,6 +411,29 @@ def partial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).table(g.payload(), table(spark, sf_dir, "lineitem"), {"mode": "selection", "target_nodes": targets})
 
 
+@direct("SELECT l_orderkey, l_linenumber, l_quantity * 2 + l_tax AS more FROM lineitem")
+def partial_run_from_a_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node with all that hangs on it and what these need besides; nodes beside them, which would fail, are not compiled."""
+    g = Flow()
+    two = g.node("core.math.multiply", a=g.col("l_quantity"), b=2, id="two")
+    more = g.node("core.math.add", a=two.product, b=g.col("l_tax"), id="more")
+    g.node("core.math.sqrt", value=g.node("core.util.passthrough", value="no number").value, id="beside")
+    g.keep("l_orderkey", "l_linenumber").out(more=more.sum)
+    entries = ["two", *(o["node_id"] for o in g.outputs if o["alias"] != "more")]
+    return Engine(spark).table(g.payload(), table(spark, sf_dir, "lineitem"), {"mode": "from_nodes", "entry_nodes": entries})
+
+
+@direct("SELECT l_orderkey, l_linenumber, l_quantity * 2 AS two FROM lineitem")
+def stopped_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends before a breakpoint: what comes after it, which would fail, has no output."""
+    g = Flow()
+    g.keep("l_orderkey", "l_linenumber")
+    two = g.node("core.math.multiply", a=g.col("l_quantity"), b=2, id="two")
+    bad = g.node("core.math.sqrt", value=g.node("core.util.passthrough", value="no number").value, id="bad")
+    g.out(two=two.product, bad=bad.result)
+    return Engine(spark).table(g.payload(), table(spark, sf_dir, "lineitem"), {"breakpoints": ["bad"]})
+
+
 @direct(None)
 def random_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded: the same in every run over the same partitions."""
@@ -721,6 +753,14 @@ def trace_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_nationkey", "total_nodes", "executed_nodes", "cached_nodes", "error_nodes", "levels_executed")
 
 
+@direct("SELECT l_orderkey, sum(l_quantity) - max(l_quantity) AS saved, CASE WHEN sum(l_quantity) > 0 THEN (sum(l_quantity) - max(l_quantity)) / sum(l_quantity) * 100 ELSE 0 END AS percent FROM lineitem GROUP BY l_orderkey")
+def trace_time_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What running an order's lines side by side would save: their sum less the longest."""
+    runs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("node_ms"), F.max("l_quantity").alias("total_ms"))
+    saved, percent = trace.time_saved(F.col("node_ms"), F.col("total_ms"))
+    return runs.select("l_orderkey", saved.alias("saved"), percent.alias("percent"))
+
+
 @direct("SELECT event_type AS node_id, CASE WHEN event_id % 2 = 0 THEN 'k ' || (props->>'$.k') || ' ERROR: again' ELSE ' note ' || (props->>'$.k') END AS message, min(event_id) AS seq, event_id % 2 = 0 AS is_error FROM events GROUP BY 1, 2, 4")
 def trace_distinct_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
@@ -766,6 +806,15 @@ def _next_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(following, ["l_orderkey", "l_linenumber"]).where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
 
 
+@direct(
+    f"WITH RECURSIVE e AS ({_NEXT}), kept AS (SELECT p_partkey AS n FROM part WHERE p_size % 7 = 0), r(node) AS (SELECT 3::bigint UNION SELECT e.d FROM r JOIN e ON e.s = r.node WHERE e.d NOT IN (SELECT n FROM kept)) SELECT node::varchar AS node FROM r"
+)
+def graph_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What hangs on part 3, but for what hangs on it by kept parts alone."""
+    kept = table(spark, sf_dir, "part").where("p_size % 7 = 0").select("p_partkey")
+    return edges.closure(_next_parts(spark, sf_dir), "3", stop=kept).select("node")
+
+
 @direct(
     f"WITH RECURSIVE e AS ({_NEXT}), l(node, level) AS (SELECT DISTINCT p_partkey, 0::bigint FROM part WHERE p_partkey NOT IN (SELECT d FROM e) UNION SELECT e.d, l.level + 1 FROM l JOIN e ON e.s = l.node)"
     " SELECT node::varchar AS node, max(level) AS level FROM l GROUP BY node"

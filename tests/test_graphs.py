@@ -165,6 +165,18 @@ def test_a_changed_graph_never_meets_an_old_frame(spark):
     assert run(5, invalidate_cache_nodes=["a"])[1] == set()
 
 
+def test_tables_that_are_written_anew_are_read_anew(spark, tmp_path):
+    engine, path = Engine(spark), str(tmp_path / "t")
+
+    def run(n):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        g = Flow()
+        g.out(x=g.node("core.math.multiply", id="m", cached=True, a=g.col("id"), b=2).product)
+        return engine.table(g.payload(), spark.read.parquet(path)).count()
+
+    assert [run(3), run(5)] == [3, 5]
+
+
 def test_cancellation(engine):
     c = Cancellation()
     assert not c.is_cancelled("n")
@@ -261,6 +273,8 @@ def table_of(spark, pairs):
 def test_closure_ends_on_cycles(spark, walked):
     e = table_of(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "c"), ("x", "a"), (None, "q"), ("a", "b")])
     assert set(map(tuple, edges.closure(e, "a").collect())) == {("a", 0), ("b", 1), ("c", 2)}
+    cut = spark.createDataFrame([("b",)], "n string")
+    assert edges.closure(e, "x", stop=cut).count() == 2 and {r[0] for r in edges.closure(e, "c", "dst", "src").collect()} == {"c", "b", "a", "x"}
     assert edges.closure(e, "nowhere").collect() == [("nowhere", 0)] and edges.closure(e.limit(0), "a").collect() == [("a", 0)]
 
 

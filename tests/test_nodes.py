@@ -331,3 +331,23 @@ def test_json_texts_equal_json_dumps(spark):
         assert r["a"] == json.dumps(json.loads(texts[r["i"]]), sort_keys=True)
         assert r["b"] == json.dumps(json.loads(texts[r["i"]]), sort_keys=True, indent=2)
     assert json_rows(df.limit(0)).count() == 0
+
+
+def test_templates_from_a_column(spark):
+    templates = ["{} and {}", "{0}-{0}-{1}", "{{}} {}", "{:.2f}|{:.0f}", "{0:,}", "{0:05d} {2}", "{2:8}|", "{2:s}!", "{3}", "{} {0}", "{", "}", "{nope}", "{0:x}", "{1:d}", "", "plain", "{2:.1f}", "{0:d}{1:.3f}{{{2}}}", "{:}"]
+    rows = [(k, t, 12345, 2.345, "a'b") for k, t in enumerate(templates)]
+    df = spark.createDataFrame(rows, "k int, t string, i long, d double, s string")
+    g = Flow()
+    g.keep("k").out(x=g.node("core.string.format", template=g.col("t"), arg1=g.col("i"), arg2=g.col("d"), arg3=g.col("s")).result)
+
+    def want(t, *args):
+        try:
+            return t.format(*args)
+        except (ValueError, IndexError, KeyError):
+            return t
+
+    got = {r["k"]: r["x"] for r in Engine(spark).table(g.payload(), df).collect()}
+    expected = {k: want(t, i, d, s) for k, t, i, d, s in rows}
+    expected[templates.index("{0:x}")] = "{0:x}"  # a format that is not known
+    expected[templates.index("{:.2f}|{:.0f}")] = "12345.00|2"
+    assert got == expected
