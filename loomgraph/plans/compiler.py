@@ -28,6 +28,8 @@ from .graph import Graph, GraphError, Node, is_control
 ERRORS = "_errors"
 #: Nodes that write lines to the run's log.
 LOGGING = frozenset({"core.debug.log", "core.debug.breakpoint"})
+#: Bodies of more nodes are compiled step by step, since in one expression each node's stands wherever it is used.
+LONG_BODY = 8
 #: Rounds of a loop with calls in it after which the rows are written down, so that no call is made again.
 CUT = 4
 
@@ -338,8 +340,9 @@ class Compiler:
         return any(self.graph.nodes[n].spec.style == "call" for n in self.graph._loop_members(loop.id))
 
     def _is_stepwise(self, loop: Node) -> bool:
-        """Whether a body's branches, logs and errors are kept from node to node."""
-        return self.errors is not None or any(self.graph.nodes[n].type in LOGGING or self.graph.nodes[n].spec.style == "call" for n in self.graph._loop_members(loop.id))
+        """Whether a body's values, branches, logs and errors are kept from node to node."""
+        members = self.graph._loop_members(loop.id)
+        return self.errors is not None or len(members) > LONG_BODY or any(self.graph.nodes[n].type in LOGGING or self.graph.nodes[n].spec.style == "call" for n in members)
 
     def _own(self, loop: Node) -> list[str]:
         """The nodes of a loop's body that are part of the run, in order."""
@@ -429,7 +432,8 @@ class Compiler:
                 moved = F.struct(*new, index.alias("index"), F.lit(True).alias("go"))
             return F.when(go, moved).otherwise(done).cast(t) if cone else moved.cast(t)
 
-        if not writes and not cone and not stepwise and not any(self.graph.nodes[n].is_loop for n in own):
+        kept = self.errors is not None or any(k[1] == "$log" for k in fields)
+        if not writes and not cone and not kept and not any(self.graph.nodes[n].is_loop for n in own):
             # nothing carries over: only the last round can be seen, so it alone is computed
             last = F.try_element_at(indices, F.lit(-1))
             result = F.when(last.isNotNull(), step(initial.cast(t), last)).otherwise(initial.cast(t))

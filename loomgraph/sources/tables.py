@@ -28,6 +28,18 @@ def write(frame: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode:
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
+def _sided(frame: DataFrame, condition: Column, on_true: tuple[str, ...] | None, on_false: tuple[str, ...] | None) -> DataFrame:
+    names = [c for c in frame.columns if (on_true is None or c in on_true) or (on_false is None or c in on_false)]
+    test = F.coalesce(condition, F.lit(False))
+
+    def of(c: str) -> Column:
+        held = F.col("`" + c.replace("`", "``") + "`")
+        here = [k is None or c in k for k in (on_true, on_false)]
+        return held if all(here) else F.when(test if here[0] else ~test, held).alias(c)
+
+    return frame.select(*(of(c) for c in names), F.when(test, "true").otherwise("false").alias("side"))
+
+
 def write_sides(frame: DataFrame, condition: Column, path: str, on_true: tuple[str, ...] | None = None, on_false: tuple[str, ...] | None = None, mode: str = "errorifexists") -> None:
     """The rows for which condition holds to path/side=true, all others (null, too) to path/side=false, in one pass over the frame.
 
@@ -35,16 +47,13 @@ def write_sides(frame: DataFrame, condition: Column, path: str, on_true: tuple[s
     runs again for both. on_true and on_false: the columns that each side keeps (all); what only the other side has is null
     there, and `side` reads a side with its own columns.
     """
-    names = [c for c in frame.columns if (on_true is None or c in on_true) or (on_false is None or c in on_false)]
-    test = F.coalesce(condition, F.lit(False))
+    _sided(frame, condition, on_true, on_false).write.mode(mode).partitionBy("side").parquet(path)
 
-    def of(c: str) -> Column:
-        held = F.col("`" + c.replace("`", "``") + "`")
-        here = [k is None or c in k for k in (on_true, on_false)]
-        return held if all(here) else F.when(test if here[0] else ~test, held).alias(c)
 
-    columns = [*(of(c) for c in names), F.when(test, "true").otherwise("false").alias("side")]
-    frame.select(*columns).write.mode(mode).partitionBy("side").parquet(path)
+def stream_sides(stream: DataFrame, condition: Column, path: str, checkpoint: str, on_true: tuple[str, ...] | None = None, on_false: tuple[str, ...] | None = None, available_now: bool = False, every: str = "1 second"):
+    """write_sides for a stream: each micro-batch adds to both sides or, where it fails, to neither, and its rows come once over restarts."""
+    out = _sided(stream, condition, on_true, on_false).writeStream.format("parquet").partitionBy("side").option("path", path).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=every)).start()
 
 
 def side(spark: SparkSession, path: str, taken: bool, columns: tuple[str, ...] | None = None) -> DataFrame:

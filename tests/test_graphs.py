@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.flow import Flow
+from loomgraph.flow import Flow, Step
 from loomgraph.plans import edges, trace
 from loomgraph.plans.graph import Graph, GraphError
 from loomgraph.plans.runtime import Cancellation, Engine
@@ -616,3 +616,27 @@ def test_a_function_node_in_a_loop(spark):
     loop.then(after, port="completed")
     g.out(id=g.col("id"), v=after.value)
     assert sorted(map(tuple, Engine(spark, r).table(g.payload(), spark.range(7)).collect())) == [(k, k * 2.0**k) for k in range(7)]
+
+
+def test_long_bodies_stay_short_in_the_plan(spark):
+    g = Flow()
+    start = g.node("core.var.declare", name="v", value=g.col("id"))
+    loop = g.node("core.control.repeat", count=2)
+    held = g.node("core.var.get", name="v")
+    body, at = [held], held.value
+    for _ in range(24):  # each value stands twice in the next: 2 ** 24 copies in one expression
+        body.append(g.node("core.math.add", a=at, b=at))
+        at = body[-1].sum
+    body.append(g.node("core.var.set", name="v", value=g.node("core.math.divide", id="down", a=at, b=2.0**24).quotient))
+    after = g.node("core.var.get", name="v")
+    start.then(loop)
+    loop.then(*body[:-1], Step(g, "down"), body[-1], port="loop_body")
+    loop.then(after, port="completed")
+    once = g.node("core.control.for", id="once", first_index=1, last_index=3)
+    parts, last = [], once.index
+    for k in range(24):
+        parts.append(g.node("core.math.add", id=f"p{k}", a=last, b=last))
+        last = parts[-1].sum
+    once.then(*parts, port="loop_body")
+    g.out(id=g.col("id"), v=after.value, last=last)
+    assert [tuple(r) for r in Engine(spark).table(g.payload(), spark.range(3)).collect()] == [(k, float(k), 3 * 2.0**24) for k in range(3)]

@@ -180,6 +180,16 @@ def test_sides_of_a_branch_go_to_sinks_of_their_own(spark, tmp_path):
     assert tables.side(spark, str(tmp_path / "out"), True).where("more is not null").count() == 0
 
 
+def test_sides_of_a_stream(spark, tmp_path):
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).selectExpr("id", "id * 2 AS twice").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = frames.read_folder(spark, str(tmp_path / "in"), "id long, twice long", files_per_batch=2)
+        tables.stream_sides(stream, F.col("id") % 3 == 0, str(tmp_path / "out"), str(tmp_path / "ck"), ("id", "twice"), ("id",), available_now=True).awaitTermination(120)
+    true, false = tables.side(spark, str(tmp_path / "out"), True, ("id", "twice")), tables.side(spark, str(tmp_path / "out"), False, ("id",))
+    assert sorted(map(tuple, true.collect())) == [(k, 2 * k) for k in range(0, 30, 3)]
+    assert sorted(r[0] for r in false.collect()) == [k for k in range(30) if k % 3]
+
+
 KILLED = """
 import os, sys
 from pyspark import TaskContext
