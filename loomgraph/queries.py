@@ -17,8 +17,8 @@ from .plans.compiler import ERRORS
 from .operators import udfs
 from .plans.runtime import Engine
 from .registry import REGISTRY, Registry
-from .sources import clients, standins
-from .sources.shared import shared_dir
+from .sources import clients, images, standins
+from .sources.shared import shared_dir, written
 from .sources.tables import side, table, write_sides
 from .streaming.metrics import NODE_METRICS, Watched
 
@@ -603,6 +603,23 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offline("part", build, spark, sf_dir)
 
 
+@direct("SELECT s_suppkey, true AS saved, 'data:image/png;base64,' || base64(encode(s_name)) AS image, strlen(s_name)::bigint AS n_bytes FROM supplier")
+def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images saved as files of the shared folder, each by the task that has its row, and loaded again by path and as a folder."""
+    folder = shared_dir(spark, "images")
+    g = Flow()
+    path = g.node("core.string.format", template=f"{folder}/{{}}.png", arg1=g.col("s_suppkey")).result
+    saved = g.node("core.image.save", image=g.node("core.string.concat", a="data:image/png;base64,", b=g.col("raw")).result, file_path=path)
+    g.keep("s_suppkey").out(saved=saved.saved, path=saved.file_path)
+    suppliers = table(spark, sf_dir, "supplier").withColumn("raw", F.base64(F.col("s_name").cast("binary")))
+    done = written(Engine(spark).table(g.payload(), suppliers), "saved-images")
+    g = Flow()
+    g.keep("s_suppkey", "saved").out(image=g.node("core.image.load", file_path=g.col("path")).image)
+    loaded = Engine(spark).table(g.payload(), done)
+    sizes = images.load_images(spark, folder).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("s_suppkey"), F.col("n_bytes").cast("long").alias("n_bytes"))
+    return loaded.join(sizes, "s_suppkey")
+
+
 @direct(
     "SELECT p_partkey, 'http://camera.example/' || c || '.m3u8' AS url, 640::bigint AS width, 'camera-' || c AS stream_id,"
     " 'camera-' || c || '|http://camera.example/' || c || '.m3u8|' || p_size || '|' || greatest(10, p_size * 2) AS stream, true AS stopped, p_size % 2 = 0 AS has_frame, CASE WHEN p_size % 2 = 0 THEN p_name END AS image, p_size::double AS at FROM (SELECT *, CASE p_partkey WHEN 0 THEN 2130 ELSE p_partkey END AS c FROM part)"

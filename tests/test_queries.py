@@ -19,7 +19,7 @@ def plain(x):
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "customer", "part", "events", "documents", "embeddings"):
+    for t in ("lineitem", "orders", "customer", "part", "events", "documents", "embeddings", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

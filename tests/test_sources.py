@@ -300,3 +300,89 @@ def test_counts_of_nodes_while_a_stream_runs(spark, tmp_path):
         spark.streams.removeListener(listener)
     got = {(r["batch"], r["node_id"]): (r["rows"], r["skipped"], r["nulls"], r["errors"]) for r in listener.table(spark).collect()}
     assert got[0, "yes"] == (2, 1, 0, 0) and got[0, "bad"] == (3, 0, 1, 1) and got[1, "yes"] == (1, 1, 0, 0) and got[1, "bad"] == (2, 0, 1, 1)
+
+
+@pytest.fixture
+def server():
+    """A segmentation service and an image host, over HTTP."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    sessions, asked, lock = {}, [], threading.Lock()
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def answer(self, status, body, kind="application/json"):
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def handle_one(self, method):
+            size = int(self.headers.get("Content-Length") or 0)
+            body = json.loads(self.rfile.read(size)) if size else None
+            with lock:
+                asked.append((method, self.path))
+                if self.path.startswith("/images/"):
+                    return self.answer(200, b"\x89PNG" + self.path.encode(), "image/png")
+                if self.path == "/api/connect":
+                    sessions.setdefault(body["model_type"], {"prompt": None, "images": []})
+                    return self.answer(200, json.dumps({"session_id": body["model_type"]}).encode())
+                _, _, session, what, *rest = self.path.split("/")
+                held = sessions.get(session)
+                if held is None:
+                    return self.answer(404, b"{}")
+                out = {"session_id": session}
+                if what == "set-prompt":
+                    held["prompt"] = body["prompt"]
+                elif what == "add-image":
+                    held["images"] = [*held["images"], body["image"]][-body["batch"] :]
+                    out |= {"added": True, "frame_idx": len(held["images"]) - 1}
+                elif what == "get-output":
+                    image = held["images"][int(rest[0])]
+                    out |= {"masks": [held["prompt"] + ":" + image], "boxes": [[0, 0, len(image), 1]], "scores": [0.5], "count": 1}
+                elif what == "visualize":
+                    out |= {"image": "data:image/png;base64," + base64.b64encode(held["images"][body["frame_idx"]].encode()).decode()}
+                elif what == "is-alive":
+                    out |= {"alive": True}
+                elif what == "disconnect":
+                    del sessions[session]
+                self.answer(200, json.dumps(out).encode())
+
+        do_GET = lambda self: self.handle_one("GET")
+        do_POST = lambda self: self.handle_one("POST")
+        do_DELETE = lambda self: self.handle_one("DELETE")
+
+    host = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=host.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{host.server_address[1]}", sessions, asked
+    host.shutdown()
+
+
+def test_a_service_over_http(spark, server):
+    url, sessions, asked = server
+    g = Flow()
+    n = lambda kind, **ports: g.node(f"segment.{kind}", server_url=url, **ports)
+    session = n("connect", model_type=g.col("m"))
+    prompted = n("set_prompt", session_id=session.session_id, prompt=g.col("p"))
+    first = n("add_image", session_id=prompted.session_id, image="old", batch=2)
+    second = n("add_image", session_id=first.session_id, image=g.col("i"), batch=2)
+    found = n("get_output", session_id=second.session_id, frame_idx=second.frame_idx)
+    shown = n("visualize", session_id=found.session_id, frame_idx=second.frame_idx)
+    alive = n("is_alive", session_id=shown.session_id)
+    ended = n("disconnect", session_id=alive.session_id)
+    gone = n("is_alive", session_id=g.node("core.string.concat", a=g.node("core.string.substring", text=g.node("core.cast.to_string", value=ended.disconnected).value, start=4).result, b="nobody").result)
+    g.out(m=g.col("m"), at=second.frame_idx, masks=found.masks, boxes=found.boxes, image=shown.image, alive=alive.alive, ended=ended.disconnected, gone=gone.alive)
+    df = spark.createDataFrame([("a", "car", "new"), ("b", "tree", "newer")], "m string, p string, i string")
+    rows = {r["m"]: tuple(r)[1:] for r in Engine(spark).table(g.payload(), df).collect()}
+    shown_of = lambda x: "data:image/png;base64," + base64.b64encode(x.encode()).decode()
+    assert rows == {"a": (1, ["car:new"], [[0.0, 0.0, 3.0, 1.0]], shown_of("new"), True, True, False), "b": (1, ["tree:newer"], [[0.0, 0.0, 5.0, 1.0]], shown_of("newer"), True, True, False)}
+    assert not sessions and len(asked) == 2 * 9  # one request a node and row
+    g = Flow()
+    g.keep("k").out(image=g.node("core.image.load", file_path=g.node("core.string.format", template=url + "/images/{}.png", arg1=g.col("k")).result).image)
+    got = {r["k"]: r["image"] for r in Engine(spark).table(g.payload(), spark.range(20).selectExpr("id AS k").repartition(2)).collect()}
+    assert got == {k: "data:image/png;base64," + base64.b64encode(f"\x89PNG/images/{k}.png".encode("latin-1")).decode() for k in range(20)}
