@@ -51,9 +51,12 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
         at = np.flatnonzero(often[bucket])
         if not len(at):
             break
-        pairs, inverse, counts = np.unique(key[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -counts))
-        order = order[: min(room, int((counts >= MIN_COUNT).sum()))]
+        # numbered by a hash table: a sort of all places would be most of a round's work
+        numbered = pa.array(key[at]).dictionary_encode()
+        pairs, inverse = numbered.dictionary.to_numpy(), numbered.indices.to_numpy()
+        counts = np.bincount(inverse, minlength=len(pairs))
+        order = np.flatnonzero(counts >= MIN_COUNT)
+        order = order[np.lexsort((pairs[order], -counts[order]))][:room]
         if not len(order):
             break
         rank_of = np.full(len(pairs), len(order), np.int64)
@@ -69,7 +72,9 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
         chosen = np.flatnonzero((mine < none) & (later >= 0) & (later % 2 == 0) & (mine <= rank[2:]))
         if not len(chosen):
             break
-        used, symbol = np.unique(mine[chosen], return_inverse=True)
+        is_used = np.zeros(len(order), bool)
+        is_used[mine[chosen]] = True
+        used, symbol = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[mine[chosen]]
         pair = pairs[order[used]]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
