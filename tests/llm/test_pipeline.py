@@ -43,7 +43,7 @@ def test_toxic_rows_go_by_the_score(spark):
 
 
 def test_every_number_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries() if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries() if k != "pipeline") == list(range(1, 14))
 
 
 def test_stages_on_nulls_repeats_clashing_columns_and_empty_tables(spark):
