@@ -13,9 +13,13 @@ import base64
 import json
 import os
 import re
-import struct
+from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Unicode White_Space, as \s means in the tokenizers' patterns.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: Letters that stay one letter when lower-cased (a capital I with a dot does not).
@@ -89,11 +93,28 @@ class Segments(dict):
         value_of, cut = self.__getitem__, SEGMENT.findall
         return [join(map(value_of, cut(x))) for x in texts]
 
+    def per_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by end_id; their numbers per text), of Segments whose values are ids.
+
+        The segments are told apart and numbered by numpy and Arrow, so that each different one is looked up once."""
+        begins, segments = column_segments(texts)
+        numbered = segments.dictionary_encode()
+        values = [self[x] for x in numbered.dictionary.to_numpy(zero_copy_only=False)]
+        known = np.frombuffer(b"".join([*values, self.value([end_id])]), np.uint32)
+        size_of = np.array([*map(len, values), 4], np.int64) // 4
+        # the end's number after every text's segments
+        order = np.insert(numbered.indices.to_numpy(), begins[1:], len(values))
+        size = size_of[order]
+        stops = np.cumsum(size)
+        ids = known[np.repeat((np.cumsum(size_of) - size_of)[order] - (stops - size), size) + np.arange(int(size.sum()))]
+        ends = stops[begins[1:] + np.arange(len(texts))]
+        return ids, np.diff(ends, prepend=0)
+
 
 @lru_cache(maxsize=2)
 def segment_ids(path: str) -> Segments:
-    """Values: ids as little-endian unsigned 32-bit integers."""
-    return Segments(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    """Values: ids as unsigned 32-bit integers in the order of bytes that numpy reads."""
+    return Segments(path, lambda ids: array("I", ids).tobytes())
 
 
 @lru_cache(maxsize=2)
@@ -102,6 +123,62 @@ def segment_counts(path: str) -> Segments:
     return Segments(path, len)
 
 
+_IS_PUNCTUATION = np.zeros(256, bool)
+_IS_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def column_segments(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of the first segment of each text, and of all; the segments) of texts without nulls.
+
+    Cut before ASCII white space that follows a character that is none, and where ASCII punctuation follows a
+    segment's first letters and digits. These are some of the places where the text may be cut: behind characters
+    that may be white space beyond ASCII, and behind letters beyond U+01FF, it is not.
+    """
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low, high = int(offsets[0]), int(offsets[-1])
+    b = np.frombuffer(data, np.uint8, high) if high else np.zeros(0, np.uint8)
+    b, starts = b[low:high], offsets[:-1] - low
+    if not len(b):
+        return np.zeros(len(texts) + 1, np.int64), pa.array([], pa.large_string())
+    space = (b == 32) | (b - np.uint8(9) < 5)
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    # NEL and NBSP begin with C2, the other white space of Unicode with E1, E2 or E3
+    wide = (b[np.maximum(at - 2, 0)] == 0xC2) | (b[np.maximum(at - 3, 0)] - np.uint8(0xE1) < 3)
+    is_cut = np.zeros(len(b) + 1, bool)
+    is_cut[at[~wide]] = True
+    is_cut[starts] = True
+    # letters of two bytes from U+00C0 on, but for the multiplication and division signs and a capital I with a dot
+    letter = ((b | np.uint8(32)) - np.uint8(97) < 26) | (b - np.uint8(48) < 10)
+    lead = np.flatnonzero(b[:-1] - np.uint8(0xC3) < 5)
+    pair = b[lead].astype(np.int32) << 8 | b[lead + 1]
+    lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]
+    letter[lead] = letter[lead + 1] = True
+    other = ~(letter | space)
+    # of a segment, the first that is neither letter nor digit nor white space, if right behind one of these
+    marked = np.flatnonzero(is_cut[:-1] | other)
+    begins = is_cut[marked]
+    at = marked[1:][other[marked[1:]] & ~begins[1:] & begins[:-1]]
+    at = at[letter[at - 1]]
+    is_cut[at[_IS_PUNCTUATION[b[at]]]] = True
+    cuts = np.append(np.flatnonzero(is_cut[:-1]), len(b))
+    first = np.searchsorted(cuts, np.append(starts, len(b)))
+    return first, pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(b)])
+
+
+def slices(texts: pa.Array, limit: int = 1 << 23):
+    """An Arrow column of texts as runs of whole texts of about limit bytes, nulls as empty texts."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(texts):
+        before = int(ends[begin - 1]) if begin else 0
+        end = min(len(texts), int(np.searchsorted(ends, before + limit)) + 1)
+        yield texts.slice(begin, end - begin)
+        begin = end
+
+
 def groups(texts, limit: int = 1 << 18):
     """Texts of an Arrow column as lists of about limit characters."""
     out: list[str] = []

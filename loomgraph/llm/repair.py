@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import groups, segment_ids
+from .bpe import segment_ids, slices
 from .common import BROADCAST_ROWS, id_text, shared_dir, tidy
 
 #: A shard closes with the first document that brings it to so many ids.
@@ -27,8 +28,6 @@ SHARD_IDS = 1 << 19
 MIN_COUNT = 6
 #: Rounds go on while one leaves less than this share of the sequence; a rule refers to rules of earlier rounds only.
 GAIN = 0.998
-#: Bits of the first, inexact count of pairs.
-BUCKET_BITS = 20
 
 FILE_SCHEMA = "part int, seq int, doc_ids array<long>, n_tokens array<long>, n_ids long, base int, width int, rules binary, lengths binary, symbols binary, offsets binary"
 #: The files keep where every so manyth symbol of a shard begins.
@@ -37,6 +36,7 @@ EVERY = 1 << 10
 
 def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths); nonterminal k is written base + k."""
+    word, half = (np.uint32, np.uint32(16)) if base + max_rules <= 1 << 16 else (np.uint64, np.uint64(32))
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, np.int64)
@@ -45,38 +45,36 @@ def compress(ids: np.ndarray, base: int, max_rules: int) -> tuple[np.ndarray, np
         room = max_rules - n_rules
         if room <= 0 or len(seq) < 2 * MIN_COUNT:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        often = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= MIN_COUNT
-        at = np.flatnonzero(often[bucket])
-        if not len(at):
-            break
-        # numbered by a hash table: a sort of all places would be most of a round's work
-        numbered = pa.array(key[at]).dictionary_encode()
-        pairs, inverse = numbered.dictionary.to_numpy(), numbered.indices.to_numpy()
-        counts = np.bincount(inverse, minlength=len(pairs))
+        key = (seq[:-1].astype(word) << half) | seq[1:]
+        # counted by a sort of bare numbers, and only those that occur often are looked up
+        held = np.sort(key)
+        heads = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        counts = np.diff(heads, append=len(held))
         order = np.flatnonzero(counts >= MIN_COUNT)
-        order = order[np.lexsort((pairs[order], -counts[order]))][:room]
-        if not len(order):
+        pairs, counts = held[heads[order]], counts[order]
+        pairs = pairs[np.lexsort((pairs, -counts))][:room]
+        none = len(pairs)
+        if not none:
             break
-        rank_of = np.full(len(pairs), len(order), np.int64)
-        rank_of[order] = np.arange(len(order))
-        none = len(order)
-        rank = np.full(len(key) + 2, none, np.int64)  # shifted by one, so that every place has neighbours
-        rank[1 + at] = rank_of[inverse]
+        rank = np.full(len(key) + 2, none, np.int32)  # shifted by one, so that every place has neighbours
+        rank[1:-1] = pc.index_in(pa.array(key), value_set=pa.array(pairs)).fill_null(none).to_numpy()
         mine = rank[1:-1]
+        best = (mine < rank[:-2]) & (mine <= rank[2:])
         # of a run of equal ranks (equal ids) every second place, from its second on if a better pair stands before it
-        place = np.arange(len(mine))
-        first = np.maximum.accumulate(np.where(mine != rank[:-2], place, 0))
-        later = place - first - (rank[first] < mine)
-        chosen = np.flatnonzero((mine < none) & (later >= 0) & (later % 2 == 0) & (mine <= rank[2:]))
+        again = np.flatnonzero((mine == rank[:-2]) & (mine < none))
+        if len(again):
+            heads = np.flatnonzero(np.diff(again, prepend=-2) > 1)
+            first = np.repeat(again[heads] - 1, np.diff(heads, append=len(again)))
+            later = again - first - (rank[first] < mine[again])
+            best[again] = (later % 2 == 0) & (mine[again] <= rank[again + 2])
+        chosen = np.flatnonzero(best)
         if not len(chosen):
             break
-        is_used = np.zeros(len(order), bool)
+        is_used = np.zeros(none, bool)
         is_used[mine[chosen]] = True
         used, symbol = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[mine[chosen]]
-        pair = pairs[order[used]]
-        left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        pair = pairs[used]
+        left, right = (pair >> half).astype(np.uint32), (pair & ((word(1) << half) - word(1))).astype(np.uint32)
 
         def length(s: np.ndarray, known: np.ndarray = lengths) -> np.ndarray:
             return np.where(s < base, 1, known[np.maximum(s.astype(np.int64) - base, 0)] if len(known) else 1)
@@ -165,14 +163,14 @@ def _shards(path: str, end_id: int, base: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        encode, end = segment_ids(path), np.array([end_id], "<u4").tobytes()
+        encode = segment_ids(path)
         docs: list[int | None] = []
         counts: list[int] = []
-        blobs: list[bytes] = []
+        blobs: list[np.ndarray] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            symbols, rules, lengths = compress(np.frombuffer(b"".join(blobs), "<u4"), base, max_rules)
+            symbols, rules, lengths = compress(np.concatenate(blobs), base, max_rules)
             return pa.record_batch(
                 {
                     "part": pa.array([part], pa.int32()),
@@ -190,16 +188,24 @@ def _shards(path: str, end_id: int, base: int):
             )
 
         for batch in batches:
-            coded = (x for some in groups(batch.column(1)) for x in encode.per_text(some, b"".join))
-            for doc, blob in zip(batch.column(0).to_pylist(), coded):
-                blob += end
-                docs.append(doc)
-                counts.append(len(blob) // 4)
-                blobs.append(blob)
-                held += len(blob) // 4
-                if held >= SHARD_IDS:
-                    yield close()
-                    docs, counts, blobs, held, seq = [], [], [], 0, seq + 1
+            names, at = batch.column(0).to_pylist(), 0
+            for texts in slices(batch.column(1)):
+                ids, n_tokens = encode.per_column(texts, end_id)
+                stops = np.cumsum(n_tokens)
+                done = 0
+                while done < len(texts):
+                    # the document that brings the shard to SHARD_IDS closes it
+                    before = int(stops[done - 1]) if done else 0
+                    upto = min(len(texts), int(np.searchsorted(stops, before + SHARD_IDS - held)) + 1)
+                    docs += names[at + done : at + upto]
+                    counts += n_tokens[done:upto].tolist()
+                    blobs.append(ids[before : int(stops[upto - 1])])
+                    held += len(blobs[-1])
+                    done = upto
+                    if held >= SHARD_IDS:
+                        yield close()
+                        docs, counts, blobs, held, seq = [], [], [], 0, seq + 1
+                at += len(texts)
         if docs:
             yield close()
 

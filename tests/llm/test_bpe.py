@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -88,3 +89,21 @@ def test_copies_of_long_texts(spark):
     got = sorted(((r["doc_id"] or 0, bytes(r["decoded"]).decode(), tuple(r["ids"])) for r in bpe_codec.bpe_round_trip(df, ranks, pattern).collect()))
     ids = tuple(bpe.rank_encoding(ranks, pattern).encode_ordinary(long))
     assert [(d, t == long, i == ids) for d, t, i in got] == [(0, True, True)] * 3 + [(7, True, True)] * 2 + [(8, False, False)]
+
+
+def test_columns_of_texts_look_up_each_segment_once(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    alphabet = [*" \n\t\xa0\x85  　ab1.,'<|>éàßİ×ǿȺ日́’\x1c"]
+    texts = ["", "  ", "\xa0  b", "é, à  b", "<|endoftext|> a.b<|endoftext|>c", "ab×, ÷. İ, ǿ. Ⱥ, ɏ!", *("".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(4000))]
+    want = [[*e.ids, 2] for e in bpe.library_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    encode = bpe.segment_ids(path)
+    column = pa.array(["x", *texts, None]).slice(1)  # an offset, and a null
+    got = [encode.per_column(some, 2) for some in bpe.slices(column, 1000)]
+    assert len(got) > 10
+    assert [i for ids, _ in got for i in ids.tolist()] == [i for w in want for i in w] + [2]
+    assert [n for _, sizes in got for n in sizes.tolist()] == [*map(len, want), 1]
+    looked = []
+    monkeypatch.setattr(bpe.Segments, "__getitem__", lambda self, x: (looked.append(x), dict.__getitem__(self, x))[1], raising=False)
+    encode.per_column(pa.array(["x", " the same words", *[" the same words" * 50] * 40]), 2)
+    assert sorted(looked) == [" same", " the", " words", "x"]
