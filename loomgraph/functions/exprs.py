@@ -189,8 +189,11 @@ def is_collecting() -> bool:
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with value in the plan once, however often f uses it."""
-    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))  # the lambda has one parameter, whatever f has
+    """f(value) with value in the plan once, however often f uses it.
+
+    A fold over nothing that begins with value and ends with f: unlike the item of an array of one, it copies
+    nothing, and Spark does not work out the type of all that is inside again for each row."""
+    return F.aggregate(F.array().cast("array<boolean>"), value, lambda x, _: x, lambda x: f(x))
 
 
 def failing(test: Column, message: Column | str, value: Column) -> Column:

@@ -444,21 +444,27 @@ class Compiler:
         return result, fields
 
     def _steps(self, loop: Node, own: list[str], within: Callable[[Column, Column], Scope], acc: Column, index: Column, fields: dict[tuple[str, str], T.DataType]) -> Column:
-        """A round as a chain of structs: after each node its ports, variable, log and error are fields that the next one reads."""
-        place = {k: f"f{i}" for i, k in enumerate(fields)}
-
-        def scope_of(s: Column) -> Scope:
-            inner = within(s, index)
-            for k, f in place.items():
-                if k[0] != "$var":
-                    inner.values[k], inner.shadows[k] = Value(s[f], fields[k]), _blank(fields[k])
+        """A round as a chain of structs, one inside the other: each holds what its node wrote (ports, variable, log and
+        error), what follows reads every field where it was written last, and the whole row of fields is built once, at the end."""
+        State = dict[tuple[str, str], Column]
+
+        def scope_of(now: State) -> Scope:
+            inner = within(acc, index)
+            for k, c in now.items():
+                if k[0] == "$var":
+                    inner.variables[k[1]] = (Value(c, fields[k]), _blank(fields[k]))
+                else:
+                    inner.values[k], inner.shadows[k] = Value(c, fields[k]), _blank(fields[k])
             return inner
 
-        def after(node: Node, s: Column) -> Column:
-            inner = scope_of(s)
+        def after(left: list[str], now: State, alive: Column) -> Column:
+            if not left:
+                return F.struct(*(c.alias(f"f{i}") for i, c in enumerate(now.values())), index.alias("index"), F.lit(True).alias("go"))
+            node, rest = self.graph.nodes[left[0]], left[1:]
+            inner = scope_of(now)
             guard = self._guard(node.id, inner)
-            runs = s["alive"] if guard is None else s["alive"] & guard
-            new: dict[tuple[str, str], Column] = {}
+            runs = alive if guard is None else alive & guard
+            new: State = {}
             error = None
             if node.type == "core.control.ifelse":
                 new[node.id, "$taken"] = F.when(runs, node.spec.build(self._inputs(node, inner, False)))
@@ -467,8 +473,8 @@ class Compiler:
 
                 def nested(r: Column) -> Column:
                     got = {k: as_type(Value(r[f"f{i}"], parts[k]), fields[k]) for i, k in enumerate(parts) if k in fields}
-                    kept = {k: F.concat(s[place[k]], c) if k[1] == "$log" else F.coalesce(s[place[k]], c) if k[1] == "$error" else c for k, c in got.items()}
-                    return put(s, {k: F.when(runs, c).otherwise(s[place[k]]) if k[0] == "$var" or k[1] in ("$log", "$error") else c for k, c in kept.items()} | {(node.id, "index"): F.when(runs, r["index"])}, s["alive"])
+                    kept = {k: F.concat(now[k], c) if k[1] == "$log" else F.coalesce(now[k], c) if k[1] == "$error" else c for k, c in got.items()}
+                    return put(rest, now, {k: F.when(runs, c).otherwise(now[k]) if k[0] == "$var" or k[1] in ("$log", "$error") else c for k, c in kept.items()} | {(node.id, "index"): F.when(runs, r["index"])}, alive, None)
 
                 return let(result, nested)
             elif node.spec.style != "control":
@@ -478,28 +484,31 @@ class Compiler:
                 for port, column in built.items():
                     want = fields[node.id, port]
                     got = F.when(runs, as_type(Value(column, self.inner_types[node.id, port]), want))
-                    new[node.id, port] = got if error is None else F.when(error.isNull(), got).otherwise(s[place[node.id, port]])
+                    new[node.id, port] = got if error is None else F.when(error.isNull(), got).otherwise(now[node.id, port])
                     if node.type in ("core.var.set", "core.var.declare"):
                         name = ("$var", self._name_of(node, inner))
-                        value = F.when(runs, as_type(Value(column, self.inner_types[node.id, port]), fields[name])).otherwise(s[place[name]])
-                        new[name] = value if error is None else F.when(error.isNull(), value).otherwise(s[place[name]])
+                        value = F.when(runs, as_type(Value(column, self.inner_types[node.id, port]), fields[name])).otherwise(now[name])
+                        new[name] = value if error is None else F.when(error.isNull(), value).otherwise(now[name])
                 for n, line in inner.logs:
                     key = (n, "$log")
-                    new[key] = F.when(runs & line.isNotNull(), F.array_append(s[place[key]], line)).otherwise(s[place[key]])
+                    new[key] = F.when(runs & line.isNotNull(), F.array_append(now[key], line)).otherwise(now[key])
             if error is None:
-                return put(s, new, s["alive"])
-            new[node.id, "$error"] = F.coalesce(s[place[node.id, "$error"]], error)
-            return put(s, new, s["alive"] & error.isNull())
+                return put(rest, now, new, alive, None)
+            new[node.id, "$error"] = F.coalesce(now[node.id, "$error"], error)
+            return put(rest, now, new, alive, alive & error.isNull())
 
-        def put(s: Column, new: dict[tuple[str, str], Column], alive: Column) -> Column:
+        def put(rest: list[str], now: State, new: State, alive: Column, goes_on: Column | None) -> Column:
             """A round that has ended keeps what it had; a node that a branch leaves out has null."""
-            held = lambda k, c: c if k[0] == "$var" or k[1] in ("$log", "$error") else F.when(s["alive"], c).otherwise(s[place[k]])
-            return F.struct(*((held(k, new[k]) if k in new else s[f]).cast(fields[k]).alias(f) for k, f in place.items()), alive.alias("alive"))
-
-        state = F.struct(*(acc[f].alias(f) for f in place.values()), F.lit(True).alias("alive"))
-        for n in own:
-            state = let(state, lambda s, node=self.graph.nodes[n]: after(node, s))
-        return let(state, lambda s: F.struct(*(s[f].alias(f) for f in place.values()), index.alias("index"), F.lit(True).alias("go")))
+            new = {k: c for k, c in new.items() if k in now}
+            if not new:
+                return after(rest, now, alive)
+            held = lambda k, c: c if k[0] == "$var" or k[1] in ("$log", "$error") else F.when(alive, c).otherwise(now[k])
+            wrote = [held(k, c).cast(fields[k]).alias(f"w{i}") for i, (k, c) in enumerate(new.items())]
+            if goes_on is not None:
+                wrote.append(goes_on.alias("alive"))
+            return let(F.struct(*wrote), lambda s: after(rest, now | {k: s[f"w{i}"] for i, k in enumerate(new)}, alive if goes_on is None else s["alive"]))
+
+        return after(own, {k: acc[f"f{i}"] for i, k in enumerate(fields)}, F.lit(True))
 
     def _rounds(self, loop: Node, guard: Column | None) -> dict[tuple[str, str], Column]:
         """A loop with calls in its body: round after round over the table, the body's ports and variables as columns.

@@ -640,3 +640,15 @@ def test_long_bodies_stay_short_in_the_plan(spark):
     once.then(*parts, port="loop_body")
     g.out(id=g.col("id"), v=after.value, last=last)
     assert [tuple(r) for r in Engine(spark).table(g.payload(), spark.range(3)).collect()] == [(k, float(k), 3 * 2.0**24) for k in range(3)]
+
+
+def test_steps_copy_nothing_and_the_rows_of_long_loops_are_dealt(spark):
+    g = Flow()
+    loop = g.node("core.control.for", first_index=1, last_index=3)
+    loop.then(g.node("core.math.add", id="sum", a=loop.index, b=1), port="loop_body")
+    g.out(last=loop.index)
+    run = Engine(spark).compile(g.payload(), spark.range(2), {"on_error": "collect"})
+    assert "transform(" not in run.compiled.frame._jdf.queryExecution().analyzed().toString()
+    from loomgraph.queries import QUERIES
+
+    assert QUERIES["loop_row_errors"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
