@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import shared_dir, written
 
 #: So many edges (some tens of MB in a task) are walked in one task.
 LOCAL_EDGES = 200_000
+#: Nodes of a round go to every task up to so many (some 30 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -113,29 +115,40 @@ def levels(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", d
     """(node, level) of every node: 0 where nothing leads, else one more than the highest level that leads there; null on cycles and behind them.
 
     nodes adds some without edges. Rows in the order of (level, node) are a topological order. Kahn's peeling: a round
-    takes the nodes that nothing left leads to, with their edges.
+    takes the nodes that wait for no edge, and those that their edges lead to wait for so many less. Only the numbers of
+    nodes that still wait are written anew each round; the edges stay where they are until fewer than half of them are left.
     """
+    spark = edges.sparkSession
     left = _edges(edges, src, dst)
-    ends = left.select(F.col("s").alias("node")).union(left.select("d"))
-    every = ends if nodes is None else ends.union(nodes.select(F.col(node).cast("string")).where(F.col(node).isNotNull()))
-    waiting = written(every.distinct(), "nodes")
-    done: list[DataFrame] = []
-    k = 0
+    waiting = left.select(F.col("d").alias("node"), F.lit(1).cast("long").alias("waits")).union(left.select("s", F.lit(0).cast("long")))
+    if nodes is not None:
+        waiting = waiting.union(nodes.select(F.col(node).cast("string"), F.lit(0).cast("long")).where(F.col(node).isNotNull()))
+    folder, done = shared_dir(spark, "levels"), []
+    k, n_written = 0, None
     while True:
-        if left.count() <= LOCAL_EDGES:
-            # the nodes without edges need no walk, but one row says where levels stand
-            ends = left.select(F.col("s").alias("node")).union(left.select("d")).distinct()
-            alone = waiting.join(ends, "node", "left_anti").select("node", F.lit(k).cast("long").alias("level"))
+        path = f"{folder}/{k}"
+        counted = waiting.groupBy("node").agg(F.sum("waits").alias("waits")).withColumn("level", F.lit(k).cast("long"))
+        counted.withColumn("ready", F.col("waits") == 0).write.partitionBy("ready").parquet(path)
+        state = spark.read.schema("node string, waits long, level long, ready boolean").parquet(path)
+        n_left, n_ready = state.agg(F.coalesce(F.sum("waits"), F.lit(0)), F.count_if("ready")).first()
+        n_written = n_left if n_written is None else n_written
+        waiting, ready = state.where("not ready").select("node", "waits"), state.where("ready").select("node")
+        if n_ready:
+            done.append(f"{path}/ready=true")
+        known = spark.read.schema("node string, level long").parquet(*done) if done else spark.createDataFrame([], "node string, level long")
+        if not n_ready or not n_left:
+            return known.union(waiting.select("node", F.lit(None).cast("long")))
+        if n_left <= LOCAL_EDGES or 2 * n_left < n_written:
+            left, n_written = written(left.join(state.select(F.col("node").alias("s")), "s", "left_semi").select("s", "d"), "edges-left"), n_left
+        if n_left <= LOCAL_EDGES:
+            # one row says where levels stand
             at = left.limit(1).select("s", F.lit(None).cast("string").alias("d"), F.lit(k).alias("depth"))
             peeled = left.withColumn("depth", F.lit(None).cast("int")).union(at).repartition(1).mapInArrow(_peel, "node string, level long")
-            return union([*done, alone, written(peeled, "levels")])
-        held = left.select(F.col("d").alias("node")).distinct()
-        ready = written(waiting.join(held, "node", "left_anti").select("node"), "ready")
-        if ready.isEmpty():
-            return union([*done, waiting.select("node", F.lit(None).cast("long").alias("level"))])
-        done = [written(union([*done, ready.withColumn("level", F.lit(k).cast("long"))]), "levels")]
-        waiting = written(waiting.join(ready, "node", "left_anti"), "nodes")
-        left = written(left.join(ready.select(F.col("node").alias("s")), "s", "left_anti").select("s", "d"), "edges-left")
+            # the walk begins with the nodes of this level, which are known
+            return known.union(written(peeled, "levels").where(F.col("level").isNull() | (F.col("level") > k)))
+        first = F.broadcast(ready) if n_ready <= BROADCAST_ROWS else ready
+        met = left.join(first.select(F.col("node").alias("s")), "s", "left_semi").select(F.col("d").alias("node"), F.lit(-1).cast("long").alias("waits"))
+        waiting = waiting.union(met)
         k += 1
 
 

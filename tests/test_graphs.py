@@ -303,6 +303,18 @@ def test_plans_do_not_grow_with_the_rounds(spark, monkeypatch):
     assert plan(9) < 1.2 * plan(3)
 
 
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_levels_write_the_edges_anew_only_when_half_are_gone(spark, monkeypatch, most):
+    monkeypatch.setattr(edges, "LOCAL_EDGES", 2)
+    monkeypatch.setattr(edges, "BROADCAST_ROWS", most, raising=False)
+    tags, write = [], edges.written
+    monkeypatch.setattr(edges, "written", lambda df, tag: (tags.append(tag), write(df, tag))[1])
+    pairs = [(k, j) for k in range(9) for j in range(k + 1, min(k + 3, 9))] + [(8, 20), (20, 21), (21, 20)]
+    got = dict(map(tuple, edges.levels(table_of(spark, [(str(a), str(b)) for a, b in pairs])).collect()))
+    assert got == {str(k): k for k in range(9)} | {"20": None, "21": None}
+    assert tags.count("edges-left") <= 4
+
+
 def test_all_paths(spark, walked):
     ways = lambda pairs, a, b, **o: sorted(r[0] for r in edges.paths(table_of(spark, pairs), a, b, **o).collect())
     diamond = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("x", "d"), ("a", "b")]
